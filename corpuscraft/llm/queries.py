@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_packing, line_dedup, mil_quality, simhash_dedup, token_files
+from . import bestfit_packing, embedding_dedup, html_extract, line_dedup, mil_quality, multiset_hash, simhash_dedup, token_files, url_automaton
 from .common import shared_dir, table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -18,6 +26,10 @@ def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -31,15 +43,46 @@ def op8_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.score(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_automaton.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_simhash_dedup, op5_bestfit_packing, op7_token_files, op8_mil_quality, op10_line_dedup)
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 
 SQL: dict[str, str] = {
+    "op1_embedding_dedup": """
+with recursive v as (
+  select vec_id, label, embedding::double[] as x from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links as materialized (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x)) / sqrt(list_dot_product(b.x, b.x)) >= 0.93
+), reach as (select vec_id as id, vec_id as other from embeddings union select r.id, l.b from reach r join links l on r.other = l.a
+), lowest as (select id, min(other) as component_id from reach group by id
+), degree as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(d.n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join lowest on e.vec_id = id left join degree d on d.a = e.vec_id
+""",
+    "op9_url_automaton": """
+with cut as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), split as (
+  select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) as path from cut
+), rules(rule_host, rule_path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits as (
+  select page_id, host, path, rule_host || rule_path as rule, verdict,
+    row_number() over (partition by page_id order by length(rule_host || rule_path) desc) as place
+  from split join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+)
+select s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from split s left join fits f on s.page_id = f.page_id and f.place = 1
+""",
     "op10_line_dedup": r"""
 with lines as (
   select doc_id, line_no, list_filter(string_split_regex(line, '[ \t\r\f\x0b]+'), lambda w: w <> '') as words
