@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-#: Words that a worker remembers before it starts afresh; the ids don't depend on it.
-REMEMBERED = 400_000
-
+#: Words that a worker remembers; further ones are encoded anew for each text. The ids don't depend on it.
+REMEMBERED = 1_000_000
 #: White space beyond ASCII inside a word, which the normalizer would cut at.
 WHITE = re.compile(r"\s")
+#: Latin letters, then signs that no contraction begins with: the pre-tokenizer parts these two and nothing else.
+PLAIN = re.compile(r"([a-zß-öø-ɏ]*)([!-&(-/:-@\[-`{-~]*)")
 
 _CODERS: dict[str, WordCoder] = {}
 
@@ -38,36 +38,56 @@ class WordCoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
+        self.letters: dict[str, str] = {}
+
+    def _part(self, part: str) -> bytes:
+        """The ids of what the pre-tokenizer returns as one part."""
+        found = self.parts.get(part)
+        if found is None:
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
+            if len(self.parts) < REMEMBERED:
+                self.parts[part] = found
+        return found
+
+    def _mapped(self, letters: str) -> str:
+        """Letters as the pre-tokenizer writes their bytes."""
+        if letters.isascii():
+            return letters
+        known = self.letters
+        for c in letters:
+            if c not in known:
+                known[c] = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0]
+        return "".join([known[c] for c in letters])
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, odd, learned = [], [], {}
         for word in words:
             text = word.decode()
-            (odd if WHITE.search(text) or any(s in text for s in self.special) else plain).append((word, text))
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(t for _, t in plain)).split(" ") if plain else []
+            (odd if "<|" in text and any(s in text for s in self.special) or not text.isascii() and WHITE.search(text) else plain).append((word, text))
+        normal = self.tokenizer.normalizer.normalize_str(" ".join([t for _, t in plain])).split(" ") if plain else []
         if len(normal) != len(plain):
             odd, plain, normal = odd + plain, [], []
-        cut, tokenize, parts, known = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize, self.parts, self.words
+        part, cut = self._part, self.tokenizer.pre_tokenizer.pre_tokenize_str
         for (word, _), text in zip(plain, normal):
-            found = []
-            for part, _ in cut(text):
-                ids = parts.get(part)
-                if ids is None:
-                    ids = parts[part] = np.array([t.id for t in tokenize(part)], "<u4").tobytes()
-                found.append(ids)
-            known[word] = b"".join(found)
+            m = PLAIN.fullmatch(text)
+            if m:
+                letters, signs = m.groups()
+                learned[word] = (part(self._mapped(letters)) if letters else b"") + (part(signs) if signs else b"")
+            else:
+                learned[word] = b"".join([part(p) for p, _ in cut(text)])
         for word, text in odd:
-            known[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            learned[word] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return learned
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: none), as little-endian unsigned 32-bit integers."""
-        words = (text or "").encode().split()
-        distinct = set(words)
-        if len(self.words) + len(distinct) > REMEMBERED:
-            self.words, self.parts = {}, {}
-        known = self.words
-        if new := [w for w in distinct if w not in known]:
-            self._learn(new)
+        words, known = (text or "").encode().split(), self.words
+        new = [w for w in set(words) if w not in known]
+        if new:
+            learned = self._learn(new)
+            if len(known) + len(new) > REMEMBERED:
+                return b"".join([known[w] if w in known else learned[w] for w in words])
+            known.update(learned)
         return b"".join([known[w] for w in words])
 
 
