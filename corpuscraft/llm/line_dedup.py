@@ -37,30 +37,39 @@ def _one_edit(x: Column, y: Column) -> Column:
     return (longer - shorter <= 1) & (first + last >= longer - 1)
 
 
+#: Rows of candidate lines up to which they are sent to all tasks; more are joined by a shuffle.
+BROADCAST = 1_000_000
+
+
 def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """(doc_id, line_no) of the lines that have an earlier near copy; see line_dedup."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0).withColumn("key", F.xxhash64("words"))
+    raw = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = raw.withColumn("words", _words(F.col("line"))).where(F.size("words") > 0).withColumn("key", F.xxhash64("words"))
     place, n = F.struct("doc_id", "line_no"), F.size("words")
 
-    # 1. equal lines: the earliest, and how many there are
-    keyed = lines.select("key", "doc_id", "line_no")
-    firsts = keyed.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    firsts = scratch.write(firsts.select("key", "first.doc_id", "first.line_no", "copies"))
+    # the first and last m words, for an even m of about half the length; lengths that differ by one agree on one m
+    def ends(m: Column) -> Column:
+        return F.array(F.xxhash64(F.lit("first"), m, F.slice("words", F.lit(1), m)), F.xxhash64(F.lit("last"), m, F.slice("words", n - m + 1, m)))
 
-    # 2. first and last words of half the length, rounded so that lengths which differ by one agree on one
-    def ends(m: Column) -> list[Column]:
-        return [F.xxhash64(F.lit("first"), m, F.slice("words", 1, m)), F.xxhash64(F.lit("last"), m, F.slice("words", n - m + 1, m))]
+    m = F.floor(n / 4).cast("int") * 2
+    both = F.when((n % 4 == 0) & (n > least_words), F.concat(ends(m), ends(m - 2))).otherwise(ends(m))
+    halves = F.when(n >= least_words, both)
+
+    # 1. equal lines: the earliest, and how many there are
+    firsts = lines.select("key", halves.alias("halves"), place.alias("place")).groupBy("key", "halves").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
+    firsts = scratch.write(firsts.select("key", "first.doc_id", "first.line_no", "copies", "halves"))
 
-    halves = F.array_distinct(F.array(*ends(F.floor((n - 1) / 2).cast("int")), *ends(F.floor(n / 2).cast("int"))))
-    halved = lines.where(n >= least_words).select("key", "doc_id", "line_no", halves.alias("halves"))
-    halved = scratch.write(halved.join(firsts.select("key", "doc_id", "line_no"), ["key", "doc_id", "line_no"], "left_semi"))
-    shared = halved.select(F.explode("halves").alias("half")).groupBy("half").count().where("count > 1").select("half")
-    near = halved.select("doc_id", "line_no", F.explode("halves").alias("half")).join(shared, "half", "left_semi").select("doc_id", "line_no").distinct()
+    # 2. of those, the ones that share an end with another
+    halved = firsts.select("key", "doc_id", "line_no", F.explode("halves").alias("half"))
+    shared = halved.groupBy("half").count().where("count > 1").select("half")
+    near = scratch.write(halved.join(shared, "half", "left_semi").select("key", "doc_id", "line_no").distinct())
+    near_lines = near.select("doc_id", "line_no")
+    near_lines = F.broadcast(near_lines) if near.count() <= BROADCAST else near_lines
 
     # 3. deletion variants of those
-    kept = scratch.write(lines.join(near, ["doc_id", "line_no"], "left_semi").dropDuplicates(["key"]))
+    found = raw.join(near_lines, ["doc_id", "line_no"], "left_semi").withColumn("words", _words(F.col("line")))
+    kept = scratch.write(found.select(F.xxhash64("words").alias("key"), "doc_id", "line_no", "words").dropDuplicates(["key"]))
     without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("variant")))
     variants = kept.select("key", "doc_id", "line_no", F.explode(without).alias("x")).select("key", "doc_id", "line_no", "x.i", "x.variant")
     low = F.struct("doc_id", "line_no", "key").alias("low")
@@ -79,7 +88,7 @@ def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
 
     # of equal lines all go but the earliest, and that too if it has an earlier near copy
     verdict = firsts.join(gone, "key", "left").where("copies > 1 or near").select("key", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "near")
-    return keyed.join(verdict, "key").where("near or doc_id <> first_doc or line_no <> first_line").select("doc_id", "line_no")
+    return lines.select("key", "doc_id", "line_no").join(verdict, "key").where("near or doc_id <> first_doc or line_no <> first_line").select("doc_id", "line_no")
 
 
 def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
