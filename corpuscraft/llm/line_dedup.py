@@ -6,9 +6,9 @@ out), are near copies. A line goes if an earlier line (by doc_id, then line numb
 1. Equal lines meet by hash; the earliest of each stands for them.
 2. Of two lines within one edit, each shares its first or its last words with the other, so only lines
    that share such a half go on. This loses no pair.
-3. Each of those emits its deletion variants, hashed: itself and itself without its i-th word. Two
-   lines differ by a replacement at i if they share the variant without word i, and by an insertion if one's
-   variant is the other itself. Of the lines with an equal variant only the earliest is wanted, so
+3. Each of those emits its deletion variants, hashed: itself and itself without its i-th word, by running
+   sums over its words. Two lines differ by a replacement at i if they share the variant without word
+   i, and by an insertion if one's variant is the other itself. Of the lines with an equal variant only the earliest is wanted, so
    each key keeps a minimum, summed up before the shuffle: a line template with a million variants
    makes a million rows, not their pairs.
 4. The edit distance of each found pair is verified on the words.
@@ -16,7 +16,7 @@ out), are near copies. A line goes if an earlier line (by doc_id, then line numb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -31,9 +31,9 @@ def _one_edit(x: Column, y: Column) -> Column:
     """Word arrays x and y are at most one insertion, deletion or replacement apart."""
     shorter, longer = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
     equal = F.zip_with(F.slice(x, 1, shorter), F.slice(y, 1, shorter), lambda a, b: a == b)
-    first = F.coalesce(F.array_position(equal, False), shorter + 1) - 1
+    first = F.coalesce(F.nullif(F.array_position(equal, False), F.lit(0)), shorter + 1) - 1
     tail = F.zip_with(F.reverse(F.slice(F.reverse(x), 1, shorter)), F.reverse(F.slice(F.reverse(y), 1, shorter)), lambda a, b: a == b)
-    last = F.coalesce(F.array_position(F.reverse(tail), False), shorter + 1) - 1
+    last = F.coalesce(F.nullif(F.array_position(F.reverse(tail), False), F.lit(0)), shorter + 1) - 1
     return (longer - shorter <= 1) & (first + last >= longer - 1)
 
 
@@ -67,23 +67,26 @@ def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     near_lines = near.select("doc_id", "line_no")
     near_lines = F.broadcast(near_lines) if near.count() <= BROADCAST else near_lines
 
-    # 3. deletion variants of those
-    found = raw.join(near_lines, ["doc_id", "line_no"], "left_semi").withColumn("words", _words(F.col("line")))
-    kept = scratch.write(found.select(F.xxhash64("words").alias("key"), "doc_id", "line_no", "words").dropDuplicates(["key"]))
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))).alias("variant")))
-    variants = kept.select("key", "doc_id", "line_no", F.explode(without).alias("x")).select("key", "doc_id", "line_no", "x.i", "x.variant")
-    low = F.struct("doc_id", "line_no", "key").alias("low")
-    replaced = variants.groupBy("variant", "i").agg(F.min(low).alias("low"), F.count("*").alias("n")).where("n > 1").select("variant", "i", "low")
-    by_replacement = variants.join(replaced, ["variant", "i"]).select("key", "doc_id", "line_no", "low")
-    by_insertion = variants.join(kept.select(F.col("key").alias("variant"), low), "variant").select("key", "doc_id", "line_no", "low")
-    shorter = variants.join(kept.select(F.col("key").alias("variant")), "variant", "left_semi").groupBy("variant").agg(F.min(low).alias("low"))
-    by_deletion = kept.join(shorter, kept.key == shorter.variant).select("key", "doc_id", "line_no", "low")
-    found = by_replacement.unionByName(by_insertion).unionByName(by_deletion)
-    found = found.where(F.struct("low.doc_id", "low.line_no") < place).select("key", F.col("low.key").alias("other")).distinct()
+    # 3. those lines in order, with a rank that follows it, and the hashes of what is left without each word
+    found = raw.join(near_lines, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    found = found.withColumn("key", F.xxhash64("words")).dropDuplicates(["key"]).repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
+    kept = scratch.write(found.select(F.monotonically_increasing_id().alias("rank"), "key", "words"))
+    # a line's hash is the exclusive or of its words' hashes with their places, so those before and behind a word add up
+    placed = kept.select("rank", F.posexplode("words").alias("i", "word")).select("rank", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("ahead"))
+    line, before, upto = Window.partitionBy("rank"), Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    head, tail = F.coalesce(F.bit_xor("here").over(before), F.lit(0)), F.bit_xor("ahead").over(line).bitwiseXOR(F.bit_xor("ahead").over(upto))
+    variants = placed.select("rank", "i", head.bitwiseXOR(tail).alias("variant"))
+    whole = placed.groupBy("rank").agg(F.bit_xor("here").alias("variant"))
+
+    replaced = variants.groupBy("variant", "i").agg(F.min("rank").alias("other"), F.count("*").alias("n")).where("n > 1").select("variant", "i", "other")
+    by_replacement = variants.join(replaced, ["variant", "i"]).select("rank", "other")
+    # the longer line of a pair has the other as a variant; whichever is later goes
+    lengths = variants.join(whole.withColumnRenamed("rank", "other"), "variant").select(F.greatest("rank", "other").alias("rank"), F.least("rank", "other").alias("other"))
+    lengths = lengths.groupBy("rank").agg(F.min("other").alias("other"))
+    found = by_replacement.where("other < rank").unionByName(lengths).distinct()
 
     # 4. verified on the words
-    words = kept.select("key", "words")
-    pairs = found.join(words, "key").join(words.select(F.col("key").alias("other"), F.col("words").alias("theirs")), "other")
+    pairs = found.join(kept, "rank").join(kept.select(F.col("rank").alias("other"), F.col("words").alias("theirs")), "other")
     gone = pairs.where(_one_edit(F.col("words"), F.col("theirs"))).select("key").distinct().withColumn("near", F.lit(True))
 
     # of equal lines all go but the earliest, and that too if it has an earlier near copy
