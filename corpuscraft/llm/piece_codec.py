@@ -20,6 +20,7 @@ isn't what merging gives. Decoding is the same for both kinds.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -33,7 +34,7 @@ from .common import Scratch, parallelism
 
 MARK = "▁"
 #: Words that a worker remembers; further ones are encoded anew. The ids don't depend on it.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Chunks whose matrices are multiplied in one go.
 RUN = 64
 
@@ -74,7 +75,7 @@ class PieceCodec:
         # a line feed that is in no piece parts words as well
         alone = "" if any("\n" in p for p in self.pieces) else "\n"
         self.cut = re.compile(f"{alone}|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, tuple[float, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -113,21 +114,21 @@ class PieceCodec:
             else:
                 out += [self.bytes.get(b, self.unknown) for b in reversed(piece.encode())]
             end = begin[end]
-        return np.array(out[::-1], "<u4").tobytes()
+        return array("I", out[::-1]).tobytes()
 
-    def word(self, word: str) -> tuple[float, bytes]:
-        """Score and ids of a stretch that no piece leaves."""
+    def word(self, word: str) -> bytes:
+        """The ids of a stretch that no piece leaves."""
         found = self.known.get(word)
         if found is None:
-            best, begin = self._forward(word, len(word), {0: 0.0})
-            found = best[-1], self._ids(word, begin, len(word), 0)
+            _, begin = self._forward(word, len(word), {0: 0.0})
+            found = self._ids(word, begin, len(word), 0)
             if len(self.known) < REMEMBERED:
                 self.known[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join([self.word(w)[1] for w in self.cut.findall(self.normal(text))])
+        return b"".join([self.word(w) for w in self.cut.findall(self.normal(text))])
 
     def decode(self, ids: bytes) -> str:
         table = self.table
@@ -151,7 +152,7 @@ class PieceCodec:
                     out[i, j] = best[n + j]
             return out
         first, last = inner[0], inner[-1]
-        middle = sum(self.word(text[a:b])[0] for a, b in spans if a >= first and b <= last)
+        middle = sum(self._forward(text[a:b], b - a, {0: 0.0})[0][-1] for a, b in spans if a >= first and b <= last)
         tail, _ = self._forward(text[last:], n - last, {0: 0.0})
         for i in range(min(size, first + 1)):
             head, _ = self._forward(text[i:first], first - i, {0: 0.0})
@@ -168,7 +169,7 @@ class PieceCodec:
         out = []
         for a, b in spans:
             if b <= n and a > enter:
-                out.append(self.word(text[a:b])[1])
+                out.append(self.word(text[a:b]))
             else:
                 end = min(b, n + leave)
                 own = text[a:end]
