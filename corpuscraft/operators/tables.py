@@ -15,7 +15,9 @@ TOKEN_LAYERS = {"words": "word", "prefixes": "prefix", "lemmas": "lemma", "pos":
 def tokens(sentences: DataFrame) -> DataFrame:
     """A row a token: the keys, tok, and every token layer that the sentences have."""
     have = [c for c in TOKEN_LAYERS if c in sentences.columns]
-    zipped = sentences.select(*KEYS, F.posexplode(F.arrays_zip(*have)).alias("tok", "x"))
+    # a missing layer counts as an empty one, which the zip fills with nulls
+    whole = sentences.withColumns({c: F.coalesce(c, F.array().cast(sentences.schema[c].dataType)) for c in have})
+    zipped = whole.select(*KEYS, F.posexplode(F.arrays_zip(*have)).alias("tok", "x"))
     return zipped.select(*KEYS, "tok", *(F.col(f"x.{c}").alias(TOKEN_LAYERS[c]) for c in have))
 
 
@@ -66,10 +68,6 @@ def union_layers(a: Iterable[str], b: Iterable[str]) -> set[str]:
     return set(a) | set(b)
 
 
-#: What stands for nothing in each group of layers.
-NEUTRAL = {"parents": F.lit, "deprels": F.lit, "lemmas": F.lit, "feats": F.lit}
-
-
 def neutralise(df: DataFrame, group: str) -> DataFrame:
     """Heads to the wall, relations and lemmas to underscores, or features to empty lists."""
     value = {"parents": lambda _: F.lit(-1), "deprels": lambda _: F.lit("_"), "lemmas": lambda _: F.lit("_"), "feats": lambda _: F.array().cast("array<string>")}[group]

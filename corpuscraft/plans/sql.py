@@ -59,11 +59,11 @@ PATHS = (
     _climb()
     + f"""
 , ab as (select sent_id, tok as a, tok + 2 as b, n from toks where n <= {MAX_LEN} and tok + 2 < n
-), top as (select ab.sent_id, a, b, arg_min(x.node, x.depth) as lca, min(x.depth) as up, arg_min(y.depth, x.depth) as down
+), top as (select ab.sent_id, a, b, arg_min(x.node, x.depth) as lca, min(x.depth) as n_up, arg_min(y.depth, x.depth) as n_down
   from ab join climb x on x.sent_id = ab.sent_id and x.tok = a join climb y on y.sent_id = ab.sent_id and y.tok = b and y.node = x.node group by 1, 2, 3
 ), steps as (
-  select top.sent_id, a, b, depth as place, node, 'UP' as dir, up + down as last from top join climb k on k.sent_id = top.sent_id and k.tok = a and depth < up
-  union all select top.sent_id, a, b, up + down - depth, node, 'DOWN', up + down from top join climb k on k.sent_id = top.sent_id and k.tok = b and depth <= down)"""
+  select top.sent_id, a, b, depth as place, node, 'UP' as dir, n_up + n_down as last from top join climb k on k.sent_id = top.sent_id and k.tok = a and depth < n_up
+  union all select top.sent_id, a, b, n_up + n_down - depth, node, 'DOWN', n_up + n_down from top join climb k on k.sent_id = top.sent_id and k.tok = b and depth <= n_down)"""
 )
 
 SQL: dict[str, str] = {
