@@ -69,6 +69,8 @@ class PieceCodec:
         self.unknown = m.unk_id()
         self.least = min(s for _, s in self.pieces.values()) - 10
         self.reach = max(map(len, self.pieces))
+        #: Two characters that no piece has side by side part a word in two.
+        self.neighbours = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("pieces across words aren't supported")
@@ -83,21 +85,23 @@ class PieceCodec:
     def _forward(self, text: str, stop: int, start: dict[int, float]) -> tuple[list[float], list[int]]:
         """Best scores and earliest begins of the last piece at each place of text; pieces begin before ``stop``."""
         pieces, prefixes, n, reach = self.pieces, self.prefixes, len(text), self.reach
-        best, begin = [-np.inf] * (n + 1), [-1] * (n + 1)
+        never = float("-inf")
+        best, begin = [never] * (n + 1), [-1] * (n + 1)
         for at, score in start.items():
             best[at] = score
         for i in range(min(stop, n)):
             here = best[i]
-            if here == -np.inf:
+            if here == never:
                 continue
             single = False
-            for j in range(i + 1, min(n, i + reach) + 1):
+            for j in range(i + 1, (i + reach if i + reach < n else n) + 1):
                 part = text[i:j]
                 if part not in prefixes:
                     break
                 found = pieces.get(part)
                 if found:
-                    single |= j == i + 1
+                    if j == i + 1:
+                        single = True
                     if here + found[1] > best[j]:
                         best[j], begin[j] = here + found[1], i
             if not single and here + self.least > best[i + 1]:
@@ -120,8 +124,13 @@ class PieceCodec:
         """The ids of a stretch that no piece leaves."""
         found = self.known.get(word)
         if found is None:
-            _, begin = self._forward(word, len(word), {0: 0.0})
-            found = self._ids(word, begin, len(word), 0)
+            near = self.neighbours
+            cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in near), len(word)]
+            if len(cuts) > 2:
+                found = b"".join([self.word(word[a:b]) for a, b in zip(cuts, cuts[1:])])
+            else:
+                _, begin = self._forward(word, len(word), {0: 0.0})
+                found = self._ids(word, begin, len(word), 0)
             if len(self.known) < REMEMBERED:
                 self.known[word] = found
         return found
@@ -139,8 +148,12 @@ class PieceCodec:
         """The words of a chunk and what follows it; the first may have begun before it."""
         return [m.span() for m in self.cut.finditer(chunk + ahead)]
 
-    def transfer(self, chunk: str, ahead: str) -> np.ndarray:
-        """The matrix of a chunk: best score from entering at offset i to leaving at offset j behind its end."""
+    def transfer(self, chunk: str, ahead: str, whole: bool = False) -> np.ndarray:
+        """The matrix of a chunk: best score from entering at offset i to leaving at offset j behind its end.
+
+        All ways go through the same words between the first and the last place that no piece crosses, so their scores
+        decide nothing and are left out, unless the ``whole`` score is asked for.
+        """
         n, size = len(chunk), self.reach
         out = np.full((size, size), -np.inf)
         text, spans = chunk + ahead, self._spans(chunk, ahead)
@@ -152,7 +165,7 @@ class PieceCodec:
                     out[i, j] = best[n + j]
             return out
         first, last = inner[0], inner[-1]
-        middle = sum(self._forward(text[a:b], b - a, {0: 0.0})[0][-1] for a, b in spans if a >= first and b <= last)
+        middle = sum(self._forward(text[a:b], b - a, {0: 0.0})[0][-1] for a, b in spans if a >= first and b <= last) if whole else 0.0
         tail, _ = self._forward(text[last:], n - last, {0: 0.0})
         for i in range(min(size, first + 1)):
             head, _ = self._forward(text[i:first], first - i, {0: 0.0})
