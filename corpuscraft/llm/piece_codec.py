@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, parallelism
+from .common import Scratch
 
 MARK = "▁"
 #: Words that a worker remembers; further ones are encoded anew. The ids don't depend on it.
@@ -223,8 +223,13 @@ def encode_documents(docs: DataFrame, model: str | None = None, chunk: int = 327
     2 KB a chunk.
     """
     model = model or default_model()
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
+    return _encoded(docs, model, chunk, lambda batch: batch, f"doc_id {kind}, text string, ids binary")
+
+
+def _encoded(docs: DataFrame, model: str, chunk: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch], shape: str) -> DataFrame:
+    """What ``finish`` makes of batches of doc_id, text and ids."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
 
@@ -232,7 +237,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, chunk: int = 327
         encode = codec(model).encode
         for batch in batches:
             ids = [encode(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
+            yield finish(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"]))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -277,17 +282,18 @@ def encode_documents(docs: DataFrame, model: str | None = None, chunk: int = 327
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row": pdf["row"][:1], "ids": [b"".join(pdf.sort_values("k").ids)]})
 
-    short = rows.where(~long).mapInArrow(whole, f"doc_id {kind}, text string, ids binary")
+    short = rows.where(~long).mapInArrow(whole, shape)
     scratch = Scratch(spark, "pieces")
     giants = scratch.write(rows.where(long).withColumn("row", F.monotonically_increasing_id()))
-    chunks = scratch.write(giants.select("row", "text").mapInArrow(split, "row long, k long, chunk string, ahead string").repartition(parallelism(spark), "row", "k"))
+    chunks = scratch.write(giants.select("row", "text").mapInArrow(split, "row long, k long, chunk string, ahead string"))
     by_chunk = scratch.write(chunks.mapInArrow(matrices, "row long, k long, matrix binary").withColumn("run", F.floor(F.col("k") / RUN)))
     runs = by_chunk.groupBy("row", "run").applyInPandas(multiply, "row long, run long, matrix binary")
     ends = runs.groupBy("row").applyInPandas(scan, "row long, run long, first int, last int")
     known = by_chunk.groupBy("row", "run").cogroup(ends.groupBy("row", "run")).applyInPandas(hand_down, "row long, k long, enter int, leave int")
     traced = chunks.join(known, ["row", "k"]).mapInArrow(trace, "row long, k long, ids binary")
     whole_ids = traced.groupBy("row").applyInPandas(join, "row long, ids binary")
-    return short.unionByName(giants.join(whole_ids, "row").select("doc_id", "text", "ids"))
+    finished = giants.join(whole_ids, "row").select("doc_id", "text", "ids").mapInArrow(lambda batches: map(finish, batches), shape)
+    return short.unionByName(finished)
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -312,11 +318,9 @@ def codec_digest(docs: DataFrame, model: str | None = None, chunk: int = 32768)
     model = model or default_model()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = codec(model).decode
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            same = [decode(i) == (t.as_py() or "") for i, t in zip(ids, batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(crc32, ids), pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        decode, ids = codec(model).decode, batch.column("ids").to_pylist()
+        same = [decode(i) == (t.as_py() or "") for i, t in zip(ids, batch.column("text"))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(map(crc32, ids), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
-    return encode_documents(docs, model, chunk).mapInArrow(run, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")
+    return _encoded(docs, model, chunk, digest, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")
