@@ -6,6 +6,7 @@ size threshold and shuffles them beyond it. Joins within a sentence are on the s
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,25 +131,50 @@ def keep_gold(mask: DataFrame, toks: DataFrame) -> DataFrame:
     return mask.join(gold, [*KEYS, "p", "c"], "left").withColumn("kept", F.col("kept") | F.coalesce("_gold", F.lit(False))).drop("_gold")
 
 
+def _reach(n: int, parents: list[int], kids: list[int]) -> tuple[bool, bool]:
+    """Whether all of n tokens are reached from the wall, and from a single token below it."""
+    below: dict[int, list[int]] = {}
+    for p, c in zip(parents, kids):
+        below.setdefault(p, []).append(c)
+
+    def visit(root: int, seen: set[int]) -> None:
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            if i not in seen:
+                seen.add(i)
+                todo += below.get(i, ())
+
+    seen: set[int] = set()
+    last = None
+    for root in below.get(-1, ()):
+        if root not in seen:
+            visit(root, seen)
+            last = root
+    if last is None or len(seen) < n:
+        return last is not None and len(seen) == n, False
+    # a root that reaches all would have left none to start from after it, so it's the last one started from if any is
+    alone: set[int] = set()
+    visit(last, alone)
+    return True, len(alone) == n
+
+
 def reachable(mask: DataFrame, lengths: DataFrame) -> DataFrame:
     """Per sentence, whether the kept arcs allow a tree with several roots, and one with a single root.
 
-    Each sentence is one row with its children lists; reach grows inside the row, at most n times.
+    Each sentence is one row with its kept arcs; a walk of the row visits each of them twice at most.
     """
     kept = mask.where("kept").groupBy(*KEYS).agg(F.collect_list(F.struct("p", "c")).alias("arcs"))
-    rows = lengths.select(*KEYS, "n").join(kept, KEYS, "left").withColumn("arcs", F.coalesce("arcs", F.array().cast("array<struct<p:int,c:int>>")))
-
-    def reach(start: Column) -> Column:
-        def grow(seen: Column, _: Column) -> Column:
-            new = F.transform(F.filter("arcs", lambda a: F.array_contains(seen, a["p"]) & ~F.array_contains(seen, a["c"])), lambda a: a["c"])
-            return F.array_distinct(F.concat(seen, new))
+    kept = kept.select(*KEYS, F.col("arcs.p").alias("ps"), F.col("arcs.c").alias("cs"))
+    none = F.array().cast("array<int>")
+    rows = lengths.select(*KEYS, "n").join(kept, KEYS, "left").select(*KEYS, "n", *(F.coalesce(x, none).alias(x) for x in ("ps", "cs")))
 
-        return F.aggregate(F.sequence(F.lit(1), F.col("n")), start, grow)
+    @F.pandas_udf("multi_root boolean, single_root boolean")
+    def walk(n: pd.Series, ps: pd.Series, cs: pd.Series) -> pd.DataFrame:
+        found = [_reach(k, p.tolist(), c.tolist()) for k, p, c in zip(n, ps, cs)]
+        return pd.DataFrame(found, columns=["multi_root", "single_root"], dtype=bool)
 
-    from_wall = F.filter(reach(F.array(F.lit(-1))), lambda x: x >= 0)
-    roots = F.transform(F.filter("arcs", lambda a: a["p"] == -1), lambda a: a["c"])
-    single = F.exists(roots, lambda r: F.size(F.filter(reach(F.array(r)), lambda x: x >= 0)) == F.col("n"))
-    return rows.select(*KEYS, (F.size(from_wall) == F.col("n")).alias("multi_root"), single.alias("single_root"))
+    return rows.withColumn("r", walk("n", "ps", "cs")).select(*KEYS, "r.multi_root", "r.single_root")
 
 
 def arc_triples(arc: DataFrame, kind: str, projective_only: bool = False) -> DataFrame:

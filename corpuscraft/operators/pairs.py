@@ -13,6 +13,8 @@ from .tables import KEYS, drop_layers, gold_only
 from .windows import folds, max_marginal_prune, sample_split, shuffle, topk_heads
 
 ARC = [*KEYS, "p", "c"]
+#: Tokens of a sentence whose heads are emitted together.
+BLOCK = 64
 
 
 def shorten_mentions(mentions: DataFrame) -> DataFrame:
@@ -59,10 +61,11 @@ def distance_prune(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_rig
     """All arcs of each sentence with kept: no longer than the table says for their tags, or of tags it doesn't know, or from a token to the next.
 
     The tag table has at most tags x tags x 2 rows and is joined as Spark sees fit; the arcs aren't shuffled after they grow.
+    A sentence is dealt in blocks of tokens before it grows, so the arcs of a long one spread over tasks.
     """
     per = toks.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("tok", F.col(tag).alias("t")))).alias("ts"))
-    grown = per.select(*KEYS, "ts", F.size("ts").alias("n"))
-    arcs = grown.select(*KEYS, F.transform("ts", lambda x: x["t"]).alias("tags"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"))
+    blocks = per.select(*KEYS, F.transform("ts", lambda x: x["t"]).alias("tags"), F.explode(F.sequence(F.lit(0), F.size("ts") - 1, F.lit(BLOCK))).alias("c0")).repartition(*KEYS, "c0")
+    arcs = blocks.select(*KEYS, "tags", F.explode(F.sequence(F.col("c0"), F.least(F.col("c0") + BLOCK, F.size("tags")) - 1)).alias("c"))
     arcs = arcs.select(*KEYS, "tags", "c", F.explode(F.sequence(F.lit(-1), F.size("tags") - 1)).alias("p")).where("p <> c")
     wall = F.col("p") == -1
     arcs = arcs.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import is_punct
 
-#: Longest sentence of the queries whose rows grow with the square of it.
+#: Longest sentence of the SQL whose rows grow with the square of it; the queries read all sentences.
 MAX_LEN = 40
 
 

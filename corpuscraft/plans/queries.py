@@ -19,7 +19,7 @@ from ..operators import tables as tb
 from ..operators import windows as wn
 from ..sources.documents import ingest_text
 from ..sources.readers import limit_corpus
-from .derive import MAX_LEN, gold, predicted, sentence_rows, table, token_rows
+from .derive import gold, predicted, sentence_rows, table, token_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,8 +33,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def _toks(spark: SparkSession, d: str, max_len: int | None = None, names: bool = False) -> DataFrame:
-    return token_rows(_docs(spark, d), max_len, names)
+def _toks(spark: SparkSession, d: str, names: bool = False) -> DataFrame:
+    return token_rows(_docs(spark, d), names=names)
 
 
 def _sents(x: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def distance_table(spark, d):
 
 
 def _mask(spark, d):
-    x = _toks(spark, d, MAX_LEN)
+    x = _toks(spark, d)
     short = pr.fit_distance_pruner(x.where("doc_id % 3 = 0"))  # trained on another part than it prunes
     return x, pr.distance_prune(x, short)
 
@@ -384,7 +384,7 @@ def mask_counts(spark, d):
 @query
 def reachable(spark, d):
     """Masks of the arcs to the next token and those of the wall to tokens of even index."""
-    x = _toks(spark, d, 15)
+    x = _toks(spark, d)
     lengths = x.select("corpus", "sent_id", "n").distinct()
     mask = jn.all_arcs(lengths).withColumn("kept", ((F.col("p") == F.col("c") - 1) & (F.col("p") >= 0) & (F.col("sent_id") % 3 != 0)) | ((F.col("p") == -1) & (F.col("c") % 2 == 0)))
     return jn.reachable(mask, lengths).drop("corpus")
@@ -403,30 +403,36 @@ def arc_triples(spark, d):
 
 @query
 def root_path(spark, d):
-    s = _sents(_toks(spark, d, MAX_LEN))
-    x = s.select("sent_id", "parents", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tok"))
-    return x.select("sent_id", "tok", F.array_join(trees.root_path("parents", "tok"), " ").alias("path"))
+    s = _sents(_toks(spark, d))
+    x = s.select("sent_id", F.posexplode(trees.root_paths("parents")).alias("tok", "path"))
+    return x.select("sent_id", "tok", F.array_join("path", " ").alias("path"))
+
+
+def _path_pairs(spark, d):
+    """Each token a and the one two places on, b, with their root paths up and down."""
+    s = _sents(_toks(spark, d)).where("n > 2").withColumn("ps", trees.root_paths("parents"))
+    both = F.arrays_zip(F.slice("ps", 1, F.col("n") - 2).alias("up"), F.slice("ps", 3, F.col("n") - 2).alias("down"))
+    x = s.select("sent_id", "parents", "pos", F.posexplode(both).alias("a", "t")).withColumn("b", F.col("a") + 2)
+    return x.select("sent_id", "parents", "pos", "a", "b", F.col("t")["up"].alias("up"), F.col("t")["down"].alias("down"))
 
 
 @query
 def dep_path(spark, d):
     """The path from each token to the one two places on."""
-    s = _sents(_toks(spark, d, MAX_LEN))
-    x = s.where("n > 2").select("sent_id", "parents", "pos", F.explode(F.sequence(F.lit(0), F.col("n") - 3)).alias("a")).withColumn("b", F.col("a") + 2)
-    path = trees.dep_path("parents", "a", "b")
-    return x.groupBy(F.array_join(trees.path_props(path, "pos", direction=True), " ").alias("path")).agg(F.count("*").alias("cnt"))
+    path = trees.path_between(F.col("up"), F.col("down"))
+    return _path_pairs(spark, d).groupBy(F.array_join(trees.path_props(path, "pos", direction=True), " ").alias("path")).agg(F.count("*").alias("cnt"))
 
 
 @query
 def genealogy(spark, d):
-    s = _sents(_toks(spark, d, MAX_LEN))
-    x = s.where("n > 2").select("parents", F.explode(F.sequence(F.lit(0), F.col("n") - 3)).alias("a")).withColumn("b", F.col("a") + 2)
-    return x.groupBy(trees.genealogy("parents", "a", "b").alias("kin"), trees.continuity(F.transform(trees.dep_path("parents", "a", "b"), lambda y: y["tok"])).alias("breaks")).agg(F.count("*").alias("cnt"))
+    kin = trees.genealogy("parents", "a", "b", F.col("up"), F.col("down"))
+    steps = F.transform(trees.path_between(F.col("up"), F.col("down")), lambda y: y["tok"])
+    return _path_pairs(spark, d).groupBy(kin.alias("kin"), trees.continuity(steps).alias("breaks")).agg(F.count("*").alias("cnt"))
 
 
 @query
 def projective(spark, d):
-    s = _sents(_toks(spark, d, MAX_LEN))
+    s = _sents(_toks(spark, d))
     return s.select("sent_id", trees.is_projective("parents").alias("projective"))
 
 
@@ -501,7 +507,7 @@ def pred_senses(spark, d):
 
 @query
 def role_pairs(spark, d):
-    x = _toks(spark, d, MAX_LEN)
+    x = _toks(spark, d)
     arcs = _srl(x, "pos", "parent")
     pairs = jn.role_pairs(x, "PREDS_GIVEN", tb.known_preds(arcs), self_loops=False)
     return jn.arc_label(pairs, arcs).groupBy("label").agg(F.count("*").alias("cnt"))
@@ -513,7 +519,7 @@ def role_pairs(spark, d):
 @query
 def arc_features(spark, d):
     """How often each feature of the gold arcs' templates occurs."""
-    x = _toks(spark, d, MAX_LEN)
+    x = _toks(spark, d)
     ex = ft.examples(_sents(x), _direct(x).where("p >= 0"))
     return ft.extract(ex, ft.parse_spec(["pos(p) + pos(c) + RELATIVE", "pos(before1(c)) + DISTANCE", "bag(pos(between))"])).groupBy("template", "feature").agg(F.count("*").alias("cnt"))
 

@@ -241,3 +241,53 @@ def test_streaming(spark, tmp_path):
     q = rates.writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.n, r.hit_rate) for r in spark.table("rates").collect()) == [(1, 1.0), (1, 1.0), (2, 0.5)]
+
+
+LONG = 150
+
+
+@pytest.fixture(scope="module")
+def long_sentence(tmp_path_factory):
+    """Tables with one sentence of LONG tokens, beyond the lengths that queries used to read."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    home = tmp_path_factory.mktemp("long")
+    text = " ".join(("Ann", "of", "seven", "walked")[i % 4] for i in range(LONG))
+    pq.write_table(pa.table({"doc_id": pa.array([2], pa.int64()), "text": [text], "lang": ["en"]}), f"{home}/documents.parquet")
+    return str(home)
+
+
+def test_queries_read_long_sentences(spark, long_sentence):
+    from corpuscraft.plans.queries import QUERIES, _toks
+
+    run = lambda name: QUERIES[name](spark, long_sentence)
+    parents = {r.tok: r.parent for r in _toks(spark, long_sentence).collect()}
+    assert len(parents) == LONG
+
+    def climb(i):
+        return [] if i < 0 else [i, *climb(parents[i])]
+
+    assert {r.tok: r.path for r in run("root_path").collect()} == {i: " ".join(map(str, climb(i))) for i in parents}
+    spans = [sorted((i, p)) for i, p in parents.items()]
+    assert run("projective").first().projective == (not any(a < c < b < d for a, b in spans for c, d in spans))
+    assert sum(r.cnt for r in run("dep_path").collect()) == LONG - 2 == sum(r.cnt for r in run("genealogy").collect())
+    assert sum(r.cnt for r in run("arc_features").where("template like 'pos(p)%'").collect()) == LONG - 1
+    assert sum(r.cnt for r in run("role_pairs").collect()) == sum(i % 4 == 2 for i in range(LONG)) * (LONG - 1)
+    total = run("distance_prune").first()
+    assert (total.n_total, total.n_gold, total.n_sents) == (LONG * LONG - LONG, LONG, 1)
+    both = run("mask_ops").first()
+    assert both.and_kept + both.and_pruned == both.or_kept + both.or_pruned == LONG * LONG
+    top = run("topk_heads").first()
+    assert top.n_kept + top.n_pruned == LONG * LONG
+    assert run("mask_counts").first().n_kept == 3 * LONG
+    assert tuple(run("reachable").first())[1:] == (True, True)
+
+
+def test_walks_of_cyclic_and_crossing_trees(spark):
+    rows = [([1, 0, 1],), ([-1, 0, 1],), ([2, 3, -1, 2],), ([-1, 3, 0, 0],), ([1, 2, 0, 5, -2, 4],), ([],)]
+    df = spark.createDataFrame(rows, "parents array<int>")
+    for r in df.select("parents", trees.root_paths("parents").alias("ps"), *(trees.root_path("parents", F.lit(i)).alias(f"p{i}") for i in range(6)), trees.is_projective("parents").alias("ok")).collect():
+        assert r.ps == [r[f"p{i}"] for i in range(len(r.parents))]
+        spans = [sorted((i, p)) for i, p in enumerate(r.parents)]
+        assert r.ok == (not any(a < c < b < d for a, b in spans for c, d in spans))
