@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_packing, embedding_dedup, html_extract, line_dedup, mil_quality, multiset_hash, piece_codec, simhash_dedup, token_files, url_automaton
+from . import bestfit_packing, embedding_dedup, html_extract, line_dedup, merge_codec, mil_quality, multiset_hash, simhash_dedup, token_files, url_automaton
 from .common import shared_dir, table
 
 
@@ -19,7 +19,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.codec_digest(table(spark, sf_dir, "documents"))
+    return merge_codec.codec_digest(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

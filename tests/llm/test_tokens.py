@@ -206,3 +206,26 @@ def test_documents_by_both_ways(spark, codec):
     back = decode_documents(encode_documents(docs(spark))).collect()
     assert all(r.decoded == (r.text or "") for r in back)
     assert codec_digest(docs(spark).limit(0)).count() == 0
+
+
+# the model's own method
+
+
+def test_merges_are_the_library(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    from corpuscraft.llm import merge_codec
+
+    lib = SentencePieceProcessor(model_file=default_model())
+    rng = random.Random(5)
+    words = ["The", "quick", "naïve", "東京", "😀", "don't", "", "\n", "\t", "x" * 30, "Ünder", "1,234.5", "▁"]
+    texts = [*TEXTS, *(" ".join(rng.choices(words, k=400)) for _ in range(10)), "ab" * 2000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: array("I", lib.encode(t or "")).tobytes() for i, t in enumerate(texts)}
+    for chunk in (7, 100, 32768):
+        rows = merge_codec.encode_documents(df, chunk=chunk).collect()
+        assert {r.doc_id: bytes(r.ids) for r in rows} == want and {r.doc_id: r.text for r in rows} == dict(enumerate(texts))
+        got = merge_codec.codec_digest(df, chunk=chunk).collect()
+        assert {r.doc_id: (r.n_ids, r.ids_crc32) for r in got} == {i: (len(x) // 4, crc32(x)) for i, x in want.items()}
+        assert all(r.round_trip == ("▁" not in (texts[r.doc_id] or "")) for r in got)
+    assert merge_codec.codec_digest(df.limit(0)).count() == 0
