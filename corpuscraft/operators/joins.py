@@ -220,17 +220,19 @@ def ordered_args(relations: DataFrame, mentions: DataFrame) -> DataFrame:
     return placed.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS, "rel_id").orderBy("rank", "role")) - 1)
 
 
-def ne_pairs(mentions: DataFrame, relations: DataFrame | None = None, max_between: int = 3, positives: bool = True, negatives: bool = True) -> DataFrame:
-    """Pairs (k, m1, m2) of a sentence's mentions in order: the arguments of relations, and all with at most ``max_between`` mentions between them."""
+def ne_pairs(mentions: DataFrame, relations: DataFrame | None = None, max_between: int | None = None, positives: bool = True, negatives: bool = True) -> DataFrame:
+    """Pairs (k, m1, m2) of a sentence's mentions in order: the arguments of relations, and all with at most ``max_between`` mentions between them (None: with any number)."""
     m = order_mentions(mentions)
     parts = []
     if positives and relations is not None:
         two = ordered_args(relations, mentions).where("k < 2").groupBy(*KEYS, "rel_id").pivot("k", [0, 1]).agg(F.first("m_id"))
         parts.append(two.where("`1` is not null").select(*KEYS, F.col("0").alias("m1"), F.col("1").alias("m2")))
     if negatives:
-        a, b = m.select(*KEYS, F.col("m_id").alias("m1"), F.col("rank").alias("r1")), m.select(*KEYS, F.col("m_id").alias("m2"), F.col("rank").alias("r2"))
-        # partners lie a bounded number of ranks on, so the join is on the rank itself
-        near = a.withColumn("r2", F.explode(F.sequence(F.col("r1") + 1, F.col("r1") + max_between + 1)))
+        b = m.select(*KEYS, F.col("m_id").alias("m2"), F.col("rank").alias("r2"))
+        # partners are the ranks up to the sentence's last or the bound, so the join is on the rank itself
+        last = F.max("rank").over(Window.partitionBy(*KEYS))
+        last = last if max_between is None else F.least(last, F.col("rank") + max_between + 1)
+        near = m.withColumn("_last", last).where("rank < _last").select(*KEYS, F.col("m_id").alias("m1"), F.explode(F.sequence(F.col("rank") + 1, F.col("_last"))).alias("r2"))
         parts.append(near.join(b, [*KEYS, "r2"]).select(*KEYS, "m1", "m2"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
     rank = lambda side: m.select(*KEYS, F.col("m_id").alias(side), F.col("rank").alias(f"_{side}"))
@@ -239,13 +241,21 @@ def ne_pairs(mentions: DataFrame, relations: DataFrame | None = None, max_betwee
 
 
 def n_mentions_between(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Pairs with n_between: other mentions that start from the earlier head up to the later."""
+    """Pairs with n_between: other mentions that start from the earlier head up to the later.
+
+    Each mention knows how many of its sentence start before its head; a pair takes the difference, less its own two.
+    """
     m = mentions.select(*KEYS, "m_id", "head", "start")
-    per = m.groupBy(*KEYS).agg(F.collect_list(F.struct("m_id", "head", "start")).alias("_ms"))
-    head = lambda side: F.get(F.filter("_ms", lambda x: x["m_id"] == F.col(side)), F.lit(0))["head"]
-    low, high = F.least(head("m1"), head("m2")), F.greatest(head("m1"), head("m2"))
-    inside = F.filter("_ms", lambda x: (x["m_id"] != F.col("m1")) & (x["m_id"] != F.col("m2")) & (x["start"] >= low) & (x["start"] < high))
-    return pairs.join(per, KEYS).withColumn("n_between", F.size(inside)).drop("_ms")
+    starts = m.select(*KEYS, F.col("start").alias("at"), F.lit(None).cast("string").alias("m_id"), "start")
+    events = starts.unionByName(m.withColumnRenamed("head", "at"))
+    before = F.count_if(F.col("m_id").isNull()).over(Window.partitionBy(*KEYS).orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    below = events.withColumn("n", before).where("m_id is not null")
+    side = lambda m: below.select(*KEYS, F.col("m_id").alias(m), F.struct("at", "start", "n").alias(f"_{m}"))
+    x = pairs.join(side("m1"), [*KEYS, "m1"]).join(side("m2"), [*KEYS, "m2"])
+    low, high = F.least("_m1.at", "_m2.at"), F.greatest("_m1.at", "_m2.at")
+    own = lambda m: F.when((F.col(f"{m}.start") >= low) & (F.col(f"{m}.start") < high), 1).otherwise(0)
+    n = F.abs(F.col("_m2.n") - F.col("_m1.n")) - own("_m1") - own("_m2")
+    return x.select(*pairs.columns, n.cast("int").alias("n_between"))
 
 
 def pair_relation(pairs: DataFrame, relations: DataFrame, mentions: DataFrame, none: str = "NO_RELATION") -> DataFrame:

@@ -27,7 +27,7 @@ def drop_entity_types(mentions: DataFrame) -> DataFrame:
     return mentions.withColumns({c: none for c in ("type", "subtype") if c in mentions.columns})
 
 
-def add_pairs_and_labels(mentions: DataFrame, relations: DataFrame, max_between: int = 3, positives: bool = True, negatives: bool = True) -> DataFrame:
+def add_pairs_and_labels(mentions: DataFrame, relations: DataFrame, max_between: int | None = None, positives: bool = True, negatives: bool = True) -> DataFrame:
     """(k, m1, m2, label) of each sentence's pairs."""
     return pair_relation(ne_pairs(mentions, relations, max_between, positives, negatives), relations, mentions)
 

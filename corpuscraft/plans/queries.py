@@ -456,19 +456,19 @@ def _relations(m: DataFrame) -> DataFrame:
 @query
 def ne_pairs(spark, d):
     m = _mentions(_toks(spark, d, names=True))
-    return jn.n_mentions_between(jn.ne_pairs(m, None, 1), m).select("sent_id", "k", "m1", "m2", "n_between")
+    return jn.n_mentions_between(jn.ne_pairs(m), m).select("sent_id", "k", "m1", "m2", "n_between")
 
 
 @query
 def relation_labels(spark, d):
     m = _mentions(_toks(spark, d, names=True))
-    return pr.add_pairs_and_labels(m, _relations(m), 1).groupBy("label").agg(F.count("*").alias("cnt"))
+    return pr.add_pairs_and_labels(m, _relations(m)).groupBy("label").agg(F.count("*").alias("cnt"))
 
 
 @query
 def rel_f1(spark, d):
     m = _mentions(_toks(spark, d, names=True))
-    pairs = jn.pair_relation(jn.ne_pairs(m, None, 1), _relations(m), m).withColumnRenamed("label", "gold")
+    pairs = jn.pair_relation(jn.ne_pairs(m), _relations(m), m).withColumnRenamed("label", "gold")
     x = pairs.withColumn("pred", F.when((F.col("sent_id") + F.col("k")) % 5 == 0, "GEN(Arg-1,Arg-2)").otherwise(F.col("gold")))
     return ev.rel_f1(x).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 

@@ -291,3 +291,18 @@ def test_walks_of_cyclic_and_crossing_trees(spark):
         assert r.ps == [r[f"p{i}"] for i in range(len(r.parents))]
         spans = [sorted((i, p)) for i, p in enumerate(r.parents)]
         assert r.ok == (not any(a < c < b < d for a, b in spans for c, d in spans))
+
+
+def test_pairs_of_far_mentions(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from corpuscraft.plans.queries import QUERIES
+
+    m = spark.createDataFrame([("x", s, f"m{i}", 2 * i, 2 * i + 1, 2 * i, "PER", None) for s, n in ((0, 7), (1, 1)) for i in range(n)], "corpus string, sent_id long, m_id string, start int, end int, head int, type string, subtype string")
+    assert {(r.m1, r.m2) for r in jn.ne_pairs(m).collect()} == {(f"m{i}", f"m{j}") for j in range(7) for i in range(j)}
+    assert {(r.m1, r.m2) for r in jn.ne_pairs(m, None, 2).collect()} == {(f"m{i}", f"m{j}") for j in range(7) for i in range(j) if j - i <= 3}
+    assert pr.add_pairs_and_labels(m, relations(spark)).count() == 21
+    pq.write_table(pa.table({"doc_id": pa.array([2], pa.int64()), "text": [" ".join(["Ann of"] * 7)], "lang": ["en"]}), f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(run("ne_pairs")) == sum(r.cnt for r in run("relation_labels")) == run("rel_f1")[0].n_total == 21
