@@ -35,6 +35,27 @@ def test_odd_pages(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article><a class="share">no</a><p>{SENTENCE}</p></article>',
+        f'<article><a class="share" href=x>no<a href=y></a><p>{SENTENCE}</p></article>',
+        f'<article><p><a class="social">no</a>{SENTENCE}</article>',
+        f'<body class="has-sidebar"><article><p>{SENTENCE}</p></article>',
+        f'<html id="no-comments"><body class="page widget"><p>{SENTENCE} {SENTENCE}</p>',
+        f'<main class="with-side"><p>{SENTENCE}</p></main>',
+        f'<article id="ad"><p>{SENTENCE}</p></article>',
+        f'<div class="widget-container"><p>no</p><article><p>{SENTENCE}</p></article></div>',
+        f'<div class="widget-container"><article><p>{SENTENCE}</p></article><div class="related"><article>no</article></div></div>',
+        f'<article><p>{SENTENCE}</p></article><div class="related"><article>no</article></div>',
+        f'<div class="related"><article hidden>{SENTENCE} {SENTENCE}</article></div><div class="page no-sidebar"><article>{SENTENCE}</article></div>',
+    ],
+)
+def test_marks_lose_no_article(page):
+    got = extract(page)
+    assert got in (SENTENCE, f"{SENTENCE} {SENTENCE}") and "no" not in got.split()
+
+
 def test_pages_frame(spark):
     rows = [(1, "u", f"<article><p>{SENTENCE}", "x"), (2, None, None, "x"), (None, "u", "", None), (1, "u", f"<article><p>{SENTENCE}", "x"), (3, "u", "<article>" + "<p>word " * 200_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
