@@ -306,3 +306,11 @@ def test_pairs_of_far_mentions(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": pa.array([2], pa.int64()), "text": [" ".join(["Ann of"] * 7)], "lang": ["en"]}), f"{tmp_path}/documents.parquet")
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
     assert len(run("ne_pairs")) == sum(r.cnt for r in run("relation_labels")) == run("rel_f1")[0].n_total == 21
+
+
+def test_pruner_is_fitted_on_all_sentences(spark, long_sentence):
+    """The only document has an id that a third of the ids doesn't hold, so its tags would all be unknown."""
+    from corpuscraft.plans.queries import QUERIES
+
+    r = QUERIES["distance_prune"](spark, long_sentence).first()
+    assert r.n_pruned > 0 and r.n_gold_kept == r.n_gold == LONG
