@@ -26,9 +26,9 @@ def prefix5(word: Column | str) -> Column:
 
 
 def affix(word: Column | str, n: int, side: str = "prefix") -> Column:
-    """The first or last n characters; null for shorter words."""
+    """The first or last n characters; a shorter word is its own affix."""
     w = col(word)
-    return F.when(F.length(w) >= n, F.left(w, F.lit(n)) if side == "prefix" else F.right(w, F.lit(n)))
+    return F.left(w, F.lit(n)) if side == "prefix" else F.when(F.length(w) <= n, w).otherwise(F.right(w, F.lit(n)))
 
 
 def is_capitalized(word: Column | str) -> Column:
@@ -42,9 +42,13 @@ def is_punct(word: Column | str) -> Column:
     return col(word).rlike(r"^\p{IsPunctuation}+$")
 
 
+#: What stays of a word besides ASCII letters, digits and the underscore.
+ACCENTED = "ÁÉÍÓÚÜÑáéíóúüñ"
+
+
 def escape_word(word: Column | str) -> Column:
-    """Every character that is no ASCII letter, digit or underscore becomes an underscore."""
-    return F.regexp_replace(col(word), r"[^A-Za-z0-9_]", "_")
+    """Every character that is no ASCII letter, digit, underscore or one of ACCENTED becomes an underscore."""
+    return F.regexp_replace(col(word), f"[^A-Za-z0-9_{ACCENTED}]", "_")
 
 
 def norm_digits(word: Column | str) -> Column:
@@ -63,31 +67,45 @@ def hash_signs(word: Column | str) -> Column:
 
 # tags and labels
 
-#: The 45 tags of the Penn treebank and the coarse tag of each.
+#: The 45 tags of the Penn treebank and the coarse tag (of 17) of each.
 PTB_COARSE = {
-    "CC": "CONJ", "CD": "NUM", "DT": "DET", "EX": "DET", "FW": "X", "IN": "ADP", "JJ": "ADJ", "JJR": "ADJ", "JJS": "ADJ", "LS": "X", "MD": "VERB",
-    "NN": "NOUN", "NNS": "NOUN", "NNP": "NOUN", "NNPS": "NOUN", "PDT": "DET", "POS": "PRT", "PRP": "PRON", "PRP$": "PRON", "RB": "ADV", "RBR": "ADV",
-    "RBS": "ADV", "RP": "PRT", "SYM": "X", "TO": "PRT", "UH": "X", "VB": "VERB", "VBD": "VERB", "VBG": "VERB", "VBN": "VERB", "VBP": "VERB",
-    "VBZ": "VERB", "WDT": "DET", "WP": "PRON", "WP$": "PRON", "WRB": "ADV", "#": ".", "$": ".", "''": ".", "``": ".", "(": ".", ")": ".",
-    ",": ".", ".": ".", ":": ".",
+    "#": "ADJ", "$": "ADJ", "''": "RPUNC", ",": "INPUNC", "-LRB-": "LPUNC", "-RRB-": "RPUNC", ".": "ENDPUNC", ":": "INPUNC", "CC": "CONJ", "CD": "ADJ",
+    "DT": "DET", "EX": "N", "FW": "N", "IN": "PREP", "JJ": "ADJ", "JJR": "ADJ", "JJS": "ADJ", "LS": "INPUNC", "MD": "V", "NN": "N",
+    "NNP": "N", "NNPS": "N", "NNS": "N", "PDT": "DET", "POS": "POS", "PRP": "N", "PRP$": "ADJ", "RB": "ADV", "RBR": "ADV", "RBS": "ADV",
+    "RP": "PRT", "SYM": "INPUNC", "TO": "TO", "UH": "INPUNC", "VB": "V", "VBD": "V", "VBG": "VBG", "VBN": "VBN", "VBP": "V", "VBZ": "V",
+    "WDT": "W", "WP": "W", "WP$": "W", "WRB": "W", "``": "LPUNC",
 }
 
+#: Coarse tags with a strict kind, and fine tags of punctuation and conjunctions.
+STRICT_COARSE = {".": "PUNC", "CONJ": "CONJ", "NOUN": "NOUN", "VERB": "VERB"}
+PUNC_TAGS = ("$,", "$.", ",", ";", "F", "IK", "PUNC", "Punc", "XP", "punc")
+CONJ_TAGS = ("CC", "Conj", "Conjunction", "KON", "cc", "conj")
+
 
 def strict_pos(pos: Column | str, cpos: Column | str | None = None) -> Column:
-    """VERB, NOUN, PUNC, CONJ or OTHER: by the coarse tag where it says so, else by the fine tag's form; null if both are."""
-    p = F.upper(col(pos))
-    c = F.upper(col(cpos)) if cpos is not None else F.lit(None).cast("string")
-    by = lambda t: F.when(t.isin("VERB", "V"), "VERB").when(t.isin("NOUN", "N", "PRON", "PROPN"), "NOUN").when(t.isin(".", "PUNC", "PUNCT"), "PUNC").when(t.isin("CONJ", "CCONJ", "SCONJ"), "CONJ")
-    fine = F.when(p.rlike("^(V|MD)"), "VERB").when(p.rlike("^(N|PRP)"), "NOUN").when((p == "CC") | p.rlike("^CONJ"), "CONJ").when(p.rlike(r"^(PUNC|\p{IsPunctuation}+$)"), "PUNC")
-    return F.when(p.isNull() & c.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(by(c), fine, F.lit("OTHER")))
+    """VERB, NOUN, PUNC, CONJ or OTHER: by the coarse tag where that has a kind, else by the fine one: v and n begin verbs and nouns, the rest are lists."""
+    p = col(pos)
+    fine = F.when(p.rlike("^[vV]"), "VERB").when(p.rlike("^[nN]"), "NOUN").when(p.isin(*PUNC_TAGS), "PUNC").when(p.isin(*CONJ_TAGS), "CONJ")
+    return F.coalesce(*([lookup(cpos, STRICT_COARSE)] if cpos is not None else []), fine, F.lit("OTHER"))
+
+
+#: How the tags of each language begin (True), or what they are (False), for nouns and verbs.
+KINDS = {"ca": (False, "n", "v"), "cs": (False, "N", "V"), "de": (True, "N", "V"), "en": (True, "N", "V"), "es": (False, "n", "v"), "zh": (True, "N", "V")}
+
+
+def _of_kind(pos: Column | str, lang: str, which: int) -> Column:
+    if lang not in KINDS:
+        raise ValueError(f"unknown language {lang}")
+    begins, value = KINDS[lang][0], KINDS[lang][which]
+    return col(pos).startswith(value) if begins else col(pos) == value
 
 
 def is_noun(pos: Column | str, lang: str = "en") -> Column:
-    return F.lower(col(pos)).rlike("^n") if lang in ("es", "ca") else F.upper(col(pos)).rlike("^N")
+    return _of_kind(pos, lang, 1)
 
 
 def is_verb(pos: Column | str, lang: str = "en") -> Column:
-    return F.lower(col(pos)).rlike("^v") if lang in ("es", "ca") else F.upper(col(pos)).rlike("^V")
+    return _of_kind(pos, lang, 2)
 
 
 def ptb45_to_17(pos: Column | str) -> Column:
@@ -107,13 +125,20 @@ def sense_suffix(label: Column | str) -> Column:
     return F.when(x.rlike(r".+\.(.+)"), F.regexp_extract(x, r".+\.(.+)", 1)).otherwise(x)
 
 
+#: The ending of an unseen predicate's sense, by language, and for es and ca by the kind of word.
+SENSES = {"de": "1", "en": "01", "zh": "01"}
+SENSE_KINDS = {"auxiliary": "c2", "common": "a2", "main": "a2", "qualificative": "b2", "semiauxiliary": "c2"}
+
+
 def default_sense(lemma: Column | str, feats: Column | str | None = None, lang: str = "en") -> Column:
-    """The sense to give an unseen predicate: ``lemma.01``; for zh and de another ending; for es and ca with the kind of word."""
-    x = col(lemma)
-    if lang in ("es", "ca"):
-        kind = F.regexp_extract(F.coalesce(F.array_join(col(feats), "|"), F.lit("")), "postype=([a-z]+)", 1)
-        return F.concat(x, F.when(kind == "main", ".a2").otherwise(".a1"))
-    return F.concat(x, F.lit({"de": ".1", "zh": ".01"}.get(lang, ".01")))
+    """The sense of an unseen predicate: the lemma, a dot and an ending; for es and ca that of the first kind of SENSE_KINDS that the features name, else a2."""
+    if lang in SENSES:
+        return F.concat(col(lemma), F.lit(f".{SENSES[lang]}"))
+    if lang not in ("es", "ca"):
+        raise ValueError(f"no default sense for language {lang}")
+    joined = F.array_join(col(feats), "_") if feats is not None else F.lit(None).cast("string")
+    named = [F.when(joined.contains(f"postype={kind}"), ending) for kind, ending in SENSE_KINDS.items()]
+    return F.concat_ws(".", col(lemma), F.coalesce(*named, F.lit("a2")))
 
 
 def null_if_underscore(x: Column | str) -> Column:
@@ -134,7 +159,8 @@ def join_feats(x: Column | str) -> Column:
 
 
 def morpho_str(x: Column | str) -> Column:
-    return F.coalesce(F.array_join(F.when(F.size(col(x)) > 0, col(x)), "|"), F.lit("NO_MORPH"))
+    """The features joined by underscores, NO_MORPH if there is none."""
+    return F.coalesce(F.array_join(F.when(F.size(col(x)) > 0, col(x)), "_"), F.lit("NO_MORPH"))
 
 
 def morpho6(x: Column | str) -> Column:
@@ -162,18 +188,23 @@ def is_norel(label: Column | str) -> Column:
     return F.coalesce(col(label).rlike("^(NO_RELATION|Other)"), F.lit(False))
 
 
-#: Relation types whose two arguments play the same part.
-SYMMETRIC = ("PER-SOC", "METONYMY")
+#: Relation types whose two arguments play different parts.
+ASYMMETRIC = ("ART", "GEN-AFF", "ORG-AFF", "PART-WHOLE")
 
 
 def is_asymmetric(kind: Column | str) -> Column:
-    return ~col(kind).isin(*SYMMETRIC)
+    """DISC, a type of older annotation with other rules, is an error."""
+    k = col(kind)
+    return F.when(k == "DISC", F.raise_error(F.lit("DISC relations aren't supported")).cast("boolean")).otherwise(k.isin(*ASYMMETRIC))
+
+
+#: Bits of a cluster that stand for a missing entity type and subtype.
+TYPE_BITS, SUBTYPE_BITS = 6, 8
 
 
-def entity_type_or(kind: Column | str, cluster: Column | str, mode: int | None = None) -> Column:
-    """The entity type, else the first ``mode`` bits of the cluster, else NOTYPE."""
-    fallback = F.lit(None).cast("string") if mode is None else F.substring(col(cluster), 1, mode)
-    return F.coalesce(col(kind), fallback, F.lit("NOTYPE"))
+def entity_type_or(kind: Column | str, cluster: Column | str | None = None, bits: int = TYPE_BITS) -> Column:
+    """The entity type, else the first ``bits`` of the cluster of its head, else NOTYPE."""
+    return F.coalesce(col(kind), *([F.substring(col(cluster), 1, bits)] if cluster is not None else []), F.lit("NOTYPE"))
 
 
 def sprl_label(value: Column | str, applicable: Column | str | None = None, threshold: float = 4.0) -> Column:
@@ -190,11 +221,9 @@ def sprl_value(label: Column | str) -> Column:
 
 
 def bin_int(x: Column | str, *bins: int) -> Column:
-    """The largest threshold that x reaches (0, 2, 5, 10, 20, 30, 40), with its sign."""
+    """The largest threshold that x reaches (0, 2, 5, 10, 20, 30, 40); the least integer if it reaches none."""
     bins = bins or (0, 2, 5, 10, 20, 30, 40)
-    v = F.abs(col(x))
-    found = reduce(lambda out, b: F.when(v >= b, b).otherwise(out), sorted(bins), F.lit(0))
-    return F.when(col(x) < 0, -found).otherwise(found)
+    return reduce(lambda out, b: F.when(col(x) >= b, b).otherwise(out), sorted(bins), F.lit(-(2**31)))
 
 
 def hash_feature(feature: Column | str, mod: int) -> Column:
@@ -229,11 +258,10 @@ def harmonic_mean(p: Column | str, r: Column | str) -> Column:
 
 
 def ngrams(items: Column | str, n: int) -> Column:
-    """n-grams of a list, joined by underscores, padded so that each item begins and ends n of them."""
+    """As many n-grams as the list has items, each ending at one of them, joined by underscores; BOS stands before the first item."""
     x = col(items)
-    padded = F.concat(F.array_repeat(F.lit("BOS"), n - 1), x, F.array_repeat(F.lit("EOS"), n - 1))
-    grams = F.transform(F.sequence(F.lit(1), F.size(padded) - n + 1), lambda i: F.array_join(F.slice(padded, i, n), "_"))
-    return F.when(F.size(x) > 0, F.slice(grams, 1, F.size(grams))).otherwise(F.array().cast("array<string>"))
+    padded = F.concat(F.array_repeat(F.lit("BOS"), n - 1), x)
+    return F.transform(x, lambda _, i: F.array_join(F.slice(padded, i + 1, n), "_"))
 
 
 def no_dup(items: Column | str) -> Column:

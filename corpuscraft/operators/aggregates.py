@@ -42,6 +42,11 @@ def known_roles(arc: DataFrame) -> DataFrame:
     return label_set(arc.where("p >= 0"), "label", ("argUNK", "_"))
 
 
+def known_links() -> tuple[str, str]:
+    """The states of an arc, which every corpus has."""
+    return ("False", "True")
+
+
 def pred_senses(arc: DataFrame, toks: DataFrame) -> DataFrame:
     """Each lemma's sorted senses; lemma ``_`` where tokens have none."""
     lemma = F.coalesce("lemma", F.lit("_")) if "lemma" in toks.columns else F.lit("_")
@@ -90,7 +95,8 @@ def prop_annotated(df: DataFrame, layers: list[str]) -> DataFrame:
 
 
 def self_loop_rate(arc: DataFrame) -> DataFrame:
-    return arc.where("p >= 0").agg((F.count_if(F.col("p") == F.col("c")) / F.count("*")).alias("self_loop_rate"))
+    """The share of arcs from a token to itself among all arcs, those of predicates (p = -1) included."""
+    return arc.agg((F.count_if(F.col("p") == F.col("c")) / F.count("*")).alias("self_loop_rate"))
 
 
 def tree_stats(toks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexical import is_norel, is_punct, sense_suffix
@@ -73,28 +73,39 @@ def ner_f1(gold: DataFrame, pred: DataFrame, tag: str = "ne_tag") -> DataFrame:
     return prf(counts)
 
 
-def srl_f1(gold: DataFrame, pred: DataFrame, labeled: bool = True, sense: bool = True, roles: bool = True, position: bool = False, gold_preds: bool = False, skip: DataFrame | None = None) -> DataFrame:
-    """Arcs (p, c, label) of either side. Senses are compared behind their last dot.
+#: The four scorings of predicates and roles that the suite reports: (labeled, sense, position, roles).
+SRL_SCORINGS = {"srl_position": (False, False, True, False), "srl_sense": (True, True, False, False), "srl_roles": (True, False, False, True), "srl_all": (True, True, False, True)}
 
-    position: that a token is a predicate at all counts as an arc of its own; gold_preds: only arcs of gold predicates.
+
+def srl_scores(gold: DataFrame, pred: DataFrame, scorings: dict[str, tuple[bool, bool, bool, bool]] = SRL_SCORINGS, skip: DataFrame | None = None) -> DataFrame:
+    """Precision, recall and F1 of arcs (p, c, label) for each scoring (labeled, sense, position, roles), as rows (kind, ...).
+
+    Arcs with p = -1 hold a predicate's position and sense, others its roles. sense, position: score the former; roles: score
+    the latter. Unless positions are scored, only arcs of gold predicates count. Labels are compared if ``labeled``,
+    those of predicates only if senses are scored, behind their last dot. ``skip`` leaves out pairs (p, c).
+    Both sides meet in one shuffle by predicate, whatever the number of scorings.
     """
-    keys = [*KEYS, "p", "c"]
+    head = F.when(F.col("p") == -1, F.col("c")).otherwise(F.col("p")).alias("_q")
+    none = F.lit(None).cast("string")
+    both = gold.select(*KEYS, head, "p", "c", F.col("label").alias("g"), none.alias("q")).unionByName(pred.select(*KEYS, head, "p", "c", none.alias("g"), F.col("label").alias("q")))
+    x = both.repartition(*KEYS, "_q").groupBy(*KEYS, "_q", "p", "c").agg(F.max("g").alias("g"), F.max("q").alias("q"))
+    known = F.bool_or((F.col("p") == -1) & F.col("g").isNotNull()).over(Window.partitionBy(*KEYS, "_q"))
+    x = x.withColumn("known", known)
+    x = x.join(skip.select(*KEYS, "p", "c"), [*KEYS, "p", "c"], "left_anti") if skip is not None else x
+    wall, g, q = F.col("p") == -1, F.col("g"), F.col("q")
+    rows = []
+    for kind, (labeled, sense, position, roles) in scorings.items():
+        at = (wall & F.lit(sense or position)) | (~wall & F.lit(roles))
+        at = at if position else at & F.col("known")
+        same = F.when(wall, sense_suffix(g) == sense_suffix(q) if sense else F.lit(True)).otherwise(g == q) if labeled else F.lit(True)
+        count = lambda c, name: F.count_if(at & c).alias(name)  # noqa: B023, E731
+        rows.append(F.struct(F.lit(kind).alias("kind"), count(g.isNotNull() & q.isNotNull() & same, "n_correct"), count(q.isNotNull(), "n_pred"), count(g.isNotNull(), "n_gold")))
+    return prf(x.agg(F.array(*rows).alias("x")).select(F.inline("x")))
 
-    def side(arc: DataFrame, name: str) -> DataFrame:
-        x = arc.select(*keys, "label")
-        x = x.where((F.col("p") >= 0) & F.lit(roles) | (F.col("p") == -1) & F.lit(sense or position))
-        if position and not sense:
-            x = x.withColumn("label", F.when(F.col("p") == -1, "pred").otherwise(F.col("label")))
-        if gold_preds:
-            known = gold.where("p = -1").select(*KEYS, F.col("c").alias("_q"))
-            x = x.withColumn("_q", F.when(F.col("p") == -1, F.col("c")).otherwise(F.col("p"))).join(known, [*KEYS, "_q"], "left_semi").drop("_q")
-        if skip is not None:
-            x = x.join(skip.select(*keys), keys, "left_anti")
-        label = F.when(F.col("p") == -1, sense_suffix("label")).otherwise(F.col("label"))
-        return x.select(*keys, (label if labeled else F.lit("yes")).alias(name))
 
-    x = side(gold, "g").join(side(pred, "q"), keys, "full")
-    return prf(x.agg(F.count_if(F.col("g") == F.col("q")).alias("n_correct"), F.count("q").alias("n_pred"), F.count("g").alias("n_gold")))
+def srl_f1(gold: DataFrame, pred: DataFrame, labeled: bool = True, sense: bool = True, position: bool = False, roles: bool = True, skip: DataFrame | None = None) -> DataFrame:
+    """One of srl_scores; by default senses and roles of the gold predicates."""
+    return srl_scores(gold, pred, {"srl": (labeled, sense, position, roles)}, skip).drop("kind")
 
 
 def rel_f1(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -175,8 +186,6 @@ def category_max_f1(cells: DataFrame, nil: list[str], category: str) -> DataFram
     Adding a category's guesses helps F1 = 2C / (P + G) as long as its share of right guesses beats half of
     the F1 so far, so the best choice takes categories by that share: one sum over the ordered categories.
     """
-    from pyspark.sql import Window
-
     base = majority_baseline(cells, nil, [category])  # a row a category
     order = Window.orderBy(F.desc("share"), category).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = base.withColumn("share", _ratio("n_correct", "n_pred"))
@@ -200,8 +209,12 @@ def sprl_scores(pairs: DataFrame, gold: DataFrame, pred: DataFrame, properties:
 
 def mask_counts(mask: DataFrame) -> DataFrame:
     """Kept arcs and the fewest kept heads of a token, a sentence; a token without a kept head is an error."""
-    per = mask.groupBy(*KEYS, "c").agg(F.count_if("kept").alias("n"))
-    least = F.when(F.min("n") == 0, F.raise_error("a token has no head left")).otherwise(F.min("n"))
+    return head_counts(mask.groupBy(*KEYS, "c").agg(F.count_if("kept").alias("n")))
+
+
+def head_counts(per: DataFrame) -> DataFrame:
+    """mask_counts, given the number n of each token's kept heads."""
+    least = F.when(F.min("n") == 0, F.raise_error(F.lit("a token has no head left")).cast("long")).otherwise(F.min("n"))
     return per.groupBy(*KEYS).agg(F.sum("n").alias("n_kept"), least.alias("least_heads"))
 
 

@@ -55,7 +55,7 @@ class List:
 
 @dataclass(frozen=True)
 class Pair:
-    """A feature of the example itself: relative, distance, undirected_distance, edge, direction_edge, genealogy, continuity, path_len, sent_len, path_grams."""
+    """A feature of the example itself: relative, distance, edge (either is the other's parent, T or F), direction_edge (p is c's parent, T or F), genealogy, continuity, path_len, sent_len, path_grams."""
 
     kind: str
 
@@ -63,7 +63,7 @@ class Pair:
         return self.kind.upper()
 
     def layers(self) -> set[str]:
-        return {"words"} | ({"parents"} if self.kind in ("genealogy", "continuity", "path_len", "path_grams", "edge") else set()) | ({"pos"} if self.kind == "path_grams" else set())
+        return {"words"} | ({"parents"} if self.kind in ("genealogy", "continuity", "path_len", "path_grams", "edge", "direction_edge") else set()) | ({"pos"} if self.kind == "path_grams" else set())
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def all_unigrams(props: Iterable[str] = ("word", "lemma", "pos", "cluster", "dep
     out: list[Template] = [Token(p, at, m) for p in props for at in "pc" for m in mods]
     out += [List(p, s, f) for p in props for s in ("path", "line", "between") for f in ("seq", "bag", "no_dup", "1gram", "2gram", "3gram")]
     out += [List(p, s, f, at) for p in props for s in ("children", "no_far_children") for f in ("seq", "bag", "no_dup") for at in "pc"]
-    out += [Pair(k) for k in ("relative", "distance", "undirected_distance", "edge", "direction_edge", "genealogy", "continuity", "path_len", "sent_len", "path_grams")]
+    out += [Pair(k) for k in ("relative", "distance", "edge", "direction_edge", "genealogy", "continuity", "path_len", "sent_len", "path_grams")]
     return out
 
 
@@ -253,15 +253,16 @@ def _evaluate(t: Template) -> Column:
         shaped = {"seq": lambda: items, "bag": lambda: bag(items), "no_dup": lambda: no_dup(items)}[t.form]()
         return F.array(F.coalesce(F.array_join(shaped, "_"), F.lit("NO_PATH")))
     path = lambda: trees.dep_path("parents", p, c)
+    headed = lambda i, by: F.coalesce((i >= 0) & (F.get("parents", i) == by), F.lit(False))
+    true_false = lambda x: F.when(x, "T").otherwise("F")
     kinds = {
         "relative": lambda: trees.relative_position(p, c),
-        "distance": lambda: bin_int(c - p),
-        "undirected_distance": lambda: bin_int(F.abs(c - p)),
-        "edge": lambda: ((F.get("parents", c) == p) | ((p >= 0) & (F.get("parents", p) == c))),
-        "direction_edge": lambda: F.when(p < c, "RIGHT").otherwise("LEFT"),
+        "distance": lambda: F.abs(c - p),
+        "edge": lambda: true_false(headed(c, p) | headed(p, c)),
+        "direction_edge": lambda: true_false(headed(c, p)),
         "genealogy": lambda: trees.genealogy("parents", p, c),
         "continuity": lambda: trees.continuity(F.transform(path(), lambda s: s["tok"])),
-        "path_len": lambda: bin_int(F.size(path())),
+        "path_len": lambda: bin_int(F.coalesce(F.size(path()), F.lit(0))),
         "sent_len": lambda: bin_int(F.size("words")),
     }
     if t.kind == "path_grams":

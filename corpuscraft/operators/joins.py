@@ -6,6 +6,8 @@ size threshold and shuffles them beyond it. Joins within a sentence are on the s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,30 +216,39 @@ def n_overlapping(mentions: DataFrame) -> DataFrame:
 
 
 def ordered_args(relations: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(rel_id, k, role, m_id, type, subtype): a relation's arguments in the order of their mentions."""
-    args = relations.select(*KEYS, "rel_id", "type", "subtype", F.explode("args").alias("a")).select(*KEYS, "rel_id", "type", "subtype", "a.role", "a.m_id")
+    """(rel_id, k, role, m_id, type, subtype): a relation's arguments in the order of their mentions, those of one mention in their own order."""
+    args = relations.select(*KEYS, "rel_id", "type", "subtype", F.posexplode("args").alias("_i", "a")).select(*KEYS, "rel_id", "type", "subtype", "_i", "a.role", "a.m_id")
     placed = args.join(order_mentions(mentions).select(*KEYS, "m_id", "rank"), [*KEYS, "m_id"])
-    return placed.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS, "rel_id").orderBy("rank", "role")) - 1)
+    return placed.withColumn("k", F.row_number().over(Window.partitionBy(*KEYS, "rel_id").orderBy("rank", "_i")) - 1).drop("_i")
 
 
 def ne_pairs(mentions: DataFrame, relations: DataFrame | None = None, max_between: int | None = None, positives: bool = True, negatives: bool = True) -> DataFrame:
-    """Pairs (k, m1, m2) of a sentence's mentions in order: the arguments of relations, and all with at most ``max_between`` mentions between them (None: with any number)."""
+    """Pairs (k, m1, m2) of mentions of a sentence, k in the order in which they come here.
+
+    positives: the first two arguments of each relation, by rel_id; a relation that repeats or whose arguments are one mention counts like any other.
+    negatives: the pairs of two mentions in order with at most ``max_between`` mentions between (see
+    n_mentions_between; None: with any number), but with positives only those that no relation joins.
+    The pairs of a sentence are made in its row, so no join grows them.
+    """
     m = order_mentions(mentions)
     parts = []
-    if positives and relations is not None:
-        two = ordered_args(relations, mentions).where("k < 2").groupBy(*KEYS, "rel_id").pivot("k", [0, 1]).agg(F.first("m_id"))
-        parts.append(two.where("`1` is not null").select(*KEYS, F.col("0").alias("m1"), F.col("1").alias("m2")))
+    positives = positives and relations is not None
+    if positives:
+        two = ordered_args(relations, mentions).where("k < 2").groupBy(*KEYS, "rel_id").agg(F.max(F.when(F.col("k") == 0, F.col("m_id"))).alias("m1"), F.max(F.when(F.col("k") == 1, F.col("m_id"))).alias("m2"), F.max("k").alias("_n")).where("_n = 1")
+        parts.append(two.select(*KEYS, "m1", "m2", F.lit(0).alias("_part"), F.col("rel_id").cast("long").alias("_x"), F.lit(0).alias("_y")))
     if negatives:
-        b = m.select(*KEYS, F.col("m_id").alias("m2"), F.col("rank").alias("r2"))
-        # partners are the ranks up to the sentence's last or the bound, so the join is on the rank itself
-        last = F.max("rank").over(Window.partitionBy(*KEYS))
-        last = last if max_between is None else F.least(last, F.col("rank") + max_between + 1)
-        near = m.withColumn("_last", last).where("rank < _last").select(*KEYS, F.col("m_id").alias("m1"), F.explode(F.sequence(F.col("rank") + 1, F.col("_last"))).alias("r2"))
-        parts.append(near.join(b, [*KEYS, "r2"]).select(*KEYS, "m1", "m2"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct()
-    rank = lambda side: m.select(*KEYS, F.col("m_id").alias(side), F.col("rank").alias(f"_{side}"))
-    ranked = out.join(rank("m1"), [*KEYS, "m1"]).join(rank("m2"), [*KEYS, "m2"])
-    return ranked.withColumn("k", F.row_number().over(by_sentence("_m1", "_m2")) - 1).select(*KEYS, "k", "m1", "m2")
+        row = m.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "m_id"))), lambda x: x["m_id"]).alias("_m"))
+        first = row.where(F.size("_m") > 1).select(*KEYS, "_m", F.posexplode(F.slice("_m", 1, F.size("_m") - 1)).alias("_x", "m1"))
+        second = first.select(*KEYS, "m1", "_x", F.posexplode(F.slice("_m", F.col("_x") + 2, F.size("_m"))).alias("_y", "m2"))
+        rest = second.select(*KEYS, "m1", "m2", F.lit(1).alias("_part"), F.col("_x").cast("long").alias("_x"), "_y")
+        if positives:
+            joined = parts[0].select(*KEYS, F.least("m1", "m2").alias("_low"), F.greatest("m1", "m2").alias("_high")).distinct()
+            rest = rest.withColumns({"_low": F.least("m1", "m2"), "_high": F.greatest("m1", "m2")}).join(joined, [*KEYS, "_low", "_high"], "left_anti").drop("_low", "_high")
+        if max_between is not None:
+            rest = n_mentions_between(rest, mentions).where(F.col("n_between") <= max_between).drop("n_between")
+        parts.append(rest)
+    out = reduce(DataFrame.unionByName, parts)
+    return out.withColumn("k", F.row_number().over(by_sentence("_part", "_x", "_y")) - 1).select(*KEYS, "k", "m1", "m2")
 
 
 def n_mentions_between(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -259,12 +270,15 @@ def n_mentions_between(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def pair_relation(pairs: DataFrame, relations: DataFrame, mentions: DataFrame, none: str = "NO_RELATION") -> DataFrame:
-    """Pairs with label: of the first relation between the two in either order, its roles in the order of the pair; ``none`` if there is none."""
-    args = ordered_args(relations, mentions).where("k < 2").groupBy(*KEYS, "rel_id", "type", "subtype").pivot("k", [0, 1]).agg(F.first(F.struct("role", "m_id"))).where("`1` is not null")
-    low, high = F.least("`0`.m_id", "`1`.m_id"), F.greatest("`0`.m_id", "`1`.m_id")
-    # the first argument in mention order plays the first part; symmetric types have no parts
-    role = lambda k: F.when(is_asymmetric("type"), F.col(f"`{k}`.role")).otherwise("Arg-1")
-    named = args.select(*KEYS, low.alias("_low"), high.alias("_high"), "rel_id", build_label("type", "subtype", role(0), role(1)).alias("_label"))
+    """Pairs with label: of the first relation between the two in either order; ``none`` if there is none.
+
+    Roles are in the order of the mentions; types that aren't asymmetric have Arg-1 twice.
+    """
+    args = ordered_args(relations, mentions).where("k < 2")
+    at = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    two = args.groupBy(*KEYS, "rel_id", "type", "subtype").agg(*(at(k, c).alias(f"{c}{k}") for k in (0, 1) for c in ("role", "m_id")), F.max("k").alias("_n")).where("_n = 1")
+    role = lambda k: F.when(is_asymmetric("type"), F.col(f"role{k}")).otherwise("Arg-1")
+    named = two.select(*KEYS, F.least("m_id0", "m_id1").alias("_low"), F.greatest("m_id0", "m_id1").alias("_high"), "rel_id", build_label("type", "subtype", role(0), role(1)).alias("_label"))
     first = named.groupBy(*KEYS, "_low", "_high").agg(F.min_by("_label", "rel_id").alias("_label"))
     keyed = pairs.withColumn("_low", F.least("m1", "m2")).withColumn("_high", F.greatest("m1", "m2"))
     return keyed.join(first, [*KEYS, "_low", "_high"], "left").withColumn("label", F.coalesce("_label", F.lit(none))).drop("_low", "_high", "_label")

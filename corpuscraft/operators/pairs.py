@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import trees
 from ..functions.lexical import is_norel, parse_label
-from .joins import all_arcs, keep_gold, mask_and, ne_pairs, pair_relation
+from .joins import all_arcs, keep_gold, ne_pairs, pair_relation
 from .tables import KEYS, drop_layers, gold_only
-from .windows import folds, max_marginal_prune, sample_split, shuffle, topk_heads
+from .windows import folds, sample_split, shuffle
 
 ARC = [*KEYS, "p", "c"]
 #: Tokens of a sentence whose heads are emitted together.
 BLOCK = 64
+#: The tag of the wall.
+WALL = "<WALL>"
 
 
 def shorten_mentions(mentions: DataFrame) -> DataFrame:
@@ -53,42 +56,95 @@ def fit_distance_pruner(toks: DataFrame, tag: str = "pos") -> DataFrame:
     head = toks.select(*KEYS, F.col("tok").alias("parent"), F.col(tag).alias("ptag"))
     x = toks.where("parent >= -1").select(*KEYS, "tok", "parent", F.col(tag).alias("ctag")).join(head, [*KEYS, "parent"], "left")
     wall = F.col("parent") == -1
-    x = x.select("ctag", F.when(wall, "<WALL>").otherwise(F.col("ptag")).alias("ptag"), F.when(wall | (F.col("parent") < F.col("tok")), "R").otherwise("L").alias("dir"), F.when(wall, 1).otherwise(F.abs(F.col("tok") - F.col("parent"))).alias("d"))
+    x = x.select("ctag", F.when(wall, WALL).otherwise(F.col("ptag")).alias("ptag"), F.when(wall | (F.col("parent") < F.col("tok")), "R").otherwise("L").alias("dir"), F.when(wall, 1).otherwise(F.abs(F.col("tok") - F.col("parent"))).alias("d"))
     return x.groupBy("ptag", "ctag", "dir").agg(F.max("d").alias("max_dist"))
 
 
+def _limits(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pruner's table by dependent: (ctag, right, left), the longest distances by the head's tag id; and (tag, id) of all its tags, the wall among them."""
+    tags = table.select(F.col("ptag").alias("t")).unionByName(table.select(F.col("ctag").alias("t"))).unionByName(table.sparkSession.createDataFrame([(WALL,)], "t string"))
+    names = tags.agg(F.array_sort(F.collect_set("t")).alias("_names"))  # one row of tags
+    ids = names.select(F.posexplode("_names").alias("id", "tag"))
+    side = lambda d: F.map_from_entries(F.collect_list(F.when(F.col("dir") == d, F.struct("ptag", "max_dist"))))
+    known = table.groupBy("ctag").agg(side("R").alias("_r"), side("L").alias("_l"))
+    rows = names.select("_names", F.explode("_names").alias("ctag")).join(known, "ctag", "left")
+    far = lambda m: F.transform("_names", lambda t: F.coalesce(F.element_at(m, t), F.lit(0)))
+    return rows.select("ctag", far("_r").alias("right"), far("_l").alias("left")), ids.select("tag", "id")
+
+
+def candidate_heads(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_right_branching: bool = True) -> DataFrame:
+    """A row a token c: n, the first token of its block, its parent (null if toks has none), and ``heads``, the tokens (-1: the wall) that distance_prune keeps as its head.
+
+    The pruner's table is joined once a token, as arrays by tag id, so deciding an arc is an array access.
+    Sentences are dealt out in blocks of tokens before their arcs grow; a token's arcs stay in its row.
+    """
+    limits, ids = _limits(table)
+    parent = F.col("parent") if "parent" in toks.columns else F.lit(None).cast("int")
+    x = toks.select(*KEYS, "tok", F.col(tag).alias("tag"), parent.alias("parent")).join(ids, "tag", "left")
+    row = x.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("tok", "id", "tag", "parent"))).alias("ts"))
+    blocks = row.select(*KEYS, F.transform("ts", lambda t: t["id"]).alias("ids"), F.size("ts").alias("n"), F.explode(F.sequence(F.lit(1), F.size("ts"), F.lit(BLOCK))).alias("_from"), "ts")
+    blocks = blocks.select(*KEYS, "ids", "n", (F.col("_from") - 1).alias("block"), F.slice("ts", F.col("_from"), F.lit(BLOCK)).alias("ts")).repartition(*KEYS, "block")
+    each = blocks.select(*KEYS, "ids", "n", "block", F.explode("ts").alias("t")).select(*KEYS, "ids", "n", "block", F.col("t.tok").alias("c"), F.col("t.tag").alias("ctag"), F.col("t.parent").alias("parent"))
+    each = each.join(limits, "ctag", "left").crossJoin(F.broadcast(ids.where(F.col("tag") == WALL).select(F.col("id").alias("_wall"))))  # one row
+    c = F.col("c")
+
+    def kept(p: Column) -> Column:
+        i = F.when(p == -1, F.col("_wall")).otherwise(F.get("ids", p))
+        near = F.when(p == -1, F.get("right", i) >= 1).when(p < c, F.get("right", i) >= c - p).otherwise(F.get("left", i) >= p - c)
+        # a tag that the table lacks has no id or no limits
+        return (p != c) & F.coalesce(near | (p == c - 1) if keep_right_branching else near, F.lit(True))
+
+    return each.select(*KEYS, "block", "c", "n", "parent", F.filter(F.sequence(F.lit(-1), F.col("n") - 1), kept).alias("heads"))
+
+
 def distance_prune(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_right_branching: bool = True) -> DataFrame:
     """All arcs of each sentence with kept: no longer than the table says for their tags, or of tags it doesn't know, or from a token to the next.
 
-    The tag table has at most tags x tags x 2 rows and is joined as Spark sees fit; the arcs aren't shuffled after they grow.
-    A sentence is dealt in blocks of tokens before it grows, so the arcs of a long one spread over tasks.
+    Arcs aren't shuffled after they grow.
     """
-    per = toks.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("tok", F.col(tag).alias("t")))).alias("ts"))
-    blocks = per.select(*KEYS, F.transform("ts", lambda x: x["t"]).alias("tags"), F.explode(F.sequence(F.lit(0), F.size("ts") - 1, F.lit(BLOCK))).alias("c0")).repartition(*KEYS, "c0")
-    arcs = blocks.select(*KEYS, "tags", F.explode(F.sequence(F.col("c0"), F.least(F.col("c0") + BLOCK, F.size("tags")) - 1)).alias("c"))
-    arcs = arcs.select(*KEYS, "tags", "c", F.explode(F.sequence(F.lit(-1), F.size("tags") - 1)).alias("p")).where("p <> c")
-    wall = F.col("p") == -1
-    arcs = arcs.select(
-        *ARC, F.get("tags", F.col("c")).alias("ctag"), F.when(wall, "<WALL>").otherwise(F.get("tags", F.col("p"))).alias("ptag"),
-        F.when(wall | (F.col("p") < F.col("c")), "R").otherwise("L").alias("dir"), F.when(wall, 1).otherwise(F.abs(F.col("c") - F.col("p"))).alias("d"),
-    )
-    x = arcs.join(table, ["ptag", "ctag", "dir"], "left")
-    seen = F.broadcast(table.select(F.col("ctag").alias("t")).unionByName(table.select(F.col("ptag").alias("t"))).agg(F.collect_set("t").alias("_seen")))  # one row of tags
-    x = x.crossJoin(seen)
-    strange = ~F.array_contains("_seen", F.col("ctag")) | ~F.array_contains("_seen", F.col("ptag"))
-    kept = strange | F.coalesce(F.col("d") <= F.col("max_dist"), F.lit(False))
-    kept = kept | (F.col("p") == F.col("c") - 1) if keep_right_branching else kept
-    return x.select(*ARC, kept.alias("kept"))
+    x = candidate_heads(toks, table, tag, keep_right_branching)
+    marks = F.transform(F.sequence(F.lit(-1), F.col("n") - 1), lambda p: F.struct(p.alias("p"), F.array_contains("heads", p).alias("kept")))
+    return x.select(*KEYS, "c", F.inline(marks)).where("p <> c").select(*ARC, "kept")
+
+
+def heads_report(heads: DataFrame) -> DataFrame:
+    """Of candidate_heads: arcs outside the tree that are pruned (n_pruned of n_total), and gold arcs that are kept (n_gold_kept of n_gold, n_exact of n_sents)."""
+    tree = F.coalesce(F.col("parent") >= -1, F.lit(False))
+    ok = F.coalesce(tree & F.array_contains("heads", F.col("parent")), F.lit(False))
+    # as many partial sums as blocks, so a long sentence is no long task
+    per = heads.select(*KEYS, "block", tree.cast("int").alias("t"), ok.cast("int").alias("k"), (F.col("n") - F.size("heads")).alias("gone"), "n").groupBy(*KEYS, "block").agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.sum(F.col("gone") - F.col("t") + F.col("k")).alias("pruned"), F.sum(F.col("n") - F.col("t")).alias("rest"))
+    sents = per.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("t", "k", "pruned", "rest")))
+    out = sents.agg(F.sum("pruned").alias("n_pruned"), F.sum("rest").alias("n_total"), F.sum("k").alias("n_gold_kept"), F.sum("t").alias("n_gold"), F.count_if((F.col("t") == F.col("k")) & (F.col("t") > 0)).alias("n_exact"), F.count_if(F.col("t") > 0).alias("n_sents"))
+    return out.withColumn("score", F.when(F.col("n_total") == 0, 0.0).otherwise(F.col("n_pruned") / F.col("n_total")))
 
 
 def mask_totals(mask: DataFrame) -> DataFrame:
     return mask.agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_pruned"))
 
 
+def best_heads(scores: Column | str, k: int, prop: float = 0.0) -> Column:
+    """Of the scores of a token's heads -1, 0, ... (null where there is no arc): the k best heads, ties to the smaller, that reach ``prop`` of the best score."""
+    x = F.col(scores) if isinstance(scores, str) else scores
+
+    def chosen(ranked: Column) -> Column:
+        floor = F.greatest(F.get(ranked, F.greatest(F.size(ranked) - k, F.lit(0))), prop * F.element_at(ranked, -1))
+        return trees.let(floor, above)
+
+    def above(floor: Column) -> Column:
+        better = F.filter(F.transform(x, lambda s, i: F.when(s > floor, i - 1)), lambda i: i.isNotNull())
+        level = F.filter(F.transform(x, lambda s, i: F.when(s == floor, i - 1)), lambda i: i.isNotNull())
+        return trees.let(better, lambda b: F.concat(b, F.slice(level, 1, F.greatest(F.lit(k) - F.size(b), F.lit(0)))))
+
+    ranked = F.sort_array(F.array_compact(x))
+    return trees.let(ranked, lambda r: F.when(F.size(r) > 0, chosen(r)).otherwise(F.array().cast("array<int>")))
+
+
 def score_prune(scores: DataFrame, k: int, prop: float, toks: DataFrame | None = None) -> DataFrame:
-    """Arcs among the k best heads and near enough to the best; those of a given tree are kept."""
-    mask = mask_and(topk_heads(scores, k), max_marginal_prune(scores, prop))
-    return keep_gold(mask, toks) if toks is not None else mask
+    """Arcs (p, c, score) with kept: among the k best heads of c and near enough to the best; those of a given tree are kept. One shuffle by token."""
+    w = Window.partitionBy(*KEYS, "c")
+    order = w.orderBy(F.desc("score"), "p")
+    mask = scores.withColumn("kept", (F.row_number().over(order) <= k) & (F.col("score") >= prop * F.first("score").over(order)))
+    return keep_gold(mask.select(*ARC, "kept"), toks) if toks is not None else mask.select(*ARC, "kept")
 
 
 def no_mask(lengths: DataFrame) -> DataFrame:

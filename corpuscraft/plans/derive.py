@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import is_punct
 
-#: Longest sentence of the SQL whose rows grow with the square of it; the queries read all sentences.
-MAX_LEN = 40
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,7 +97,7 @@ with recursive sents as (
   select *, max(case when b then tok end) over (partition by sent_id order by tok) as s from t2
 ), t4 as (
   select *, case when pos = 'NNP' then case when b then 'B-' else 'I-' end || case (n + s) % 3 when 0 then 'PER' when 1 then 'ORG' else 'LOC' end else 'O' end as ne from t3
-), toks as (
+), toks as materialized (
   select sent_id, doc_id, lang, n, tok, word, pos, ppos, parent, pparent, ne, case when off then 'O' else ne end as pne,
     case when parent = -1 then 'root' else lower(pos) || case when parent < tok then 'R' else 'L' end end as deprel,
     case when pparent = -1 then 'root' else lower(ppos) || case when pparent < tok then 'R' else 'L' end end as pdeprel

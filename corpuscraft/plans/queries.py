@@ -343,41 +343,58 @@ def distance_table(spark, d):
     return pr.fit_distance_pruner(_toks(spark, d))
 
 
-def _mask(spark, d):
+def _heads(spark, d):
+    """The heads of each token that the pruner fitted on all sentences keeps."""
     x = _toks(spark, d)
-    return x, pr.distance_prune(x, pr.fit_distance_pruner(x))
+    return pr.candidate_heads(x, pr.fit_distance_pruner(x))
 
 
 @query
 def distance_prune(spark, d):
-    x, mask = _mask(spark, d)
-    return ev.pruning_efficiency(mask, x).crossJoin(ev.oracle_pruning(mask, x).withColumnsRenamed({"n_correct": "n_gold_kept", "n_total": "n_gold"})).withColumn("score", F.round("score", 9))
+    return pr.heads_report(_heads(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query
 def mask_ops(spark, d):
-    x, mask = _mask(spark, d)
-    near = mask.select("corpus", "sent_id", "p", "c", (F.abs(F.col("p") - F.col("c")) <= 2).alias("kept"))
-    both = pr.mask_totals(jn.mask_and(mask, near)).withColumnsRenamed({"n_kept": "and_kept", "n_pruned": "and_pruned"})
-    either = pr.mask_totals(jn.keep_gold(jn.mask_or(mask, near), x)).withColumnsRenamed({"n_kept": "or_kept", "n_pruned": "or_pruned"})
-    return both.crossJoin(either)
+    """The mask and, and or, that of the arcs of length two at most, the latter with the gold arcs; as arrays of heads a token."""
+    near = F.filter(F.sequence(F.greatest(F.col("c") - 2, F.lit(-1)), F.least(F.col("c") + 2, F.col("n") - 1)), lambda p: p != F.col("c"))
+    x = _heads(spark, d).withColumn("near", near)
+    both, either = F.size(F.array_intersect("heads", "near")), F.size(F.array_union(F.array_union("heads", "near"), F.array("parent")))
+    total = lambda v, name: F.sum(v.cast("long")).alias(name)
+    n = F.col("n")
+    return x.agg(total(both, "and_kept"), total(n - both, "and_pruned"), total(either, "or_kept"), total(n - either, "or_pruned"))
 
 
-def _scores(spark, d):
-    x, mask = _mask(spark, d)
-    return x, mask.select("corpus", "sent_id", "p", "c", (F.pmod(F.col("p") * 31 + F.col("c") * 17 + F.col("sent_id"), F.lit(101)) / 100.0).alias("score"))
+def _score(p) -> F.Column:
+    return F.pmod(p * 31 + F.col("c") * 17 + F.col("sent_id"), F.lit(101)) / 100.0
+
+
+def _best(spark, d, k, prop=0.0):
+    """Tokens with n, their parent, and the k best of all their heads; dealt out by sentence and block of tokens."""
+    x = _toks(spark, d).select("corpus", "sent_id", "n", F.col("tok").alias("c"), "parent").repartition("corpus", "sent_id", F.floor(F.col("c") / pr.BLOCK))
+    scores = F.transform(F.sequence(F.lit(-1), F.col("n") - 1), lambda p: F.when(p != F.col("c"), _score(p)))
+    return x.select("corpus", "sent_id", "c", "n", "parent", pr.best_heads(scores, k, prop).alias("heads"))
 
 
 @query
 def topk_heads(spark, d):
-    x, scores = _scores(spark, d)
-    return pr.mask_totals(pr.score_prune(scores, 3, 0.9, x))
+    """Arcs among the three best heads of a token and near the best, or of the gold tree."""
+    x = _best(spark, d, 3, 0.9).select("n", F.size(F.array_union("heads", F.array("parent"))).cast("long").alias("k"))
+    return x.agg(F.sum("k").alias("n_kept"), F.sum(F.col("n") - F.col("k")).alias("n_pruned"))
 
 
 @query
 def mask_counts(spark, d):
-    x, scores = _scores(spark, d)
-    return ev.mask_counts(wn.topk_heads(scores, 3)).drop("corpus")
+    return ev.head_counts(_best(spark, d, 3).select("corpus", "sent_id", F.size("heads").cast("long").alias("n"))).drop("corpus")
+
+
+@query
+def score_prune(spark, d):
+    """topk_heads on rows of arcs, those of eight tokens around each."""
+    x = _toks(spark, d).select("corpus", "sent_id", "n", F.col("tok").alias("c"), "parent")
+    near = F.filter(F.sequence(F.greatest(F.col("c") - 8, F.lit(-1)), F.least(F.col("c") + 8, F.col("n") - 1)), lambda p: p != F.col("c"))
+    scores = x.select("corpus", "sent_id", "c", F.explode(near).alias("p")).withColumn("score", _score(F.col("p")))
+    return pr.mask_totals(pr.score_prune(scores, 3, 0.9, x.withColumnRenamed("c", "tok")))
 
 
 @query
@@ -447,7 +464,7 @@ def _relations(m: DataFrame) -> DataFrame:
     r = jn.order_mentions(m)
     w = Window.partitionBy("corpus", "sent_id").orderBy("rank")
     nxt = r.withColumn("m2", F.lead("m_id").over(w)).withColumn("t2", F.lead("type").over(w)).where("m2 is not null and rank % 2 = 0")
-    kind = F.when(F.col("type") == F.col("t2"), "PER-SOC").otherwise("GEN")
+    kind = F.when(F.col("type") == F.col("t2"), "PER-SOC").otherwise("ART")
     args = F.array(F.struct(F.lit("Arg-2").alias("role"), F.col("m2").alias("m_id")), F.struct(F.lit("Arg-1").alias("role"), F.col("m_id").alias("m_id")))
     return nxt.select("corpus", "sent_id", F.col("rank").alias("rel_id"), kind.alias("type"), F.lit(None).cast("string").alias("subtype"), args.alias("args"))
 
@@ -455,7 +472,7 @@ def _relations(m: DataFrame) -> DataFrame:
 @query
 def ne_pairs(spark, d):
     m = _mentions(_toks(spark, d, names=True))
-    return jn.n_mentions_between(jn.ne_pairs(m), m).select("sent_id", "k", "m1", "m2", "n_between")
+    return jn.n_mentions_between(jn.ne_pairs(m, _relations(m)), m).select("sent_id", "k", "m1", "m2", "n_between")
 
 
 @query
@@ -467,8 +484,8 @@ def relation_labels(spark, d):
 @query
 def rel_f1(spark, d):
     m = _mentions(_toks(spark, d, names=True))
-    pairs = jn.pair_relation(jn.ne_pairs(m), _relations(m), m).withColumnRenamed("label", "gold")
-    x = pairs.withColumn("pred", F.when((F.col("sent_id") + F.col("k")) % 5 == 0, "GEN(Arg-1,Arg-2)").otherwise(F.col("gold")))
+    pairs = pr.add_pairs_and_labels(m, _relations(m)).withColumnRenamed("label", "gold")
+    x = pairs.withColumn("pred", F.when((F.col("sent_id") + F.col("k")) % 5 == 0, "ART(Arg-1,Arg-2)").otherwise(F.col("gold")))
     return ev.rel_f1(x).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
@@ -491,10 +508,9 @@ def _srl(x: DataFrame, pos: str, parent: str) -> DataFrame:
 
 @query
 def srl_f1(spark, d):
+    """The four scorings of predicates and roles."""
     x = _toks(spark, d)
-    g, p = _srl(x, "pos", "parent"), _srl(x, "ppos", "pparent")
-    out = [ev.srl_f1(g, p, labeled=lab, sense=s, roles=r).withColumn("kind", F.lit(k)) for k, lab, s, r in (("all", True, True, True), ("roles", False, False, True), ("senses", True, True, False))]
-    return out[0].unionByName(out[1]).unionByName(out[2]).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+    return ev.srl_scores(_srl(x, "pos", "parent"), _srl(x, "ppos", "pparent")).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
 @query
@@ -520,7 +536,7 @@ def arc_features(spark, d):
     """How often each feature of the gold arcs' templates occurs."""
     x = _toks(spark, d)
     ex = ft.examples(_sents(x), _direct(x).where("p >= 0"))
-    return ft.extract(ex, ft.parse_spec(["pos(p) + pos(c) + RELATIVE", "pos(before1(c)) + DISTANCE", "bag(pos(between))"])).groupBy("template", "feature").agg(F.count("*").alias("cnt"))
+    return ft.extract(ex, ft.parse_spec(["pos(p) + pos(c) + RELATIVE", "pos(before1(c)) + DISTANCE", "EDGE + DIRECTION_EDGE + SENT_LEN", "bag(pos(between))"])).groupBy("template", "feature").agg(F.count("*").alias("cnt"))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .derive import MAX_LEN, SPANS
+from .derive import SPANS
 from .derive import SQL as TOKS
 
 PRF = """n_correct, n_pred, n_gold, case when n_pred = 0 then 0 else round(n_correct / n_pred, 9) end as "precision", case when n_gold = 0 then 0 else round(n_correct / n_gold, 9) end as recall,
@@ -12,26 +12,36 @@ QUALITY = """with q as (select l.doc_id, lang, text, quality::varchar as gold, c
 
 COUNTS = "select word, count(*) as cnt from toks group by word"
 
-#: All arcs of short sentences with the decision of the distance table.
-MASK = f"""
+DIST = """
 , dist as (
   select coalesce(h.pos, '<WALL>') as ptag, t.pos as ctag, case when t.parent < t.tok then 'R' else 'L' end as dir, max(case when t.parent = -1 then 1 else abs(t.tok - t.parent) end) as max_dist
-  from toks t left join toks h on h.sent_id = t.sent_id and h.tok = t.parent where t.n <= {MAX_LEN} and t.doc_id % 3 = 0 group by 1, 2, 3
-), seen as (select ptag as t from dist union select ctag from dist
-), wall as (select sent_id, tok, pos from toks where n <= {MAX_LEN} union all select distinct sent_id, -1, '<WALL>' from toks where n <= {MAX_LEN}
-), grown as (select c.sent_id, p.tok as p, c.tok as c, p.pos as ptag, c.pos as ctag, case when p.tok < c.tok then 'R' else 'L' end as dir, case when p.tok = -1 then 1 else abs(p.tok - c.tok) end as d
-  from toks c join wall p on c.sent_id = p.sent_id and c.tok <> p.tok where c.n <= {MAX_LEN}
-), mask as materialized (select g.sent_id, p, c, coalesce(d <= max_dist, false) or p = c - 1 or g.ptag not in (select t from seen) or g.ctag not in (select t from seen) as kept
+  from toks t left join toks h on h.sent_id = t.sent_id and h.tok = t.parent group by 1, 2, 3)"""
+
+#: All arcs with the decision of the distance table, and whether the gold tree has them.
+MASK = f"""{DIST}
+, seen as (select ptag as t from dist union select ctag from dist
+), wall as (select sent_id, tok, pos from toks union all select distinct sent_id, -1, '<WALL>' from toks
+), grown as (select c.sent_id, p.tok as p, c.tok as c, p.tok = c.parent as tree, p.pos as ptag, c.pos as ctag, case when p.tok < c.tok then 'R' else 'L' end as dir, case when p.tok = -1 then 1 else abs(p.tok - c.tok) end as d
+  from toks c join wall p on c.sent_id = p.sent_id and c.tok <> p.tok
+), mask as (select g.sent_id, p, c, tree, coalesce(d <= max_dist, false) or p = c - 1 or g.ptag not in (select t from seen) or g.ctag not in (select t from seen) as kept
   from grown g left join dist t on g.ptag = t.ptag and g.ctag = t.ctag and g.dir = t.dir)"""
 
-SCORES = """, scores as materialized (select *, (((p * 31 + c * 17 + sent_id) % 101) + 101) % 101 / 100.0 as score from mask)"""
 
+def _scores(far: str = "true") -> str:
+    return f"""
+, arcs as (select sent_id, n, tok as c, parent, unnest(range(-1, n)) as p from toks
+), scores as (select sent_id, p, c, p = parent as tree, (((p * 31 + c * 17 + sent_id) % 101) + 101) % 101 / 100.0 as score from arcs where p <> c and {far}
+), top as (select *, row_number() over w <= 3 as best, score >= 0.9 * first_value(score) over w as near from scores window w as (partition by sent_id, c order by score desc, p))"""
+
+
+#: Pairs of mentions: the related ones of even rank first, then the others.
 RELS = """
 , rels as (select sent_id, rank, m_id as a, lead(m_id) over w as b, type as t1, lead(type) over w as t2 from mentions window w as (partition by sent_id order by rank)
-), lab as (select sent_id, a, b, case when t1 = t2 then 'PER-SOC(Arg-1,Arg-1)' else 'GEN(Arg-1,Arg-2)' end as label from rels where b is not null and rank % 2 = 0
-), cand as (select x.sent_id, x.m_id as m1, y.m_id as m2, x.rank as r1, y.rank as r2, x.head as h1, y.head as h2, row_number() over (partition by x.sent_id order by x.rank, y.rank) - 1 as k
-  from mentions x join mentions y on x.sent_id = y.sent_id and y.rank between x.rank + 1 and x.rank + 2
-), labelled as (select cand.*, coalesce(label, 'NO_RELATION') as label from cand left join lab on cand.sent_id = lab.sent_id and m1 = a and m2 = b)"""
+), lab as (select sent_id, rank, a, b, case when t1 = t2 then 'PER-SOC(Arg-1,Arg-1)' else 'ART(Arg-1,Arg-2)' end as label from rels where b is not null and rank % 2 = 0
+), every as (select x.sent_id, x.m_id as m1, y.m_id as m2, x.rank as r1, y.rank as r2, x.head as h1, y.head as h2 from mentions x join mentions y on x.sent_id = y.sent_id and x.rank < y.rank
+), labelled as (select every.*, coalesce(label, 'NO_RELATION') as label, row_number() over (partition by every.sent_id order by label is null, r1, r2) - 1 as k from every left join lab on every.sent_id = lab.sent_id and m1 = a and m2 = b
+), starts as (select sent_id, "start" as s, row_number() over (partition by sent_id order by "start") as upto from mentions
+), cand as (select e.*, coalesce(y.upto, 0) - coalesce(x.upto, 0) as crossed from labelled e asof left join starts x on e.sent_id = x.sent_id and e.h1 > x.s asof left join starts y on e.sent_id = y.sent_id and e.h2 > y.s)"""
 
 
 def _srl(name: str, pos: str, parent: str) -> str:
@@ -43,22 +53,30 @@ def _srl(name: str, pos: str, parent: str) -> str:
 
 def _srl_f1(kind: str, where: str, label: str) -> str:
     return f"""select '{kind}' as kind, {PRF} from (
-  select count(case when g.label is not null and p.label is not null and {label} then 1 end) as n_correct, count(p.label) as n_pred, count(g.label) as n_gold
-  from (select * from gold where {where}) g full join (select * from pred where {where}) p on g.sent_id = p.sent_id and g.p = p.p and g.c = p.c)"""
+  select count(*) filter (where g is not null and q is not null and {label}) as n_correct, count(q) as n_pred, count(g) as n_gold from scored where {where})"""
 
 
-def _climb(depth: int = MAX_LEN) -> str:
-    return f"""
-, climb as (
-  select sent_id, tok, tok as node, parent as up, 0 as depth from toks where n <= {depth}
-  union all select k.sent_id, k.tok, t.tok, t.parent, k.depth + 1 from climb k join toks t on t.sent_id = k.sent_id and t.tok = k.up)"""
+#: Both sides of an arc, and whether its predicate is a gold one.
+SCORED = """
+, scored as (select coalesce(g.p, q.p) as p, g.label as g, q.label as q, coalesce(g.p, q.p) = -1 and g.label is not null or coalesce(g.p, q.p) >= 0 and exists (select 1 from gold h where h.sent_id = coalesce(g.sent_id, q.sent_id) and h.p = -1 and h.c = coalesce(g.p, q.p)) as known
+  from gold g full join pred q on g.sent_id = q.sent_id and g.p = q.p and g.c = q.c)"""
+
+
+def _climb() -> str:
+    """All tokens above each, by length of the sentence, so that the few long ones take the many steps alone."""
+    parts = [(1, 40), (41, 500), (501, 1 << 30)]
+    steps = [f"""
+, climb{i} as (
+  select sent_id, tok, tok as node, parent as up, 0 as depth from toks where n between {low} and {high}
+  union all select k.sent_id, k.tok, t.tok, t.parent, k.depth + 1 from climb{i} k join (select * from toks where n between {low} and {high}) t on t.sent_id = k.sent_id and t.tok = k.up)""" for i, (low, high) in enumerate(parts)]
+    return "".join(steps) + ", climb as (" + " union all ".join(f"select * from climb{i}" for i in range(len(parts))) + ")"
 
 
 #: Pairs (a, a + 2) with their lowest common token and both climbs.
 PATHS = (
     _climb()
-    + f"""
-, ab as (select sent_id, tok as a, tok + 2 as b, n from toks where n <= {MAX_LEN} and tok + 2 < n
+    + """
+, ab as (select sent_id, tok as a, tok + 2 as b, n from toks where tok + 2 < n
 ), top as (select ab.sent_id, a, b, arg_min(x.node, x.depth) as lca, min(x.depth) as n_up, arg_min(y.depth, x.depth) as n_down
   from ab join climb x on x.sent_id = ab.sent_id and x.tok = a join climb y on y.sent_id = ab.sent_id and y.tok = b and y.node = x.node group by 1, 2, 3
 ), steps as (
@@ -87,13 +105,13 @@ union all select unnest(['<START>', '<END>', '<WALL>']), 0, unnest([1, 2, 3])
 union all select word, cnt, row_number() over (order by cnt desc, word) + 3 from counts, k where cnt >= k
 """,
     "topn_cutoff": f"{TOKS} select min(cnt) as cutoff from (select cnt from ({COUNTS}) order by cnt desc limit 800)",
-    "prefix_suffix": f"{TOKS} select substr(word, 1, 5) as prefix, case when length(word) >= 3 then right(word, 3) end as suffix, word = '' or regexp_matches(word, '^\\p{{Lu}}') as cap, count(*) as cnt from toks group by 1, 2, 3",
-    "strict_pos": f"""{TOKS} select pos, case when pos like 'V%' then 'VERB' when pos like 'N%' then 'NOUN' when pos = '.' then 'PUNC' else 'OTHER' end as spos,
-  case pos when '.' then '.' when 'CD' then 'NUM' when 'NNP' then 'NOUN' when 'DT' then 'DET' when 'VBZ' then 'VERB' when 'NN' then 'NOUN' when 'IN' then 'ADP' when 'VBD' then 'VERB' when 'JJ' then 'ADJ' end as coarse, count(*) as cnt from toks group by 1, 2, 3""",
-    "normalize_words": f"{TOKS} select regexp_replace(lower(regexp_replace(word, '[^A-Za-z0-9_]', '_', 'g')), '[0-9]+', '0', 'g') as clean, count(*) as cnt from toks group by 1",
-    "role_labels": f"""{TOKS} select lower(deprel) as role, '0' || tok % 3 as sense,
-  (case when parent < tok then -1 else 1 end) * case when abs(parent - tok) >= 40 then 40 when abs(parent - tok) >= 30 then 30 when abs(parent - tok) >= 20 then 20 when abs(parent - tok) >= 10 then 10 when abs(parent - tok) >= 5 then 5 when abs(parent - tok) >= 2 then 2 else 0 end as dist,
-  count(*) as cnt from toks group by 1, 2, 3""",
+    "prefix_suffix": f"{TOKS} select substr(word, 1, 5) as prefix, case when length(word) >= 3 then right(word, 3) else word end as suffix, word = '' or regexp_matches(word, '^\\p{{Lu}}') as cap, count(*) as cnt from toks group by 1, 2, 3",
+    "strict_pos": f"""{TOKS} select pos, case when pos like 'V%' then 'VERB' when pos like 'N%' then 'NOUN' else 'OTHER' end as spos,
+  case pos when '.' then 'ENDPUNC' when 'CD' then 'ADJ' when 'NNP' then 'N' when 'DT' then 'DET' when 'VBZ' then 'V' when 'NN' then 'N' when 'IN' then 'PREP' when 'VBD' then 'V' when 'JJ' then 'ADJ' end as coarse, count(*) as cnt from toks group by 1, 2, 3""",
+    "normalize_words": f"{TOKS} select regexp_replace(lower(regexp_replace(word, '[^A-Za-z0-9_ÁÉÍÓÚÜÑáéíóúüñ]', '_', 'g')), '[0-9]+', '0', 'g') as clean, count(*) as cnt from toks group by 1",
+    "role_labels": f"""{TOKS}, x as (select deprel, tok, parent - tok as d from toks) select lower(deprel) as role, '0' || tok % 3 as sense,
+  case when d >= 40 then 40 when d >= 30 then 30 when d >= 20 then 20 when d >= 10 then 10 when d >= 5 then 5 when d >= 2 then 2 when d >= 0 then 0 else -2147483648 end as dist,
+  count(*) as cnt from x group by 1, 2, 3""",
     "cluster_lookup": f"{TOKS}, counts as ({COUNTS}) select case when c.cnt > 3 then substr(md5(lower(t.word)), 1, 4) else 'UNK' end as cluster, count(*) as cnt from toks t join counts c on t.word = c.word group by 1",
     "cluster_hit_rate": f"{TOKS}, counts as ({COUNTS}) select lang, round(avg(case when c.cnt > 3 then 1.0 else 0 end), 9) as hit_rate from toks t join counts c on t.word = c.word group by 1",
     "embed_lookup": f"""{TOKS}, vocab as (select lower(word) as word from toks group by 1 having count(*) > 10)
@@ -116,8 +134,8 @@ select t as before, case when t <> 'O' and (b is null or b = 'O' or b <> t) then
     "span_texts": f'{TOKS}{SPANS} select type, array_to_string(words["start" + 1:"end"], \' \') as text, count(*) as cnt from gspans join sents on gspans.sent_id = sents.sent_id group by 1, 2',
     "ngrams": """
 with c as (select conv_id, list(role order by turn, role) as r from conversations group by conv_id
-), p as (select *, ['BOS'] || r || ['EOS'] as p2, ['BOS', 'BOS'] || r || ['EOS', 'EOS'] as p3 from c)
-select conv_id, array_to_string(list_transform(range(1, len(p2)), lambda i: p2[i] || '_' || p2[i + 1]), ' ') as bigrams, array_to_string(list_transform(range(1, len(p3) - 1), lambda i: p3[i] || '_' || p3[i + 1] || '_' || p3[i + 2]), ' ') as trigrams,
+), p as (select *, ['BOS', 'BOS'] || r as q from c)
+select conv_id, array_to_string(list_transform(range(1, len(r) + 1), lambda i: q[i + 1] || '_' || q[i + 2]), ' ') as bigrams, array_to_string(list_transform(range(1, len(r) + 1), lambda i: q[i] || '_' || q[i + 1] || '_' || q[i + 2]), ' ') as trigrams,
   array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: i = 1 or r[i] <> r[i - 1]), lambda i: r[i]), ' ') as no_dup, array_to_string(list_sort(list_distinct(r)), ' ') as bag from p
 """,
     "shifts": f"{TOKS}, s as (select pos, lag(pos, 1, 'BOS') over w as before, lead(pos, 2, 'EOS') over w as after2 from toks window w as (partition by sent_id order by tok)) select before, pos, after2, count(*) as cnt from s group by 1, 2, 3",
@@ -159,17 +177,15 @@ select unnest(langs) as lang, case when (s >> unnest(range(len(langs)))) & 1 = 1
     "tree_stats": f"{TOKS}, s as (select sent_id, count(*) filter (where parent = -1) as n_roots, bool_or(parent < -1) as m from toks group by 1) select n_roots, count(*) as n_sents, count(*) filter (where m) as n_missing from s group by 1",
     "distance_table": f"""{TOKS} select coalesce(h.pos, '<WALL>') as ptag, t.pos as ctag, case when t.parent < t.tok then 'R' else 'L' end as dir, max(case when t.parent = -1 then 1 else abs(t.tok - t.parent) end) as max_dist
   from toks t left join toks h on h.sent_id = t.sent_id and h.tok = t.parent group by 1, 2, 3""",
-    "distance_prune": f"""{TOKS}{MASK}, g as (select sent_id, parent as p, tok as c from toks where n <= {MAX_LEN}
-), x as (select m.sent_id, m.kept, g.p is not null as tree from mask m left join g on m.sent_id = g.sent_id and m.p = g.p and m.c = g.c
-), s as (select sent_id, bool_and(kept) as ok from x where tree group by 1)
+    "distance_prune": f"""{TOKS}{MASK}, s as (select sent_id, bool_and(kept) as ok from mask where tree group by 1)
 select n_pruned, n_total, round(n_pruned / n_total, 9) as score, n_gold_kept, n_gold, n_exact, n_sents from
-  (select count(*) filter (where not kept and not tree) as n_pruned, count(*) filter (where not tree) as n_total, count(*) filter (where kept and tree) as n_gold_kept, count(*) filter (where tree) as n_gold from x), (select count(*) filter (where ok) as n_exact, count(*) as n_sents from s)""",
-    "mask_ops": f"""{TOKS}{MASK}, x as (select kept, abs(m.p - m.c) <= 2 as near, t.tok is not null as tree from mask m left join toks t on t.sent_id = m.sent_id and t.tok = m.c and t.parent = m.p)
+  (select count(*) filter (where not kept and not tree) as n_pruned, count(*) filter (where not tree) as n_total, count(*) filter (where kept and tree) as n_gold_kept, count(*) filter (where tree) as n_gold from mask), (select count(*) filter (where ok) as n_exact, count(*) as n_sents from s)""",
+    "mask_ops": f"""{TOKS}{MASK}, x as (select kept, abs(p - c) <= 2 as near, tree from mask)
 select count(*) filter (where kept and near) as and_kept, count(*) filter (where not (kept and near)) as and_pruned, count(*) filter (where kept or near or tree) as or_kept, count(*) filter (where not (kept or near or tree)) as or_pruned from x""",
-    "topk_heads": f"""{TOKS}{MASK}{SCORES}, r as (select *, row_number() over (partition by sent_id, c order by score desc, p) <= 3 and score >= 0.9 * max(score) over (partition by sent_id, c) as ok from scores)
-select count(*) filter (where ok or t.tok is not null) as n_kept, count(*) filter (where not (ok or t.tok is not null)) as n_pruned from r left join toks t on t.sent_id = r.sent_id and t.tok = r.c and t.parent = r.p""",
-    "mask_counts": f"{TOKS}{MASK}, k as (select sent_id, c, least(count(*), 3) as n from mask group by 1, 2) select sent_id, sum(n)::bigint as n_kept, min(n)::bigint as least_heads from k group by 1",
-    "reachable": f"""{TOKS} select distinct sent_id, sent_id % 3 <> 0 or n = 1 as multi_root, sent_id % 3 <> 0 or n = 1 as single_root from toks where n <= 15""",
+    "topk_heads": f"{TOKS}{_scores()} select count(*) filter (where best and near or tree) as n_kept, count(*) filter (where not (best and near or tree)) as n_pruned from top",
+    "mask_counts": f"{TOKS}{_scores()}, k as (select sent_id, c, count(*) filter (where best) as n from top group by 1, 2) select sent_id, sum(n)::bigint as n_kept, min(n)::bigint as least_heads from k group by 1",
+    "score_prune": f"{TOKS}{_scores('abs(p - c) <= 8')} select count(*) filter (where best and near or tree) as n_kept, count(*) filter (where not (best and near or tree)) as n_pruned from top",
+    "reachable": f"{TOKS} select distinct sent_id, sent_id % 3 <> 0 or n = 1 as multi_root, sent_id % 3 <> 0 or n = 1 as single_root from toks",
     "arc_triples": f"""{TOKS}
 select 'grandparent' as kind, count(*) as cnt from toks u join toks t on t.sent_id = u.sent_id and t.parent = u.tok where u.parent <> t.tok
 union all select 'projective', count(*) from toks u join toks t on t.sent_id = u.sent_id and t.parent = u.tok where u.parent <> t.tok and not (u.parent >= 0 and least(t.parent, t.tok) < u.parent and u.parent < greatest(t.parent, t.tok))
@@ -182,29 +198,31 @@ select path, count(*) as cnt from one group by 1""",
 ), kin as (select x.sent_id, x.a, x.b, case when pb.parent = x.a then 'PARENT' when pa.parent = x.b then 'CHILD' when pa.parent = pb.parent then 'SIBLING' when t.lca = x.a then 'ANCESTOR' when t.lca = x.b then 'DESCENDENT' else 'COUSIN' end as kin
   from ab x join toks pa on pa.sent_id = x.sent_id and pa.tok = a join toks pb on pb.sent_id = x.sent_id and pb.tok = b left join top t on t.sent_id = x.sent_id and t.a = x.a)
 select kin, breaks, count(*) as cnt from kin join br on kin.sent_id = br.sent_id and kin.a = br.a group by 1, 2""",
-    "projective": f"""{TOKS}, arc as (select sent_id, least(parent, tok) as a, greatest(parent, tok) as b from toks where n <= {MAX_LEN}
+    "projective": f"""{TOKS}, arc as (select sent_id, least(parent, tok) as a, greatest(parent, tok) as b from toks
 ), cross_ as (select distinct x.sent_id from arc x join arc y on x.sent_id = y.sent_id and x.a < y.a and y.a < x.b and x.b < y.b)
-select distinct sent_id, sent_id not in (select sent_id from cross_) as projective from toks where n <= {MAX_LEN}""",
-    "ne_pairs": f'{TOKS}{SPANS}{RELS} select sent_id, k, m1, m2, (select count(*) from mentions m where m.sent_id = cand.sent_id and m.m_id <> m1 and m.m_id <> m2 and m."start" >= h1 and m."start" < h2)::int as n_between from cand',
+select distinct sent_id, sent_id not in (select sent_id from cross_) as projective from toks""",
+    "ne_pairs": f'{TOKS}{SPANS}{RELS} select sent_id, k, m1, m2, (crossed - (select count(*) from mentions m where m.sent_id = cand.sent_id and m.m_id in (m1, m2) and m."start" >= h1 and m."start" < h2))::int as n_between from cand',
     "relation_labels": f"{TOKS}{SPANS}{RELS} select label, count(*) as cnt from labelled group by 1",
-    "rel_f1": f"""{TOKS}{SPANS}{RELS}, x as (select label as gold, case when (sent_id + k) % 5 = 0 then 'GEN(Arg-1,Arg-2)' else label end as pred from labelled)
+    "rel_f1": f"""{TOKS}{SPANS}{RELS}, x as (select label as gold, case when (sent_id + k) % 5 = 0 then 'ART(Arg-1,Arg-2)' else label end as pred from labelled)
 select n_missing, n_total, {PRF} from (select count(*) filter (where gold = pred and gold <> 'NO_RELATION') as n_correct, count(*) filter (where pred <> 'NO_RELATION') as n_pred, count(*) filter (where gold <> 'NO_RELATION') as n_gold, 0::bigint as n_missing, count(*) as n_total from x)""",
     "overlapping_mentions": f'{TOKS}{SPANS} select sent_id, count(*) filter (where "end" - "start" > 1) as n_overlapping from mentions group by 1',
-    "srl_f1": f"{TOKS}{_srl('gold', 'pos', 'parent')}{_srl('pred', 'ppos', 'pparent')} {_srl_f1('all', 'true', 'g.label = p.label')} union all {_srl_f1('roles', 'p >= 0', 'true')} union all {_srl_f1('senses', 'p = -1', 'g.label = p.label')}",
+    "srl_f1": f"""{TOKS}{_srl('gold', 'pos', 'parent')}{_srl('pred', 'ppos', 'pparent')}{SCORED} {_srl_f1('srl_position', 'p = -1', 'true')}
+union all {_srl_f1('srl_sense', 'p = -1 and known', 'g = q')} union all {_srl_f1('srl_roles', 'p >= 0 and known', 'g = q')} union all {_srl_f1('srl_all', 'known', 'g = q')}""",
     "pred_senses": f"{TOKS} select lower(word) as lemma, string_agg(distinct word || '.0' || tok % 2, ' ' order by word || '.0' || tok % 2) as senses from toks where pos like 'V%' group by 1",
-    "role_pairs": f"""{TOKS} select case when t.parent = p.tok then 'A' || length(t.pos) else '_' end as label, count(*) as cnt from toks p join toks t on t.sent_id = p.sent_id and t.tok <> p.tok where p.pos like 'V%' and p.n <= {MAX_LEN} group by 1""",
-    "arc_features": f"""{TOKS}, x as (select t.sent_id, t.parent as p, t.tok as c, t.pos as cpos, h.pos as ppos, coalesce(b.pos, 'BOS') as bpos, t.tok - t.parent as d from toks t join toks h on h.sent_id = t.sent_id and h.tok = t.parent
-  left join toks b on b.sent_id = t.sent_id and b.tok = t.tok - 1 where t.n <= {MAX_LEN}
+    "role_pairs": f"""{TOKS} select case when t.parent = p.tok then 'A' || length(t.pos) else '_' end as label, count(*) as cnt from toks p join toks t on t.sent_id = p.sent_id and t.tok <> p.tok where p.pos like 'V%' group by 1""",
+    "arc_features": f"""{TOKS}, x as (select t.sent_id, t.parent as p, t.tok as c, t.pos as cpos, h.pos as ppos, coalesce(b.pos, 'BOS') as bpos, t.tok - t.parent as d, t.n from toks t join toks h on h.sent_id = t.sent_id and h.tok = t.parent
+  left join toks b on b.sent_id = t.sent_id and b.tok = t.tok - 1
 ), bags as (select x.sent_id, x.c, string_agg(distinct m.pos, '_' order by m.pos) as bag from x join toks m on m.sent_id = x.sent_id and m.tok > least(p, c) and m.tok < greatest(p, c) group by 1, 2
 ), f as (select 'pos(p)+pos(c)+RELATIVE' as template, ppos || '_' || cpos || '_' || case when p < c then 'BEFORE' else 'AFTER' end as feature from x
-  union all select 'pos(before1(c))+DISTANCE', bpos || '_' || (case when d < 0 then -1 else 1 end * case when abs(d) >= 40 then 40 when abs(d) >= 30 then 30 when abs(d) >= 20 then 20 when abs(d) >= 10 then 10 when abs(d) >= 5 then 5 when abs(d) >= 2 then 2 else 0 end) from x
+  union all select 'pos(before1(c))+DISTANCE', bpos || '_' || abs(d) from x
+  union all select 'EDGE+DIRECTION_EDGE+SENT_LEN', 'T_T_' || case when n >= 40 then 40 when n >= 30 then 30 when n >= 20 then 20 when n >= 10 then 10 when n >= 5 then 5 when n >= 2 then 2 else 0 end from x
   union all select 'bag(pos(between))', coalesce(bag, '') from x left join bags on x.sent_id = bags.sent_id and x.c = bags.c)
 select template, feature, count(*) as cnt from f group by 1, 2""",
     "tag_feature_counts": f"""{TOKS}, w as (select word, tok, n, lag(word, 1, 'BOS') over w as a1, lag(word, 2, 'BOS') over w as a2, lead(word, 1, 'EOS') over w as b1, lead(word, 2, 'EOS') over w as b2 from toks window w as (partition by sent_id order by tok))
 select 'w-2' as template, count(distinct a2) as n_features from w union all select 'w-1', count(distinct a1) from w union all select 'w+0', count(distinct word) from w union all select 'w+1', count(distinct b1) from w union all select 'w+2', count(distinct b2) from w
-{" ".join(f"union all select 'pre{i}', count(distinct case when length(word) >= {i} then left(word, {i}) end) from w union all select 'suf{i}', count(distinct case when length(word) >= {i} then right(word, {i}) end) from w" for i in range(1, 5))}""",
+{" ".join(f"union all select 'pre{i}', count(distinct left(word, {i})) from w union all select 'suf{i}', count(distinct right(word, {i})) from w" for i in range(1, 5))}""",
     "info_gain": f"""{TOKS}, f0 as (select pos, word, lag(word, 1, 'BOS') over (partition by sent_id order by tok) as a1 from toks
-), f as (select 'w-1' as template, a1 as feature, pos as v from f0 union all select 'suf2', right(word, 2), pos from f0 where length(word) >= 2 union all select 'pre1', left(word, 1), pos from f0
+), f as (select 'w-1' as template, a1 as feature, pos as v from f0 union all select 'suf2', right(word, 2), pos from f0 union all select 'pre1', left(word, 1), pos from f0
 ), j as (select template, feature, v, count(*)::double as n from f group by 1, 2, 3
 ), m as (select template, n, sum(n) over (partition by template, feature) as nf, sum(n) over (partition by template, v) as nv, sum(n) over (partition by template) as nt from j
 ), g as (select template, round(sum(n / nt * log2(n * nt / (nf * nv))), 6) as ig from m group by 1)
