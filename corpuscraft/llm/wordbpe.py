@@ -6,8 +6,10 @@ import os
 import re
 from array import array
 
-#: Words that a worker remembers; further ones are encoded anew for each text. The ids don't depend on it.
-REMEMBERED = 1_000_000
+#: Bytes of words and their ids that a worker remembers; further ones are encoded anew for each text. The ids don't depend on it.
+REMEMBERED = 100_000_000
+#: Bytes of an entry besides its own.
+ENTRY = 180
 #: White space beyond ASCII inside a word, which the normalizer would cut at.
 WHITE = re.compile(r"\s")
 #: Latin letters, then signs that no contraction begins with: the pre-tokenizer parts these two and nothing else.
@@ -39,13 +41,15 @@ class WordCoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.letters: dict[str, str] = {}
+        self.used = 0
 
     def _part(self, part: str) -> bytes:
         """The ids of what the pre-tokenizer returns as one part."""
         found = self.parts.get(part)
         if found is None:
             found = array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
-            if len(self.parts) < REMEMBERED:
+            self.used += ENTRY + len(part) + len(found)
+            if self.used <= REMEMBERED:
                 self.parts[part] = found
         return found
 
@@ -85,7 +89,8 @@ class WordCoder:
         new = [w for w in set(words) if w not in known]
         if new:
             learned = self._learn(new)
-            if len(known) + len(new) > REMEMBERED:
+            self.used += sum([ENTRY + len(w) + len(i) for w, i in learned.items()])
+            if self.used > REMEMBERED:
                 return b"".join([known[w] if w in known else learned[w] for w in words])
             known.update(learned)
         return b"".join([known[w] for w in words])
