@@ -11,7 +11,7 @@ from corpuscraft.llm.bestfit_packing import pack_documents
 from corpuscraft.llm.common import Scratch, table
 from corpuscraft.llm.line_dedup import line_dedup
 from corpuscraft.llm.mil_quality import reject_low_quality
-from corpuscraft.llm.simhash_dedup import simhash_dedup
+from corpuscraft.llm.simhash_dedup import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id. A null doc_id stays; rows that repeat a doc_id stay together."""
-    gone = simhash_dedup(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: that of the smallest doc_id. A null doc_id stays; rows that repeat a doc_id are decided by their texts."""
+    return keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
