@@ -3,7 +3,7 @@
 Lines of all documents that are equal, or one edit of a word apart (a word replaced, put in or left
 out), are near copies. A line goes if an earlier line (by doc_id, then line number) is its near copy.
 
-1. Equal lines meet by hash; the earliest of each stands for them.
+1. Equal lines meet by a hash of 128 bits; the earliest of each stands for them.
 2. Of two lines within one edit, each shares its first or its last words with the other, so only lines
    that share such a half go on. This loses no pair.
 3. Each of those emits its deletion variants, hashed: itself and itself without its i-th word, by running
@@ -37,15 +37,26 @@ def _one_edit(x: Column, y: Column) -> Column:
     return (longer - shorter <= 1) & (first + last >= longer - 1)
 
 
-#: Rows of candidate lines up to which they are sent to all tasks; more are joined by a shuffle.
-BROADCAST = 1_000_000
+#: Bytes of candidate lines' places up to which they are sent to all tasks; more are joined by a shuffle.
+BROADCAST = 32 << 20
+#: The columns that tell lines apart: two hashes of the words whose seeds differ, 128 bits.
+KEY = ["h1", "h2"]
+
+
+def _hash(words: Column) -> list[Column]:
+    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit("again"), words).alias("h2")]
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, words) of the lines that have a word. The split is in the generator, so that it runs once."""
+    split = F.transform(F.split("text", "\n"), _words)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(split).alias("line_no", "words")).where(F.size("words") > 0)
 
 
 def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """(doc_id, line_no) of the lines that have an earlier near copy; see line_dedup."""
     scratch = Scratch(docs.sparkSession, "lines")
-    raw = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = raw.withColumn("words", _words(F.col("line"))).where(F.size("words") > 0).withColumn("key", F.xxhash64("words"))
+    lines = _lines(docs).select("*", *_hash(F.col("words")))
     place, n = F.struct("doc_id", "line_no"), F.size("words")
 
     # the first and last m words, for an even m of about half the length; lengths that differ by one agree on one m
@@ -57,20 +68,21 @@ def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     halves = F.when(n >= least_words, both)
 
     # 1. equal lines: the earliest, and how many there are
-    firsts = lines.select("key", halves.alias("halves"), place.alias("place")).groupBy("key", "halves").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
-    firsts = scratch.write(firsts.select("key", "first.doc_id", "first.line_no", "copies", "halves"))
+    firsts = lines.select(*KEY, halves.alias("halves"), place.alias("place")).groupBy(*KEY).agg(F.min("place").alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
+    firsts = scratch.write(firsts.select(*KEY, "first.doc_id", "first.line_no", "copies", "halves"))
+    rows = firsts.count()
 
     # 2. of those, the ones that share an end with another
-    halved = firsts.select("key", "doc_id", "line_no", F.explode("halves").alias("half"))
+    halved = firsts.select("doc_id", "line_no", F.explode("halves").alias("half"))
     shared = halved.groupBy("half").count().where("count > 1").select("half")
-    near = scratch.write(halved.join(shared, "half", "left_semi").select("key", "doc_id", "line_no").distinct())
-    near_lines = near.select("doc_id", "line_no")
-    near_lines = F.broadcast(near_lines) if near.count() <= BROADCAST else near_lines
+    near = scratch.write(halved.join(shared, "half", "left_semi").select("doc_id", "line_no").distinct(), rows)
 
     # 3. those lines in order, with a rank that follows it, and the hashes of what is left without each word
-    found = raw.join(near_lines, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    found = found.withColumn("key", F.xxhash64("words")).dropDuplicates(["key"]).repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
-    kept = scratch.write(found.select(F.monotonically_increasing_id().alias("rank"), "key", "words"))
+    size = near.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 32)).first()[0] or 0
+    raw = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    picked = raw.join(F.broadcast(near) if size <= BROADCAST else near, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    picked = picked.select("*", *_hash(F.col("words"))).dropDuplicates(KEY).repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
+    kept = scratch.write(picked.select(F.monotonically_increasing_id().alias("rank"), *KEY, "words"))
     # a line's hash is the exclusive or of its words' hashes with their places, so those before and behind a word add up
     placed = kept.select("rank", F.posexplode("words").alias("i", "word")).select("rank", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("ahead"))
     line, before, upto = Window.partitionBy("rank"), Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -87,11 +99,12 @@ def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
 
     # 4. verified on the words
     pairs = found.join(kept, "rank").join(kept.select(F.col("rank").alias("other"), F.col("words").alias("theirs")), "other")
-    gone = pairs.where(_one_edit(F.col("words"), F.col("theirs"))).select("key").distinct().withColumn("near", F.lit(True))
+    gone = pairs.where(_one_edit(F.col("words"), F.col("theirs"))).select(*KEY).distinct().withColumn("near", F.lit(True))
 
-    # of equal lines all go but the earliest, and that too if it has an earlier near copy
-    verdict = firsts.join(gone, "key", "left").where("copies > 1 or near").select("key", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "near")
-    return lines.select("key", "doc_id", "line_no").join(verdict, "key").where("near or doc_id <> first_doc or line_no <> first_line").select("doc_id", "line_no")
+    # of equal lines all go but the earliest, and that too if it has an earlier near copy. The verdict is written, so that
+    # both sides of the last join are dealt out by it and Spark can split a line with many copies
+    verdict = scratch.write(firsts.join(gone, KEY, "left").where("copies > 1 or near").select(*KEY, F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "near"))
+    return lines.select(*KEY, "doc_id", "line_no").join(verdict, KEY).where("near or doc_id <> first_doc or line_no <> first_line").select("doc_id", "line_no")
 
 
 def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
@@ -105,11 +118,13 @@ def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     null doc_id are neither removed nor compared. Rows that repeat a doc_id are one document: they lose
     a line number together. No rows give no rows.
     """
-    gone = removable_lines(docs, least_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    kept = docs.join(gone, "doc_id", "left")
-    lines = F.split("text", "\n")
+    gone = removable_lines(docs, least_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # the columns go into one, so that none of them can clash with those put beside them
+    kept = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("_id"), "left")
+    lines = F.split("row.text", "\n")
     left = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))]
+    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in own]
+    counts = [F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))]
     return kept.select(*columns, *(c.cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_removed"))))
