@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -56,6 +58,39 @@ def test_marks_lose_no_article(page):
     assert got in (SENTENCE, f"{SENTENCE} {SENTENCE}") and "no" not in got.split()
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<main><div class="search-results-article"><p>Real article text.', "Real article text."),
+        ("<article><p>See <a>the manual</a></p>", "See the manual"),
+        ("<article><header><h1>Title</h1></header><p>Text.", "Title Text."),
+        ('<article><div class="article-header"><h2>Part</h2></div><p>Text.', "Part Text."),
+        ("<article><p>Text.<aside>no</aside><p>End.<footer>no</footer></article>", "Text. End."),
+        ("<article><p>Text.<ul><li><a>no one</a><li><a>no two</a><li><a>no three</a></ul></article>", "Text."),
+    ],
+)
+def test_marks_are_features_only(page, text):
+    assert extract(page) == text
+
+
+def test_densities_find_the_article_of_unmarked_pages(spark):
+    lost = extra = total = 0
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        want = Counter(extract(row.html).split())
+        got = Counter(extract(row.html.replace("<article>", "<div>").replace("</article>", "</div>")).split())
+        lost, extra, total = lost + (want - got).total(), extra + (got - want).total(), total + want.total()
+    assert lost < 0.12 * total and extra < 0.02 * total
+
+
+def test_nesting_takes_linear_time():
+    def seconds(n: int) -> float:
+        began = time.process_time()
+        extract("<div>" * n + '<div class="ad">' * n + "<p>x" * n + "</div>" * n)
+        return time.process_time() - began
+
+    assert seconds(20_000) < 20 * max(seconds(4_000), 0.01)
+
+
 def test_pages_frame(spark):
     rows = [(1, "u", f"<article><p>{SENTENCE}", "x"), (2, None, None, "x"), (None, "u", "", None), (1, "u", f"<article><p>{SENTENCE}", "x"), (3, "u", "<article>" + "<p>word " * 200_000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
