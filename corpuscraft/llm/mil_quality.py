@@ -3,8 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded by the frequencies of
 pairs of adjacent character classes and by how much of it repeats; a tanh layer embeds it, gated
 attention (Ilse et al. 2018) weighs the passages, and a logistic layer scores the weighted
-passage representation. The weights are learned from document labels alone, on a bounded sample
-(``sample`` labelled documents, ``BAG`` passages of each at most); scoring reads every passage of every text.
+passage representation. The weights are learned from document labels alone, on a bounded sample of labelled
+documents, of each of which every passage counts; scoring reads every passage of every text.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
+
+from .common import Scratch
 
 PASSAGE = 64
-#: Passages of a document that training looks at, evenly spaced over it.
-BAG = 48
 _KINDS = {
     1: b"aeiouy", 2: b"bcdfghjklmnpqrstvwxz", 3: bytes(range(65, 91)), 4: b"0123456789", 5: b" ", 6: b"\t\n\x0b\x0c\r",
     7: b".", 8: b",", 9: b"!?;:", 10: b"\"'()[]{}", 11: b"#$%&*@^+=~", 12: b"|\\/<>_`", 13: b"-", 14: bytes(range(192, 256)), 15: bytes(range(128, 192)),
@@ -132,57 +133,66 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, width: int = 24, gates: int
     return Model(mean, scale, weights)
 
 
-def _part() -> F.Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+def _part(doc_id: Column | None = None) -> Column:
+    return F.pmod(F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
-    """Fits on at most ``sample`` labelled documents, those of the smallest id hash, outside the held-out quarter.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, passages: int = 250_000) -> Model:
+    """Fits on a sample of the labelled documents outside the held-out quarter: of at most ``sample``, those of the smallest id hash, as many as have ``passages`` passages together.
 
-    labels: doc_id, quality; other columns are ignored. Rows with a null are ignored; of several labels
-    of a document the lower counts. Repeated rows of a document train once each.
+    All passages of a document of the sample count (a document with more than ``passages`` is passed over), so the
+    driver holds 1 KB for each of ``passages`` at most. labels: doc_id, quality; other columns are ignored. Rows with a null are
+    ignored; of several labels of a document the lower counts, of several texts that of the smallest hash. Neither
+    repeated rows nor their order change the model.
     """
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(_part() != 2)
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                bag = encode(text.as_py())
-                found.append(bag[np.linspace(0, len(bag) - 1, min(BAG, len(bag))).astype(int)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "bag"])
-
-    kind = {k: labels.schema[k].dataType.simpleString() for k in ("doc_id", "quality")}
-    # at most ``sample`` short rows, so their broadcast is bounded
-    chosen = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "quality", "text")
-    got = sorted(chosen.mapInArrow(bags, f"doc_id {kind['doc_id']}, quality {kind['quality']}, bag binary").collect(), key=lambda r: (r.doc_id, bytes(r.bag)))[: 2 * sample]
+            found = [encode(text.as_py()) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("quality"), pa.array(map(len, found), pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["place", "quality", "n", "bag"])
+
+    # at most ``sample`` short rows, so their broadcast is bounded; a document's texts meet as the least of each task
+    chosen = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    chosen = chosen.select(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("d")).alias("place"), F.col("quality").cast("double").alias("quality"), "text")
+    written = Scratch(docs.sparkSession, "bags").write(chosen.mapInArrow(bags, "place struct<h: bigint, d: string>, quality double, n long, bag binary"), sample)
+    total, last = 0, None
+    for place, n in sorted((tuple(r.place), r.n) for r in written.where(F.col("n") <= passages).select("place", "n").collect()):  # at most ``sample`` rows
+        if total + n > passages:
+            break
+        total, last = total + n, place
+    got = written.where(F.col("n") <= passages).where(F.col("place") <= F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).alias("d"))).sort("place").collect() if last else []
     return fit([np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in got], np.array([r.quality for r in got], np.float32))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: bool = False) -> DataFrame:
-    """Scores every whole text: doc_id, held_out, score, predicted; with ``keep`` behind all columns of docs.
-
-    A null or empty text is one passage of zeros and gets the model's score for that. A null doc_id isn't held out.
-    """
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with its columns renamed to c0, c1, ... and score beside them, so that no name can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
-    out = docs.schema.jsonValue() if keep else docs.select("doc_id").schema.jsonValue()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([shared.value.score(encode(t.as_py())) for t in batch.column("text")], pa.float64())
-            columns = batch.schema.names if keep else ["doc_id"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), found], [*columns, "_score"])
+            found = pa.array([shared.value.score(encode(t.as_py())) for t in batch.column(text)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, "score"])
 
-    from pyspark.sql.types import DoubleType, StructType
+    renamed = docs.toDF(*names)
+    return renamed.mapInArrow(run, StructType([*renamed.schema.fields]).add("score", DoubleType()))
 
-    shape = StructType.fromJson(out).add("_score", DoubleType())
-    rows = (docs if keep else docs.select("doc_id", "text")).mapInArrow(run, shape)
-    names = [c for c in rows.columns if c != "_score" and (not keep or c not in ("held_out", "score", "predicted"))]
-    return rows.select(*names, F.coalesce(_part() == 2, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: bool = False) -> DataFrame:
+    """Scores every whole text: doc_id, held_out, score, predicted; with ``keep`` behind all columns of docs but those of these names.
+
+    A null or empty text is one passage of zeros and gets the model's score for that. A null doc_id isn't held out.
+    """
+    docs = docs if keep else docs.select("doc_id", "text")
+    own = {name: F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns) if name not in ("held_out", "score", "predicted")}
+    held_out = F.coalesce(_part(F.col(f"c{docs.columns.index('doc_id')}")) == 2, F.lit(False))
+    return _scored(docs, model).select(*(own.values() if keep else [own["doc_id"]]), held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 4000) -> DataFrame:
     """The documents, with their own columns, that the classifier does not reject."""
-    marked = score(docs.select(*docs.columns), train(docs, labels, sample), threshold, keep=True)
-    return marked.where("predicted = 1").select(*docs.columns)
+    marked = _scored(docs, train(docs, labels, sample)).where(F.col("score") >= threshold)
+    return marked.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))
