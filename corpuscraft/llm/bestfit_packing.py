@@ -11,6 +11,7 @@ document can pile up in one task; a task holds its open bins and one document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -24,6 +25,8 @@ from .wordbpe import coder, default_vocabulary
 
 #: Rows a batch that a task returns.
 BATCH = 4096
+#: Pieces that a task of the second round packs. Each part leaves one sequence badly filled at most.
+PART = 8192
 
 
 class BestFit:
@@ -67,7 +70,7 @@ def _sequence(task: int, number: int, shift: int) -> int:
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, spare: float = 0.01, with_ids: bool = False) -> DataFrame:
     """Packs documents into sequences of at most ``capacity`` tokens.
 
-    docs: doc_id, text; other columns are ignored. A null text counts as empty, and an empty one is
+    docs: doc_id (of any simple type), text; other columns are ignored. A null text counts as empty, and an empty one is
     the end id alone. A null doc_id is packed like any other; repeated rows are packed as often as they
     occur. No rows give no rows. Only documents longer than a sequence are cut, into pieces of
     exactly the capacity and a last one that may be shorter.
@@ -91,21 +94,26 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
                     part = ids[piece * capacity * 4 : (piece + 1) * capacity * 4]
                     yield doc_id, piece, piece * capacity, len(part) // 4, crc32(part), part
 
-    def batches_of(found: Iterator[tuple], names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
+
+    def batches_of(found: Iterator[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        types = [id_type, pa.int32(), *[pa.int64()] * 5, pa.binary()]
         kept: list[tuple] = []
         for row in found:
             kept.append(row[: len(names)])
             if len(kept) == BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), types)], names)
                 kept = []
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), types)], names)
 
-    arrow_id = _arrow_type(id_type)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
-    schema = pa.schema([("doc_id", arrow_id), ("piece", pa.int32()), *[(n, pa.int64()) for n in names[2:7]]] + [("ids", pa.binary())] * with_ids)
+    def typed(batches: Iterator[pa.RecordBatch]) -> tuple[pa.DataType, Iterator[pa.RecordBatch]]:
+        """The type of doc_id, and all batches; null for none."""
+        head = next(batches, None)
+        return (pa.null(), iter(())) if head is None else (head.schema.field("doc_id").type, chain([head], batches))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type, batches = typed(batches)
         task, bins = TaskContext.get().partitionId(), BestFit(capacity, open_bins)
 
         def placed() -> Iterator[tuple]:
@@ -113,16 +121,16 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
                 number, offset = bins.place(length)
                 yield doc_id, piece, start, length, crc, _sequence(task, number, 0), offset, part
 
-        yield from batches_of(placed(), names, schema)
+        yield from batches_of(placed(), id_type)
 
     scratch = Scratch(spark, "packing")
     packed = scratch.write(docs.select("doc_id", "text").mapInArrow(first, shape))
     filled = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill")).where(F.col("fill") < least)
     loose = packed.join(filled.select("sequence_id"), "sequence_id", "left_semi")
-    tokens = filled.agg(F.sum("fill")).first()[0] or 0
-    parts = max(1, round(tokens / capacity / open_bins))
+    parts = max(1, loose.count() // PART)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type, batches = typed(batches)
         task, bins = TaskContext.get().partitionId(), BestFit(capacity, open_bins)
 
         def placed() -> Iterator[tuple]:
@@ -131,12 +139,9 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
                     number, offset = bins.place(row[3])
                     yield *row[:5], _sequence(task, number, 1), offset, *row[7:]
 
-        yield from batches_of(placed(), names, schema)
+        yield from batches_of(placed(), id_type)
 
     # longest first, which is the order in which best-fit leaves least; the hash spreads ties over the parts
     again = loose.select(names).withColumn("part", F.pmod(F.xxhash64("ids_crc32", "sequence_id", "offset"), F.lit(parts))).repartition(parts, "part").sortWithinPartitions(F.desc("length"), "sequence_id", "offset").select(names).mapInArrow(second, shape)
     return packed.join(filled.select("sequence_id"), "sequence_id", "left_anti").select(names).unionByName(again)
 
-
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
