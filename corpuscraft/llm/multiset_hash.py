@@ -98,25 +98,26 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     null doc_id comes first, and rows that repeat a doc_id follow each other by a hash of their text. A single row is its own
     next. No rows give no rows.
 
-    The rows are dealt once, by ranges of doc_id; the first row of a range goes to the range before as well, so every
-    task finds the document after its last. Only the ranges' bounds, one row each, reach the driver.
+    The rows are dealt once, by ranges of (doc_id, text hash) of about equal bytes, a partition each. A range begins at a row
+    of a sample (which sets bounds only), and the rows that equal its begin go to the range before as well, so every task
+    finds the document after its last. Only the ranges' bounds, one row each, reach the driver.
     """
     spark = docs.sparkSession
-    n = parallelism(spark)
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted(set(rows.select(order.alias("o")).agg(F.percentile_approx("o", [i / n for i in range(1, n)], 100 * n)).first()[0] or []))
-    dealt = rows.withColumn("range", _bucket(order, cuts))
-    heads = {r.range: r.o for r in dealt.groupBy("range").agg(F.min(order).alias("o")).collect()}  # a row a range
-    ranges = sorted(heads)
-    before = {r: ranges[i - 1] for i, r in enumerate(ranges)}
-    # every row that bears a head's id goes along; the task before takes the first of them
-    ahead = spark.createDataFrame([(r, heads[r], before[r]) for r in ranges], "range int, o long, heading int")
-    dealt = dealt.withColumn("o", order).join(F.broadcast(ahead), ["range", "o"], "left")  # a row a range
-    heading = F.col("heading")
-    copies = F.array_compact(F.array(F.struct("range", F.lit(False).alias("ahead")), F.when(heading.isNotNull(), F.struct(heading.alias("range"), F.lit(True).alias("ahead")))))
-    sent = dealt.select("doc_id", "text", F.explode(copies).alias("x")).select("doc_id", "text", "x.range", "x.ahead")
-    ordered = sent.repartition(n, "range").sortWithinPartitions("range", "ahead", F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("place", place)
+    cuts = _bounds(rows, parallelism(spark))
+    if not cuts:
+        return spark.createDataFrame([], SHAPE)
+    # a row of bounds, in two levels, so that a row's range is found among few
+    bounds = spark.createDataFrame([([cuts[i : i + LEVEL] for i in range(0, len(cuts), LEVEL)],)], "cuts array<array<struct<id: bigint, hash: bigint>>>")
+    upto = lambda cs, of: F.size(F.filter(cs, lambda c: of(c) <= F.col("place")))
+    dealt = rows.crossJoin(F.broadcast(bounds)).withColumn("high", upto("cuts", lambda c: c[0]) - 1)
+    dealt = dealt.withColumn("range", F.col("high") * LEVEL + upto(F.get("cuts", F.col("high")), lambda c: c) - 1)
+    begins = F.get(F.get("cuts", F.col("high")), F.pmod(F.col("range"), F.lit(LEVEL))) == F.col("place")
+    before = F.pmod(F.col("range") - 1, F.lit(len(cuts)))
+    copies = F.array_compact(F.array(F.struct("range", F.lit(False).alias("ahead")), F.when(begins, F.struct(before.alias("range"), F.lit(True).alias("ahead")))))
+    sent = dealt.select("doc_id", "text", "place", F.explode(copies).alias("x")).select("doc_id", "text", "place", "x.range", "x.ahead")
+    ordered = sent.repartitionById(len(cuts), F.col("range")).sortWithinPartitions("range", "ahead", F.asc_nulls_first("doc_id"), "place", "text").select("doc_id", "text", "range", "ahead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # range, doc_id, text, fingerprint
@@ -124,9 +125,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for k, ahead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("range", "ahead", "doc_id")), batch.column("text")):
-                text = text.as_py()
                 if last is None and ahead:
                     continue
+                text = text.as_py()
                 own = Fingerprint.of(text)
                 if last and last[0] == k:
                     changed = edited(last[2], text)
@@ -136,18 +137,31 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names)
 
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def _bucket(value: F.Column, cuts: list[int]) -> F.Column:
-    """How many of the ascending cuts are at most the value, by halving."""
-    if not cuts:
-        return F.lit(0)
-
-    def among(low: int, high: int) -> F.Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(cuts[middle]), among(low, middle)).otherwise(among(middle + 1, high))
-
-    return among(0, len(cuts))
+    return ordered.mapInArrow(run, SHAPE)
+
+
+SHAPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Bounds of the lower level of each of the upper, and bytes of text that a range has about.
+LEVEL, RANGE = 128, 64 << 20
+#: Rows that the bounds are taken from, about.
+SAMPLE = 20_000
+
+
+def _bounds(rows: DataFrame, least: int) -> list[tuple[int, int]]:
+    """The least place, and places that cut the rows into ``least`` ranges or more, of at most RANGE bytes about."""
+    size = F.octet_length("text").cast("long")
+    first, n, total = rows.agg(F.min("place"), F.count("*"), F.sum(size)).first()
+    if not n:
+        return []
+    ranges = max(least, -(-total // RANGE))
+    wanted = max(SAMPLE, 50 * ranges)
+    # by the hash of the text, which is there anyway
+    sample = rows.where(F.pmod(F.xxhash64("place"), F.lit(n)) < wanted) if n > 2 * wanted else rows
+    weighed = sorted((tuple(r.place), r.size) for r in sample.select("place", size.alias("size")).collect())
+    out, run, share = [tuple(first)], 0, sum(s for _, s in weighed) / ranges
+    for at, s in weighed:
+        if run >= share and at > out[-1]:
+            out.append(at)
+            run = 0
+        run += s + share / len(weighed)
+    return out
