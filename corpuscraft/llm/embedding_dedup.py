@@ -60,7 +60,7 @@ def _valid(vectors: pd.Series) -> tuple[np.ndarray, list[np.ndarray]]:
             x = np.array([np.nan if c is None else c for c in v], np.float64)
             if np.isfinite(x).all() and x.any():
                 ok[i] = True
-                out.append(x)
+                out.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]))  # a power of two off, so that its norm is finite and not zero
     return ok, out
 
 
@@ -89,6 +89,8 @@ def _links(a: pd.DataFrame, b: pd.DataFrame, window: float, count: int, threshol
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, directions: int = 32, width: float = 1.0, recall: float = 0.999, seed: int = 11) -> DataFrame:
     """Near copies among vectors of equal label: vec_id, n_links, component_id, kept.
 
+    A vector is scaled by a power of two before its norm is taken, so tiny and huge ones keep their direction.
+
     vectors: vec_id (long), embedding (array of numbers), label; other columns are ignored. Two vectors link
     if their labels are equal and not null, they are as long as each other, and their cosine in double precision is
     at least ``threshold``. Vectors that are null, empty or zero, or hold a null or a component that isn't finite, and rows with a null vec_id link
