@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, batched
 from .wordbpe import coder, default_vocabulary
 
 #: Rows a batch that a task returns.
@@ -124,7 +124,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
         yield from batches_of(placed(), id_type)
 
     scratch = Scratch(spark, "packing")
-    packed = scratch.write(docs.select("doc_id", "text").mapInArrow(first, shape))
+    packed = scratch.write(batched(docs.select("doc_id", "text")).mapInArrow(first, shape))
     filled = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill")).where(F.col("fill") < least)
     loose = packed.join(filled.select("sequence_id"), "sequence_id", "left_semi")
     parts = max(1, loose.count() // PART)

@@ -36,6 +36,18 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python in batches of BATCH_BYTES at most, however long they are. Sets the session's bound if it is higher."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(2**31 - 1))) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 #: Rows of a file where a table's size is known beforehand.
 ROWS_A_FILE = 20_000
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import piece_codec
+from .common import batched
 from .piece_codec import MARK, default_model
 
 _MERGERS: dict[str, Merger] = {}
@@ -120,13 +121,13 @@ def _by_chunks(docs: DataFrame, model: str, chunk: int, work: Callable[[pa.Recor
                 for k, part in enumerate(cuts(text.as_py(), chunk)):
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), batch.column("row").slice(i, 1), pa.array([k], pa.int64()), pa.array([part])], ["doc_id", "row", "k", "chunk"])
 
-    parts = long.mapInArrow(split, f"doc_id {kind}, row long, k long, chunk string").repartition("row", "k")
+    parts = batched(long).mapInArrow(split, f"doc_id {kind}, row long, k long, chunk string").repartition("row", "k")
     return parts.mapInArrow(lambda batches: map(work, batches), f"doc_id {kind}, row long, k long, {shape}")
 
 
 def _whole(docs: DataFrame, chunk: int, work: Callable[[pa.RecordBatch], pa.RecordBatch], shape: str) -> DataFrame:
     short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= chunk)
-    return short.mapInArrow(lambda batches: map(work, batches), shape)
+    return batched(short).mapInArrow(lambda batches: map(work, batches), shape)
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, chunk: int = 32768) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import Scratch
+from .common import Scratch, batched
 
 PASSAGE = 64
 _KINDS = {
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, passages: int
     # at most ``sample`` short rows, so their broadcast is bounded; a document's texts meet as the least of each task
     chosen = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     chosen = chosen.select(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("d")).alias("place"), F.col("quality").cast("double").alias("quality"), "text")
-    written = Scratch(docs.sparkSession, "bags").write(chosen.mapInArrow(bags, "place struct<h: bigint, d: string>, quality double, n long, bag binary"), sample)
+    written = Scratch(docs.sparkSession, "bags").write(batched(chosen).mapInArrow(bags, "place struct<h: bigint, d: string>, quality double, n long, bag binary"), sample)
     total, last = 0, None
     for place, n in sorted((tuple(r.place), r.n) for r in written.where(F.col("n") <= passages).select("place", "n").collect()):  # at most ``sample`` rows
         if total + n > passages:
@@ -178,7 +178,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, "score"])
 
     renamed = docs.toDF(*names)
-    return renamed.mapInArrow(run, StructType([*renamed.schema.fields]).add("score", DoubleType()))
+    return batched(renamed).mapInArrow(run, StructType([*renamed.schema.fields]).add("score", DoubleType()))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: bool = False) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, batched, components
 
 #: Classes of a cell that are compared at once. Larger cells are split.
 BLOCK = 1024
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             found = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text", text_hash()).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
+    return batched(docs.select("doc_id", "text", text_hash())).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def text_hash() -> Column:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import batched, parallelism
 from .wordbpe import coder, default_vocabulary
 
 NULL_ID = -(2**63)
@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str | None = None,
         yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "n_ids": pa.array([at], pa.int64())})
 
     rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
-    sizes = dict(rows.select("doc_id", "text").mapInArrow(write, "shard int, n_ids long").collect())  # a row a shard
+    sizes = dict(batched(rows.select("doc_id", "text")).mapInArrow(write, "shard int, n_ids long").collect())  # a row a shard
     bases, total = [], 0
     for k in sorted(sizes):
         bases.append([k, total])
