@@ -75,7 +75,7 @@ def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     # 2. of those, the ones that share an end with another
     halved = firsts.select("doc_id", "line_no", F.explode("halves").alias("half"))
     shared = halved.groupBy("half").count().where("count > 1").select("half")
-    near = scratch.write(halved.join(shared, "half", "left_semi").select("doc_id", "line_no").distinct(), rows)
+    near = scratch.write(halved.hint("merge").join(shared, "half", "left_semi").select("doc_id", "line_no").distinct(), rows)
 
     # 3. those lines in order, with a rank that follows it, and the hashes of what is left without each word
     size = near.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 32)).first()[0] or 0
@@ -91,9 +91,10 @@ def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     whole = placed.groupBy("rank").agg(F.bit_xor("here").alias("variant"))
 
     replaced = variants.groupBy("variant", "i").agg(F.min("rank").alias("other"), F.count("*").alias("n")).where("n > 1").select("variant", "i", "other")
-    by_replacement = variants.join(replaced, ["variant", "i"]).select("rank", "other")
+    # Spark takes a table that grew in a generator for as small as it was before: variants may not be broadcast
+    by_replacement = variants.hint("merge").join(replaced, ["variant", "i"]).select("rank", "other")
     # the longer line of a pair has the other as a variant; whichever is later goes
-    lengths = variants.join(whole.withColumnRenamed("rank", "other"), "variant").select(F.greatest("rank", "other").alias("rank"), F.least("rank", "other").alias("other"))
+    lengths = variants.hint("merge").join(whole.withColumnRenamed("rank", "other"), "variant").select(F.greatest("rank", "other").alias("rank"), F.least("rank", "other").alias("other"))
     lengths = lengths.groupBy("rank").agg(F.min("other").alias("other"))
     found = by_replacement.where("other < rank").unionByName(lengths).distinct()
 
@@ -104,7 +105,7 @@ def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     # of equal lines all go but the earliest, and that too if it has an earlier near copy. The verdict is written, so that
     # both sides of the last join are dealt out by it and Spark can split a line with many copies
     verdict = scratch.write(firsts.join(gone, KEY, "left").where("copies > 1 or near").select(*KEY, F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "near"))
-    return lines.select(*KEY, "doc_id", "line_no").join(verdict, KEY).where("near or doc_id <> first_doc or line_no <> first_line").select("doc_id", "line_no")
+    return lines.select(*KEY, "doc_id", "line_no").hint("merge").join(verdict, KEY).where("near or doc_id <> first_doc or line_no <> first_line").select("doc_id", "line_no")
 
 
 def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:

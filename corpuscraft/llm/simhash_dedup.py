@@ -105,12 +105,13 @@ def fingerprint_links(classes: DataFrame, distance: int = 3) -> DataFrame:
         raise ValueError("two halves of two quarters cover up to 3 bits")
     cells = _cells(classes)
     size = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")).where("n > 1 and n_home > 0")
-    met = cells.join(size, "cell")
+    # Spark takes a table that grew in a generator for as small as it was before, hence the hints: none of these may be broadcast
+    met = cells.hint("merge").join(size, "cell")
     few, many = met.where(F.col("n") <= SMALL), met.where(F.col("n") > SMALL)
 
     left = few.where("home").select("cell", F.col("fp").alias("a"))
     right = few.select("cell", F.col("fp").alias("b"), "home")
-    links = left.join(right, "cell").where("(a < b or not home) and a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+    links = left.hint("merge").join(right, "cell").where("(a < b or not home) and a <> b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
 
     split = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "cell"), F.col("blocks")).cast("int"))
     pairs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "fp", "home", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
