@@ -1,11 +1,12 @@
 """Token-ID / binary output: flat unsigned integer files plus 64-bit document offsets, memory-mapped.
 
-A folder of token files holds, for each shard k, ``k.ids`` (the ids of its documents one after
-another, as unsigned 16-bit integers where the vocabulary allows it, else 32-bit), ``k.offsets``
+A folder of token files holds, for each shard, ``NAME.ids`` (the ids of its documents one after
+another, as unsigned 16-bit integers where the vocabulary allows it, else 32-bit), ``NAME.offsets``
 (unsigned 64-bit: where each document begins, and the shard's end, counted from the shard's own
-begin), ``k.docs`` (the documents' ids, signed 64-bit, the least one standing for null), and
-``index.json``: the width of an id and each shard's base, which is the prefix sum of the shards' sizes.
-All are little-endian. Shards ascend by doc_id, so base + offset is a place in the whole corpus.
+begin), ``NAME.docs`` (the documents' ids, signed 64-bit, the least one standing for null), and
+``index.json``: the width of an id, and each shard's number, name and base, which is the prefix sum of the shards' sizes.
+A name tells the attempt of the task that wrote it, so a task that runs again overwrites nothing; the index
+names the attempts that count. All are little-endian. Shards ascend by doc_id, so base + offset is a place in the whole corpus.
 """
 
 from __future__ import annotations
@@ -50,8 +51,7 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str | None = None,
 
     Ids are those of the tokenizers library without special tokens, then ``end_id``. A null text counts as
     empty and gets the end id alone. Documents ascend by doc_id, null first; repeated ids lie side
-    by side, ordered by a hash of their texts. No rows give files without ids. A task writes its shard under a
-    name of its own and renames it, so a task that runs twice leaves the same files.
+    by side, ordered by a hash of their texts. No rows give files without ids.
     """
     vocabulary = vocabulary or default_vocabulary()
     shards = shards or parallelism(docs.sparkSession)
@@ -64,7 +64,9 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str | None = None,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _open(root)
         task = TaskContext.get()
-        k, own = task.partitionId(), f"{base}/.{task.taskAttemptId()}"
+        k = task.partitionId()
+        name = f"{k:06d}-{task.taskAttemptId()}"
+        own = f"{base}/{name}"
         encode, tail = coder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
         ids, offsets, at = [], [0], 0
         with files.open_output_stream(f"{own}.ids") as out:
@@ -75,19 +77,17 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str | None = None,
                     at += len(found) // 4
                     offsets.append(at)
                     out.write(np.frombuffer(found, "<u4").astype(f"<u{width}").tobytes())
-        for name, values in (("offsets", np.array(offsets, "<u8")), ("docs", np.array(ids, "<i8"))):
-            with files.open_output_stream(f"{own}.{name}") as out:
+        for part, values in (("offsets", np.array(offsets, "<u8")), ("docs", np.array(ids, "<i8"))):
+            with files.open_output_stream(f"{own}.{part}") as out:
                 out.write(values.tobytes())
-        for name in ("ids", "offsets", "docs"):
-            files.move(f"{own}.{name}", f"{base}/{k}.{name}")
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "n_ids": pa.array([at], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "name": [name], "n_ids": pa.array([at], pa.int64())})
 
     rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
-    sizes = dict(batched(rows.select("doc_id", "text")).mapInArrow(write, "shard int, n_ids long").collect())  # a row a shard
+    written = batched(rows.select("doc_id", "text")).mapInArrow(write, "shard int, name string, n_ids long").collect()  # a row a shard
     bases, total = [], 0
-    for k in sorted(sizes):
-        bases.append([k, total])
-        total += sizes[k]
+    for k, name, n in sorted(map(tuple, written)):
+        bases.append([k, name, total])
+        total += n
     with files.open_output_stream(f"{base}/index.json") as out:
         out.write(json.dumps({"width": width, "bases": bases, "n_ids": total}).encode())
 
@@ -102,14 +102,14 @@ def read_token_files(spark: SparkSession, root: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _open(root)
         for batch in batches:
-            for k, first in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist()):
-                offsets = np.frombuffer(_map(files, f"{base}/{k}.offsets"), "<u8").astype(np.int64)
-                docs = np.frombuffer(_map(files, f"{base}/{k}.docs"), "<i8")
-                ids = np.frombuffer(_map(files, f"{base}/{k}.ids"), f"<u{width}")
+            for name, first in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist()):
+                offsets = np.frombuffer(_map(files, f"{base}/{name}.offsets"), "<u8").astype(np.int64)
+                docs = np.frombuffer(_map(files, f"{base}/{name}.docs"), "<i8")
+                ids = np.frombuffer(_map(files, f"{base}/{name}.ids"), f"<u{width}")
                 for i in range(0, len(docs), BATCH):
                     own, at = docs[i : i + BATCH], offsets[i : i + BATCH + 1]
                     crc = [crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:])]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(own, mask=own == NULL_ID), "start": pa.array(at[:-1] + first), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    bases = spark.createDataFrame([(k, b) for k, b in index["bases"]] or [], "shard int, base long")
+    bases = spark.createDataFrame([tuple(b) for b in index["bases"]], "shard int, name string, base long")
     return bases.repartition(max(1, len(index["bases"])), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -115,7 +115,7 @@ def test_token_files_round_trip(spark, tokenizer, tmp_path):
         at += len(ids)
     index = json.loads((tmp_path / "t" / "index.json").read_text())
     assert index["n_ids"] == at and index["width"] == 2
-    whole = np.concatenate([np.fromfile(tmp_path / "t" / f"{k}.ids", "<u2") for k, _ in index["bases"]])
+    whole = np.concatenate([np.fromfile(tmp_path / "t" / f"{name}.ids", "<u2") for _, name, _ in index["bases"]])
     assert len(whole) == at
     assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".")]
 
