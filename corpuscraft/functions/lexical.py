@@ -207,14 +207,21 @@ def entity_type_or(kind: Column | str, cluster: Column | str | None = None, bits
     return F.coalesce(col(kind), *([F.substring(col(cluster), 1, bits)] if cluster is not None else []), F.lit("NOTYPE"))
 
 
+#: Labels of properties, and those that count as none.
+LIKELY, UNLIKELY, NOT_AN_ARG = "LIKELY", "UNLIKELY", "NOT_AN_ARG"
+SPRL_NIL = ("NA", "NOT_AN_ARG", "UNLIKELY")
+
+
 def sprl_label(value: Column | str, applicable: Column | str | None = None, threshold: float = 4.0) -> Column:
-    """likely if the property applies and its value reaches the threshold, else unlikely."""
+    """LIKELY if the property applies and its value reaches the threshold, else UNLIKELY."""
     applies = col(applicable) if applicable is not None else F.lit(True)
-    return F.when(F.coalesce(applies & (col(value) >= threshold), F.lit(False)), "likely").otherwise("unlikely")
+    return F.when(F.coalesce(applies & (col(value) >= threshold), F.lit(False)), LIKELY).otherwise(UNLIKELY)
 
 
 def sprl_value(label: Column | str) -> Column:
-    return F.when(col(label) == "likely", 5.0).otherwise(1.0)
+    """5 for LIKELY, 1 for UNLIKELY; any other label is an error."""
+    x = col(label)
+    return F.when(x == LIKELY, 5.0).when(x == UNLIKELY, 1.0).when(x.isNotNull(), F.raise_error(F.concat(F.lit("no property label: "), x)).cast("double"))
 
 
 # numbers, lists and vectors

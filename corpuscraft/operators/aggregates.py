@@ -159,8 +159,11 @@ def select_unigram_bigram(unigrams: DataFrame, gain, n: int, first: int = 45):
     """
     best = select_templates(gain(unigrams), first).where("selected = 'Y'").select("template")
     own = unigrams.join(best, "template", "left_semi").where(~F.col("template").contains("PATHGRAM"))
-    other = own.select("ex", F.col("template").alias("t2"), F.col("feature").alias("f2"))
-    bigrams = own.join(other, "ex").where("template < t2").select("ex", F.concat_ws("+", "template", "t2").alias("template"), F.concat_ws("_", "feature", "f2").alias("feature"))
+    # the pairs of an example are made in its row
+    row = own.groupBy("ex").agg(F.array_sort(F.collect_list(F.struct("template", "feature"))).alias("fs"))
+    first = row.select("ex", "fs", F.explode("fs").alias("a"))
+    rest = first.select("ex", "a", F.explode(F.filter("fs", lambda b: b["template"] > F.col("a.template"))).alias("b"))
+    bigrams = rest.select("ex", F.concat_ws("+", "a.template", "b.template").alias("template"), F.concat_ws("_", "a.feature", "b.feature").alias("feature"))
     report = select_templates(gain(bigrams), n)
     chosen = report.where("selected = 'Y'").select("template").unionByName(unigrams.select("template").distinct())
     return report, chosen

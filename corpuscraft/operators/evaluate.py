@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexical import is_norel, is_punct, sense_suffix
+from ..functions.lexical import NOT_AN_ARG, SPRL_NIL, is_norel, is_punct, sense_suffix
 from .joins import align
 from .tables import KEYS
 from .windows import chunks
@@ -77,12 +77,12 @@ def ner_f1(gold: DataFrame, pred: DataFrame, tag: str = "ne_tag") -> DataFrame:
 SRL_SCORINGS = {"srl_position": (False, False, True, False), "srl_sense": (True, True, False, False), "srl_roles": (True, False, False, True), "srl_all": (True, True, False, True)}
 
 
-def srl_scores(gold: DataFrame, pred: DataFrame, scorings: dict[str, tuple[bool, bool, bool, bool]] = SRL_SCORINGS, skip: DataFrame | None = None) -> DataFrame:
+def srl_scores(gold: DataFrame, pred: DataFrame, scorings: dict[str, tuple[bool, bool, bool, bool]] = SRL_SCORINGS, skip: DataFrame | None = None, suffix: bool = True) -> DataFrame:
     """Precision, recall and F1 of arcs (p, c, label) for each scoring (labeled, sense, position, roles), as rows (kind, ...).
 
     Arcs with p = -1 hold a predicate's position and sense, others its roles. sense, position: score the former; roles: score
     the latter. Unless positions are scored, only arcs of gold predicates count. Labels are compared if ``labeled``,
-    those of predicates only if senses are scored, behind their last dot. ``skip`` leaves out pairs (p, c).
+    those of predicates only if senses are scored, with ``suffix`` behind their last dot. ``skip`` leaves out pairs (p, c).
     Both sides meet in one shuffle by predicate, whatever the number of scorings.
     """
     head = F.when(F.col("p") == -1, F.col("c")).otherwise(F.col("p")).alias("_q")
@@ -97,15 +97,15 @@ def srl_scores(gold: DataFrame, pred: DataFrame, scorings: dict[str, tuple[bool,
     for kind, (labeled, sense, position, roles) in scorings.items():
         at = (wall & F.lit(sense or position)) | (~wall & F.lit(roles))
         at = at if position else at & F.col("known")
-        same = F.when(wall, sense_suffix(g) == sense_suffix(q) if sense else F.lit(True)).otherwise(g == q) if labeled else F.lit(True)
+        same = F.when(wall, (sense_suffix(g) == sense_suffix(q) if suffix else g == q) if sense else F.lit(True)).otherwise(g == q) if labeled else F.lit(True)
         count = lambda c, name: F.count_if(at & c).alias(name)  # noqa: B023, E731
         rows.append(F.struct(F.lit(kind).alias("kind"), count(g.isNotNull() & q.isNotNull() & same, "n_correct"), count(q.isNotNull(), "n_pred"), count(g.isNotNull(), "n_gold")))
     return prf(x.agg(F.array(*rows).alias("x")).select(F.inline("x")))
 
 
-def srl_f1(gold: DataFrame, pred: DataFrame, labeled: bool = True, sense: bool = True, position: bool = False, roles: bool = True, skip: DataFrame | None = None) -> DataFrame:
+def srl_f1(gold: DataFrame, pred: DataFrame, labeled: bool = True, sense: bool = True, position: bool = False, roles: bool = True, skip: DataFrame | None = None, suffix: bool = True) -> DataFrame:
     """One of srl_scores; by default senses and roles of the gold predicates."""
-    return srl_scores(gold, pred, {"srl": (labeled, sense, position, roles)}, skip).drop("kind")
+    return srl_scores(gold, pred, {"srl": (labeled, sense, position, roles)}, skip, suffix).drop("kind")
 
 
 def rel_f1(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -160,12 +160,9 @@ def confusion_scores(cells: DataFrame, nil: list[str], by: list[str] | None = No
 
 
 def examples_per_cell(aligned: DataFrame, n: int, text: str, key: str) -> DataFrame:
-    """The n shortest examples of each cell, kept in a bounded buffer a task and cell."""
-    pick = F.slice(F.array_sort(F.collect_list(F.struct(F.length(text).alias("len"), F.col(key).alias("key")))), 1, n)
-    # a first grouping by a part of the key bounds what a cell gathers in one place
-    part = aligned.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(1024))).groupBy("gold", "pred", "_part").agg(pick.alias("x"))
-    spread = part.select("gold", "pred", F.explode("x").alias("x"))
-    return spread.groupBy("gold", "pred").agg(F.slice(F.array_sort(F.collect_list("x")), 1, n).alias("x")).select("gold", "pred", F.posexplode("x").alias("rank", "y")).select("gold", "pred", "rank", F.col("y.key").alias(key))
+    """The n shortest examples of each cell. Spark keeps n of a cell in each task before any are shuffled."""
+    rank = F.row_number().over(Window.partitionBy("gold", "pred").orderBy(F.length(text), key)) - 1
+    return aligned.withColumn("rank", rank).where(F.col("rank") < n).select("gold", "pred", "rank", key)
 
 
 def majority_baseline(cells: DataFrame, nil: list[str], by: list[str] | None = None) -> DataFrame:
@@ -183,28 +180,30 @@ def majority_baseline(cells: DataFrame, nil: list[str], by: list[str] | None = N
 def category_max_f1(cells: DataFrame, nil: list[str], category: str) -> DataFrame:
     """For each category, whether guessing its majority or nil gives the best F1 over all: category, guess, and that F1.
 
-    Adding a category's guesses helps F1 = 2C / (P + G) as long as its share of right guesses beats half of
-    the F1 so far, so the best choice takes categories by that share: one sum over the ordered categories.
+    A choice of categories has F1 = 2C / (P + G). It beats a ratio f if 2C - fP > fG, and the left side is largest with just the
+    categories whose own 2c - fp is positive. So f rises from 0 to the F1 of that choice until it stays: a few
+    sums over the categories, whatever their number.
     """
     base = majority_baseline(cells, nil, [category])  # a row a category
-    order = Window.orderBy(F.desc("share"), category).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = base.withColumn("share", _ratio("n_correct", "n_pred"))
-    total = F.sum("n_gold").over(Window.partitionBy(F.lit(1)))
-    run = x.withColumn("f", 2 * F.sum("n_correct").over(order) / F.greatest(F.sum("n_pred").over(order) + total, F.lit(1))).withColumn("place", F.row_number().over(Window.orderBy(F.desc("share"), category)))
-    best = run.agg(F.max(F.struct("f", (-F.col("place")).alias("m"))).alias("b"))
-    out = run.crossJoin(F.broadcast(best))  # one row
-    return out.select(category, F.when(F.col("place") <= -F.col("b.m"), F.col("label")).otherwise(nil[0]).alias("guess"), F.col("b.f").alias("f1"))
-
-
-def sprl_scores(pairs: DataFrame, gold: DataFrame, pred: DataFrame, properties: list[str], nil: str = "nil") -> tuple[DataFrame, DataFrame]:
-    """Confusion cells by property over all candidate pairs (pred, arg), and their scores; what isn't labelled is nil."""
+    gain = lambda f: 2 * F.col("n_correct") - F.lit(f) * F.col("n_pred") > 0
+    best = 0.0
+    while True:
+        own = lambda c: F.sum(F.when(gain(best), F.col(c)).otherwise(0))  # noqa: B023, E731
+        c, p, g = base.agg(own("n_correct"), own("n_pred"), F.sum("n_gold")).first()
+        f = 2 * c / (p + g) if c else 0.0
+        if f <= best:
+            break
+        best = f
+    return base.select(category, F.when(gain(best), F.col("label")).otherwise(nil[0]).alias("guess"), F.lit(best).alias("f1"))
+
+
+def sprl_scores(pairs: DataFrame, gold: DataFrame, pred: DataFrame, nil: tuple[str, ...] = SPRL_NIL) -> tuple[DataFrame, DataFrame]:
+    """Confusion cells by property (null: of all), and their scores. What counts are the properties that gold labels on the candidate pairs (pred, arg); a pair that the prediction lacks is no argument."""
     keys = [*KEYS, "pred", "arg"]
-    grid = pairs.select(*keys, F.explode(F.array(*map(F.lit, properties))).alias("property"))
-    side = lambda t, name: t.select(*keys, "property", F.col("label").alias(name))
-    x = grid.join(side(gold, "gold"), [*keys, "property"], "left").join(side(pred, "pred_label"), [*keys, "property"], "left")
-    x = x.select("property", F.coalesce("gold", F.lit(nil)).alias("gold"), F.coalesce("pred_label", F.lit(nil)).alias("pred"))
-    cells = confusion(x, ["property"])
-    return cells, confusion_scores(cells, [nil], ["property"])
+    known = gold.join(pairs.select(*keys).distinct(), keys, "left_semi").select(*keys, "property", F.col("label").alias("gold"))
+    x = known.join(pred.select(*keys, "property", F.col("label").alias("pred_label")), [*keys, "property"], "left")
+    cells = confusion(x.select("property", "gold", F.coalesce("pred_label", F.lit(NOT_AN_ARG)).alias("pred")), ["property"])
+    return cells, confusion_scores(cells, list(nil), ["property"])
 
 
 def mask_counts(mask: DataFrame) -> DataFrame:
@@ -238,3 +237,49 @@ def evaluate_all(gold: DataFrame, pred: DataFrame) -> DataFrame:
         if m == "parent_accuracy" or m.startswith("uas"):
             rows.append(F.struct(F.lit(f"{m}_exact").alias("metric"), F.count_if(F.col(f"{m}_c") == F.col(f"{m}_n")).alias("n_correct"), F.count("*").alias("n_total")))
     return per.agg(F.array(*rows).alias("x")).select(F.inline("x")).withColumn("score", _ratio("n_correct", "n_total"))
+
+
+def evaluate_suite(gold: dict[str, DataFrame], pred: dict[str, DataFrame], skip_punct: bool = False) -> DataFrame:
+    """All metrics of two corpora: (metric, n_correct, n_pred, n_gold, score), score = 2 n_correct / (n_pred + n_gold), which for a share of n is n_correct / n.
+
+    Each corpus is tables by name, and what one lacks is left out: tokens; arcs (p, c, label); props (pred, arg, property, label);
+    labels (k, label: of mention pairs); heads (candidate_heads of the prediction). Every table is aligned once.
+    """
+    rows: list[DataFrame] = []
+
+    def share(df: DataFrame, names: dict[str, tuple[str, str]]) -> None:
+        """Metrics that are a count of another, both columns of the one row."""
+        cells = [F.struct(F.lit(m).alias("metric"), *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n) for n, c in zip(("n_correct", "n_pred", "n_gold"), (part, whole, whole)))) for m, (part, whole) in names.items()]
+        rows.append(df.select(F.inline(F.array(*cells))))
+
+    def scores(df: DataFrame, metric: Column) -> None:
+        rows.append(df.select(metric.alias("metric"), "n_correct", "n_pred", "n_gold"))
+
+    both = set(gold) & set(pred)
+    if "heads" in pred:
+        from .pairs import heads_report
+
+        share(heads_report(pred["heads"], skip_punct), {"pruning_efficiency": ("n_pruned", "n_total"), "oracle_pruning_accuracy": ("n_gold_kept", "n_gold"), "oracle_pruning_exact": ("n_exact", "n_sents")})
+    if "tokens" in both:
+        rows.append(evaluate_all(gold["tokens"], pred["tokens"]).select("metric", "n_correct", F.col("n_total").alias("n_pred"), F.col("n_total").alias("n_gold")))
+        layers = [c for c in pred["tokens"].columns if c not in (*KEYS, "tok")]
+        per = pred["tokens"].groupBy(*KEYS).agg(*(F.bool_and(F.col(c).isNotNull()).alias(c) for c in layers))
+        have = per.agg(F.count("*").alias("_n"), *(F.count_if(c).alias(c) for c in layers))
+        share(have, {f"annotated_{c}": (c, "_n") for c in layers})
+    if "arcs" in both:
+        share(pred_id_accuracy(gold["arcs"], pred["arcs"], gold["tokens"]), {"predicate_accuracy": ("n_correct", "n_total")})
+        share(pred["arcs"].agg(F.count_if(F.col("p") == F.col("c")).alias("loops"), F.count("*").alias("n")), {"self_loops": ("loops", "n")})
+        scores(srl_scores(gold["arcs"], pred["arcs"]), F.col("kind"))
+    if "props" in both:
+        given = gold["arcs"].where("p >= 0").select(*KEYS, F.col("p").alias("pred"), F.col("c").alias("arg")) if "arcs" in gold else gold["props"]
+        cells, found = sprl_scores(given, gold["props"], pred["props"])
+        scores(found, F.coalesce(F.concat(F.lit("sprl_"), "property"), F.lit("sprl")))
+        scores(sprl_scores(given.where("pred <> arg"), gold["props"], pred["props"])[1].where("property is null"), F.lit("sprl_no_loops"))
+        majority = majority_baseline(cells, list(SPRL_NIL), ["property"])
+        scores(majority, F.concat(F.lit("sprl_majority_"), F.coalesce("property", F.lit("all"))))
+    if "labels" in both:
+        keys = [*KEYS, "k"]
+        pairs = gold["labels"].select(*keys, F.col("label").alias("gold")).join(pred["labels"].select(*keys, F.col("label").alias("pred")), keys, "left")
+        scores(rel_f1(pairs), F.lit("relations"))
+    out = reduce(DataFrame.unionByName, rows)
+    return out.withColumn("score", F.when(F.col("n_pred") + F.col("n_gold") == 0, 0.0).otherwise(2 * F.col("n_correct") / (F.col("n_pred") + F.col("n_gold"))))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trees
-from ..functions.lexical import affix, bag, bin_int, is_capitalized, morpho6, ngrams, no_dup, strict_pos
+from ..functions.lexical import affix, bag, bin_int, is_capitalized, is_noun, is_verb, morpho6, morpho_str, ngrams, no_dup, strict_pos
 from .tables import KEYS
 
 
@@ -30,14 +30,14 @@ class Token:
         return f"{self.prop}({self.modifier}({self.position}))" if self.modifier != "self" else f"{self.prop}({self.position})"
 
     def layers(self) -> set[str]:
-        need = {"word": {"words"}, "lc": {"words"}, "cap": {"words"}, "spos": {"pos"}, "chpre": {"words"}, "chsuf": {"words"}, "morpho": {"feats"}}
+        need = {"word": {"words"}, "lc": {"words"}, "cap": {"words"}, "spos": {"pos"}, "chpre": {"words"}, "chsuf": {"words"}, "morpho": {"feats"}, "morphostr": {"feats"}}
         own = need.get(self.prop.rstrip("12345"), {_layer(self.prop)})
         return own | ({"parents"} if self.modifier not in ("self", "before1", "before2", "after1", "after2") else set()) | ({"pos"} if "_" in self.modifier else set())
 
 
 @dataclass(frozen=True)
 class List:
-    """A property along a list of tokens. source: path (over the tree), line, between, children, no_far_children. form: seq, bag, no_dup, 1gram, 2gram, 3gram. edge: direction of the tree's edges as well."""
+    """A property along a list of tokens. source: path (over the tree), path_p_lca, path_c_lca (from p or c up to their lowest common token), path_lca_root (from there to the root), line, between, children, no_far_children. form: seq, bag, no_dup, 1gram, 2gram, 3gram. edge: direction of the tree's edges as well."""
 
     prop: str
     source: str = "path"
@@ -46,7 +46,7 @@ class List:
     edge: bool = False
 
     def name(self) -> str:
-        where = self.source if self.source in ("path", "line", "between") else f"{self.source}({self.position})"
+        where = self.source if self.source in (*PATHS, "line", "between") else f"{self.source}({self.position})"
         return f"{self.form}({self.prop}{'+dir' if self.edge else ''}({where}))"
 
     def layers(self) -> set[str]:
@@ -80,6 +80,7 @@ class Joint:
 
 
 Template = Token | List | Pair | Joint
+PATHS = ("path", "path_p_lca", "path_c_lca", "path_lca_root")
 PROPS = {"word": "words", "lemma": "lemmas", "pos": "pos", "cpos": "cpos", "cluster": "clusters", "prefix": "prefixes", "chunk": "chunks", "ne": "ne_tags", "deprel": "deprels"}
 
 
@@ -130,7 +131,7 @@ def all_unigrams(props: Iterable[str] = ("word", "lemma", "pos", "cluster", "dep
     """Every single template that makes sense over the properties."""
     mods = ("self", "before1", "before2", "after1", "after2", "head", "lns", "rns", "lmc", "rmc", "lnc", "rnc", "low_verb", "high_verb", "low_noun", "high_noun")
     out: list[Template] = [Token(p, at, m) for p in props for at in "pc" for m in mods]
-    out += [List(p, s, f) for p in props for s in ("path", "line", "between") for f in ("seq", "bag", "no_dup", "1gram", "2gram", "3gram")]
+    out += [List(p, s, f) for p in props for s in (*PATHS, "line", "between") for f in ("seq", "bag", "no_dup", "1gram", "2gram", "3gram")]
     out += [List(p, s, f, at) for p in props for s in ("children", "no_far_children") for f in ("seq", "bag", "no_dup") for at in "pc"]
     out += [Pair(k) for k in ("relative", "distance", "edge", "direction_edge", "genealogy", "continuity", "path_len", "sent_len", "path_grams")]
     return out
@@ -199,7 +200,7 @@ def _value(prop: str, i: Column) -> Column:
     return F.when(i < 0, "BOS").when(i >= n, "EOS").otherwise(v)
 
 
-def _moved(at: Column, modifier: str) -> Column:
+def _moved(at: Column, modifier: str, lang: str) -> Column:
     n = F.size("words")
     if modifier == "self":
         return at
@@ -209,7 +210,7 @@ def _moved(at: Column, modifier: str) -> Column:
         return F.when(at >= 0, F.get("parents", at))
     if "_" in modifier:
         which, kind = modifier.split("_")
-        return trees.support_token("parents", F.transform("pos", lambda t: strict_pos(t)), at, kind.upper(), which)
+        return trees.support_token("parents", F.transform("pos", lambda t: {"noun": is_noun, "verb": is_verb}[kind](t, lang)), at, which)
     if modifier in ("lns", "rns"):
         same = trees.children("parents", F.get("parents", at))
         return F.coalesce(F.array_max(F.filter(same, lambda x: x < at)), F.lit(-1)) if modifier == "lns" else F.coalesce(F.array_min(F.filter(same, lambda x: x > at)), n)
@@ -227,23 +228,25 @@ def _cross(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit("_"), y))))
 
 
-def _evaluate(t: Template) -> Column:
+def _evaluate(t: Template, lang: str = "en") -> Column:
     """The features of a template on the row's example, an array of texts; empty if it has none."""
     p, c = F.col("p"), F.col("c")
     at = {"p": p, "c": c}
     if isinstance(t, Joint):
-        out = _evaluate(t.parts[0])
+        out = _evaluate(t.parts[0], lang)
         for part in t.parts[1:]:
-            more = _evaluate(part)
+            more = _evaluate(part, lang)
             out = _cross(out, more)
         return out
     if isinstance(t, Token):
+        if t.prop == "morphostr":
+            return _text(morpho_str(F.get("feats", _moved(at[t.position], t.modifier, lang))))
         if t.prop == "morpho":
-            return F.filter(morpho6(F.get("feats", _moved(at[t.position], t.modifier))), lambda m: m != "NO_MORPH")
-        return _text(_value(t.prop, _moved(at[t.position], t.modifier)))
+            return F.filter(morpho6(F.get("feats", _moved(at[t.position], t.modifier, lang))), lambda m: m != "NO_MORPH")
+        return _text(_value(t.prop, _moved(at[t.position], t.modifier, lang)))
     if isinstance(t, List):
-        if t.source == "path":
-            path = trees.dep_path("parents", p, c)
+        if t.source in PATHS:
+            path = trees.dep_path("parents", p, c) if t.source == "path" else trees.path_part("parents", p, c, t.source.removeprefix("path_"))
             items = trees.path_props(path, _layer(t.prop), t.edge)
         else:
             toks = {"line": lambda: trees.line_path(p, c), "between": lambda: trees.between(p, c), "children": lambda: trees.children("parents", at[t.position]), "no_far_children": lambda: trees.no_far_children("parents", at[t.position])}[t.source]()
@@ -270,13 +273,13 @@ def _evaluate(t: Template) -> Column:
     return _text(kinds[t.kind]())
 
 
-def extract(examples: DataFrame, templates: Iterable[Template], hashed: bool = False, mod: int | None = None) -> DataFrame:
+def extract(examples: DataFrame, templates: Iterable[Template], hashed: bool = False, mod: int | None = None, lang: str = "en") -> DataFrame:
     """(keys, p, c, template, feature) of examples: rows with the sentence's layers and p, c.
 
-    hashed: features as 64-bit integers; mod: as buckets below it.
+    hashed: features as 64-bit integers; mod: as buckets below it. lang: whose noun and verb tags support tokens have.
     """
     templates = list(templates)
-    parts = F.array(*(F.struct(F.lit(t.name()).alias("template"), _evaluate(t).alias("fs")) for t in templates))
+    parts = F.array(*(F.struct(F.lit(t.name()).alias("template"), _evaluate(t, lang).alias("fs")) for t in templates))
     rows = examples.select(*KEYS, "p", "c", F.explode(parts).alias("x")).select(*KEYS, "p", "c", "x.template", F.explode("x.fs").alias("feature"))
     if hashed or mod:
         value = F.xxhash64("template", "feature")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import trees
-from ..functions.lexical import is_norel, parse_label
+from ..functions.lexical import is_norel, is_punct, parse_label
 from .joins import all_arcs, keep_gold, ne_pairs, pair_relation
 from .tables import KEYS, drop_layers, gold_only
 from .windows import folds, sample_split, shuffle
@@ -73,18 +73,19 @@ def _limits(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidate_heads(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_right_branching: bool = True) -> DataFrame:
-    """A row a token c: n, the first token of its block, its parent (null if toks has none), and ``heads``, the tokens (-1: the wall) that distance_prune keeps as its head.
+    """A row a token c: n, the first token of its block, its parent (null if toks has none), whether it is punctuation (where toks has words), and ``heads``, the tokens (-1: the wall) that distance_prune keeps as its head.
 
     The pruner's table is joined once a token, as arrays by tag id, so deciding an arc is an array access.
     Sentences are dealt out in blocks of tokens before their arcs grow; a token's arcs stay in its row.
     """
     limits, ids = _limits(table)
     parent = F.col("parent") if "parent" in toks.columns else F.lit(None).cast("int")
-    x = toks.select(*KEYS, "tok", F.col(tag).alias("tag"), parent.alias("parent")).join(ids, "tag", "left")
-    row = x.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("tok", "id", "tag", "parent"))).alias("ts"))
+    punct = F.coalesce(is_punct("word"), F.lit(False)) if "word" in toks.columns else F.lit(False)
+    x = toks.select(*KEYS, "tok", F.col(tag).alias("tag"), parent.alias("parent"), punct.alias("punct")).join(ids, "tag", "left")
+    row = x.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("tok", "id", "tag", "parent", "punct"))).alias("ts"))
     blocks = row.select(*KEYS, F.transform("ts", lambda t: t["id"]).alias("ids"), F.size("ts").alias("n"), F.explode(F.sequence(F.lit(1), F.size("ts"), F.lit(BLOCK))).alias("_from"), "ts")
     blocks = blocks.select(*KEYS, "ids", "n", (F.col("_from") - 1).alias("block"), F.slice("ts", F.col("_from"), F.lit(BLOCK)).alias("ts")).repartition(*KEYS, "block")
-    each = blocks.select(*KEYS, "ids", "n", "block", F.explode("ts").alias("t")).select(*KEYS, "ids", "n", "block", F.col("t.tok").alias("c"), F.col("t.tag").alias("ctag"), F.col("t.parent").alias("parent"))
+    each = blocks.select(*KEYS, "ids", "n", "block", F.explode("ts").alias("t")).select(*KEYS, "ids", "n", "block", F.col("t.tok").alias("c"), F.col("t.tag").alias("ctag"), F.col("t.parent").alias("parent"), F.col("t.punct").alias("punct"))
     each = each.join(limits, "ctag", "left").crossJoin(F.broadcast(ids.where(F.col("tag") == WALL).select(F.col("id").alias("_wall"))))  # one row
     c = F.col("c")
 
@@ -94,7 +95,7 @@ def candidate_heads(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_ri
         # a tag that the table lacks has no id or no limits
         return (p != c) & F.coalesce(near | (p == c - 1) if keep_right_branching else near, F.lit(True))
 
-    return each.select(*KEYS, "block", "c", "n", "parent", F.filter(F.sequence(F.lit(-1), F.col("n") - 1), kept).alias("heads"))
+    return each.select(*KEYS, "block", "c", "n", "parent", "punct", F.filter(F.sequence(F.lit(-1), F.col("n") - 1), kept).alias("heads"))
 
 
 def distance_prune(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_right_branching: bool = True) -> DataFrame:
@@ -107,14 +108,17 @@ def distance_prune(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_rig
     return x.select(*KEYS, "c", F.inline(marks)).where("p <> c").select(*ARC, "kept")
 
 
-def heads_report(heads: DataFrame) -> DataFrame:
-    """Of candidate_heads: arcs outside the tree that are pruned (n_pruned of n_total), and gold arcs that are kept (n_gold_kept of n_gold, n_exact of n_sents)."""
-    tree = F.coalesce(F.col("parent") >= -1, F.lit(False))
+def heads_report(heads: DataFrame, skip_punct: bool = False) -> DataFrame:
+    """Of candidate_heads: arcs outside the tree that are pruned (n_pruned of n_total), gold arcs that are kept (n_gold_kept of n_gold), and sentences that lose none (n_exact of n_sents). skip_punct: without arcs to punctuation."""
+    counts = ~F.col("punct") if skip_punct else F.lit(True)
+    tree = counts & F.coalesce(F.col("parent") >= -1, F.lit(False))
     ok = F.coalesce(tree & F.array_contains("heads", F.col("parent")), F.lit(False))
+    number = lambda c: F.when(counts, c).otherwise(0)
     # as many partial sums as blocks, so a long sentence is no long task
-    per = heads.select(*KEYS, "block", tree.cast("int").alias("t"), ok.cast("int").alias("k"), (F.col("n") - F.size("heads")).alias("gone"), "n").groupBy(*KEYS, "block").agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.sum(F.col("gone") - F.col("t") + F.col("k")).alias("pruned"), F.sum(F.col("n") - F.col("t")).alias("rest"))
+    per = heads.select(*KEYS, "block", tree.cast("int").alias("t"), ok.cast("int").alias("k"), number(F.col("n") - F.size("heads")).alias("gone"), number(F.col("n")).alias("all"))
+    per = per.groupBy(*KEYS, "block").agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.sum(F.col("gone") - F.col("t") + F.col("k")).alias("pruned"), F.sum(F.col("all") - F.col("t")).alias("rest"))
     sents = per.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("t", "k", "pruned", "rest")))
-    out = sents.agg(F.sum("pruned").alias("n_pruned"), F.sum("rest").alias("n_total"), F.sum("k").alias("n_gold_kept"), F.sum("t").alias("n_gold"), F.count_if((F.col("t") == F.col("k")) & (F.col("t") > 0)).alias("n_exact"), F.count_if(F.col("t") > 0).alias("n_sents"))
+    out = sents.agg(F.sum("pruned").alias("n_pruned"), F.sum("rest").alias("n_total"), F.sum("k").alias("n_gold_kept"), F.sum("t").alias("n_gold"), F.count_if(F.col("t") == F.col("k")).alias("n_exact"), F.count("*").alias("n_sents"))
     return out.withColumn("score", F.when(F.col("n_total") == 0, 0.0).otherwise(F.col("n_pruned") / F.col("n_total")))
 
 
@@ -178,7 +182,7 @@ def splits(train: DataFrame, dev: DataFrame | None = None, test: DataFrame | Non
 
 def jackknife(df: DataFrame, k: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], *order: str) -> DataFrame:
     """Each of k folds annotated by what is fitted on the others."""
-    marked = folds(df, k, *order).persist()
+    marked = folds(df, k, *order)
     out = None
     for i in range(k):
         part = fit(marked.where(F.col("fold") != i))(marked.where(F.col("fold") == i))

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexical import NOT_AN_ARG
+
 KEYS = ["corpus", "sent_id"]
 #: Layers of a sentence that have a value a token, and their names there.
 TOKEN_LAYERS = {"words": "word", "prefixes": "prefix", "lemmas": "lemma", "pos": "pos", "cpos": "cpos", "spos": "spos", "clusters": "cluster", "chunks": "chunk", "ne_tags": "ne_tag", "deprels": "deprel", "parents": "parent", "feats": "morpho", "embed_ids": "embed_id"}
@@ -115,12 +117,12 @@ def known_pairs(a: DataFrame) -> DataFrame:
     return a.where("p >= 0").select(*KEYS, "p", "c").distinct()
 
 
-def set_props(props: DataFrame, seq: str, nil: str = "nil") -> DataFrame:
+def set_props(props: DataFrame, seq: str, nil: str = NOT_AN_ARG) -> DataFrame:
     """One label a (pred, arg, property): the last by ``seq``. ``overwritten`` counts the labels it replaced; a label on a nil pair is an error."""
     keys = [*KEYS, "pred", "arg"]
     nil_pairs = props.where(F.col("label") == nil).select(*keys).distinct().withColumn("_nil", F.lit(True))
     clash = F.col("_nil") & (F.col("label") != nil)
-    checked = props.join(nil_pairs, keys, "left").withColumn("label", F.when(F.coalesce(clash, F.lit(False)), F.raise_error("a nil pair has a label")).otherwise(F.col("label")))
+    checked = props.join(nil_pairs, keys, "left").withColumn("label", F.when(F.coalesce(clash, F.lit(False)), F.raise_error(F.lit("a nil pair has a label"))).otherwise(F.col("label")))
     return checked.groupBy(*keys, "property").agg(F.max_by("label", seq).alias("label"), (F.count("*") - 1).alias("overwritten"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .tables import KEYS, by_sentence
 
 
@@ -77,13 +78,13 @@ def num_left(toks: DataFrame, kinds: tuple[str, ...] = ("VERB", "NOUN", "PUNC",
 
 
 def num_between(pairs: DataFrame, counted: DataFrame, kind: str) -> DataFrame:
-    """Pairs (p, c; p may be the wall) with the count of a kind strictly between; counted comes from num_left."""
+    """Pairs (p, c; p may be the wall) with the count of a kind strictly between; counted comes from num_left. One join, with a row a sentence."""
     at = f"left_{kind.lower()}"
-    ends = lambda side: counted.select(*KEYS, F.col("tok").alias(side), F.col(at).alias(f"_{side}"), (F.col(at) + (F.col("spos") == kind).cast("long")).alias(f"_{side}1"))
-    x = pairs.join(ends("p"), [*KEYS, "p"], "left").join(ends("c"), [*KEYS, "c"], "left")
-    zero = F.lit(0)
-    count = F.when(F.col("p") < F.col("c"), F.col("_c") - F.coalesce("_p1", zero)).when(F.col("p") > F.col("c"), F.col("_p") - F.col("_c1")).otherwise(0)
-    return x.withColumn(f"between_{kind.lower()}", count).drop("_p", "_p1", "_c", "_c1")
+    row = counted.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("tok", F.col(at).alias("l"), (F.col(at) + F.coalesce(F.col("spos") == kind, F.lit(False)).cast("long")).alias("r")))).alias("_a"))
+    x = pairs.join(row, KEYS, "left")
+    left, upto = (lambda i: F.get("_a", i)["l"]), (lambda i: F.coalesce(F.get("_a", i)["r"], F.lit(0)))
+    p, c = F.col("p"), F.col("c")
+    return x.withColumn(f"between_{kind.lower()}", F.when(p < c, left(c) - upto(p)).when(p > c, left(p) - upto(c)).otherwise(0)).drop("_a")
 
 
 def topk_heads(scores: DataFrame, k: int) -> DataFrame:
@@ -99,7 +100,8 @@ def max_marginal_prune(scores: DataFrame, prop: float) -> DataFrame:
 
 def global_rank(df: DataFrame, *order: str) -> DataFrame:
     """Adds rn, the place from 0 in the whole frame, without gathering it: ranges are counted and the counts summed."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).persist()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = written(placed, "ranked")
     counts = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row a partition
     bases, total = [], 0
     for p, n in counts:

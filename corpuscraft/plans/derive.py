@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexical import is_punct
+from ..functions.lexical import col, is_punct
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,22 +24,29 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
 
 
 def _pos(word) -> F.Column:
-    size = F.length(word)
+    w = col(word)
+    size = F.length(w)
     return (
-        F.when(is_punct(word), ".").when(F.col(word).rlike("^[0-9]"), "CD").when(F.col(word).rlike(r"^\p{Lu}"), "NNP").when(size <= 2, "DT")
+        F.when(is_punct(w), ".").when(w.rlike("^[0-9]"), "CD").when(w.rlike(r"^\p{Lu}"), "NNP").when(size <= 2, "DT")
         .when(size % 5 == 0, "VBZ").when(size % 5 == 1, "NN").when(size % 5 == 2, "IN").when(size % 5 == 3, "VBD").otherwise("JJ")
     )
 
 
-def _parent(reach: int) -> F.Column:
-    odd = F.col("doc_id") % 2 != 0
-    r = F.when(odd, F.col("n") - 1 - F.col("tok")).otherwise(F.col("tok"))
-    up = F.when(r == 0, -1).otherwise(r - 1 - F.length("word") % F.least(r, F.lit(reach)))
+def _parent(reach: int, word="word", tok="tok") -> F.Column:
+    odd, w, t = F.col("doc_id") % 2 != 0, col(word), col(tok)
+    r = F.when(odd, F.col("n") - 1 - t).otherwise(t)
+    up = F.when(r == 0, -1).otherwise(r - 1 - F.length(w) % F.least(r, F.lit(reach)))
     return F.when(up == -1, -1).when(odd, F.col("n") - 1 - up).otherwise(up).cast("int")
 
 
-def _rel(pos: str, parent: str) -> F.Column:
-    return F.when(F.col(parent) == -1, "root").otherwise(F.concat(F.lower(pos), F.when(F.col(parent) < F.col("tok"), "R").otherwise("L")))
+def _rel(pos, parent, tok="tok") -> F.Column:
+    return F.when(col(parent) == -1, "root").otherwise(F.concat(F.lower(col(pos)), F.when(col(parent) < col(tok), "R").otherwise("L")))
+
+
+def sentence_layers(docs: DataFrame) -> DataFrame:
+    """Sentences with the gold layers of token_rows as arrays: words, pos, parents, deprels. Made in the row, without a shuffle."""
+    x = sentence_rows(docs).withColumn("pos", F.transform("words", _pos)).withColumn("parents", F.transform("words", lambda w, i: _parent(3, w, i)))
+    return x.withColumn("deprels", F.transform("words", lambda w, i: _rel(F.get("pos", i), F.get("parents", i), i)))
 
 
 def token_rows(docs: DataFrame, max_len: int | None = None, names: bool = False) -> DataFrame:

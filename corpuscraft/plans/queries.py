@@ -19,7 +19,7 @@ from ..operators import tables as tb
 from ..operators import windows as wn
 from ..sources.documents import ingest_text
 from ..sources.readers import limit_corpus
-from .derive import gold, predicted, sentence_rows, table, token_rows
+from .derive import gold, predicted, sentence_layers, sentence_rows, table, token_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,11 +37,8 @@ def _toks(spark: SparkSession, d: str, names: bool = False) -> DataFrame:
     return token_rows(_docs(spark, d), names=names)
 
 
-def _sents(x: DataFrame) -> DataFrame:
-    """Token rows back to sentences of arrays, in one shuffle."""
-    row = x.groupBy("corpus", "sent_id").agg(F.array_sort(F.collect_list(F.struct("tok", "word", "pos", "parent", "deprel"))).alias("r"))
-    layer = lambda c: F.transform("r", lambda y: y[c])
-    return row.select("corpus", "sent_id", layer("word").alias("words"), layer("pos").alias("pos"), layer("parent").alias("parents"), layer("deprel").alias("deprels"), F.size("r").alias("n"))
+def _sents(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_layers(_docs(spark, d))
 
 
 def _direct(x: DataFrame) -> DataFrame:
@@ -419,14 +416,14 @@ def arc_triples(spark, d):
 
 @query
 def root_path(spark, d):
-    s = _sents(_toks(spark, d))
+    s = _sents(spark, d)
     x = s.select("sent_id", F.posexplode(trees.root_paths("parents")).alias("tok", "path"))
     return x.select("sent_id", "tok", F.array_join("path", " ").alias("path"))
 
 
 def _path_pairs(spark, d):
     """Each token a and the one two places on, b, with their root paths up and down."""
-    s = _sents(_toks(spark, d)).where("n > 2").withColumn("ps", trees.root_paths("parents"))
+    s = _sents(spark, d).where("n > 2").withColumn("ps", trees.root_paths("parents"))
     both = F.arrays_zip(F.slice("ps", 1, F.col("n") - 2).alias("up"), F.slice("ps", 3, F.col("n") - 2).alias("down"))
     x = s.select("sent_id", "parents", "pos", F.posexplode(both).alias("a", "t")).withColumn("b", F.col("a") + 2)
     return x.select("sent_id", "parents", "pos", "a", "b", F.col("t")["up"].alias("up"), F.col("t")["down"].alias("down"))
@@ -448,7 +445,7 @@ def genealogy(spark, d):
 
 @query
 def projective(spark, d):
-    s = _sents(_toks(spark, d))
+    s = _sents(spark, d)
     return s.select("sent_id", trees.is_projective("parents").alias("projective"))
 
 
@@ -531,11 +528,16 @@ def role_pairs(spark, d):
 # features
 
 
+def _gold_examples(spark, d):
+    """Sentences with each of their gold arcs (p, c), made in the row."""
+    s = _sents(spark, d)
+    return s.select("*", F.posexplode("parents").alias("c", "p")).where("p >= 0")
+
+
 @query
 def arc_features(spark, d):
     """How often each feature of the gold arcs' templates occurs."""
-    x = _toks(spark, d)
-    ex = ft.examples(_sents(x), _direct(x).where("p >= 0"))
+    ex = _gold_examples(spark, d)
     return ft.extract(ex, ft.parse_spec(["pos(p) + pos(c) + RELATIVE", "pos(before1(c)) + DISTANCE", "EDGE + DIRECTION_EDGE + SENT_LEN", "bag(pos(between))"])).groupBy("template", "feature").agg(F.count("*").alias("cnt"))
 
 

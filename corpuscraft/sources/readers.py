@@ -1,7 +1,7 @@
 """Corpus formats as DataFrames of sentences: one row a sentence, one array column a layer.
 
 Every reader reads blocks between blank lines with Spark's text source, so a file is split over tasks,
-and numbers the sentences by file and place in it. Lines may end in CRLF. Blocks without a token are dropped.
+and numbers the sentences by file and place in it. A path may be a folder, with ``recursive`` one of folders. Lines may end in CRLF. Blocks without a token are dropped.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexical import null_if_underscore
+from .shared import written
 
 
 def read_blocks(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", recursive: bool = False) -> DataFrame:
@@ -33,7 +34,7 @@ def number(df: DataFrame, corpus: str) -> DataFrame:
     """Adds corpus and sent_id: consecutive from 0 by file and place, by counts of a range-sorted frame and their sums."""
     spark = df.sparkSession
     placed = df.repartitionByRange("file", "at").sortWithinPartitions("file", "at").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = placed.persist()
+    placed = written(placed, "numbered")
     counts = sorted((r["_p"], r["n"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row a partition
     bases, total = [], 0
     for p, n in counts:
@@ -69,23 +70,23 @@ def _checked(df: DataFrame, least: int) -> DataFrame:
     return df.withColumn("cells", F.when(short, F.raise_error(F.concat(F.lit(f"a line has fewer than {least} columns: "), F.array_join(F.flatten("cells"), " ")))).otherwise(F.col("cells")))
 
 
-def _table(spark: SparkSession, path: str, corpus: str, least: int, layers: dict[str, Column], encoding: str = "UTF-8", sep: str = r"\s+") -> DataFrame:
-    cells = _checked(read_blocks(spark, path, encoding).select("file", "at", _cells(F.col("lines"), sep).alias("cells")), least)
+def _table(spark: SparkSession, path: str, corpus: str, least: int, layers: dict[str, Column], encoding: str = "UTF-8", sep: str = r"\s+", recursive: bool = False) -> DataFrame:
+    cells = _checked(read_blocks(spark, path, encoding, recursive).select("file", "at", _cells(F.col("lines"), sep).alias("cells")), least)
     return number(cells.select("file", "at", *(c.alias(n) for n, c in layers.items())), corpus)
 
 
-def read_conll02(spark: SparkSession, path: str, corpus: str = "conll02", encoding: str = "UTF-8") -> DataFrame:
-    return _table(spark, path, corpus, 3, {"words": _layer(0), "pos": _layer(1), "ne_tags": _layer(2)}, encoding)
+def read_conll02(spark: SparkSession, path: str, corpus: str = "conll02", encoding: str = "UTF-8", recursive: bool = False) -> DataFrame:
+    return _table(spark, path, corpus, 3, {"words": _layer(0), "pos": _layer(1), "ne_tags": _layer(2)}, encoding, recursive=recursive)
 
 
-def read_conll03(spark: SparkSession, path: str, corpus: str = "conll03", encoding: str = "UTF-8") -> DataFrame:
+def read_conll03(spark: SparkSession, path: str, corpus: str = "conll03", encoding: str = "UTF-8", recursive: bool = False) -> DataFrame:
     """The document mark is a sentence of its own."""
-    return _table(spark, path, corpus, 4, {"words": _layer(0), "pos": _layer(1), "chunks": _layer(2), "ne_tags": _layer(3)}, encoding)
+    return _table(spark, path, corpus, 4, {"words": _layer(0), "pos": _layer(1), "chunks": _layer(2), "ne_tags": _layer(3)}, encoding, recursive=recursive)
 
 
-def read_conllx(spark: SparkSession, path: str, corpus: str = "conllx", use_phead: bool = False) -> DataFrame:
+def read_conllx(spark: SparkSession, path: str, corpus: str = "conllx", use_phead: bool = False, recursive: bool = False) -> DataFrame:
     head = 8 if use_phead else 6
-    return _table(spark, path, corpus, 8, {"words": _layer(1), "lemmas": _nullable(2), "cpos": _nullable(3), "pos": _nullable(4), "feats": _feats(5), "parents": _heads(head), "deprels": _nullable(head + 1)})
+    return _table(spark, path, corpus, 8, {"words": _layer(1), "lemmas": _nullable(2), "cpos": _nullable(3), "pos": _nullable(4), "feats": _feats(5), "parents": _heads(head), "deprels": _nullable(head + 1)}, recursive=recursive)
 
 
 def _arcs(pred_column: int, first: int, marked: Column | None = None) -> Column:
@@ -105,25 +106,25 @@ def _arcs(pred_column: int, first: int, marked: Column | None = None) -> Column:
     return F.concat(senses, roles)
 
 
-def read_conll08(spark: SparkSession, path: str, corpus: str = "conll08", gold: bool = True, split_forms: bool = True) -> DataFrame:
+def read_conll08(spark: SparkSession, path: str, corpus: str = "conll08", gold: bool = True, split_forms: bool = True, recursive: bool = False) -> DataFrame:
     """Forms, lemmas and tags of the split or unsplit words; heads and relations only with ``gold``."""
     layers = {"words": _layer(5 if split_forms else 1), "lemmas": _nullable(6 if split_forms else 2), "pos": _nullable(3 if gold else 7 if split_forms else 4)}
     none_i, none_s = F.lit(None).cast("array<int>"), F.lit(None).cast("array<string>")
     layers |= {"parents": _heads(8) if gold else none_i, "deprels": _nullable(9) if gold else none_s, "arcs": _arcs(10, 11)}
-    return _table(spark, path, corpus, 11, layers)
+    return _table(spark, path, corpus, 11, layers, recursive=recursive)
 
 
-def read_conll09(spark: SparkSession, path: str, corpus: str = "conll09", gold: bool = False) -> DataFrame:
+def read_conll09(spark: SparkSession, path: str, corpus: str = "conll09", gold: bool = False, recursive: bool = False) -> DataFrame:
     """With ``gold`` the gold columns, else the predicted ones. Lemmas are not null-mapped."""
     g = 0 if gold else 1
     layers = {"words": _layer(1), "lemmas": _layer(2 + g), "pos": _nullable(4 + g), "feats": _feats(6 + g), "parents": _heads(8 + g), "deprels": _nullable(10 + g), "arcs": _arcs(13, 14, F.lit(12))}
-    return _table(spark, path, corpus, 14, layers)
+    return _table(spark, path, corpus, 14, layers, recursive=recursive)
 
 
-def read_conll_lite(spark: SparkSession, path: str, corpus: str = "lite") -> DataFrame:
-    """Tab-separated id, form and edges ``head, label``; ids are any strings, comments begin with a hash; an unknown head is an error."""
-    blocks = read_blocks(spark, path).select("file", "at", F.filter("lines", lambda x: ~F.ltrim(x).startswith("#")).alias("lines")).where(F.size("lines") > 0)
-    cells = blocks.select("file", "at", F.transform("lines", lambda x: F.filter(F.split(x, "\t"), lambda y: ~F.ltrim(y).startswith("#"))).alias("cells"))
+def read_conll_lite(spark: SparkSession, path: str, corpus: str = "lite", recursive: bool = False) -> DataFrame:
+    """Tab-separated id, form and edges ``head, label``; ids are any strings, quotes beside a tab don't count, comments are lines and last columns from a hash on; an unknown head is an error."""
+    blocks = read_blocks(spark, path, recursive=recursive).select("file", "at", F.filter("lines", lambda x: ~F.ltrim(x).startswith("#")).alias("lines")).where(F.size("lines") > 0)
+    cells = blocks.select("file", "at", F.transform("lines", lambda x: F.split(x, "\"?\t\"?")).alias("cells"))
     ids = F.transform("cells", lambda c: F.trim(F.get(c, F.lit(0))))
 
     def edge(e: Column, child: Column) -> Column:
@@ -132,13 +133,18 @@ def read_conll_lite(spark: SparkSession, path: str, corpus: str = "lite") -> Dat
         at = F.when((at == 0) & ~head.isin("0", "-1"), F.raise_error(F.concat(F.lit("no token has the id "), head))).otherwise(at)
         return F.struct((at - 1).cast("int").alias("p"), child.alias("c"), F.trim(F.regexp_extract(e, r"^[^,]*,(.*)$", 1)).alias("label"))
 
-    arcs = F.flatten(F.transform("cells", lambda c, i: F.transform(F.filter(F.slice(c, 3, F.greatest(F.size(c), F.lit(1))), lambda e: F.trim(e) != ""), lambda e: edge(e, i))))
-    return number(cells.select("file", "at", ids.alias("ids"), F.transform("cells", lambda c: F.get(c, F.lit(1))).alias("words"), arcs.alias("arcs")), corpus)
+    def edges(c: Column) -> Column:
+        rest = F.slice(c, 3, F.greatest(F.size(c), F.lit(1)))
+        comment = F.array_position(F.transform(rest, lambda e: F.ltrim(e).startswith("#")), True)
+        return F.filter(F.slice(rest, 1, F.when(comment > 0, (comment - 1).cast("int")).otherwise(F.size(rest))), lambda e: F.trim(e) != "")
 
+    arcs = F.flatten(F.transform("cells", lambda c, i: F.transform(edges(c), lambda e: edge(e, i))))
+    return number(cells.select("file", "at", ids.alias("ids"), F.transform("cells", lambda c: F.trim(F.get(c, F.lit(1)))).alias("words"), arcs.alias("arcs")), corpus)
 
-def read_semeval(spark: SparkSession, path: str, corpus: str = "semeval") -> DataFrame:
+
+def read_semeval(spark: SparkSession, path: str, corpus: str = "semeval", recursive: bool = False) -> DataFrame:
     """Records of a marked sentence, a relation and a comment: words, two mentions and the relation label."""
-    blocks = read_blocks(spark, path).where(F.size("lines") >= 2)
+    blocks = read_blocks(spark, path, recursive=recursive).where(F.size("lines") >= 2)
     quoted = F.regexp_extract(F.get("lines", F.lit(0)), r'^\s*(\d+)\s+"?(.*?)"?\s*$', 2)
     marked = F.split(quoted, " +")
     plain = F.transform(marked, lambda w: F.regexp_replace(w, "</?e[12]>", ""))
@@ -166,9 +172,9 @@ JSON_LAYERS = {
 }
 
 
-def read_json_sents(spark: SparkSession, path: str, corpus: str = "json") -> DataFrame:
+def read_json_sents(spark: SparkSession, path: str, corpus: str = "json", recursive: bool = False) -> DataFrame:
     """Records of JSON between blank lines. A key that isn't known is an error."""
-    raw = read_blocks(spark, path).select("file", "at", F.array_join("lines", "\n").alias("json"))
+    raw = read_blocks(spark, path, recursive=recursive).select("file", "at", F.array_join("lines", "\n").alias("json"))
     unknown = F.array_except(F.json_object_keys("json"), F.array(*map(F.lit, JSON_LAYERS)))
     checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown keys: "), F.array_join(unknown, ", ")))).otherwise(F.col("json"))
     schema = ", ".join(f"`{k}` {t}" for k, (_, t) in JSON_LAYERS.items())

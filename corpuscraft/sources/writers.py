@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexical import join_feats, underscore_if_null
+from ..functions.trees import let
 from .readers import JSON_LAYERS, READERS
 
 
@@ -31,16 +32,18 @@ def _preds() -> Column:
     return F.array_sort(F.transform(F.filter("arcs", lambda a: a["p"] == -1), lambda a: a["c"]))
 
 
-def _label(p: Column, c: Column) -> Column:
-    return underscore_if_null(F.get(F.filter("arcs", lambda a: (a["p"] == p) & (a["c"] == c)), F.lit(0))["label"])
+def _named(arcs: Column, p: Column) -> Column:
+    """The label of the arc from p among a token's own, an underscore if there is none."""
+    return underscore_if_null(F.get(F.filter(arcs, lambda a: a["p"] == p), F.lit(0))["label"])
 
 
-def _apreds(df: DataFrame, i: Column) -> Column:
-    return F.transform(_preds(), lambda p: _label(p, i)) if _has(df, "arcs") else F.array().cast("array<string>")
-
-
-def _sense(df: DataFrame, i: Column) -> Column:
-    return _label(F.lit(-1), i) if _has(df, "arcs") else F.lit("_")
+def _graph_lines(df: DataFrame, line) -> Column:
+    """Lines by line(word, i, predicates, the arcs to i): the predicates are found once a sentence, and a token's arcs once a token."""
+    if not _has(df, "arcs"):
+        none = F.array().cast("array<struct<p:int,c:int,label:string>>")
+        return _lines(lambda w, i: line(w, i, F.array().cast("array<int>"), none))
+    of = lambda i: F.filter("arcs", lambda a: a["c"] == i)
+    return let(_preds(), lambda preds: _lines(lambda w, i: let(of(i), lambda own: line(w, i, preds, own))))
 
 
 def _lines(line) -> Column:
@@ -70,32 +73,30 @@ def conllx_text(df: DataFrame) -> DataFrame:
 def conll08_text(df: DataFrame) -> DataFrame:
     """Split columns repeat the unsplit ones."""
 
-    def line(w: Column, i: Column) -> Column:
+    def line(w: Column, i: Column, preds: Column, own: Column) -> Column:
         lemma, pos = _cell(df, "lemmas", i), _cell(df, "pos", i)
-        return F.concat_ws("\t", (i + 1).cast("string"), w, lemma, pos, pos, w, lemma, pos, _head(df, i), _cell(df, "deprels", i), _sense(df, i), _apreds(df, i))
+        return F.concat_ws("\t", (i + 1).cast("string"), w, lemma, pos, pos, w, lemma, pos, _head(df, i), _cell(df, "deprels", i), _named(own, F.lit(-1)), F.transform(preds, lambda p: _named(own, p)))
 
-    return _text(df, _lines(line))
+    return _text(df, _graph_lines(df, line))
 
 
 def conll09_text(df: DataFrame) -> DataFrame:
     """Gold and predicted columns both from the one layer."""
 
-    def line(w: Column, i: Column) -> Column:
+    def line(w: Column, i: Column, preds: Column, own: Column) -> Column:
         lemma, pos, feats, head, rel = _cell(df, "lemmas", i), _cell(df, "pos", i), _feats(df, i), _head(df, i), _cell(df, "deprels", i)
-        sense = _sense(df, i)
-        marked = F.when(F.array_contains(_preds(), i), "Y").otherwise("_") if _has(df, "arcs") else F.lit("_")
-        return F.concat_ws("\t", (i + 1).cast("string"), w, lemma, lemma, pos, pos, feats, feats, head, head, rel, rel, marked, sense, _apreds(df, i))
+        marked = F.when(F.array_contains(preds, i), "Y").otherwise("_")
+        return F.concat_ws("\t", (i + 1).cast("string"), w, lemma, lemma, pos, pos, feats, feats, head, head, rel, rel, marked, _named(own, F.lit(-1)), F.transform(preds, lambda p: _named(own, p)))
 
-    return _text(df, _lines(line))
+    return _text(df, _graph_lines(df, line))
 
 
 def conll_lite_text(df: DataFrame) -> DataFrame:
-    def line(w: Column, i: Column) -> Column:
+    def line(w: Column, i: Column, preds: Column, own: Column) -> Column:
         ident = lambda k: F.get("ids", k) if _has(df, "ids") else (k + 1).cast("string")
-        edges = F.transform(F.filter("arcs", lambda a: a["c"] == i), lambda a: F.concat(F.when(a["p"] < 0, "0").otherwise(ident(a["p"])), F.lit(", "), a["label"]))
-        return F.concat_ws("\t", ident(i), w, edges)
+        return F.concat_ws("\t", ident(i), w, F.transform(own, lambda a: F.concat(F.when(a["p"] < 0, "0").otherwise(ident(a["p"])), F.lit(", "), a["label"])))
 
-    return _text(df, _lines(line))
+    return _text(df, _graph_lines(df, line))
 
 
 def semeval_text(df: DataFrame, ne_pairs: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -148,5 +149,16 @@ def metric_rows(metrics: DataFrame, name: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Appends rows as tab-separated text."""
+    """Appends rows as tab-separated text, such as those of gain_report."""
     df.write.csv(path, sep="\t", mode="append")
+
+
+def gain_report(selected: DataFrame, counts: DataFrame, extractor: str) -> DataFrame:
+    """(selected, extractor, template, n_features, ig) of select_templates and feature_counts, the best first."""
+    rows = selected.join(counts, "template", "left").orderBy("rank")  # a row a template
+    return rows.select("selected", F.lit(extractor).alias("extractor"), "template", F.coalesce("n_features", F.lit(0)).alias("n_features"), "ig")
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    """A column as text, a value a line in order, such as the selected templates or the gold paths."""
+    df.select(F.col(column).cast("string").alias("value")).distinct().orderBy("value").write.text(path)

@@ -4,6 +4,7 @@ import pytest
 
 from corpuscraft.operators import aggregates as ag
 from corpuscraft.operators import evaluate as ev
+from corpuscraft.operators import pairs as pr
 from corpuscraft.operators import significance as sg
 from corpuscraft.operators.tables import tokens
 from corpuscraft.operators.windows import bio03_to_02, bio_spans, chunks, folds, sample_split
@@ -50,12 +51,28 @@ def arcs(spark, rows):
     return spark.createDataFrame([("x", 0, *r) for r in rows], "corpus string, sent_id long, p int, c int, label string")
 
 
-@pytest.mark.parametrize(("opts", "want"), [({"labeled": False, "sense": False}, (3, 4, 5)), ({"labeled": True, "sense": False}, (2, 4, 5)), ({"labeled": False, "sense": True}, (5, 7, 7))])
-def test_srl_f1(spark, opts, want):
-    r = ev.srl_f1(arcs(spark, SRL_GOLD), arcs(spark, SRL_PRED), **opts).first()
-    assert (r.n_correct, r.n_pred, r.n_gold) == want
-    g = ev.srl_f1(arcs(spark, SRL_GOLD), arcs(spark, SRL_PRED), gold_preds=True, **opts).first()
-    assert g.n_correct == want[0] and g.n_pred <= want[1]
+SRL_CASES = [("FFFT", 3, 4, 5), ("TFFT", 2, 4, 5), ("FTFT", 5, 6, 7), ("TTFT", 3, 6, 7), ("FFTT", 5, 7, 7), ("TFTT", 4, 7, 7), ("FTTT", 5, 7, 7), ("TTTT", 3, 7, 7), ("FFTF", 2, 3, 2), ("TTTF", 1, 3, 2)]
+
+
+def test_srl_scores(spark):
+    """Each choice of labeled, sense, position, roles, with whole sense labels; then two by their endings."""
+    g, p = arcs(spark, SRL_GOLD), arcs(spark, SRL_PRED)
+    counts = lambda df: {r.kind: (r.n_correct, r.n_pred, r.n_gold) for r in df.collect()}
+    kinds = {k: tuple(x == "T" for x in k) for k, *_ in SRL_CASES}
+    assert counts(ev.srl_scores(g, p, kinds, suffix=False)) == {k: tuple(w) for k, *w in SRL_CASES}
+    assert counts(ev.srl_scores(g, p, {"all": kinds["TTFT"], "sense": (True, True, False, False)})) == {"all": (4, 6, 7), "sense": (2, 2, 2)}
+    skip = spark.createDataFrame([("x", 0, 1, 0)], "corpus string, sent_id long, p int, c int")
+    assert ev.srl_f1(g, p, skip=skip).first().n_gold == 6
+
+
+def test_suite_of_equal_corpora(spark):
+    toks = spark.createDataFrame([("x", 0, i, w, t, h, "r") for i, (w, t, h) in enumerate([("cats", "NN", 1), ("like", "VB", -1), (".", ".", 1)])], "corpus string, sent_id long, tok int, word string, pos string, parent int, deprel string")
+    props = spark.createDataFrame([("x", 0, 1, 0, "volition", "LIKELY"), ("x", 0, 1, 2, "change", "UNLIKELY")], "corpus string, sent_id long, pred int, arg int, property string, label string")
+    labels = spark.createDataFrame([("x", 0, 0, "ART(Arg-1,Arg-2)"), ("x", 0, 1, "NO_RELATION")], "corpus string, sent_id long, k int, label string")
+    own = {"tokens": toks, "arcs": arcs(spark, [(-1, 1, "like.01"), (1, 0, "A0"), (1, 1, "A1"), (1, 2, "A2")]), "props": props, "labels": labels}
+    got = {r.metric: r for r in ev.evaluate_suite(own, own | {"heads": pr.candidate_heads(toks, pr.fit_distance_pruner(toks))}).collect()}
+    assert {m for m, r in got.items() if r.score != 1.0} == {"self_loops", "pruning_efficiency", "sprl_change", "sprl_majority_change", "sprl_majority_all"}
+    assert got["self_loops"].score == 0.25 and got["sprl"].n_gold == 1 and got["relations"].n_gold == 1 and len(got) > 30
 
 
 PAIRS = [(3, 3), (0, 2), (0, 1), (3, 1), (0, 1), (3, 5), (0, 0), (0, 0), (2, 0), (3, 3)]

@@ -36,15 +36,42 @@ def test_lexical_functions(spark):
     assert value(spark, lx.build_label(F.lit("ART"), F.lit("OWN"), F.lit("Arg-1"), F.lit("Arg-2"))) == "ART-OWN(Arg-1,Arg-2)"
     assert tuple(value(spark, lx.parse_label("w"), w="SEE(a,b)")) == ("SEE", None, "a", "b") and value(spark, lx.parse_label("w"), w="none") is None
     assert value(spark, lx.is_norel("w"), w="Other") and not value(spark, lx.is_norel(F.lit(None).cast("string")))
-    assert [value(spark, lx.bin_int("w"), w=w) for w in (0, 1, 2, 7, -12, 99)] == [0, 0, 2, 5, -10, 40]
+    assert [value(spark, lx.bin_int("w"), w=w) for w in (0, 1, 2, 7, -12, 99)] == [0, 0, 2, 5, -(2**31), 40]
     assert value(spark, lx.morpho6(F.array(F.lit("a")))) == ["a"] + ["NO_MORPH"] * 5
-    assert value(spark, lx.ngrams(F.array(*map(F.lit, "abc")), 2)) == ["BOS_a", "a_b", "b_c", "c_EOS"]
+    assert value(spark, lx.ngrams(F.array(*map(F.lit, "abc")), 2)) == ["BOS_a", "a_b", "b_c"] and value(spark, lx.ngrams(F.array().cast("array<string>"), 3)) == []
     assert value(spark, lx.no_dup(F.array(*map(F.lit, "aabba")))) == ["a", "b", "a"]
     assert value(spark, lx.scale_vec(F.array(F.lit(3.0), F.lit(4.0)), "l2")) == [0.6, 0.8]
     assert tuple(value(spark, lx.span_between(lx.span(0, 2), lx.span(4, 5)))) == (2, 4) and tuple(value(spark, lx.span_between(lx.span(4, 6), lx.span(1, 5)))) == (4, 4)
     assert value(spark, lx.has_verb(F.array(F.lit("MD"), F.lit("VB")))) and not value(spark, lx.has_verb(F.array(F.lit("VB"))))
 
 
+def test_tags_and_labels(spark):
+    each = lambda f, *xs: [value(spark, f("w"), w=x) for x in xs]
+    assert each(lx.strict_pos, "OTHER-VV", "VV", "NN", "PUNC", "Conj", "OTHER2-NN", "MD", ".", "PRP", "v") == ["OTHER", "VERB", "NOUN", "PUNC", "CONJ", "OTHER", "OTHER", "OTHER", "OTHER", "VERB"]
+    coarse = lambda c: lx.strict_pos(F.lit(None).cast("string"), c)
+    assert each(coarse, "VV-other", "VERB", "NOUN", ".", "CONJ", "NN-OTHER2") == ["OTHER", "VERB", "NOUN", "PUNC", "CONJ", "OTHER"]
+    assert value(spark, lx.strict_pos(F.lit(None).cast("string"))) == "OTHER"
+    assert each(lx.ptb45_to_17, "NN", "VBG", "-LRB-", "``", "CD", "WDT", "no tag") == ["N", "VBG", "LPUNC", "LPUNC", "ADJ", "W", None]
+    assert [value(spark, lx.is_noun("w", lang), w=w) for lang, w in (("en", "NNS"), ("en", "nn"), ("es", "n"), ("es", "nc"), ("cs", "N"), ("cs", "NN"), ("de", "NE"))] == [True, False, True, False, True, False, True]
+    assert [value(spark, lx.is_verb("w", lang), w=w) for lang, w in (("zh", "VV"), ("ca", "v"), ("cs", "Vf"))] == [True, True, False]
+    kinds = ("auxiliary", "main", "common", "qualificative", "semiauxiliary", "other")
+    senses = [value(spark, lx.default_sense("w", F.array(F.lit("gen=m"), F.lit(f"postype={k}")), "es"), w="ser") for k in kinds]
+    assert senses == ["ser.c2", "ser.a2", "ser.a2", "ser.b2", "ser.c2", "ser.a2"]
+    assert [value(spark, lx.default_sense("w", lang=lang), w="be") for lang in ("en", "de", "zh")] == ["be.01", "be.1", "be.01"]
+    for wrong in (lambda: lx.is_noun("w", "xx"), lambda: lx.is_verb("w", "xx"), lambda: lx.default_sense("w", lang="xx")):
+        with pytest.raises(ValueError, match="language"):
+            wrong()
+    assert each(lx.is_asymmetric, "ART", "GEN-AFF", "ORG-AFF", "PART-WHOLE", "PHYS", "GEN", "PER-SOC") == [True] * 4 + [False] * 3
+    with pytest.raises(Exception, match="DISC"):
+        each(lx.is_asymmetric, "DISC")
+    assert each(lx.escape_word, "Señor", "a-b", "Ünß") == ["Señor", "a_b", "Ün_"]
+    assert [value(spark, lx.affix("w", 3, side), w=w) for side in ("prefix", "suffix") for w in ("of", "often")] == ["of", "oft", "of", "ten"]
+    assert value(spark, lx.morpho_str(F.array(F.lit("a"), F.lit("b")))) == "a_b" and value(spark, lx.morpho_str(F.array().cast("array<string>"))) == "NO_MORPH"
+    none = F.lit(None).cast("string")
+    assert value(spark, lx.entity_type_or(none, F.lit("0101101101"))) == "010110" and value(spark, lx.entity_type_or(none, F.lit("0101101101"), lx.SUBTYPE_BITS)) == "01011011" and value(spark, lx.entity_type_or(none)) == "NOTYPE"
+    assert [value(spark, lx.sprl_label("w"), w=x) for x in (3.9, 4.0)] == ["UNLIKELY", "LIKELY"] and value(spark, lx.sprl_value("w"), w="LIKELY") == 5.0
+
+
 #  0 <- 1 <- wall; 1 -> 3 -> 2, 3 -> 4
 @pytest.fixture
 def tree(spark):
@@ -61,6 +88,11 @@ def test_trees(spark, tree):
     assert value(spark, trees.is_projective(tree)) and not value(spark, trees.is_projective(F.array(*map(F.lit, (2, 3, -1, 2)))))
     assert value(spark, trees.span_head(tree, F.lit(2), F.lit(5))) == 3
     assert value(spark, trees.root_path(F.array(F.lit(1), F.lit(0)), F.lit(0)))[:2] == [0, 1]  # a cycle ends
+    flags = F.array(*map(F.lit, (False, True, True, True, False)))
+    assert [value(spark, trees.support_token(tree, flags, F.lit(i), w)) for i in (2, 4) for w in ("low", "high")] == [2, 1, 3, 1]
+    assert value(spark, trees.support_token(tree, F.array_repeat(F.lit(False), 5), F.lit(2))) == -1
+    assert [[s.tok for s in value(spark, trees.path_part(tree, F.lit(2), F.lit(0), w))] for w in ("p_lca", "c_lca", "lca_root")] == [[2, 3, 1], [0, 1], [1, -1]]
+    assert value(spark, trees.crossing_arcs(tree)) == [] and value(spark, trees.crossing_arcs(F.array(*map(F.lit, (2, 3, -1, 2))))) == [0, 1, 2]
 
 
 def test_distance_pruner(spark):
@@ -113,6 +145,27 @@ def test_pairs_and_labels(spark):
     assert [r.end for r in pr.shorten_mentions(m).orderBy("m_id").collect()] == [1, 4, 6]
 
 
+def test_pairs_keep_what_relations_say(spark):
+    """A relation that repeats, one in the other order, and one of a mention with itself; then the rest."""
+    m = spark.createDataFrame([("x", 0, *r) for r in MENTIONS], MSCHEMA)
+    rels = relations(spark, ("ART", "S", [("Arg-2", "c"), ("Arg-1", "b")]), ("PHYS", "S", [("Arg-1", "a"), ("Arg-2", "b")]), ("PHYS", None, [("Arg-2", "b"), ("Arg-1", "a")]), ("GEN", None, [("Arg-1", "a"), ("Arg-2", "a")]))
+    got = [(r.m1, r.m2, r.label) for r in pr.add_pairs_and_labels(m, rels).orderBy("k").collect()]
+    assert got == [("b", "c", "ART-S(Arg-1,Arg-2)"), ("a", "b", "PHYS-S(Arg-1,Arg-1)"), ("a", "b", "PHYS-S(Arg-1,Arg-1)"), ("a", "a", "GEN(Arg-1,Arg-1)"), ("a", "c", "NO_RELATION")]
+    assert [(r.m1, r.m2) for r in jn.ne_pairs(m).orderBy("k").collect()] == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_best_heads(spark):
+    scores = F.array(F.lit(0.1), F.lit(None), F.lit(0.9), F.lit(0.8), F.lit(0.9), F.lit(0.8))
+    assert [sorted(value(spark, pr.best_heads(scores, k))) for k in (1, 2, 3, 9)] == [[1], [1, 3], [1, 2, 3], [-1, 1, 2, 3, 4]]
+    assert sorted(value(spark, pr.best_heads(scores, 9, 0.85))) == [1, 2, 3, 4] and value(spark, pr.best_heads(F.array(F.lit(None).cast("double")), 2)) == []
+
+
+def test_a_raising_annotator_leaves_its_sentence_alone(spark):
+    first = ln.tolerant(lambda words: words[0], "string")
+    df = spark.createDataFrame([(1, ["a"]), (2, []), (3, ["b"])], "id int, words array<string>")
+    assert [r.x for r in df.select("id", first("words").alias("x")).orderBy("id").collect()] == ["a", None, "b"]
+
+
 def test_lookups(spark):
     t = spark.createDataFrame([("x", 0, i, w) for i, w in enumerate(("Dog", "in_casa", "77", "zz"))], "corpus string, sent_id long, tok int, word string")
     c = spark.createDataFrame([("casa", "01"), ("Dog", "11")], "word string, cluster string")
@@ -140,13 +193,13 @@ def sentence(spark):
 
 def test_templates(spark):
     ex = ft.examples(sentence(spark), spark.createDataFrame([("x", 0, 1, 4)], "corpus string, sent_id long, p int, c int"))
-    specs = ["word(p)", "pos(head(c)) + word(before2(c))", "seq(pos(path))", "2gram(pos(between))", "bag(word(line))", "word(after2(c))", "GENEALOGY", "chsuf2(c)", "seq(word(children(c)))", "pos(low_verb(p))", "deprel(lns(c))", "RELATIVE + DISTANCE  # a comment", "", "# none"]
+    specs = ["word(p)", "pos(head(c)) + word(before2(c))", "seq(pos(path))", "2gram(pos(between))", "bag(word(line))", "word(after2(c))", "GENEALOGY", "chsuf2(c)", "seq(word(children(c)))", "pos(low_verb(p))", "deprel(lns(c))", "RELATIVE + DISTANCE  # a comment", "EDGE + DIRECTION_EDGE", "seq(word(path_lca_root))", "seq(word(path_p_lca))", "", "# none"]
     got = {}
     for r in ft.extract(ex, ft.parse_spec(specs)).collect():
         got.setdefault(r.template, []).append(r.feature)
     assert got == {
-        "word(p)": ["dog"], "pos(head(c))+word(before2(c))": ["VBD_ate"], "seq(pos(path))": ["NN_VBD_NN"], "2gram(pos(between))": ["BOS_VBD", "VBD_DT", "DT_EOS"], "bag(word(line))": ["ate_dog_fish_the"], "word(after2(c))": ["EOS"],
-        "GENEALOGY": ["SIBLING"], "chsuf2(c)": ["sh"], "seq(word(children(c)))": ["the"], "pos(low_verb(p))": ["VBD"], "deprel(lns(c))": ["sbj"], "RELATIVE+DISTANCE": ["BEFORE_2"],
+        "word(p)": ["dog"], "pos(head(c))+word(before2(c))": ["VBD_ate"], "seq(pos(path))": ["NN_VBD_NN"], "2gram(pos(between))": ["BOS_VBD", "VBD_DT"], "bag(word(line))": ["ate_dog_fish_the"], "word(after2(c))": ["EOS"],
+        "GENEALOGY": ["SIBLING"], "chsuf2(c)": ["sh"], "seq(word(children(c)))": ["the"], "pos(low_verb(p))": ["VBD"], "deprel(lns(c))": ["sbj"], "RELATIVE+DISTANCE": ["BEFORE_3"], "EDGE+DIRECTION_EDGE": ["F_F"], "seq(word(path_lca_root))": ["ate_BOS"], "seq(word(path_p_lca))": ["dog_ate"],
     }
     assert ft.extract(ex, ft.parse_spec(["word(p)"]), mod=7).first().feature in range(7)
     assert ft.extract(ex, ft.template_set("arc")).count()
@@ -223,7 +276,7 @@ def test_properties_and_span_labels(spark):
     r = tb.set_props(p, "seq").first()
     assert (r.label, r.overwritten) == ("unlikely", 1)
     with pytest.raises(Exception, match="nil pair"):
-        tb.set_props(p.union(spark.createDataFrame([("x", 0, 1, 2, "w", "nil", 2)], schema)), "seq").collect()
+        tb.set_props(p.union(spark.createDataFrame([("x", 0, 1, 2, "w", "NOT_AN_ARG", 2)], schema)), "seq").collect()
     labels = spark.createDataFrame([("x", 0, 0, 1, "A"), ("x", 0, 1, 2, "B")], "corpus string, sent_id long, start int, end int, label string")
     new = spark.createDataFrame([("x", 0, 0, 1, None), ("x", 0, 1, 2, "C")], labels.schema)
     assert [(r.start, r.label) for r in tb.set_span_labels(labels, new).collect()] == [(1, "C")]
