@@ -148,8 +148,9 @@ def oov_rate(spark, d):
 @query
 def embedding_scale(spark, d):
     v = table(spark, d, "embeddings")
-    part = lambda m: F.round(F.get(lx.scale_vec("embedding", m), F.lit(3)), 5)
-    return v.select("vec_id", part("l1").alias("l1"), part("l2").alias("l2"), part("std").alias("std"))
+    part = lambda m: F.transform(lx.scale_vec("embedding", m), lambda x: F.round(x, 5))
+    each = v.select("vec_id", F.arrays_zip(*(part(m).alias(m) for m in ("l1", "l2", "std"))).alias("x"))
+    return each.select("vec_id", F.posexplode("x").alias("i", "x")).select("vec_id", "i", "x.*")
 
 
 # sequences
@@ -320,11 +321,18 @@ def permutation_small(spark, d):
 
 @query
 def permutation_test(spark, d):
-    """p-values of the two permutation tests and the bootstrap: predicted heads against heads of the other rule."""
+    """p-values at 2**20 samples: predicted heads against the token before each, by both permutation tests and the bootstrap; and two classifiers that differ in a seventh of the documents by F1."""
     x = _toks(spark, d)
-    one = sg.suff_stats_accuracy(gold(x), predicted(x), "pos")
-    two = sg.suff_stats_accuracy(gold(x), predicted(x), "parent")
-    return spark.createDataFrame([("permutation", sg.paired_permutation(one, two, 2000)), ("bootstrap", sg.paired_bootstrap(one, two, 2000))], "test string, p double")
+    before = predicted(x).withColumn("parent", F.col("tok") - 1)
+    one, two = sg.suff_stats_accuracy(gold(x), predicted(x), "parent"), sg.suff_stats_accuracy(gold(x), before, "parent")
+    q = _quality(spark, d)
+    other = q.withColumn("pred", F.when(F.col("doc_id") % 7 == 0, "1").otherwise(F.col("pred")))
+    f1 = lambda df: sg.suff_stats_f1(df, F.col("gold") == "0", F.col("pred") == "0", ["doc_id"])
+    rows = [
+        ("heads", "permutation", sg.paired_permutation(one, two)), ("heads", "permutation_mean", sg.paired_permutation_mean(one, two)), ("heads", "bootstrap", sg.paired_bootstrap(one, two)),
+        ("quality", "permutation", sg.paired_permutation(f1(q), f1(other), metric=sg.f1_metric, keys=["doc_id"])),
+    ]
+    return spark.createDataFrame(rows, "systems string, test string, p double")
 
 
 # arcs and masks
@@ -549,7 +557,7 @@ def tag_feature_counts(spark, d):
 @query
 def info_gain(spark, d):
     x = _toks(spark, d)
-    f = ft.tag_features(x).where(F.col("template").isin("w-1", "suf2", "pre1"))
+    f = ft.tag_features(x)
     ig = ag.information_gain(f, x.select("corpus", "sent_id", "tok", F.col("pos").alias("value")), ["corpus", "sent_id", "tok"])
     return ag.select_templates(ig, 2).select("template", F.round("ig", 6).alias("ig"), "rank", "selected")
 

@@ -124,7 +124,8 @@ select doc_id, count(*) as n, count(*) filter (where word not in (select word fr
 with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
 ), s as (select *, list_sum(list_transform(e, lambda x: abs(x))) as a, sqrt(list_sum(list_transform(e, lambda x: x * x))) as l, list_avg(e) as m from v
 ), t as (select *, sqrt(list_avg(list_transform(e, lambda x: (x - m) * (x - m)))) as sd from s)
-select vec_id, round(e[4] / a, 5) as l1, round(e[4] / l, 5) as l2, round((e[4] - m) / sd, 5) as std from t
+, x as (select *, unnest(e) as v, unnest(range(len(e))) as i from t)
+select vec_id, i::int as i, round(v / a, 5) as l1, round(v / l, 5) as l2, round((v - m) / sd, 5) as std from x
 """,
     "bio_convert": f"""{TOKS}, io as (select sent_id, tok, case when ne = 'O' then 'O' else 'I-' || substr(ne, 3) end as t from toks
 ), l as (select *, lag(t) over (partition by sent_id order by tok) as b from io)
@@ -221,8 +222,9 @@ select template, feature, count(*) as cnt from f group by 1, 2""",
     "tag_feature_counts": f"""{TOKS}, w as (select word, tok, n, lag(word, 1, 'BOS') over w as a1, lag(word, 2, 'BOS') over w as a2, lead(word, 1, 'EOS') over w as b1, lead(word, 2, 'EOS') over w as b2 from toks window w as (partition by sent_id order by tok))
 select 'w-2' as template, count(distinct a2) as n_features from w union all select 'w-1', count(distinct a1) from w union all select 'w+0', count(distinct word) from w union all select 'w+1', count(distinct b1) from w union all select 'w+2', count(distinct b2) from w
 {" ".join(f"union all select 'pre{i}', count(distinct left(word, {i})) from w union all select 'suf{i}', count(distinct right(word, {i})) from w" for i in range(1, 5))}""",
-    "info_gain": f"""{TOKS}, f0 as (select pos, word, lag(word, 1, 'BOS') over (partition by sent_id order by tok) as a1 from toks
-), f as (select 'w-1' as template, a1 as feature, pos as v from f0 union all select 'suf2', right(word, 2), pos from f0 union all select 'pre1', left(word, 1), pos from f0
+    "info_gain": f"""{TOKS}, f0 as (select pos, word, lag(word, 1, 'BOS') over w as a1, lag(word, 2, 'BOS') over w as a2, lead(word, 1, 'EOS') over w as b1, lead(word, 2, 'EOS') over w as b2 from toks window w as (partition by sent_id order by tok)
+), f as (select 'w-2' as template, a2 as feature, pos as v from f0 union all select 'w-1', a1, pos from f0 union all select 'w+0', word, pos from f0 union all select 'w+1', b1, pos from f0 union all select 'w+2', b2, pos from f0
+  {" ".join(f"union all select 'pre{i}', left(word, {i}), pos from f0 union all select 'suf{i}', right(word, {i}), pos from f0" for i in range(1, 5))}
 ), j as (select template, feature, v, count(*)::double as n from f group by 1, 2, 3
 ), m as (select template, n, sum(n) over (partition by template, feature) as nf, sum(n) over (partition by template, v) as nv, sum(n) over (partition by template) as nt from j
 ), g as (select template, round(sum(n / nt * log2(n * nt / (nf * nv))), 6) as ig from m group by 1)
