@@ -1,7 +1,8 @@
 """Feature rows from templates: Python specs that become column expressions over whole sentences.
 
-A sentence is one row of arrays, an example (p, c) one row that carries them, so features need no join after that.
-Rows are (ex, template, feature). With ``hashed`` a feature is the 64-bit hash of what would be its text.
+A sentence is one row of arrays, an example one row that carries them, so features need no join after that. What an
+example points at is its key: p and c, and where it has them a modifier m, the begin, middle and end ri, rj, rk of a rule
+(with its symbols, rule_parent, rule_left, rule_right), and the heads h1, h2 of two mentions. Rows are (key, template, feature). With ``hashed`` a feature is the 64-bit hash of what would be its text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .tables import KEYS
 
 @dataclass(frozen=True)
 class Token:
-    """The property of one token. position: p or c. modifier: self, before1, before2, after1, after2, head, lns, rns, lmc, rmc, lnc, rnc, low_verb, high_verb, low_noun, high_noun."""
+    """The property of one token. position: p, c or another of PLACES. modifier: self, before1, before2, after1, after2, head, lns, rns, lmc, rmc, lnc, rnc, low_verb, high_verb, low_noun, high_noun."""
 
     prop: str
     position: str = "p"
@@ -37,7 +38,7 @@ class Token:
 
 @dataclass(frozen=True)
 class List:
-    """A property along a list of tokens. source: path (over the tree), path_p_lca, path_c_lca (from p or c up to their lowest common token), path_lca_root (from there to the root), line, between, children, no_far_children. form: seq, bag, no_dup, 1gram, 2gram, 3gram. edge: direction of the tree's edges as well."""
+    """A property along a list of tokens. source: path (over the tree), path_p_lca, path_c_lca (from p or c up to their lowest common token), path_lca_root (from there to the root), line, between, rule (the tokens from ri to rk), children, no_far_children. form: seq, bag, no_dup, 1gram, 2gram, 3gram. edge: direction of the tree's edges as well."""
 
     prop: str
     source: str = "path"
@@ -46,16 +47,16 @@ class List:
     edge: bool = False
 
     def name(self) -> str:
-        where = self.source if self.source in (*PATHS, "line", "between") else f"{self.source}({self.position})"
+        where = self.source if self.source in (*PATHS, "line", "between", "rule") else f"{self.source}({self.position})"
         return f"{self.form}({self.prop}{'+dir' if self.edge else ''}({where}))"
 
     def layers(self) -> set[str]:
-        return {_layer(self.prop)} | ({"parents"} if self.source not in ("line", "between") else set())
+        return {_layer(self.prop)} | ({"parents"} if self.source not in ("line", "between", "rule") else set())
 
 
 @dataclass(frozen=True)
 class Pair:
-    """A feature of the example itself: relative, distance, edge (either is the other's parent, T or F), direction_edge (p is c's parent, T or F), genealogy, continuity, path_len, sent_len, path_grams."""
+    """A feature of the example itself: relative, distance, edge (either is the other's parent, T or F), direction_edge (p is c's parent, T or F), genealogy, continuity, path_len, sent_len, path_grams, rule_is_unary (T or F)."""
 
     kind: str
 
@@ -79,7 +80,23 @@ class Joint:
         return set().union(*(p.layers() for p in self.parts))
 
 
-Template = Token | List | Pair | Joint
+@dataclass(frozen=True)
+class Rule:
+    """A symbol of the example's rule: parent, left or right; a missing right one is none."""
+
+    piece: str
+
+    def name(self) -> str:
+        return f"rule_{self.piece}"
+
+    def layers(self) -> set[str]:
+        return set()
+
+
+#: The columns of an example's key.
+PLACES = ("p", "c", "m", "ri", "rj", "rk", "h1", "h2")
+RULE = ("rule_parent", "rule_left", "rule_right")
+Template = Token | List | Pair | Joint | Rule
 PATHS = ("path", "path_p_lca", "path_c_lca", "path_lca_root")
 PROPS = {"word": "words", "lemma": "lemmas", "pos": "pos", "cpos": "cpos", "cluster": "clusters", "prefix": "prefixes", "chunk": "chunks", "ne": "ne_tags", "deprel": "deprels"}
 
@@ -116,7 +133,7 @@ def parse_spec(lines: Iterable[str]) -> list[Template]:
 def _parse_one(text: str) -> Template:
     names = text.rstrip(")").split("(")
     if len(names) == 1:
-        return Pair(text.lower())
+        return Rule(text.removeprefix("rule_")) if text in RULE else Pair(text.lower())
     if names[0] in ("seq", "bag", "no_dup", "1gram", "2gram", "3gram"):
         return List(names[1], names[2], names[0], names[3] if len(names) > 3 else "p")
     return Token(names[0], names[-1], names[1] if len(names) == 3 else "self")
@@ -231,7 +248,9 @@ def _cross(a: Column, b: Column) -> Column:
 def _evaluate(t: Template, lang: str = "en") -> Column:
     """The features of a template on the row's example, an array of texts; empty if it has none."""
     p, c = F.col("p"), F.col("c")
-    at = {"p": p, "c": c}
+    at = {k: F.col(k) for k in PLACES}
+    if isinstance(t, Rule):
+        return _text(F.col(f"rule_{t.piece}"))
     if isinstance(t, Joint):
         out = _evaluate(t.parts[0], lang)
         for part in t.parts[1:]:
@@ -249,7 +268,7 @@ def _evaluate(t: Template, lang: str = "en") -> Column:
             path = trees.dep_path("parents", p, c) if t.source == "path" else trees.path_part("parents", p, c, t.source.removeprefix("path_"))
             items = trees.path_props(path, _layer(t.prop), t.edge)
         else:
-            toks = {"line": lambda: trees.line_path(p, c), "between": lambda: trees.between(p, c), "children": lambda: trees.children("parents", at[t.position]), "no_far_children": lambda: trees.no_far_children("parents", at[t.position])}[t.source]()
+            toks = {"rule": lambda: trees.line_path(at["ri"], at["rk"]), "line": lambda: trees.line_path(p, c), "between": lambda: trees.between(p, c), "children": lambda: trees.children("parents", at[t.position]), "no_far_children": lambda: trees.no_far_children("parents", at[t.position])}[t.source]()
             items = F.transform(toks, lambda i: _value(t.prop, i))
         if t.form.endswith("gram"):
             return F.coalesce(ngrams(items, int(t.form[0])) if t.form[0] != "1" else items, F.array(F.lit("NO_PATH")))
@@ -263,6 +282,7 @@ def _evaluate(t: Template, lang: str = "en") -> Column:
         "distance": lambda: F.abs(c - p),
         "edge": lambda: true_false(headed(c, p) | headed(p, c)),
         "direction_edge": lambda: true_false(headed(c, p)),
+        "rule_is_unary": lambda: true_false(F.col("rule_right").isNull()),
         "genealogy": lambda: trees.genealogy("parents", p, c),
         "continuity": lambda: trees.continuity(F.transform(path(), lambda s: s["tok"])),
         "path_len": lambda: bin_int(F.coalesce(F.size(path()), F.lit(0))),
@@ -274,13 +294,14 @@ def _evaluate(t: Template, lang: str = "en") -> Column:
 
 
 def extract(examples: DataFrame, templates: Iterable[Template], hashed: bool = False, mod: int | None = None, lang: str = "en") -> DataFrame:
-    """(keys, p, c, template, feature) of examples: rows with the sentence's layers and p, c.
+    """(keys, the places of the example's key, template, feature) of examples: rows with the sentence's layers and those places.
 
     hashed: features as 64-bit integers; mod: as buckets below it. lang: whose noun and verb tags support tokens have.
     """
     templates = list(templates)
     parts = F.array(*(F.struct(F.lit(t.name()).alias("template"), _evaluate(t, lang).alias("fs")) for t in templates))
-    rows = examples.select(*KEYS, "p", "c", F.explode(parts).alias("x")).select(*KEYS, "p", "c", "x.template", F.explode("x.fs").alias("feature"))
+    key = [*KEYS, *(k for k in PLACES if k in examples.columns)]
+    rows = examples.select(*key, F.explode(parts).alias("x")).select(*key, "x.template", F.explode("x.fs").alias("feature"))
     if hashed or mod:
         value = F.xxhash64("template", "feature")
         rows = rows.withColumn("feature", F.pmod(value, F.lit(mod)) if mod else value)
@@ -288,8 +309,8 @@ def extract(examples: DataFrame, templates: Iterable[Template], hashed: bool = F
 
 
 def examples(sents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sentences with each of their pairs (p, c)."""
-    return sents.join(pairs.select(*KEYS, "p", "c"), KEYS)
+    """Sentences with each of their example keys, (p, c) and what other places they have."""
+    return sents.join(pairs.select(*KEYS, *(k for k in (*PLACES, *RULE) if k in pairs.columns)), KEYS)
 
 
 def srl_features(sents: DataFrame, preds: DataFrame, pairs: DataFrame, sense: Iterable[Template], role: Iterable[Template]) -> DataFrame:

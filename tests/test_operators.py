@@ -209,6 +209,14 @@ def test_templates(spark):
     assert "dog_VBD_fish" in grams and len(grams) == 3 * 2 + 2 * 4 + 8
 
 
+def test_examples_of_other_keys(spark):
+    keys = spark.createDataFrame([("x", 0, 1, 4, 2, 0, 1, 2, "S", "NP", None)], "corpus string, sent_id long, p int, c int, m int, ri int, rj int, rk int, rule_parent string, rule_left string, rule_right string")
+    ex = ft.examples(sentence(spark), keys)
+    rows = ft.extract(ex, ft.parse_spec(["word(m)", "pos(after1(rk))", "seq(word(rule))", "rule_parent + rule_left", "rule_right", "RULE_IS_UNARY"]))
+    assert {r.template: r.feature for r in rows.collect()} == {"word(m)": "ate", "pos(after1(rk))": "DT", "seq(word(rule))": "the_dog_ate", "rule_parent+rule_left": "S_NP", "RULE_IS_UNARY": "T"}
+    assert {"p", "c", "m", "ri", "rj", "rk"} <= set(rows.columns)
+
+
 def test_word_and_triple_features(spark):
     s = sentence(spark)
     pairs = spark.createDataFrame([("x", 0, 1, 4)], "corpus string, sent_id long, p int, c int")
