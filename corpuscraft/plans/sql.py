@@ -72,17 +72,19 @@ def _climb() -> str:
     return "".join(steps) + ", climb as (" + " union all ".join(f"select * from climb{i}" for i in range(len(parts))) + ")"
 
 
-#: Pairs (a, a + 2) with their lowest common token and both climbs.
-PATHS = (
-    _climb()
-    + """
-, ab as (select sent_id, tok as a, tok + 2 as b, n from toks where tok + 2 < n
-), top as (select ab.sent_id, a, b, arg_min(x.node, x.depth) as lca, min(x.depth) as n_up, arg_min(y.depth, x.depth) as n_down
-  from ab join climb x on x.sent_id = ab.sent_id and x.tok = a join climb y on y.sent_id = ab.sent_id and y.tok = b and y.node = x.node group by 1, 2, 3
+#: Pairs (a, a + 2) with their lowest common token, and the steps between. Heads lie on one side in a document, so the outer of two tokens is never above the other.
+PATHS = """
+, ab as (select sent_id, doc_id, tok as a, tok + 2 as b from toks where tok + 2 < n
+), walk as (
+  select sent_id, a, b, a as x, b as y, 0 as nu, 0 as nd, (doc_id % 2 = 0) = (a > b) as up, doc_id % 2 = 0 as fwd from ab
+  union all select z.sent_id, a, b, x, y, nu, nd, fwd = (x > y), fwd from (
+    select w.sent_id, a, b, case when up then t.parent else x end as x, case when up then y else t.parent end as y, nu + up::int as nu, nd + (not up)::int as nd, fwd
+    from walk w join toks t on t.sent_id = w.sent_id and t.tok = case when up then x else y end where x <> y) z
+), top as (select sent_id, a, b, x as lca, nu as n_up, nd as n_down from walk where x = y
 ), steps as (
-  select top.sent_id, a, b, depth as place, node, 'UP' as dir, n_up + n_down as last from top join climb k on k.sent_id = top.sent_id and k.tok = a and depth < n_up
-  union all select top.sent_id, a, b, n_up + n_down - depth, node, 'DOWN', n_up + n_down from top join climb k on k.sent_id = top.sent_id and k.tok = b and depth <= n_down)"""
-)
+  select t.sent_id, t.a, t.b, nu as place, x as node, 'UP' as dir, n_up + n_down as last from top t join walk w on w.sent_id = t.sent_id and w.a = t.a where up and x <> y
+  union all select t.sent_id, t.a, t.b, n_up + n_down - nd, y, 'DOWN', n_up + n_down from top t join walk w on w.sent_id = t.sent_id and w.a = t.a where not up and x <> y
+  union all select sent_id, a, b, n_up, lca, 'DOWN', n_up + n_down from top)"""
 
 SQL: dict[str, str] = {
     "top_words": f"{TOKS} select * from ({COUNTS}) where cnt > 3 order by cnt desc, word desc limit 100",
