@@ -537,9 +537,8 @@ def role_pairs(spark, d):
 
 
 def _gold_examples(spark, d):
-    """Sentences with each of their gold arcs (p, c), made in the row."""
-    s = _sents(spark, d)
-    return s.select("*", F.posexplode("parents").alias("c", "p")).where("p >= 0")
+    """Sentences with each of their gold arcs (p, c)."""
+    return ft.examples(_sents(spark, d), _direct(_toks(spark, d)).where("p >= 0"))
 
 
 @query
