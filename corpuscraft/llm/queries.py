@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit_packing, embedding_dedup, html_extract, line_dedup, merge_codec, mil_quality, multiset_hash, simhash_dedup, token_files, url_automaton
-from .common import shared_dir, table
+from . import bestfit_packing, chat_format, embedding_dedup, html_extract, line_dedup, merge_codec, mil_quality, multiset_hash, phrase_mining, simhash_dedup, source_divergence, token_files, url_automaton
+from .common import Scratch, shared_dir, table
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    odd = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_conversations(conversations.select(odd.columns).unionByName(odd))
+    return chat_format.read_back(Scratch(spark, "chat").write(formatted))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.phrase_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name.startswith("op")}
 
 SQL: dict[str, str] = {
@@ -110,5 +125,68 @@ select d.doc_id,
   case when d.text is null then 0 else len(string_split(d.text, chr(10))) end::bigint as n_lines,
   coalesce(len(g.line_nos), 0)::bigint as n_removed
 from documents d left join lost g on d.doc_id = g.doc_id
+""",
+    "op11_chat_format": r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized as (
+  select *, length(regexp_replace(role, '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g'))
+    + length('<|im_start|><|im_sep|><|im_end|>') as size from turns
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(size)::bigint as formatted_chars
+from sized group by conv_id
+""",
+    "op12_source_divergence": r"""
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents
+), w as (select id, lang, source, unnest(words) as term from d
+), kept as (select lang, term, count(*)::hugeint as total from w group by lang, term having count(distinct id) >= 3
+), langs as (select l.lang, coalesce(sum(total), 0)::hugeint as n_lang, count(term)::hugeint as v from (select distinct lang from d) l left join kept k on k.lang = l.lang group by l.lang
+), counts as (select lang, source, term, count(*)::hugeint as c from w semi join kept using (lang, term) group by lang, source, term
+), sizes as (
+  select g.lang, g.source, n_lang, v, coalesce((select sum(c) from counts c where c.lang = g.lang and c.source = g.source), 0)::hugeint as n
+  from (select distinct lang, source from d) g join langs l on l.lang = g.lang
+), shares as (
+  select s.lang, s.source, k.term, coalesce(c.c, 0) as c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (s.n + s.v) as p, 1 + (1000000000 * (k.total + 1)) // (s.n_lang + s.v) as q
+  from sizes s join kept k on k.lang = s.lang left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term
+), pairs as (
+  select g.lang, g.source, o.source as item, coalesce(x.value, 0)::bigint as value
+  from sizes g join sizes o on g.lang = o.lang and g.source <> o.source
+  left join (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all) x
+    on x.lang = g.lang and x.source = g.source and x.item = o.source
+), terms as (
+  select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from shares where c > 0 and p > q
+), ranked as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+  union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int from terms
+)
+select * from ranked where part = 'pair' or rank <= 200
+""",
+    "op13_phrase_mining": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), lists as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as words from pieces
+), places as (select lang, words, unnest(range(1, len(words) + 1)) as i from lists
+), spans as (select lang, words[i:i + k - 1] as words, k from places, (values (1), (2), (3)) s(k) where i + k - 1 <= len(words)
+), counts as (select lang, array_to_string(words, ' ') as phrase, any_value(words) as words, any_value(k) as k, count(*)::hugeint as f from spans group by lang, array_to_string(words, ' ')
+), sums as (select lang, sum(f)::bigint as n from counts where k = 1 group by lang
+), found as (select * from counts where k >= 2 and f >= 10
+), cuts as (
+  select c.lang, c.phrase, c.words, c.f as a, j, x.f as l, y.f as r, (1000000 * c.f * c.f) // (x.f * y.f) as score
+  from (select *, unnest(range(1, k)) as j from found) c
+  join counts x on x.lang = c.lang and x.phrase = array_to_string(c.words[1:j], ' ')
+  join counts y on y.lang = c.lang and y.phrase = array_to_string(c.words[j + 1:], ' ')
+), best as (select *, row_number() over (partition by lang, phrase order by score, j) as place from cuts
+), inside as (
+  select lang, array_to_string(words[b:b + 1], ' ') as phrase, max(f) as most from (select *, unnest([1, 2]) as b from found where k = 3) group by all
+), kept as (
+  select b.* from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase where place = 1 and (most is null or 100 * most < 50 * a)
+), ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select r.lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from ranked r join sums s on s.lang = r.lang where rank <= 2000
 """,
 }
