@@ -113,7 +113,7 @@ def run_length_blocks(kept: DataFrame) -> DataFrame:
 
         block = TaskContext.get().partitionId() << 32
         lang: str | None = None
-        columns: dict[str, list[list[int]]] = {}  # source: ends and counts, the last run open
+        columns: dict[str, tuple[list[int], list[int]]] = {}  # source: ends and counts, the last run open
         at = profiles = entries = 0
 
         def close() -> pa.RecordBatch:
@@ -126,24 +126,26 @@ def run_length_blocks(kept: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"lang": [lang], "block": pa.array([block], pa.int64()), "n_terms": pa.array([at], pa.int64()), "columns": pa.array([rows], pa.list_(struct))})
 
         for batch in batches:
-            for own, counts, n in zip(batch.column("lang").to_pylist(), batch.column("counts"), batch.column("n_terms").to_pylist()):
+            begins, flat = batch.column("counts").offsets.to_pylist(), batch.column("counts").values
+            named = flat.field("source").dictionary_encode()
+            names, which, values = named.dictionary.to_pylist(), named.indices.to_pylist(), flat.field("n").to_pylist()
+            for i, (own, n) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("n_terms").to_pylist())):
                 if at and (own != lang or profiles >= BLOCK or entries >= BLOCK_COUNTS):
                     yield close()
                     block += 1
                     columns, at, profiles, entries = {}, 0, 0, 0
                 lang = own
-                for x in counts.as_py():
-                    ends, values = columns.setdefault(x["source"], [[], []])
-                    last = ends[-1] if ends else 0
-                    if last < at:
+                for j in range(begins[i], begins[i + 1]):
+                    ends, counts = columns.setdefault(names[which[j]], ([], []))
+                    if (ends[-1] if ends else 0) < at:
                         ends.append(at)
-                        values.append(0)
-                    if values and values[-1] == x["n"]:
+                        counts.append(0)
+                    if counts and counts[-1] == values[j]:
                         ends[-1] = at + n
                     else:
                         ends.append(at + n)
-                        values.append(x["n"])
-                    entries += 1
+                        counts.append(values[j])
+                entries += begins[i + 1] - begins[i]
                 at += n
                 profiles += 1
         if at:
