@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -34,11 +35,8 @@ FILTER_BLOCK = 1 << 16
 COUNTED = 16 << 20
 #: Words after which a chunk ends without a window that says so.
 LONGEST = 512
-WORD, SPACE, BREAK = 0, 1, 2
 #: A-Z in lower case; line ends and punctuation that part pieces as line feeds, a tab as a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
-_CLASS = np.array([SPACE if c == 32 else BREAK if c == 10 else WORD for c in range(256)], np.uint8)
-_POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
 _MIX, _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -55,26 +53,21 @@ class Words:
     @classmethod
     def of(cls, data: bytes) -> Words:
         raw = np.frombuffer(data, np.uint8)
-        kinds = _CLASS[raw]
-        inside = np.concatenate([[False], kinds == WORD, [False]])
+        breaks = raw == 10
+        inside = np.concatenate([[False], (raw != 32) & ~breaks, [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
-        breaks = np.flatnonzero(kinds == BREAK)
-        return cls(raw, starts, ends, np.searchsorted(breaks, starts))
+        return cls(raw, starts, ends, np.searchsorted(np.flatnonzero(breaks), starts))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, which places chunks and nothing else."""
-        if not len(self.starts):
-            return np.empty(0, np.uint64)
-        inside = _CLASS[self.data] == WORD
-        at = np.flatnonzero(inside)
+        """A 64-bit hash of each word's length and first eight bytes, which places chunks and nothing else."""
+        eight = np.ndarray((len(self.data),), "<u8", np.append(self.data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
         length = self.ends - self.starts
-        first = np.cumsum(length) - length
-        power = _POWERS[(np.arange(len(at)) - np.repeat(first, length)) % len(_POWERS)]
-        return np.add.reduceat((self.data[at].astype(np.uint64) + np.uint64(1)) * power, first)
+        kept = np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(length, 8))).astype(np.uint64)
+        return ((eight[self.starts] & kept) + length.astype(np.uint64)) * _MIX2
 
     def strings(self) -> pa.BinaryArray:
-        inside = _CLASS[self.data] == WORD
+        inside = (self.data != 32) & (self.data != 10)
         offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int32)
         return pa.BinaryArray.from_buffers(pa.binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[inside].tobytes())])
 
@@ -101,7 +94,7 @@ def chunk_begins(words: Words, overlap: int, period: int) -> np.ndarray:
     return begins
 
 
-def chunks(text: bytes, overlap: int = 2, period: int = 16) -> list[tuple[bytes, int]]:
+def chunks(text: bytes, overlap: int = 2, period: int = 32) -> list[tuple[bytes, int]]:
     """The chunks of a whole text, and of each how many of its words don't belong to the overlap that closes it."""
     data = normalized(text)
     words = Words.of(data)
@@ -172,14 +165,15 @@ def frequent_filter(frequent: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _counted(lang: str, texts: list[bytes], own: list[int], n: list[int], size: int, passing: np.ndarray | None) -> tuple[pa.Array, np.ndarray, int]:
+def _counted(lang: str, chunks: pa.BinaryArray, own: np.ndarray, n: np.ndarray, size: int, passing: np.ndarray | None) -> tuple[pa.Array, np.ndarray, int]:
     """The phrases of ``size`` words that begin in the own words of some chunks, the sums of their frequencies, and that of all own words."""
-    words = Words.of(b"\n".join(texts))
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    chunk = np.searchsorted(begins, words.starts, "right") - 1
+    lengths = pc.binary_length(chunks).to_numpy(zero_copy_only=False)
+    words = Words.of(pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), b"\n")[0].as_buffer().to_pybytes())
+    begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     first = np.searchsorted(words.starts, begins)
-    is_own = np.arange(len(chunk)) - first[chunk] < np.array(own)[chunk]
-    weight = np.array(n, np.int64)[chunk]
+    chunk = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words.starts))))
+    is_own = np.arange(len(chunk)) - first[chunk] < own[chunk]
+    weight = n[chunk]
     total = int(weight[is_own].sum())
     strings = words.strings()
     if size == 1:
@@ -201,13 +195,14 @@ def _counted(lang: str, texts: list[bytes], own: list[int], n: list[int], size:
     key, known = ids[at].astype(np.int64), len(coded.dictionary)
     for i in range(1, size):
         if known * len(coded.dictionary) >= 2**62:
-            distinct, key = np.unique(key, return_inverse=True)
+            key, distinct = pd.factorize(key)
             known = len(distinct)
         key = key * len(coded.dictionary) + ids[at + i]
         known *= len(coded.dictionary)
-    _, example, group = np.unique(key, return_index=True, return_inverse=True)
-    sums = np.zeros(len(example), np.int64)
+    group, distinct = pd.factorize(key)
+    sums, example = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
     np.add.at(sums, group, weight[at])
+    example[group] = np.arange(len(group))
     columns = [coded.dictionary.take(pa.array(ids[at[example] + i])) for i in range(size)]
     return pc.binary_join_element_wise(*columns, b" ") if size > 1 else columns[0], sums, total
 
@@ -217,31 +212,33 @@ def phrase_counts(chunks: DataFrame, size: int, passing: np.ndarray | None) -> D
     sent = chunks.sparkSession.sparkContext.broadcast(passing) if passing is not None else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list, list, list]] = {}
+        held: dict[str, list[pa.RecordBatch]] = {}
         bytes_held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (texts, own, n) in held.items():
-                phrases, sums, total = _counted(lang, texts, own, n, size, None if sent is None else sent.value)
+            for lang, batches in held.items():
+                rows = pa.Table.from_batches(batches).combine_chunks()
+                chunks, own, n = (rows.column(c).chunk(0) for c in ("chunk", "own", "n"))
+                phrases, sums, total = _counted(lang, chunks, own.to_numpy(), n.to_numpy(), size, None if sent is None else sent.value)
                 if size == 1:
                     phrases, sums = pa.concat_arrays([phrases, pa.array([None], pa.binary())]), np.append(sums, total)
                 for i in range(0, len(sums), 100_000):
                     some = phrases[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some.cast(pa.string()), pa.array(sums[i : i + 100_000])], ["lang", "phrase", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), some.cast(pa.string()), pa.array(sums[i : i + 100_000])], ["lang", "phrase", "f"])
 
         for batch in batches:
-            for lang, text, own, n in zip(batch.column("lang").to_pylist(), batch.column("chunk").to_pylist(), batch.column("own").to_pylist(), batch.column("n").to_pylist()):
-                of = held.setdefault(lang, ([], [], []))
-                of[0].append(text)
-                of[1].append(own)
-                of[2].append(n)
-                bytes_held += len(text)
-                if bytes_held >= COUNTED:
-                    yield from out()
-                    held, bytes_held = {}, 0
+            for lang in pc.unique(batch.column("lang")).to_pylist():
+                some = batch.filter(pc.equal(batch.column("lang"), lang))
+                held.setdefault(lang, []).append(some.select(["chunk", "own", "n"]))
+            bytes_held += pc.sum(pc.binary_length(batch.column("chunk"))).as_py() or 0
+            if bytes_held >= COUNTED:
+                yield from out()
+                held, bytes_held = {}, 0
         yield from out()
 
-    return batched(chunks).mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # a task has added up what it could: rows go to their phrase's task as they are, COUNTED bytes of chunks a row at most for each phrase
+    found = batched(chunks).mapInArrow(count, "lang string, phrase string, f long")
+    return found.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _score(a: Column, parts: Column) -> Column:
@@ -250,7 +247,7 @@ def _score(a: Column, parts: Column) -> Column:
     return F.call_function("div", whole * whole * F.lit(1_000_000).cast("decimal(7,0)"), l * r)
 
 
-def phrase_collocations(docs: DataFrame, max_words: int = 3, least: int = 10, ranks: int = 2000, share: int = 50, period: int = 16) -> DataFrame:
+def phrase_collocations(docs: DataFrame, max_words: int = 3, least: int = 10, ranks: int = 2000, share: int = 50, period: int = 32) -> DataFrame:
     """Each language's best phrases: (lang, rank, phrase, a, l, r, n, score).
 
     docs: lang, text; other columns are ignored. A null text is empty, a null lang is ``und``. Texts, A-Z in lower case, are
