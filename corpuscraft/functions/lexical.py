@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup(c: Column | str, table: dict[str, str]) -> Column:
     """The value of a small fixed table, null for other keys."""
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), col(c))
@@ -266,15 +272,13 @@ def harmonic_mean(p: Column | str, r: Column | str) -> Column:
 
 def ngrams(items: Column | str, n: int) -> Column:
     """As many n-grams as the list has items, each ending at one of them, joined by underscores; BOS stands before the first item."""
-    x = col(items)
-    padded = F.concat(F.array_repeat(F.lit("BOS"), n - 1), x)
-    return F.transform(x, lambda _, i: F.array_join(F.slice(padded, i + 1, n), "_"))
+    padded = lambda x: F.struct(x.alias("x"), F.concat(F.array_repeat(F.lit("BOS"), n - 1), x).alias("padded"))
+    return let(col(items), lambda x: let(padded(x), lambda y: F.transform(y["x"], lambda _, i: F.array_join(F.slice(y["padded"], i + 1, n), "_"))))
 
 
 def no_dup(items: Column | str) -> Column:
     """Adjacent repeats collapsed."""
-    x = col(items)
-    return F.filter(x, lambda v, i: (i == 0) | ~v.eqNullSafe(F.get(x, i - 1)))
+    return let(col(items), lambda x: F.filter(x, lambda v, i: (i == 0) | ~v.eqNullSafe(F.get(x, i - 1))))
 
 
 def bag(items: Column | str) -> Column:

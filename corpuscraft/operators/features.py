@@ -1,70 +1,85 @@
-"""Feature rows from templates: Python specs that become column expressions over whole sentences.
+"""Feature rows from templates: specs that become column expressions over whole sentences.
 
-A sentence is one row of arrays, an example one row that carries them, so features need no join after that. What an
-example points at is its key: p and c, and where it has them a modifier m, the begin, middle and end ri, rj, rk of a rule
-(with its symbols, rule_parent, rule_left, rule_right), and the heads h1, h2 of two mentions. Rows are (key, template, feature). With ``hashed`` a feature is the 64-bit hash of what would be its text.
+A sentence is one row of arrays, and its examples are an array in it, so features need neither a join nor a copy of the
+sentence for each example. What an example points at is its key: p and c, and where it has them a modifier m, the begin, middle and end ri, rj, rk of a rule
+(with its symbols, rule_parent, rule_left, rule_right), the heads h1, h2 of two mentions and their ends m1s, m1e, m1h, m2s, m2e, m2h. Rows are (key, template, feature).
+With ``hashed`` a feature is the 64-bit hash of what would be its text.
+
+Templates are compiled together. Their parts are evaluated once an example, inside the sentence's row; trees are asked through an
+index that the row has once (functions.tree_index). Joint templates are put together from those values along a trie of their
+parts, so what two templates begin with is joined once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import trees
+from ..functions import tree_index, trees
 from ..functions.lexical import affix, bag, bin_int, is_capitalized, is_noun, is_verb, morpho6, morpho_str, ngrams, no_dup, strict_pos
 from .tables import KEYS
 
 
 @dataclass(frozen=True)
 class Token:
-    """The property of one token. position: p, c or another of PLACES. modifier: self, before1, before2, after1, after2, head, lns, rns, lmc, rmc, lnc, rnc, low_verb, high_verb, low_noun, high_noun."""
+    """The property of one token. position: p, c or another of PLACES. modifier: one of MODIFIERS, or several from the outermost on, joined by a slash."""
 
     prop: str
     position: str = "p"
     modifier: str = "self"
 
     def name(self) -> str:
-        return f"{self.prop}({self.modifier}({self.position}))" if self.modifier != "self" else f"{self.prop}({self.position})"
+        inner = self.position
+        for m in reversed(self.modifier.split("/")):
+            inner = inner if m == "self" else f"{m}({inner})"
+        return f"{self.prop}({inner})"
 
     def layers(self) -> set[str]:
-        need = {"word": {"words"}, "lc": {"words"}, "cap": {"words"}, "spos": {"pos"}, "chpre": {"words"}, "chsuf": {"words"}, "morpho": {"feats"}, "morphostr": {"feats"}}
-        own = need.get(self.prop.rstrip("12345"), {_layer(self.prop)})
-        return own | ({"parents"} if self.modifier not in ("self", "before1", "before2", "after1", "after2") else set()) | ({"pos"} if "_" in self.modifier else set())
+        own = {_layer(self.prop)} if self.prop != "index" else {"words"}
+        steps = [m for m in self.modifier.split("/") if m not in ("self", "before1", "before2", "after1", "after2")]
+        return own | ({"parents"} if steps else set()) | ({"pos"} if any("_" in m for m in steps) else set())
 
 
 @dataclass(frozen=True)
 class List:
-    """A property along a list of tokens. source: path (over the tree), path_p_lca, path_c_lca (from p or c up to their lowest common token), path_lca_root (from there to the root), line, between, rule (the tokens from ri to rk), children, no_far_children. form: seq, bag, no_dup, 1gram, 2gram, 3gram. edge: direction of the tree's edges as well."""
+    """A property along a list of tokens. source: one of SOURCES. form: one of FORMS. edge: what goes between the tokens of a path: dir (UP, DOWN), rel (the edge's relation) or nothing; without a prop there is that alone."""
 
-    prop: str
+    prop: str | None
     source: str = "path"
     form: str = "seq"
     position: str = "p"
-    edge: bool = False
+    edge: str | bool = ""
+
+    def _edge(self) -> str:
+        return "dir" if self.edge is True else self.edge or ""
 
     def name(self) -> str:
         where = self.source if self.source in (*PATHS, "line", "between", "rule") else f"{self.source}({self.position})"
-        return f"{self.form}({self.prop}{'+dir' if self.edge else ''}({where}))"
+        return f"{self.form}({'&'.join(filter(None, (self.prop, self._edge())))}({where}))"
 
     def layers(self) -> set[str]:
-        return {_layer(self.prop)} | ({"parents"} if self.source not in ("line", "between", "rule") else set())
+        own = {_layer(self.prop)} if self.prop else {"words"}
+        return own | ({"deprels"} if self._edge() == "rel" else set()) | ({"parents"} if self.source not in ("line", "between", "rule") else set())
 
 
 @dataclass(frozen=True)
 class Pair:
-    """A feature of the example itself: relative, distance, edge (either is the other's parent, T or F), direction_edge (p is c's parent, T or F), genealogy, continuity, path_len, sent_len, path_grams, rule_is_unary (T or F)."""
+    """A feature of the example itself, mostly of two of its places. kind: one of KINDS."""
 
     kind: str
+    one: str = "p"
+    two: str = "c"
 
     def name(self) -> str:
-        return self.kind.upper()
+        return self.kind.upper() + (f"({self.one},{self.two})" if (self.one, self.two) != ("p", "c") else "")
 
     def layers(self) -> set[str]:
-        return {"words"} | ({"parents"} if self.kind in ("genealogy", "continuity", "path_len", "path_grams", "edge", "direction_edge") else set()) | ({"pos"} if self.kind == "path_grams" else set())
+        return {"words"} | ({"parents"} if self.kind in ON_PATHS or "edge" in self.kind else set()) | ({"pos"} if self.kind == "path_grams" else set())
 
 
 @dataclass(frozen=True)
@@ -94,15 +109,26 @@ class Rule:
 
 
 #: The columns of an example's key.
-PLACES = ("p", "c", "m", "ri", "rj", "rk", "h1", "h2")
+PLACES = ("p", "c", "m", "ri", "rj", "rk", "h1", "h2", "m1s", "m1e", "m1h", "m2s", "m2e", "m2h")
 RULE = ("rule_parent", "rule_left", "rule_right")
 Template = Token | List | Pair | Joint | Rule
 PATHS = ("path", "path_p_lca", "path_c_lca", "path_lca_root")
-PROPS = {"word": "words", "lemma": "lemmas", "pos": "pos", "cpos": "cpos", "cluster": "clusters", "prefix": "prefixes", "chunk": "chunks", "ne": "ne_tags", "deprel": "deprels"}
+SOURCES = (*PATHS, "line", "between", "rule", "children", "no_far_children")
+FORMS = ("seq", "bag", "no_dup", "1gram", "2gram", "3gram")
+MODIFIERS = ("self", "before1", "before2", "after1", "after2", "head", *tree_index.NEAR, "low_verb", "high_verb", "low_noun", "high_noun")
+#: relative: BEFORE, AFTER, ON; edge: either is the other's parent; direction_edge: the first is the second's.
+KINDS = ("relative", "distance", "edge", "direction_edge", "genealogy", "continuity", "path_len", "sent_len", "path_grams", "rule_is_unary")
+ON_PATHS = ("genealogy", "continuity", "path_len", "path_grams")
+PROPS = {
+    "word": "words", "lc": "words", "cap": "words", "capitalized": "words", "wordTopN": "words_top", "lemma": "lemmas", "pos": "pos", "spos": "pos", "cpos": "cpos", "cluster": "clusters", "bc0": "clusters", "bc1": "clusters",
+    "prefix": "prefixes", "chunk": "chunks", "ne": "ne_tags", "deprel": "deprels", "predSense": "senses", "index": "words", "morpho": "feats", "eachmorpho": "feats", "morpho1": "feats", "morpho2": "feats", "morpho3": "feats",
+} | {f"{side}{n}": "words" for side in ("chpre", "chsuf") for n in range(1, 6)}
+#: Properties with several values a token.
+EACH = ("eachmorpho",)
 
 
 def _layer(prop: str) -> str:
-    return PROPS.get(prop, prop if prop != "lc" else "words")
+    return PROPS.get(prop, prop)
 
 
 def required_layers(templates: Iterable[Template]) -> set[str]:
@@ -119,24 +145,87 @@ def union_templates(*sets: Iterable[Template]) -> list[Template]:
     return list(dict.fromkeys(t for s in sets for t in s))
 
 
-def parse_spec(lines: Iterable[str]) -> list[Template]:
-    """A template a line: ``word(p)``, ``pos(head(c))``, ``bag(pos(path))``, ``DISTANCE``, joined by ``+``. Comments and blank lines are skipped."""
+# specs
+
+# fixed values: names that template files in wide use have for lists, modifiers, forms, edges and features of the whole example
+LISTS = {
+    "path(lca(p,c),root)": ("path_lca_root", "p"), "path(p,lca(p,c))": ("path_p_lca", "p"), "path(c,lca(p,c))": ("path_c_lca", "p"), "path(p,c)": ("path", "p"), "line(p,c)": ("line", "p"), "line(ri,rk)": ("rule", "p"),
+    "btwn(p,c)": ("between", "p"), "children(p)": ("children", "p"), "children(c)": ("children", "c"), "noFarChildren(p)": ("no_far_children", "p"), "noFarChildren(c)": ("no_far_children", "c"),
+}
+OTHER_MODIFIERS = {"0": "self", "-1": "before1", "-2": "before2", "1": "after1", "2": "after2", "lowsv": "low_verb", "highsv": "high_verb", "lowsn": "low_noun", "highsn": "high_noun"}
+OTHER_FORMS = {"noDup": "no_dup"}
+EDGES = {"dir": "dir", "edgerel": "rel"}
+WHOLE = {"pathGrams": Pair("path_grams"), "sentlen": Pair("sent_len"), "ruleIsUnary": Pair("rule_is_unary"), "len(path(p,c))": Pair("path_len"), "continuity(path(p,c))": Pair("continuity"), "tag(ruleP)": Rule("parent"), "tag(ruleLc)": Rule("left"), "tag(ruleRc)": Rule("right")}
+OF_TWO = {"relative": "relative", "distance": "distance", "undiredge": "edge", "diredge": "direction_edge", "geneology": "genealogy", "genealogy": "genealogy"}
+
+
+def parse_spec(lines: Iterable[str], unknown: str = "error") -> list[Template]:
+    """A template a line, its parts joined by ``+``. Comments and blank lines are skipped.
+
+    Parts are as templates name themselves, ``word(p)``, ``pos(head(c))``, ``bag(pos(path))``, ``seq(deprel&dir(path))``, ``DISTANCE``, or as in ``deprel(dir(seq(path(p,c))))``, ``pos(-1(c))``, ``relative(p,c)``: a property, then an edge property and a
+    form, in any order, around a list; or a property around modifiers around a place. unknown: what to do with a line that has another
+    part, an error or "skip".
+    """
     out = []
     for line in lines:
         text = line.split("#")[0].strip()
         if text:
-            parts = tuple(_parse_one(part.strip()) for part in text.split("+"))
+            try:
+                parts = tuple(_parse_one(re.sub(r"\s", "", part)) for part in text.split("+"))
+            except ValueError:
+                if unknown == "error":
+                    raise
+                continue
             out.append(parts[0] if len(parts) == 1 else Joint(parts))
     return out
 
 
 def _parse_one(text: str) -> Template:
+    if text in WHOLE:
+        return WHOLE[text]
+    if text in RULE:
+        return Rule(text.removeprefix("rule_"))
+    if text.lower() in KINDS:
+        return Pair(text.lower())
+    two = re.fullmatch(r"(\w+)\((\w+),(\w+)\)", text)
+    if two and two[1].lower() in OF_TWO and {two[2], two[3]} <= set(PLACES):
+        return Pair(OF_TWO[two[1].lower()], two[2], two[3])
     names = text.rstrip(")").split("(")
-    if len(names) == 1:
-        return Rule(text.removeprefix("rule_")) if text in RULE else Pair(text.lower())
-    if names[0] in ("seq", "bag", "no_dup", "1gram", "2gram", "3gram"):
-        return List(names[1], names[2], names[0], names[3] if len(names) > 3 else "p")
-    return Token(names[0], names[-1], names[1] if len(names) == 3 else "self")
+    if len(names) < 2 or text.count(")") != len(names) - 1 or text.count("(") != text.count(")"):
+        raise ValueError(f"no template: {text}")
+    if names[0] in FORMS and 2 < len(names) < 5 and names[2] in SOURCES and (len(names) == 3 or names[3] in PLACES):
+        prop, _, edge = names[1].partition("&")
+        prop, edge = ("", prop) if prop in EDGES.values() and not edge else (prop, edge)
+        return _checked(List(prop or None, names[2], names[0], names[3] if len(names) > 3 else "p", edge), text)
+    for name, (source, position) in LISTS.items():
+        if name in text:
+            return _parse_list(text, text[: text.index(name)], name, source, position)
+    steps = [OTHER_MODIFIERS.get(m, m) for m in names[1:-1] if m != "0"] or ["self"]
+    return _checked(Token(names[0], names[-1], "/".join(steps)), text)
+
+
+def _parse_list(text: str, around: str, name: str, source: str, position: str) -> List:
+    outer = [x for x in around.split("(") if x]
+    if text != "(".join([*outer, name]) + ")" * len(outer):
+        raise ValueError(f"no template: {text}")
+    forms = [OTHER_FORMS.get(x, x) for x in outer if OTHER_FORMS.get(x, x) in FORMS]
+    edges = [EDGES[x] for x in outer if x in EDGES]
+    props = [x for x in outer if x not in EDGES and OTHER_FORMS.get(x, x) not in FORMS]
+    if len(forms) > 1 or len(edges) > 1 or len(props) > 1 or not edges and not props or edges and source not in PATHS:
+        raise ValueError(f"no template: {text}")
+    return _checked(List(props[0] if props else None, source, forms[0] if forms else "seq", position, edges[0] if edges else ""), text)
+
+
+def _checked(t: Token | List, text: str) -> Token | List:
+    if t.prop is not None and t.prop not in PROPS or t.position not in PLACES or isinstance(t, Token) and not set(t.modifier.split("/")) <= set(MODIFIERS):
+        raise ValueError(f"no template: {text}")
+    return t
+
+
+def read_template_sets(spark: SparkSession, path: str, unknown: str = "error") -> dict[str, list[Template]]:
+    """The template files of a folder, or a file, by name (without what follows a point): parse_spec of their lines."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name")).collect()
+    return {row.name.split(".")[0]: parse_spec(row.value.split("\n"), unknown) for row in files}
 
 
 def with_dir_edge(templates: Iterable[Template]) -> list[Template]:
@@ -144,14 +233,15 @@ def with_dir_edge(templates: Iterable[Template]) -> list[Template]:
     return [x for t in templates for x in (t, Joint((*(t.parts if isinstance(t, Joint) else (t,)), Pair("direction_edge"))))]
 
 
-def all_unigrams(props: Iterable[str] = ("word", "lemma", "pos", "cluster", "deprel")) -> list[Template]:
-    """Every single template that makes sense over the properties."""
-    mods = ("self", "before1", "before2", "after1", "after2", "head", "lns", "rns", "lmc", "rmc", "lnc", "rnc", "low_verb", "high_verb", "low_noun", "high_noun")
-    out: list[Template] = [Token(p, at, m) for p in props for at in "pc" for m in mods]
-    out += [List(p, s, f) for p in props for s in (*PATHS, "line", "between") for f in ("seq", "bag", "no_dup", "1gram", "2gram", "3gram")]
-    out += [List(p, s, f, at) for p in props for s in ("children", "no_far_children") for f in ("seq", "bag", "no_dup") for at in "pc"]
-    out += [Pair(k) for k in ("relative", "distance", "edge", "direction_edge", "genealogy", "continuity", "path_len", "sent_len", "path_grams")]
-    return out
+def all_unigrams(props: Iterable[str] = ("word", "lemma", "pos", "cluster", "deprel"), places: Iterable[str] = ("p", "c")) -> list[Template]:
+    """Every single template over the properties: each of them at each place and modifier, along each list in each form, edges of paths with or without a property, rules, and features of the whole example."""
+    props = list(props)
+    out: list[Template] = [Token(p, at, m) for at in places for m in MODIFIERS for p in props]
+    singles = [p for p in props if p not in EACH]
+    lists = [("children", "p"), ("children", "c"), ("no_far_children", "p"), ("no_far_children", "c"), ("line", "p"), ("between", "p"), ("rule", "p")]
+    out += [List(p, source, form, at) for source, at in lists for form in FORMS for p in singles]
+    out += [List(p, source, form, "p", edge) for source in PATHS for form in FORMS for edge in ("", "dir", "rel") for p in (None, *singles) if p or edge]
+    return out + [Rule(piece) for piece in ("parent", "left", "right")] + [Pair(k) for k in KINDS]
 
 
 def all_bigrams(templates: Iterable[Template]) -> list[Template]:
@@ -182,7 +272,7 @@ def role_set() -> list[Template]:
     """For semantic roles: both ends, the path between them and its grams, children and supports."""
     out: list[Template] = [Token(p, at) for p in ("word", "lemma", "pos", "deprel") for at in "pc"]
     out += [Token("pos", "c", m) for m in ("lns", "rns", "lmc", "rmc", "head")] + [Token("word", "p", m) for m in ("low_verb", "high_verb")]
-    out += [List("pos", "path", edge=True), List("deprel", "path", edge=True), List("word", "between", "bag"), List("pos", "children", "bag", "p")]
+    out += [List("pos", "path", edge="dir"), List("deprel", "path", edge="dir"), List("word", "between", "bag"), List("pos", "children", "bag", "p")]
     return out + [Pair(k) for k in ("relative", "distance", "genealogy", "path_len", "path_grams", "continuity")]
 
 
@@ -202,23 +292,21 @@ def template_set(name: str) -> list[Template]:
 
 def _value(prop: str, i: Column) -> Column:
     """A property of token i; BOS and EOS beyond the sentence, null where the layer has none."""
-    n = F.size("words")
     base = prop.rstrip("12345")
     if base in ("chpre", "chsuf"):
         v = affix(F.get("words", i), int(prop[len(base) :]), "prefix" if base == "chpre" else "suffix")
-    elif prop == "lc":
-        v = F.lower(F.get("words", i))
-    elif prop == "cap":
-        v = is_capitalized(F.get("words", i)).cast("string")
-    elif prop == "spos":
-        v = strict_pos(F.get("pos", i))
+    elif base == "morpho" and base != prop:
+        v = F.get(morpho6(F.get("feats", i)), F.lit(int(prop[-1]) - 1))
     else:
-        v = F.get(F.col(_layer(prop)), i)
-    return F.when(i < 0, "BOS").when(i >= n, "EOS").otherwise(v)
+        known = {
+            "lc": lambda: F.lower(F.get("words", i)), "cap": lambda: is_capitalized(F.get("words", i)).cast("string"), "capitalized": lambda: F.when(is_capitalized(F.get("words", i)), "UC").otherwise("LC"),
+            "spos": lambda: strict_pos(F.get("pos", i)), "bc0": lambda: F.substring(F.get("clusters", i), 1, 5), "index": lambda: i.cast("string"), "morpho": lambda: morpho_str(F.get("feats", i)),
+        }
+        v = known[prop]() if prop in known else F.get(F.col(_layer(prop)), i)
+    return F.when(i < 0, "BOS").when(i >= F.size("words"), "EOS").otherwise(v)
 
 
-def _moved(at: Column, modifier: str, lang: str) -> Column:
-    n = F.size("words")
+def _step(at: Column, modifier: str) -> Column:
     if modifier == "self":
         return at
     if modifier.startswith(("before", "after")):
@@ -227,89 +315,188 @@ def _moved(at: Column, modifier: str, lang: str) -> Column:
         return F.when(at >= 0, F.get("parents", at))
     if "_" in modifier:
         which, kind = modifier.split("_")
-        return trees.support_token("parents", F.transform("pos", lambda t: {"noun": is_noun, "verb": is_verb}[kind](t, lang)), at, which)
+        return F.coalesce(F.get(F.col(f"_{kind}s.{which}"), at), F.lit(-1))
     if modifier in ("lns", "rns"):
-        same = trees.children("parents", F.get("parents", at))
-        return F.coalesce(F.array_max(F.filter(same, lambda x: x < at)), F.lit(-1)) if modifier == "lns" else F.coalesce(F.array_min(F.filter(same, lambda x: x > at)), n)
-    kids = trees.children("parents", at)
-    side = F.filter(kids, (lambda x: x < at) if modifier[0] == "l" else (lambda x: x > at))
-    far = (modifier[0] == "l") == (modifier[1] == "m")
-    return F.coalesce(F.array_min(side) if far else F.array_max(side), F.lit(-2))
+        return F.coalesce(F.get(F.col(f"_near.{modifier}"), at), F.lit(-1) if modifier == "lns" else F.size("words"))
+    # children of the wall are all on its right
+    walls = {"rnc": F.array_min, "rmc": F.array_max}[modifier](trees.children("parents", F.lit(-1))) if modifier[0] == "r" else F.lit(None)
+    return F.coalesce(F.when(at == -1, walls).otherwise(F.get(F.col(f"_near.{modifier}"), at)), F.lit(-2))
+
+
+def _kids(at: Column) -> Column:
+    return F.when(at >= 0, F.get("_kids", at)).otherwise(trees.children("parents", at))
 
 
 def _text(x: Column) -> Column:
     return F.when(x.isNotNull(), F.array(x.cast("string"))).otherwise(F.array().cast("array<string>"))
 
 
-def _cross(a: Column, b: Column) -> Column:
-    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit("_"), y))))
+def _path(way: Column, source: str) -> tuple[Column, Column]:
+    """A path's tokens (-1: the wall) and how many of its steps, from the first, go up."""
+    toks, top = way["toks"], way["top"]
+    if source == "path":
+        return toks, top
+    n = F.size(toks)
+    own = {"path_p_lca": lambda: F.slice(toks, 1, top + 1), "path_c_lca": lambda: F.reverse(F.slice(toks, top + 1, n - top)), "path_lca_root": lambda: F.concat(way["above"], F.array(F.lit(-1)))}[source]()
+    return F.when(toks.isNotNull(), own), n + F.size("parents")  # all of them go up
+
+
+def _along(path: Column, ups: Column, prop: str | None, edge: str) -> Column:
+    """The property of each token of a path, and what its edge to the next has."""
+
+    def items(toks: Column) -> Column:
+        def one(tok: Column, k: Column) -> Column:
+            up = k < ups
+            own = [_value(prop, tok)] if prop else []
+            if edge:
+                mark = F.when(up, "UP").otherwise("DOWN") if edge == "dir" else F.get("deprels", F.when(up, tok).otherwise(F.get(toks, k + 1)))
+                own.append(F.when(k < F.size(toks) - 1, mark))
+            return F.array_compact(F.array(*own))
+
+        return F.flatten(F.transform(toks, one)) if edge else F.array_compact(F.transform(toks, lambda tok: _value(prop, tok)))
+
+    return trees.let(path, items)
 
 
-def _evaluate(t: Template, lang: str = "en") -> Column:
-    """The features of a template on the row's example, an array of texts; empty if it has none."""
-    p, c = F.col("p"), F.col("c")
-    at = {k: F.col(k) for k in PLACES}
+def _many(t: Template) -> bool:
+    """Whether a template can have several features of an example."""
+    return isinstance(t, Token) and t.prop in EACH or isinstance(t, List) and t.form.endswith("gram") or isinstance(t, Pair) and t.kind == "path_grams"
+
+
+def _evaluate(t: Template, ex: Callable[[str], Column]) -> Column:
+    """The feature of a template that isn't joint on an example whose key ex returns by name: a text or null, or an array of them."""
     if isinstance(t, Rule):
-        return _text(F.col(f"rule_{t.piece}"))
-    if isinstance(t, Joint):
-        out = _evaluate(t.parts[0], lang)
-        for part in t.parts[1:]:
-            more = _evaluate(part, lang)
-            out = _cross(out, more)
-        return out
+        return ex(f"rule_{t.piece}")
     if isinstance(t, Token):
-        if t.prop == "morphostr":
-            return _text(morpho_str(F.get("feats", _moved(at[t.position], t.modifier, lang))))
-        if t.prop == "morpho":
-            return F.filter(morpho6(F.get("feats", _moved(at[t.position], t.modifier, lang))), lambda m: m != "NO_MORPH")
-        return _text(_value(t.prop, _moved(at[t.position], t.modifier, lang)))
+        at = ex(t.position)
+        for m in reversed(t.modifier.split("/")):
+            at = _step(at, m)
+        return F.coalesce(F.get("feats", at), F.array().cast("array<string>")) if t.prop in EACH else _value(t.prop, at)
     if isinstance(t, List):
+        p, c, at = ex("p"), ex("c"), ex(t.position)
         if t.source in PATHS:
-            path = trees.dep_path("parents", p, c) if t.source == "path" else trees.path_part("parents", p, c, t.source.removeprefix("path_"))
-            items = trees.path_props(path, _layer(t.prop), t.edge)
+            items = _along(*_path(ex("_way"), t.source), t.prop, t._edge())
         else:
-            toks = {"rule": lambda: trees.line_path(at["ri"], at["rk"]), "line": lambda: trees.line_path(p, c), "between": lambda: trees.between(p, c), "children": lambda: trees.children("parents", at[t.position]), "no_far_children": lambda: trees.no_far_children("parents", at[t.position])}[t.source]()
-            items = F.transform(toks, lambda i: _value(t.prop, i))
+            toks = {"rule": lambda: trees.line_path(ex("ri"), ex("rk")), "line": lambda: trees.line_path(p, c), "between": lambda: trees.between(p, c), "children": lambda: _kids(at), "no_far_children": lambda: trees.let(_kids(at), lambda kids: trees.inner(kids, at))}[t.source]()
+            items = F.array_compact(F.transform(toks, lambda i: _value(t.prop, i)))
         if t.form.endswith("gram"):
             return F.coalesce(ngrams(items, int(t.form[0])) if t.form[0] != "1" else items, F.array(F.lit("NO_PATH")))
         shaped = {"seq": lambda: items, "bag": lambda: bag(items), "no_dup": lambda: no_dup(items)}[t.form]()
-        return F.array(F.coalesce(F.array_join(shaped, "_"), F.lit("NO_PATH")))
-    path = lambda: trees.dep_path("parents", p, c)
+        return F.coalesce(F.array_join(shaped, "_"), F.lit("NO_PATH"))
+    one, two = ex(t.one), ex(t.two)
     headed = lambda i, by: F.coalesce((i >= 0) & (F.get("parents", i) == by), F.lit(False))
     true_false = lambda x: F.when(x, "T").otherwise("F")
     kinds = {
-        "relative": lambda: trees.relative_position(p, c),
-        "distance": lambda: F.abs(c - p),
-        "edge": lambda: true_false(headed(c, p) | headed(p, c)),
-        "direction_edge": lambda: true_false(headed(c, p)),
-        "rule_is_unary": lambda: true_false(F.col("rule_right").isNull()),
-        "genealogy": lambda: trees.genealogy("parents", p, c),
-        "continuity": lambda: trees.continuity(F.transform(path(), lambda s: s["tok"])),
-        "path_len": lambda: bin_int(F.coalesce(F.size(path()), F.lit(0))),
+        "relative": lambda: trees.relative_position(one, two),
+        "distance": lambda: F.abs(two - one),
+        "edge": lambda: true_false(headed(two, one) | headed(one, two)),
+        "direction_edge": lambda: true_false(headed(two, one)),
+        "rule_is_unary": lambda: true_false(ex("rule_right").isNull()),
+        "genealogy": lambda: trees.kin("parents", one, two, ex("_way")),
+        "continuity": lambda: trees.continuity(ex("_way")["toks"]),
+        "path_len": lambda: bin_int(F.coalesce(F.size(ex("_way")["toks"]), F.lit(0))),
         "sent_len": lambda: bin_int(F.size("words")),
+        "path_grams": lambda: F.coalesce(trees.token_grams(ex("_way")["toks"], "words", "pos"), F.array(F.lit("NO_PATH"))),
     }
-    if t.kind == "path_grams":
-        return F.coalesce(trees.path_grams(path(), "words", "pos"), F.array(F.lit("NO_PATH")))
-    return _text(kinds[t.kind]())
+    found = kinds[t.kind]()
+    return found if t.kind == "path_grams" else found.cast("string")
+
+
+def _indexed(examples: DataFrame, units: list[Template], lang: str) -> DataFrame:
+    """examples with what the templates ask of the trees: paths by example, neighbours, children and supports by token."""
+    ways = [t for t in units if isinstance(t, List) and t.source in PATHS or isinstance(t, Pair) and t.kind in ON_PATHS]
+    steps = {m for t in units if isinstance(t, Token) for m in t.modifier.split("/")}
+    out = {}
+    if ways:
+        pairs = F.transform("examples", lambda e: F.struct(e["p"].cast("int").alias("a"), e["c"].cast("int").alias("b")))
+        out["_ways"] = tree_index.paths("parents", pairs, any(isinstance(t, List) and t.source == "path_lca_root" for t in ways))
+    if steps & set(tree_index.NEAR):
+        out["_near"] = tree_index.near("parents")
+    if any(isinstance(t, List) and "children" in t.source for t in units):
+        out["_kids"] = tree_index.children_of_all("parents")
+    for kind, test in (("noun", is_noun), ("verb", is_verb)):
+        if steps & {f"low_{kind}", f"high_{kind}"}:
+            out[f"_{kind}s"] = tree_index.supports("parents", _flags(test, lang))
+    return tree_index.batched(examples).withColumns(out) if out else examples
+
+
+def _flags(test: Callable[..., Column], lang: str) -> Column:
+    return F.transform("pos", lambda t: F.coalesce(test(t, lang), F.lit(False)))
+
+
+def _labelled(t: Template, features: str) -> Column:
+    return F.transform(features, lambda f: F.struct(F.lit(t.name()).alias("template"), f.alias("feature")))
+
+
+def _crossed(a: Column, a_many: bool, b: Column, b_many: bool) -> Column:
+    if a_many and b_many:
+        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit("_"), y))))
+    if a_many:
+        return F.when(b.isNotNull(), F.transform(a, lambda x: F.concat(x, F.lit("_"), b)))
+    return F.when(a.isNotNull(), F.transform(b, lambda y: F.concat(a, F.lit("_"), y))) if b_many else F.concat(a, F.lit("_"), b)
 
 
 def extract(examples: DataFrame, templates: Iterable[Template], hashed: bool = False, mod: int | None = None, lang: str = "en") -> DataFrame:
-    """(keys, the places of the example's key, template, feature) of examples: rows with the sentence's layers and those places.
+    """(keys, the places of the example's key, template, feature) of sentences with their ``examples``.
 
-    hashed: features as 64-bit integers; mod: as buckets below it. lang: whose noun and verb tags support tokens have.
+    hashed: features as 64-bit integers; mod: as buckets below it. lang: whose noun and verb tags support tokens have. A template that the example has
+    no value for has no row. Sentences are read with the layers that the templates need.
     """
-    templates = list(templates)
-    parts = F.array(*(F.struct(F.lit(t.name()).alias("template"), _evaluate(t, lang).alias("fs")) for t in templates))
-    key = [*KEYS, *(k for k in PLACES if k in examples.columns)]
-    rows = examples.select(*key, F.explode(parts).alias("x")).select(*key, "x.template", F.explode("x.fs").alias("feature"))
+    templates = list(dict.fromkeys(templates))
+    parts = {t: t.parts if isinstance(t, Joint) else (t,) for t in templates}
+    units = list(dict.fromkeys(u for p in parts.values() for u in p))
+    layers = required_layers(units) | {"words"}
+    fields = examples.schema["examples"].dataType.elementType.fieldNames()
+    key = [k for k in PLACES if k in fields]
+    rows = _indexed(examples.select(*KEYS, "examples", *(c for c in examples.columns if c in layers)), units, lang)
+
+    def gathered(e: Column, k: Column) -> Column:
+        ex = lambda name: F.get("_ways", k) if name == "_way" else e[name] if name in fields else F.lit(None).cast("int" if name in PLACES else "string")
+        return F.struct(*(e[c].alias(c) for c in key), *(_evaluate(u, ex).alias(f"u{i}") for i, u in enumerate(units)))
+
+    wide = rows.select(*KEYS, F.inline(F.transform("examples", gathered)))
+    # the trie: what two joint templates begin with is one column
+    name: dict[tuple, tuple[str, bool]] = {(u,): (f"u{i}", _many(u)) for i, u in enumerate(units)}
+    for depth in range(2, max(map(len, parts.values()), default=1) + 1):
+        new = {}
+        for p in dict.fromkeys(p[:depth] for p in parts.values() if len(p) >= depth):
+            (a, a_many), (b, b_many) = name[p[:-1]], name[(p[-1],)]
+            name[p] = f"j{len(name)}", a_many or b_many
+            new[name[p][0]] = _crossed(F.col(a), a_many, F.col(b), b_many)
+        wide = wide.select("*", *(c.alias(n) for n, c in new.items()))
+    ones = [F.struct(F.lit(t.name()).alias("template"), F.col(name[p][0]).alias("feature")) for t, p in parts.items() if not name[p][1]]
+    some = [_labelled(t, name[p][0]) for t, p in parts.items() if name[p][1]]
+    empty = F.array().cast("array<struct<template: string, feature: string>>")
+    all_of = [F.array(*ones)] * bool(ones) + [F.coalesce(x, empty) for x in some]
+    found = wide.select(*KEYS, *key, F.inline(F.concat(*all_of) if len(all_of) > 1 else all_of[0])).where("feature is not null")
     if hashed or mod:
         value = F.xxhash64("template", "feature")
-        rows = rows.withColumn("feature", F.pmod(value, F.lit(mod)) if mod else value)
-    return rows
+        found = found.withColumn("feature", F.pmod(value, F.lit(mod)) if mod else value)
+    return found
+
+
+#: Examples of a row, about: the sentence is copied for every so many.
+BLOCK = 64
 
 
 def examples(sents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sentences with each of their example keys, (p, c) and what other places they have."""
+    """Sentences with an array of their example keys, (p, c) and what other places they have; a long sentence as several rows, by its examples' last place."""
+    places = [k for k in (*PLACES, *RULE) if k in pairs.columns]
+    by = F.floor(F.coalesce(*(F.col(k) for k in places if k in PLACES[:2][::-1]), F.lit(0)) / BLOCK)
+    listed = pairs.groupBy(*KEYS, by.alias("_block")).agg(F.collect_list(F.struct(*places)).alias("examples"))
+    return sents.drop("examples").join(listed, KEYS).drop("_block")
+
+
+def tree_examples(sents: DataFrame, wall: bool = False) -> DataFrame:
+    """Sentences with the arcs of their trees as examples, made in the row: p the head, c the token. wall: also those of the wall."""
+    n = F.size("parents")
+    cut = sents.withColumn("_begin", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK))))
+    arcs = F.transform(F.slice("parents", F.col("_begin") + 1, BLOCK), lambda p, i: F.struct(p.cast("int").alias("p"), (i + F.col("_begin")).cast("int").alias("c")))
+    return cut.withColumn("examples", F.filter(arcs, lambda e: e["p"] >= (-1 if wall else 0))).drop("_begin")
+
+
+def example_rows(sents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Sentences with each of their example keys, a row an example."""
     return sents.join(pairs.select(*KEYS, *(k for k in (*PLACES, *RULE) if k in pairs.columns)), KEYS)
 
 
@@ -317,7 +504,7 @@ def srl_features(sents: DataFrame, preds: DataFrame, pairs: DataFrame, sense: It
     """Sense templates on predicates (p = c), role templates on pairs, and a bias on every example."""
     on_preds = examples(sents, preds.select(*KEYS, F.col("pred").alias("p"), F.col("pred").alias("c")))
     on_pairs = examples(sents, pairs)
-    bias = lambda x: x.select(*KEYS, "p", "c", F.lit("BIAS").alias("template"), F.lit("BIAS").alias("feature"))
+    bias = lambda x: x.select(*KEYS, F.explode("examples").alias("e")).select(*KEYS, "e.p", "e.c", F.lit("BIAS").alias("template"), F.lit("BIAS").alias("feature"))
     kind = lambda x, k: x.withColumn("kind", F.lit(k))
     a = kind(extract(on_preds, sense).unionByName(bias(on_preds)), "sense")
     return a.unionByName(kind(extract(on_pairs, role).unionByName(bias(on_pairs)), "role"))
@@ -398,7 +585,7 @@ def relation_word_features(sents: DataFrame, pairs: DataFrame, mentions: DataFra
 def role_word_features(sents: DataFrame, pairs: DataFrame, level: str = "full", bits: int = 6) -> DataFrame:
     """(p, c, tok, feature): for each word, what it is to predicate and argument; clusters cut at ``bits`` (4 or 6) stand for types."""
     cut = lambda i: F.substring(F.get("clusters", F.col(i)), 1, bits)
-    return _word_features(examples(sents, pairs), ["p", "c"], level, F.concat_ws("_", cut("p"), cut("c")))
+    return _word_features(example_rows(sents, pairs), ["p", "c"], level, F.concat_ws("_", cut("p"), cut("c")))
 
 
 def _word_features(x: DataFrame, keys: list[str], level: str, kinds: Column) -> DataFrame:

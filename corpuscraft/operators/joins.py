@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexical import build_label, hash_signs, is_asymmetric, ptb45_to_17
+from . import masks
 from .tables import KEYS, by_sentence
 
 
@@ -119,64 +119,31 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The arcs that both masks keep; masks of rows (p, c, kept), or both of bitmaps (see masks)."""
+    if masks.is_packed(a):
+        return masks.combined(a, b, "and")
     return _both(a, b).select(*KEYS, "p", "c", F.coalesce(F.col("_a") & F.col("_b"), F.lit(False)).alias("kept"))
 
 
 def mask_or(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The arcs that either mask keeps."""
+    if masks.is_packed(a):
+        return masks.combined(a, b, "or")
     no = F.lit(False)
     return _both(a, b).select(*KEYS, "p", "c", (F.coalesce("_a", no) | F.coalesce("_b", no)).alias("kept"))
 
 
 def keep_gold(mask: DataFrame, toks: DataFrame) -> DataFrame:
     """The mask with every gold arc kept."""
+    if masks.is_packed(mask):
+        return masks.with_heads(mask, toks)
     gold = toks.where("parent >= -1").select(*KEYS, F.col("parent").alias("p"), F.col("tok").alias("c"), F.lit(True).alias("_gold"))
     return mask.join(gold, [*KEYS, "p", "c"], "left").withColumn("kept", F.col("kept") | F.coalesce("_gold", F.lit(False))).drop("_gold")
 
 
-def _reach(n: int, parents: list[int], kids: list[int]) -> tuple[bool, bool]:
-    """Whether all of n tokens are reached from the wall, and from a single token below it."""
-    below: dict[int, list[int]] = {}
-    for p, c in zip(parents, kids):
-        below.setdefault(p, []).append(c)
-
-    def visit(root: int, seen: set[int]) -> None:
-        todo = [root]
-        while todo:
-            i = todo.pop()
-            if i not in seen:
-                seen.add(i)
-                todo += below.get(i, ())
-
-    seen: set[int] = set()
-    last = None
-    for root in below.get(-1, ()):
-        if root not in seen:
-            visit(root, seen)
-            last = root
-    if last is None or len(seen) < n:
-        return last is not None and len(seen) == n, False
-    # a root that reaches all would have left none to start from after it, so it's the last one started from if any is
-    alone: set[int] = set()
-    visit(last, alone)
-    return True, len(alone) == n
-
-
 def reachable(mask: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Per sentence, whether the kept arcs allow a tree with several roots, and one with a single root.
-
-    Each sentence is one row with its kept arcs; a walk of the row visits each of them twice at most.
-    """
-    kept = mask.where("kept").groupBy(*KEYS).agg(F.collect_list(F.struct("p", "c")).alias("arcs"))
-    kept = kept.select(*KEYS, F.col("arcs.p").alias("ps"), F.col("arcs.c").alias("cs"))
-    none = F.array().cast("array<int>")
-    rows = lengths.select(*KEYS, "n").join(kept, KEYS, "left").select(*KEYS, "n", *(F.coalesce(x, none).alias(x) for x in ("ps", "cs")))
-
-    @F.pandas_udf("multi_root boolean, single_root boolean")
-    def walk(n: pd.Series, ps: pd.Series, cs: pd.Series) -> pd.DataFrame:
-        found = [_reach(k, p.tolist(), c.tolist()) for k, p, c in zip(n, ps, cs)]
-        return pd.DataFrame(found, columns=["multi_root", "single_root"], dtype=bool)
-
-    return rows.withColumn("r", walk("n", "ps", "cs")).select(*KEYS, "r.multi_root", "r.single_root")
+    """Per sentence (keys, n), whether the kept arcs allow a tree with several roots, and one with a single root; a search over bitmaps."""
+    return masks.reachable(mask if masks.is_packed(mask) else masks.packed(mask, lengths), lengths)
 
 
 def arc_triples(arc: DataFrame, kind: str, projective_only: bool = False) -> DataFrame:
@@ -289,5 +256,7 @@ def bilinear_scores(features: DataFrame, params: DataFrame, emb: DataFrame) -> D
 
     features: ex, embed_id, feature, value; params: label, feature, d, weight; emb: embed_id, vec. Words without an embedding (-1) are left out.
     """
-    rows = features.where("embed_id >= 0").join(emb, "embed_id").join(params, "feature")
-    return rows.groupBy("ex", "label").agg(F.sum(F.col("weight") * F.col("value") * F.get("vec", F.col("d"))).alias("score"))
+    weights = params.groupBy("label", "feature").agg(F.collect_list(F.struct("d", "weight")).alias("_w"))  # a row a label and feature, not one a dimension
+    rows = features.where("embed_id >= 0").join(emb, "embed_id").join(weights, "feature")
+    dot = F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x["weight"] * F.get("vec", x["d"]))
+    return rows.groupBy("ex", "label").agg(F.sum(F.col("value") * dot).alias("score"))

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import trees
+from ..functions import tree_index, trees
 from ..functions.lexical import is_norel, is_punct, parse_label
-from .joins import all_arcs, keep_gold, ne_pairs, pair_relation
+from . import masks
+from .joins import all_arcs, keep_gold, mask_and, ne_pairs, pair_relation
 from .tables import KEYS, drop_layers, gold_only
-from .windows import folds, sample_split, shuffle
+from .windows import folds, max_marginal_prune, sample_split, shuffle, topk_heads
 
 ARC = [*KEYS, "p", "c"]
 #: Tokens of a sentence whose heads are emitted together.
@@ -72,8 +73,8 @@ def _limits(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("ctag", far("_r").alias("right"), far("_l").alias("left")), ids.select("tag", "id")
 
 
-def candidate_heads(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_right_branching: bool = True) -> DataFrame:
-    """A row a token c: n, the first token of its block, its parent (null if toks has none), whether it is punctuation (where toks has words), and ``heads``, the tokens (-1: the wall) that distance_prune keeps as its head.
+def candidate_heads(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_right_branching: bool = True, packed: bool = False) -> DataFrame:
+    """A row a token c: n, the first token of its block, its parent (null if toks has none), whether it is punctuation (where toks has words), and ``heads``, the tokens (-1: the wall) that distance_prune keeps as its head, or with ``packed`` their ``bits`` (see masks).
 
     The pruner's table is joined once a token, as arrays by tag id, so deciding an arc is an array access.
     Sentences are dealt out in blocks of tokens before their arcs grow; a token's arcs stay in its row.
@@ -95,7 +96,8 @@ def candidate_heads(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_ri
         # a tag that the table lacks has no id or no limits
         return (p != c) & F.coalesce(near | (p == c - 1) if keep_right_branching else near, F.lit(True))
 
-    return each.select(*KEYS, "block", "c", "n", "parent", "punct", F.filter(F.sequence(F.lit(-1), F.col("n") - 1), kept).alias("heads"))
+    found = masks.within_distance(F.col("n"), c, F.col("ids"), F.col("right"), F.col("left"), F.col("_wall"), keep_right_branching).alias("bits") if packed else F.filter(F.sequence(F.lit(-1), F.col("n") - 1), kept).alias("heads")
+    return tree_index.batched(each).select(*KEYS, "block", "c", "n", "parent", "punct", found)
 
 
 def distance_prune(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_right_branching: bool = True) -> DataFrame:
@@ -109,13 +111,14 @@ def distance_prune(toks: DataFrame, table: DataFrame, tag: str = "pos", keep_rig
 
 
 def heads_report(heads: DataFrame, skip_punct: bool = False) -> DataFrame:
-    """Of candidate_heads: arcs outside the tree that are pruned (n_pruned of n_total), gold arcs that are kept (n_gold_kept of n_gold), and sentences that lose none (n_exact of n_sents). skip_punct: without arcs to punctuation."""
+    """Of candidate_heads, as arrays or as bitmaps: arcs outside the tree that are pruned (n_pruned of n_total), gold arcs that are kept (n_gold_kept of n_gold), and sentences that lose none (n_exact of n_sents). skip_punct: without arcs to punctuation."""
     counts = ~F.col("punct") if skip_punct else F.lit(True)
     tree = counts & F.coalesce(F.col("parent") >= -1, F.lit(False))
-    ok = F.coalesce(tree & F.array_contains("heads", F.col("parent")), F.lit(False))
+    has, size = (masks.has_head("bits", F.col("parent")), masks.n_heads("bits")) if masks.is_packed(heads) else (F.array_contains("heads", F.col("parent")), F.size("heads"))
+    ok = F.coalesce(tree & has, F.lit(False))
     number = lambda c: F.when(counts, c).otherwise(0)
     # as many partial sums as blocks, so a long sentence is no long task
-    per = heads.select(*KEYS, "block", tree.cast("int").alias("t"), ok.cast("int").alias("k"), number(F.col("n") - F.size("heads")).alias("gone"), number(F.col("n")).alias("all"))
+    per = heads.select(*KEYS, "block", tree.cast("int").alias("t"), ok.cast("int").alias("k"), number(F.col("n") - size).alias("gone"), number(F.col("n")).alias("all"))
     per = per.groupBy(*KEYS, "block").agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.sum(F.col("gone") - F.col("t") + F.col("k")).alias("pruned"), F.sum(F.col("all") - F.col("t")).alias("rest"))
     sents = per.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("t", "k", "pruned", "rest")))
     out = sents.agg(F.sum("pruned").alias("n_pruned"), F.sum("rest").alias("n_total"), F.sum("k").alias("n_gold_kept"), F.sum("t").alias("n_gold"), F.count_if(F.col("t") == F.col("k")).alias("n_exact"), F.count("*").alias("n_sents"))
@@ -123,6 +126,8 @@ def heads_report(heads: DataFrame, skip_punct: bool = False) -> DataFrame:
 
 
 def mask_totals(mask: DataFrame) -> DataFrame:
+    if masks.is_packed(mask):
+        return masks.totals(mask)
     return mask.agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_pruned"))
 
 
@@ -144,7 +149,10 @@ def best_heads(scores: Column | str, k: int, prop: float = 0.0) -> Column:
 
 
 def score_prune(scores: DataFrame, k: int, prop: float, toks: DataFrame | None = None) -> DataFrame:
-    """Arcs (p, c, score) with kept: among the k best heads of c and near enough to the best; those of a given tree are kept. One shuffle by token."""
+    """Arcs (p, c, score) with kept: among the k best heads of c and near enough to the best; those of a given tree are kept. One shuffle by token. Of tokens with an array ``scores`` (see masks.top_mask) a mask of bitmaps."""
+    if "scores" in scores.columns:
+        mask = mask_and(topk_heads(scores, k), max_marginal_prune(scores, prop))
+        return keep_gold(mask, toks) if toks is not None else mask
     w = Window.partitionBy(*KEYS, "c")
     order = w.orderBy(F.desc("score"), "p")
     mask = scores.withColumn("kept", (F.row_number().over(order) <= k) & (F.col("score") >= prop * F.first("score").over(order)))

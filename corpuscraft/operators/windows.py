@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from . import masks
 from .tables import KEYS, by_sentence
 
 
@@ -88,13 +89,17 @@ def num_between(pairs: DataFrame, counted: DataFrame, kind: str) -> DataFrame:
 
 
 def topk_heads(scores: DataFrame, k: int) -> DataFrame:
-    """Scored arcs with kept: among the k best heads of their token, ties to the smaller head."""
+    """Scored arcs (p, c, score) with kept: among the k best heads of their token, ties to the smaller head. Of tokens with an array ``scores`` a mask of bitmaps."""
+    if "scores" in scores.columns:
+        return masks.top_mask(scores, k)
     w = Window.partitionBy(*KEYS, "c").orderBy(F.desc("score"), "p")
     return scores.withColumn("kept", F.row_number().over(w) <= k)
 
 
 def max_marginal_prune(scores: DataFrame, prop: float) -> DataFrame:
-    """Scored arcs with kept: at least ``prop`` of their token's best score."""
+    """Scored arcs with kept: at least ``prop`` of their token's best score. Of tokens with an array ``scores`` a mask of bitmaps."""
+    if "scores" in scores.columns:
+        return masks.marginal_mask(scores, prop)
     return scores.withColumn("kept", F.col("score") >= prop * F.max("score").over(Window.partitionBy(*KEYS, "c")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexical as lx
-from ..functions import trees
+from ..functions import tree_index, trees
 from ..operators import aggregates as ag
 from ..operators import constituents as cn
 from ..operators import evaluate as ev
@@ -23,7 +23,7 @@ from .derive import SPANS, gold, predicted, sentence_rows, token_rows
 from .derive import SQL as TOKS
 from .formats import ARCS
 from .queries import _docs, _gold_examples, _mentions, _relations, _sents, _srl, _toks, query, table
-from .sql import RELS, SCORED, SQL
+from .sql import RELS, SCORED, SQL, _climb
 from .sql import _srl as _srl_sql
 
 # evaluation
@@ -45,7 +45,7 @@ def evaluate_suite(spark, d):
     m = _mentions(x)
     labels = pr.add_pairs_and_labels(m, _relations(m)).select("corpus", "sent_id", "k", "label")
     wrong = labels.withColumn("label", F.when((F.col("sent_id") + F.col("k")) % 5 == 0, "ART(Arg-1,Arg-2)").otherwise(F.col("label")))
-    heads = pr.candidate_heads(gold(x), pr.fit_distance_pruner(predicted(x)))
+    heads = pr.candidate_heads(gold(x), pr.fit_distance_pruner(predicted(x)), packed=True)
     own = {"tokens": tokens, "arcs": arcs, "props": _properties(arcs, 2), "labels": labels}
     system = {"tokens": guess, "arcs": other, "props": _properties(other, 3), "labels": wrong, "heads": heads}
     return ev.evaluate_suite(own, system, skip_punct=True).withColumn("score", F.round("score", 9))
@@ -229,11 +229,11 @@ union all select 'PREDS_GIVEN', p.tok = t.tok, case when t.parent = p.tok then '
 def verbal_arcs(spark, d):
     """Arcs of predicates that are verbs by the predicted tag."""
     x = _toks(spark, d)
-    return jn.verbal_preds(_srl(x, "pos", "parent"), predicted(x)).groupBy("label", (F.col("p") == -1).alias("wall")).agg(F.count("*").alias("cnt")).where("not wall or label like '%.00'")
+    return jn.verbal_preds(_srl(x, "pos", "parent"), predicted(x)).groupBy("label", (F.col("p") == -1).alias("wall")).agg(F.count("*").alias("cnt"))
 
 
 SQL["verbal_arcs"] = f"""{TOKS}{ARCS} select label, a.p = -1 as wall, count(*) as cnt from arcs a join toks t on t.sent_id = a.sent_id and t.tok = case when a.p = -1 then a.c else a.p end
-where t.ppos like 'V%' and (a.p >= 0 or label like '%.00') group by 1, 2"""
+where t.ppos like 'V%' group by 1, 2"""
 
 
 @query
@@ -320,35 +320,43 @@ select case when dev then 'dev' else 'train' end as part, side, 'corpus sent_id
 
 @query
 def tree_shapes(spark, d):
-    """Children, the lowest nouns and verbs on the way up, and the paths of the first token and the fourth up to where they meet: their sizes, a sentence."""
-    s = _sents(spark, d)
-    x = s.select("sent_id", "n", "parents", "pos", "words", F.least(F.col("n") - 1, F.lit(3)).cast("int").alias("b"))
-    a, b = F.lit(0), F.col("b")
-    parts = trees.path_to_lca("parents", a, b)
+    """Of every token its number of children, and of those neither leftmost nor rightmost; the lowest and highest nouns and verbs on its way up: sums by tag."""
+    x = tree_index.batched(_sents(spark, d))
     flags = {"noun": F.transform("pos", lambda t: lx.is_noun(t)), "verb": F.transform("pos", lambda t: lx.is_verb(t))}
-    support = {f"{w}_{k}": trees.support_token("parents", flags[k], b, w) for k in flags for w in ("low", "high")}
-    return x.select("sent_id", F.size(trees.children("parents", a)).alias("n_kids"), F.size(trees.no_far_children("parents", b)).alias("n_inner"), F.size(parts["own"]).alias("n_own"), F.size(parts["other"]).alias("n_other"), *(v.alias(k) for k, v in support.items()))
+    x = x.select("pos", tree_index.children_of_all("parents").alias("kids"), *(tree_index.supports("parents", f).alias(k) for k, f in flags.items()))
+    at = F.arrays_zip("pos", "kids", *(F.col(f"{k}.{w}").alias(f"{w}_{k}") for k in flags for w in ("low", "high")))
+    rows = x.select(F.posexplode(at).alias("tok", "t")).select("tok", "t.*")
+    sizes = [F.size("kids").alias("n_kids"), F.size(trees.inner(F.col("kids"), F.col("tok"))).alias("n_inner")]
+    rows = rows.select("pos", *sizes, "low_noun", "high_noun", "low_verb", "high_verb")
+    return rows.groupBy("pos").agg(F.count("*").alias("cnt"), *(F.sum(c).cast("long").alias(c) for c in rows.columns[1:]))
 
 
 def _support(kind: str, which: str) -> str:
     return f"coalesce(arg_{'min' if which == 'low' else 'max'}(case when k.pos like '{kind}%' then u.node end, case when k.pos like '{kind}%' then u.depth end), -1)::int"
 
 
-SQL["tree_shapes"] = f"""{TOKS}, two as (select sent_id, 0 as a, least(n - 1, 3)::int as b from sents
-), ends as (select sent_id, a as tok from two union select sent_id, b from two
-), up as (select e.sent_id, e.tok, e.tok as node, 0 as depth from ends e union all select u.sent_id, u.tok, t.parent, u.depth + 1 from up u join toks t on t.sent_id = u.sent_id and t.tok = u.node where t.parent >= 0
-), met as (select t.sent_id, min(x.depth) + 1 as n_own, min(y.depth) + 1 as n_other from two t join up x on x.sent_id = t.sent_id and x.tok = a join up y on y.sent_id = t.sent_id and y.tok = b and y.node = x.node group by 1
-), sup as (select t.sent_id, {_support("N", "low")} as low_noun, {_support("N", "high")} as high_noun, {_support("V", "low")} as low_verb, {_support("V", "high")} as high_verb
-  from two t join up u on u.sent_id = t.sent_id and u.tok = t.b join toks k on k.sent_id = u.sent_id and k.tok = u.node group by 1
-), kids as (select t.sent_id, count(*) filter (where k.parent = 0) as n_kids, count(*) filter (where k.parent = t.b and k.tok < t.b) as l, count(*) filter (where k.parent = t.b and k.tok > t.b) as r from two t join toks k on k.sent_id = t.sent_id group by 1)
-select kids.sent_id, n_kids::int as n_kids, (greatest(l - 1, 0) + greatest(r - 1, 0))::int as n_inner, n_own::int as n_own, n_other::int as n_other, low_noun, high_noun, low_verb, high_verb from kids join met on met.sent_id = kids.sent_id join sup on sup.sent_id = kids.sent_id"""
+SUPPORTS = f""", sup as (select u.sent_id, u.tok, {_support("N", "low")} as low_noun, {_support("N", "high")} as high_noun, {_support("V", "low")} as low_verb, {_support("V", "high")} as high_verb
+  from climb u join toks k on k.sent_id = u.sent_id and k.tok = u.node group by 1, 2
+), ends as (select sent_id, parent as tok, count(*) as n_kids, count(*) filter (where tok < parent) as l, count(*) filter (where tok > parent) as r from toks where parent >= 0 group by 1, 2)"""
+SQL["tree_shapes"] = f"""{TOKS}{_climb()}{SUPPORTS}
+select t.pos, count(*) as cnt, sum(coalesce(n_kids, 0))::bigint as n_kids, sum(coalesce(greatest(l - 1, 0) + greatest(r - 1, 0), 0))::bigint as n_inner, sum(low_noun)::bigint as low_noun, sum(high_noun)::bigint as high_noun, sum(low_verb)::bigint as low_verb, sum(high_verb)::bigint as high_verb
+from toks t join sup on sup.sent_id = t.sent_id and sup.tok = t.tok left join ends on ends.sent_id = t.sent_id and ends.tok = t.tok group by 1"""
 
 
 @query
 def path_grams(spark, d):
-    """n-grams of words and tags along the one step of a gold arc, by which choice of the two they are."""
-    ex = _gold_examples(spark, d).where("c % 7 = 0 or n < 5")
-    return ft.extract(ex, [ft.Pair("path_grams"), ft.List("pos", "path_c_lca", "seq"), ft.List("pos", "path_lca_root", "1gram")]).groupBy("template").agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"))
+    """n-grams of words and tags along the gold arcs, the tags from the token up to its head, and those from the head up to the wall."""
+    specs = ["pathGrams", "pos(path(c,lca(p,c)))", "pos(1gram(path(lca(p,c),root)))"]
+    return ft.extract(_gold_examples(spark, d), ft.parse_spec(specs)).groupBy("template").agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"))
+
+
+SQL["path_grams"] = f"""{TOKS}{_climb()}, ex as (select c.sent_id, c.parent as p, p.word as pw, p.pos as pt, c.word as cw, c.pos as ct from toks c join toks p on p.sent_id = c.sent_id and p.tok = c.parent
+), above as (select sent_id, tok, count(*) + 1 as n from climb group by 1, 2
+), grams as (select unnest([pw, cw, pt, ct, pw || '_' || cw, pt || '_' || cw, pw || '_' || ct, pt || '_' || ct]) as f from ex
+), up as (select distinct k.pos from toks k join ex on k.sent_id = ex.sent_id and k.tok = p)
+select 'PATH_GRAMS' as template, count(*) as cnt, count(distinct f) as types from grams
+union all select 'seq(pos(path_c_lca))', count(*), count(distinct ct || '_' || pt) from ex
+union all select '1gram(pos(path_lca_root))', (select sum(n) from ex join above on above.sent_id = ex.sent_id and above.tok = p)::bigint, (select count(*) + 1 from up)"""
 
 
 @query
@@ -366,25 +374,110 @@ select t.pos as parent_symbol, k.left, k.right, unary, count(*) as cnt from k jo
 
 @query
 def arc_set_features(spark, d):
-    """How many features each template of the arc set finds on the gold arcs, the rare ones pruned."""
-    f = ft.extract(_gold_examples(spark, d), ft.filter_templates(ft.union_templates(ft.arc_set()[:24], ft.parse_spec(["word(p)"])), {"words", "pos", "parents"}))
+    """How many features each template of the arc set finds on the gold arcs, those that occur less than three times pruned."""
+    f = ft.extract(_gold_examples(spark, d), ft.filter_templates(ft.union_templates(ft.arc_set(), ft.parse_spec(["word(p)"])), {"words", "pos", "parents"}))
     return ft.prune_features(f, 3).groupBy("template").agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"))
 
 
+#: The gold arcs with what templates ask of them, a column each.
+EXAMPLES = """, near as (select *, lag(pos, 1, 'BOS') over w as before, lead(pos, 1, 'EOS') over w as after from toks window w as (partition by sent_id order by tok)
+), ex as materialized (
+  select c.sent_id, c.n, p.tok as p, c.tok as c, p.word as pw, c.word as cw, p.pos as pp, c.pos as cp, p.deprel as pd, c.deprel as cd, p.before as p_before, p.after as p_after, c.before as c_before, c.after as c_after,
+    case when p.tok < c.tok then 'BEFORE' else 'AFTER' end as rel, abs(p.tok - c.tok)::varchar as dist
+  from near c join near p on c.sent_id = p.sent_id and p.tok = c.parent
+), inside as (select ex.*, k.pos as mid from ex join toks k on k.sent_id = ex.sent_id and k.tok > least(ex.p, ex.c) and k.tok < greatest(ex.p, ex.c))"""
+_ATOMS = {
+    "word(p)": "pw", "word(c)": "cw", "pos(p)": "pp", "pos(c)": "cp", "pos(before1(p))": "p_before", "pos(after1(p))": "p_after", "pos(before1(c))": "c_before", "pos(after1(c))": "c_after", "RELATIVE": "rel", "DISTANCE": "dist", "1gram(pos(between))": "mid",
+}
+_PRUNED = "select {1} as template, sum(n)::bigint as cnt, count(*) as types from (select {0} as f, count(*) as n from {2} group by 1 having count(*) >= 3) having count(*) > 0"
+
+
+def _counted(names: list[str], pruned: str = _PRUNED) -> str:
+    """SQL of the counts of templates whose parts are in _ATOMS, by name."""
+    each = lambda name: ([_ATOMS[part] for part in name.split("+")], "inside" if "between" in name else "ex")
+    return " union all ".join(pruned.format(" || '_' || ".join(parts), f"'{name}'", source) for name in names for parts, source in [each(name)])
+
+
+SQL["arc_set_features"] = f"{TOKS}{EXAMPLES} {_counted([t.name() for t in ft.arc_set()])}"
+
+#: Two sets of templates as files hold them.
+SET_FILES = {
+    "roles": """
+deprel(c)
+pos(c) + pos(head(c))
+pos(lmc(c)) + pos(rmc(c))
+pos(lns(c)) + word(p)      # a sibling
+pos(rns(c)) + pos(-1(c))
+pos(lnc(p)) + pos(rnc(p))
+deprel(bag(children(p)))
+pos(noDup(children(p)))
+pos(seq(noFarChildren(p)))
+relative(p,c) + distance(p,c)
+geneology(p,c) + len(path(p,c))
+deprel(dir(seq(path(p,c))))
+pos(lowsv(c)) + pos(highsn(c))
+""",
+    "arcs": """
+# letters and numbers
+pos(c) + pos(head(c))
+pos(c) + pos(head(c)) + capitalized(c)
+spos(p) + spos(c)
+lc(p) + lc(c)
+chpre5(p) + chsuf3(c)
+edgerel(seq(path(p,c)))
+dir(seq(path(p,c)))
+index(c)
+sentlen
+undiredge(p,c) + diredge(p,c)
+pos(-2(1(c)))
+""",
+}
+
+
+@query
+def template_sets(spark, d):
+    """Two sets of templates, written as files are, on all gold arcs: features and their kinds by template."""
+    sets = [ft.parse_spec(text.split("\n")) for text in SET_FILES.values()]
+    return ft.extract(_gold_examples(spark, d), ft.union_templates(*sets)).groupBy("template").agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"))
+
+
+_BINS = "case when {0} >= 40 then 40 when {0} >= 30 then 30 when {0} >= 20 then 20 when {0} >= 10 then 10 when {0} >= 5 then 5 when {0} >= 2 then 2 else 0 end"
+_SPOS = "case when {0} like 'V%' then 'VERB' when {0} like 'N%' then 'NOUN' else 'OTHER' end"
+_SET_ATOMS = {
+    "deprel(c)": "cd", "pos(c)": "cp", "pos(head(c))": "pp", "pos(lmc(c))": "coalesce(kc.lmc, 'BOS')", "pos(rmc(c))": "coalesce(kc.rmc, 'BOS')", "pos(lns(c))": "lns", "word(p)": "pw", "pos(rns(c))": "rns", "pos(before1(c))": "c_before",
+    "pos(lnc(p))": "coalesce(kp.lnc, 'BOS')", "pos(rnc(p))": "coalesce(kp.rnc, 'BOS')", "bag(deprel(children(p)))": "kp.rels", "no_dup(pos(children(p)))": "array_to_string(list_filter(kp.tags, lambda x, i: i = 1 or x <> kp.tags[i - 1]), '_')",
+    "seq(pos(no_far_children(p)))": "coalesce(kp.inner_tags, '')", "RELATIVE": "rel", "DISTANCE": "dist", "GENEALOGY": "'PARENT'", "PATH_LEN": "'2'", "seq(deprel&dir(path))": "pd || '_DOWN_' || cd",
+    "pos(low_verb(c))": "coalesce(lv.pos, 'BOS')", "pos(high_noun(c))": "coalesce(hn.pos, 'BOS')", "capitalized(c)": "case when cw = '' or regexp_matches(cw, '^\\p{Lu}') then 'UC' else 'LC' end", "spos(p)": _SPOS.format("pp"), "spos(c)": _SPOS.format("cp"),
+    "lc(p)": "lower(pw)", "lc(c)": "lower(cw)", "chpre5(p)": "substr(pw, 1, 5)", "chsuf3(c)": "case when length(cw) >= 3 then right(cw, 3) else cw end", "seq(rel(path))": "cd", "seq(dir(path))": "'DOWN'",
+    "index(c)": "x.c::varchar", "SENT_LEN": f"{_BINS.format('x.n')}::varchar", "EDGE": "'T'", "DIRECTION_EDGE": "'T'", "pos(before2(after1(c)))": "c_before",
+}
+_SETS = [t.name() for t in ft.union_templates(*(ft.parse_spec(text.split("\n")) for text in SET_FILES.values()))]
+SQL["template_sets"] = rf"""{TOKS}{_climb()}{EXAMPLES}{SUPPORTS}, sides as (select *, lag(pos, 1, 'BOS') over w as lns, lead(pos, 1, 'EOS') over w as rns from toks window w as (partition by sent_id, parent order by tok)
+), kids as (select sent_id, parent as tok, arg_min(pos, tok) filter (where tok < parent) as lmc, arg_max(pos, tok) filter (where tok < parent) as lnc, arg_min(pos, tok) filter (where tok > parent) as rnc, arg_max(pos, tok) filter (where tok > parent) as rmc,
+    string_agg(distinct deprel, '_' order by deprel) as rels, list(pos order by tok) as tags, min(tok) as lo, max(tok) as hi from toks where parent >= 0 group by 1, 2
+), inner_ as (select k.sent_id, k.tok, string_agg(t.pos, '_' order by t.tok) as inner_tags from kids k join toks t on t.sent_id = k.sent_id and t.parent = k.tok
+    and not (t.tok = k.lo and t.tok < k.tok) and not (t.tok = k.hi and t.tok > k.tok) group by 1, 2
+), kp as (select kids.*, inner_tags from kids left join inner_ i on i.sent_id = kids.sent_id and i.tok = kids.tok
+), full_ as (select {", ".join(f"{v} as v{i}" for i, v in enumerate(_SET_ATOMS.values()))}
+  from ex x join sides s on s.sent_id = x.sent_id and s.tok = x.c join kp on kp.sent_id = x.sent_id and kp.tok = x.p left join kids kc on kc.sent_id = x.sent_id and kc.tok = x.c
+  join sup on sup.sent_id = x.sent_id and sup.tok = x.c left join toks lv on lv.sent_id = x.sent_id and lv.tok = sup.low_verb left join toks hn on hn.sent_id = x.sent_id and hn.tok = sup.high_noun)
+{" union all ".join(f"select '{name}' as template, count(f) as cnt, count(distinct f) as types from (select " + " || '_' || ".join(f"v{list(_SET_ATOMS).index(part)}" for part in name.split("+")) + " as f from full_)" for name in _SETS)}"""
+
+
 @query
 def bilinear(spark, d):
-    """Scores of two labels from the vectors of tokens' words, by a fixed table of weights."""
+    """Scores of two labels from all dimensions of the vectors of tokens' words, by a fixed table of weights."""
     x = _toks(spark, d)
-    vec = table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("embed_id"), F.slice("embedding", 1, 2).alias("vec"))
+    vec = table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("embed_id"), F.col("embedding").alias("vec"))
     f = x.select(F.col("doc_id").alias("ex"), (F.length("word") - 1).cast("long").alias("embed_id"), F.col("pos").alias("feature"), F.lit(1.0).alias("value"))
     f = f.groupBy("ex", "embed_id", "feature").agg(F.sum("value").alias("value"))
-    params = x.select(F.col("pos").alias("feature")).distinct().select("feature", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("label")).select("feature", "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("d"))
+    params = x.select(F.col("pos").alias("feature")).distinct().select("feature", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("label")).select("feature", "label", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("d"))
     weight = F.length("feature") + F.when(F.col("label") == "a", 1).otherwise(-1) * (F.col("d") + 1)
-    return jn.bilinear_scores(f, params.withColumn("weight", weight.cast("double")), vec).withColumn("score", F.round("score", 4))
+    return jn.bilinear_scores(f, params.withColumn("weight", weight.cast("double")), vec).withColumn("score", F.round("score", 2))
 
 
 SQL["bilinear"] = f"""{TOKS}, f as (select doc_id as ex, length(word) - 1 as e, pos, count(*)::double as v from toks group by 1, 2, 3)
-select ex, l.label, round(sum((length(pos) + s * (d + 1)) * v * embedding[d + 1]::double), 4) as score from f join embeddings on e = vec_id, (values ('a', 1), ('b', -1)) l(label, s), (values (0), (1)) k(d) where embedding is not null group by 1, 2"""
+select ex, l.label, round(sum(v * (length(pos) + s * (d + 1)) * embedding[d + 1]::double), 2) as score from f join embeddings on e = vec_id, (values ('a', 1), ('b', -1)) l(label, s), (select unnest(range(64)) as d) k where embedding is not null group by 1, 2"""
 
 
 # order and resampling

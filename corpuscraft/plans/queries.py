@@ -13,12 +13,14 @@ from ..operators import aggregates as ag
 from ..operators import evaluate as ev
 from ..operators import features as ft
 from ..operators import joins as jn
+from ..operators import masks
 from ..operators import pairs as pr
 from ..operators import significance as sg
 from ..operators import tables as tb
 from ..operators import windows as wn
 from ..sources.documents import ingest_text
 from ..sources.readers import limit_corpus
+from ..sources.shared import written
 from .derive import gold, predicted, sentence_layers, sentence_rows, table, token_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -351,7 +353,7 @@ def distance_table(spark, d):
 def _heads(spark, d):
     """The heads of each token that the pruner fitted on all sentences keeps."""
     x = _toks(spark, d)
-    return pr.candidate_heads(x, pr.fit_distance_pruner(x))
+    return pr.candidate_heads(x, pr.fit_distance_pruner(x), packed=True)
 
 
 @query
@@ -361,54 +363,60 @@ def distance_prune(spark, d):
 
 @query
 def mask_ops(spark, d):
-    """The mask and, and or, that of the arcs of length two at most, the latter with the gold arcs; as arrays of heads a token."""
-    near = F.filter(F.sequence(F.greatest(F.col("c") - 2, F.lit(-1)), F.least(F.col("c") + 2, F.col("n") - 1)), lambda p: p != F.col("c"))
-    x = _heads(spark, d).withColumn("near", near)
-    both, either = F.size(F.array_intersect("heads", "near")), F.size(F.array_union(F.array_union("heads", "near"), F.array("parent")))
-    total = lambda v, name: F.sum(v.cast("long")).alias(name)
-    n = F.col("n")
-    return x.agg(total(both, "and_kept"), total(n - both, "and_pruned"), total(either, "or_kept"), total(n - either, "or_pruned"))
-
-
-def _score(p) -> F.Column:
-    return F.pmod(p * 31 + F.col("c") * 17 + F.col("sent_id"), F.lit(101)) / 100.0
+    """The mask and, and or, that of the arcs of length two at most, the latter with the gold arcs."""
+    x = _toks(spark, d)
+    pruned = written(pr.candidate_heads(x, pr.fit_distance_pruner(x), packed=True).select(*masks.TOKEN, "n", "bits"), "masks")
+    near = F.filter(F.transform(F.array(*map(F.lit, (-2, -1, 1, 2))), lambda k: F.col("tok") + k), lambda p: (p >= -1) & (p < F.col("n")))
+    short = x.select("corpus", "sent_id", F.col("tok").alias("c"), "n", masks.pack_heads(F.col("n"), near).alias("bits"))
+    both = pr.mask_totals(jn.mask_and(pruned, short)).withColumnsRenamed({"n_kept": "and_kept", "n_pruned": "and_pruned"})
+    either = pr.mask_totals(jn.keep_gold(jn.mask_or(pruned, short), x)).withColumnsRenamed({"n_kept": "or_kept", "n_pruned": "or_pruned"})
+    return both.crossJoin(either)  # a row each
 
 
-def _best(spark, d, k, prop=0.0):
-    """Tokens with n, their parent, and the k best of all their heads; dealt out by sentence and block of tokens."""
-    x = _toks(spark, d).select("corpus", "sent_id", "n", F.col("tok").alias("c"), "parent").repartition("corpus", "sent_id", F.floor(F.col("c") / pr.BLOCK))
-    scores = F.transform(F.sequence(F.lit(-1), F.col("n") - 1), lambda p: F.when(p != F.col("c"), _score(p)))
-    return x.select("corpus", "sent_id", "c", "n", "parent", pr.best_heads(scores, k, prop).alias("heads"))
+def _scored(spark, d):
+    """Tokens with the scores of all their heads; dealt out by sentence and block of tokens."""
+    x = _toks(spark, d).select("corpus", "sent_id", "n", "tok", F.col("tok").alias("c"), "parent").repartition("corpus", "sent_id", F.floor(F.col("tok") / pr.BLOCK))
+    score = lambda p: F.pmod(p * 31 + F.col("c") * 17 + F.col("sent_id"), F.lit(101)) / 100.0
+    return x.withColumn("scores", F.transform(F.sequence(F.lit(-1), F.col("n") - 1), lambda p: F.when(p != F.col("c"), score(p))))
 
 
 @query
 def topk_heads(spark, d):
     """Arcs among the three best heads of a token and near the best, or of the gold tree."""
-    x = _best(spark, d, 3, 0.9).select("n", F.size(F.array_union("heads", F.array("parent"))).cast("long").alias("k"))
-    return x.agg(F.sum("k").alias("n_kept"), F.sum(F.col("n") - F.col("k")).alias("n_pruned"))
+    x = _scored(spark, d)
+    return pr.mask_totals(jn.keep_gold(jn.mask_and(wn.topk_heads(x, 3), wn.max_marginal_prune(x, 0.9)), x))
 
 
 @query
 def mask_counts(spark, d):
-    return ev.head_counts(_best(spark, d, 3).select("corpus", "sent_id", F.size("heads").cast("long").alias("n"))).drop("corpus")
+    counts = wn.topk_heads(_scored(spark, d), 3).select("corpus", "sent_id", masks.n_heads("bits").alias("n"))
+    return ev.head_counts(counts).drop("corpus")
 
 
 @query
 def score_prune(spark, d):
-    """topk_heads on rows of arcs, those of eight tokens around each."""
-    x = _toks(spark, d).select("corpus", "sent_id", "n", F.col("tok").alias("c"), "parent")
-    near = F.filter(F.sequence(F.greatest(F.col("c") - 8, F.lit(-1)), F.least(F.col("c") + 8, F.col("n") - 1)), lambda p: p != F.col("c"))
-    scores = x.select("corpus", "sent_id", "c", F.explode(near).alias("p")).withColumn("score", _score(F.col("p")))
-    return pr.mask_totals(pr.score_prune(scores, 3, 0.9, x.withColumnRenamed("c", "tok")))
+    """The pruner by scores on all arcs: what is kept and the sum of the kept heads, by sentence."""
+    x = _scored(spark, d)
+    mask = pr.score_prune(x, 5, 0.8, x)
+    heads = masks.heads_of("bits")
+    kept = mask.select("sent_id", masks.n_heads("bits").alias("k"), F.aggregate(heads, F.lit(0).cast("long"), lambda a, p: a + p).alias("s"))
+    return kept.groupBy("sent_id").agg(F.sum("k").alias("n_kept"), F.sum("s").alias("sum_heads"))
+
+
+@query
+def arc_counts(spark, d):
+    """All arcs of each sentence, as rows: how many, and how long they are together."""
+    return jn.all_arcs(sentence_rows(_docs(spark, d))).groupBy("sent_id").agg(F.count("*").alias("n_arcs"), F.sum(F.when(F.col("p") >= 0, F.abs(F.col("p") - F.col("c"))).otherwise(1)).alias("length"))
 
 
 @query
 def reachable(spark, d):
     """Masks of the arcs to the next token and those of the wall to tokens of even index."""
     x = _toks(spark, d)
-    lengths = x.select("corpus", "sent_id", "n").distinct()
-    mask = jn.all_arcs(lengths).withColumn("kept", ((F.col("p") == F.col("c") - 1) & (F.col("p") >= 0) & (F.col("sent_id") % 3 != 0)) | ((F.col("p") == -1) & (F.col("c") % 2 == 0)))
-    return jn.reachable(mask, lengths).drop("corpus")
+    c = F.col("tok")
+    heads = F.array_compact(F.array(F.when((c > 0) & (F.col("sent_id") % 3 != 0), c - 1), F.when(c % 2 == 0, F.lit(-1))))
+    mask = x.select("corpus", "sent_id", c.alias("c"), "n", masks.pack_heads(F.col("n"), heads).alias("bits"))
+    return jn.reachable(mask, sentence_rows(_docs(spark, d)).select("corpus", "sent_id", "n")).drop("corpus")
 
 
 @query
@@ -430,25 +438,25 @@ def root_path(spark, d):
 
 
 def _path_pairs(spark, d):
-    """Each token a and the one two places on, b, with their root paths up and down."""
-    s = _sents(spark, d).where("n > 2").withColumn("ps", trees.root_paths("parents"))
-    both = F.arrays_zip(F.slice("ps", 1, F.col("n") - 2).alias("up"), F.slice("ps", 3, F.col("n") - 2).alias("down"))
-    x = s.select("sent_id", "parents", "pos", F.posexplode(both).alias("a", "t")).withColumn("b", F.col("a") + 2)
-    return x.select("sent_id", "parents", "pos", "a", "b", F.col("t")["up"].alias("up"), F.col("t")["down"].alias("down"))
+    """Sentences with pairs of each token: the next, the ones two and seven places on, its head, and it from its head."""
+    near = lambda a, k: F.struct(a.cast("int").alias("p"), (a + k).cast("int").alias("c"))
+    head = lambda a, h: F.array(F.struct(a.cast("int").alias("p"), h.cast("int").alias("c")), F.struct(h.cast("int").alias("p"), a.cast("int").alias("c")))
+    pairs = F.flatten(F.transform("parents", lambda h, a: F.concat(F.array(near(a, 1), near(a, 2), near(a, 7)), head(a, h))))
+    inside = F.filter(pairs, lambda e: (e["p"] >= 0) & (e["c"] >= 0) & (e["c"] < F.col("n")))
+    return _sents(spark, d).withColumn("examples", F.array_distinct(inside))
 
 
 @query
 def dep_path(spark, d):
-    """The path from each token to the one two places on."""
-    path = trees.path_between(F.col("up"), F.col("down"))
-    return _path_pairs(spark, d).groupBy(F.array_join(trees.path_props(path, "pos", direction=True), " ").alias("path")).agg(F.count("*").alias("cnt"))
+    """The paths of pairs of tokens: tags and directions, relations of edges alone, tags as a bag, and as 2-grams."""
+    specs = ["pos(dir(seq(path(p,c))))", "edgerel(noDup(path(p,c)))", "pos(bag(path(p,lca(p,c))))", "pos(2gram(path(c,lca(p,c))))"]
+    return ft.extract(_path_pairs(spark, d), ft.parse_spec(specs)).groupBy("template", "feature").agg(F.count("*").alias("cnt"))
 
 
 @query
 def genealogy(spark, d):
-    kin = trees.genealogy("parents", "a", "b", F.col("up"), F.col("down"))
-    steps = F.transform(trees.path_between(F.col("up"), F.col("down")), lambda y: y["tok"])
-    return _path_pairs(spark, d).groupBy(kin.alias("kin"), trees.continuity(steps).alias("breaks")).agg(F.count("*").alias("cnt"))
+    specs = ["GENEALOGY", "CONTINUITY", "PATH_LEN"]
+    return ft.extract(_path_pairs(spark, d), ft.parse_spec([" + ".join(specs)])).groupBy("feature").agg(F.count("*").alias("cnt"))
 
 
 @query
@@ -537,8 +545,8 @@ def role_pairs(spark, d):
 
 
 def _gold_examples(spark, d):
-    """Sentences with each of their gold arcs (p, c)."""
-    return ft.examples(_sents(spark, d), _direct(_toks(spark, d)).where("p >= 0"))
+    """Sentences with their gold arcs (p, c)."""
+    return ft.tree_examples(_sents(spark, d))
 
 
 @query

@@ -27,11 +27,11 @@ MASK = f"""{DIST}
   from grown g left join dist t on g.ptag = t.ptag and g.ctag = t.ctag and g.dir = t.dir)"""
 
 
-def _scores(far: str = "true") -> str:
+def _scores(k: int = 3, prop: float = 0.9) -> str:
     return f"""
 , arcs as (select sent_id, n, tok as c, parent, unnest(range(-1, n)) as p from toks
-), scores as (select sent_id, p, c, p = parent as tree, (((p * 31 + c * 17 + sent_id) % 101) + 101) % 101 / 100.0 as score from arcs where p <> c and {far}
-), top as (select *, row_number() over w <= 3 as best, score >= 0.9 * first_value(score) over w as near from scores window w as (partition by sent_id, c order by score desc, p))"""
+), scores as (select sent_id, p, c, p = parent as tree, (((p * 31 + c * 17 + sent_id) % 101) + 101) % 101 / 100.0 as score from arcs where p <> c
+), top as (select *, row_number() over w <= {k} as best, score >= {prop} * first_value(score) over w as near from scores window w as (partition by sent_id, c order by score desc, p))"""
 
 
 #: Pairs of mentions: the related ones of even rank first, then the others.
@@ -72,9 +72,10 @@ def _climb() -> str:
     return "".join(steps) + ", climb as (" + " union all ".join(f"select * from climb{i}" for i in range(len(parts))) + ")"
 
 
-#: Pairs (a, a + 2) with their lowest common token, and the steps between. Heads lie on one side in a document, so the outer of two tokens is never above the other.
+#: Pairs of tokens with their lowest common token, and the steps between. Heads lie on one side in a document, so the outer of two tokens is never above the other.
 PATHS = """
-, ab as (select sent_id, doc_id, tok as a, tok + 2 as b from toks where tok + 2 < n
+, ab as (
+  select sent_id, doc_id, tok as a, tok + k as b from toks, (values (1), (2), (7)) v(k) where tok + k < n union select sent_id, doc_id, tok, parent from toks where parent >= 0 union select sent_id, doc_id, parent, tok from toks where parent >= 0
 ), walk as (
   select sent_id, a, b, a as x, b as y, 0 as nu, 0 as nd, (doc_id % 2 = 0) = (a > b) as up, doc_id % 2 = 0 as fwd from ab
   union all select z.sent_id, a, b, x, y, nu, nd, fwd = (x > y), fwd from (
@@ -82,9 +83,13 @@ PATHS = """
     from walk w join toks t on t.sent_id = w.sent_id and t.tok = case when up then x else y end where x <> y) z
 ), top as (select sent_id, a, b, x as lca, nu as n_up, nd as n_down from walk where x = y
 ), steps as (
-  select t.sent_id, t.a, t.b, nu as place, x as node, 'UP' as dir, n_up + n_down as last from top t join walk w on w.sent_id = t.sent_id and w.a = t.a where up and x <> y
-  union all select t.sent_id, t.a, t.b, n_up + n_down - nd, y, 'DOWN', n_up + n_down from top t join walk w on w.sent_id = t.sent_id and w.a = t.a where not up and x <> y
-  union all select sent_id, a, b, n_up, lca, 'DOWN', n_up + n_down from top)"""
+  select t.sent_id, t.a, t.b, nu as place, x as node, 'UP' as dir, n_up + n_down as last, n_up from top t join walk w on w.sent_id = t.sent_id and w.a = t.a and w.b = t.b where up and x <> y
+  union all select t.sent_id, t.a, t.b, n_up + n_down - nd, y, 'DOWN', n_up + n_down, n_up from top t join walk w on w.sent_id = t.sent_id and w.a = t.a and w.b = t.b where not up and x <> y
+  union all select sent_id, a, b, n_up, lca, 'DOWN', n_up + n_down, n_up from top
+), tagged as (select s.*, t.pos, t.deprel from steps s join toks t on t.sent_id = s.sent_id and t.tok = s.node
+), links as (  -- the relation of a step is that of its lower token
+  select sent_id, a, b, place, last, n_up, pos, dir, case when dir = 'UP' then deprel else lead(deprel) over w end as rel from tagged window w as (partition by sent_id, a, b order by place)
+), marked as (select *, coalesce(lag(rel) over w <> rel, true) as other, lag(pos) over (partition by sent_id, a, b order by place desc) as behind from links window w as (partition by sent_id, a, b order by place))"""
 
 SQL: dict[str, str] = {
     "top_words": f"{TOKS} select * from ({COUNTS}) where cnt > 3 order by cnt desc, word desc limit 100",
@@ -187,7 +192,8 @@ select n_pruned, n_total, round(n_pruned / n_total, 9) as score, n_gold_kept, n_
 select count(*) filter (where kept and near) as and_kept, count(*) filter (where not (kept and near)) as and_pruned, count(*) filter (where kept or near or tree) as or_kept, count(*) filter (where not (kept or near or tree)) as or_pruned from x""",
     "topk_heads": f"{TOKS}{_scores()} select count(*) filter (where best and near or tree) as n_kept, count(*) filter (where not (best and near or tree)) as n_pruned from top",
     "mask_counts": f"{TOKS}{_scores()}, k as (select sent_id, c, count(*) filter (where best) as n from top group by 1, 2) select sent_id, sum(n)::bigint as n_kept, min(n)::bigint as least_heads from k group by 1",
-    "score_prune": f"{TOKS}{_scores('abs(p - c) <= 8')} select count(*) filter (where best and near or tree) as n_kept, count(*) filter (where not (best and near or tree)) as n_pruned from top",
+    "score_prune": f"{TOKS}{_scores(5, 0.8)} select sent_id, count(*) as n_kept, sum(p)::bigint as sum_heads from top where best and near or tree group by 1",
+    "arc_counts": f"{TOKS} select sent_id, n * n as n_arcs, n + n * (n * n - 1) // 3 as length from sents",
     "reachable": f"{TOKS} select distinct sent_id, sent_id % 3 <> 0 or n = 1 as multi_root, sent_id % 3 <> 0 or n = 1 as single_root from toks",
     "arc_triples": f"""{TOKS}
 select 'grandparent' as kind, count(*) as cnt from toks u join toks t on t.sent_id = u.sent_id and t.parent = u.tok where u.parent <> t.tok
@@ -195,12 +201,16 @@ union all select 'projective', count(*) from toks u join toks t on t.sent_id = u
 union all select 'sibling', count(*) from toks u join toks t on t.sent_id = u.sent_id and t.parent = u.parent and u.tok < t.tok
 union all select 'bigram', count(*) from toks u join toks t on t.sent_id = u.sent_id and t.tok = u.tok + 1""",
     "root_path": f"{TOKS}{_climb()} select sent_id, tok, string_agg(node::varchar, ' ' order by depth) as path from climb group by 1, 2",
-    "dep_path": f"""{TOKS}{PATHS}, one as (select s.sent_id, a, b, string_agg(t.pos || case when place = last then '' else '_' || dir end, ' ' order by place) as path from steps s join toks t on t.sent_id = s.sent_id and t.tok = s.node group by 1, 2, 3)
-select path, count(*) as cnt from one group by 1""",
-    "genealogy": f"""{TOKS}{PATHS}, br as (select sent_id, a, b, count(*) filter (where abs(nx - node) > 1) as breaks from (select *, lead(node) over (partition by sent_id, a, b order by place) as nx from steps) group by 1, 2, 3
+    "dep_path": f"""{TOKS}{PATHS}, found as (
+  select 'seq(pos&dir(path))' as template, string_agg(pos || case when place = last then '' else '_' || dir end, '_' order by place) as feature from marked group by sent_id, a, b
+  union all select 'no_dup(rel(path))', string_agg(rel, '_' order by place) filter (where other) from marked where place < last group by sent_id, a, b
+  union all select 'bag(pos(path_p_lca))', string_agg(distinct pos, '_' order by pos) from marked where place <= n_up group by sent_id, a, b
+  union all select '2gram(pos(path_c_lca))', coalesce(behind, 'BOS') || '_' || pos from marked where place >= n_up)
+select template, feature, count(*) as cnt from found group by 1, 2""",
+    "genealogy": f"""{TOKS}{PATHS}, br as (select sent_id, a, b, count(*) as len, count(*) filter (where abs(nx - node) > 1) as breaks from (select *, lead(node) over (partition by sent_id, a, b order by place) as nx from steps) group by 1, 2, 3
 ), kin as (select x.sent_id, x.a, x.b, case when pb.parent = x.a then 'PARENT' when pa.parent = x.b then 'CHILD' when pa.parent = pb.parent then 'SIBLING' when t.lca = x.a then 'ANCESTOR' when t.lca = x.b then 'DESCENDENT' else 'COUSIN' end as kin
-  from ab x join toks pa on pa.sent_id = x.sent_id and pa.tok = a join toks pb on pb.sent_id = x.sent_id and pb.tok = b left join top t on t.sent_id = x.sent_id and t.a = x.a)
-select kin, breaks, count(*) as cnt from kin join br on kin.sent_id = br.sent_id and kin.a = br.a group by 1, 2""",
+  from ab x join toks pa on pa.sent_id = x.sent_id and pa.tok = a join toks pb on pb.sent_id = x.sent_id and pb.tok = b left join top t on t.sent_id = x.sent_id and t.a = x.a and t.b = x.b)
+select kin || '_' || breaks || '_' || case when len >= 40 then 40 when len >= 30 then 30 when len >= 20 then 20 when len >= 10 then 10 when len >= 5 then 5 else 2 end as feature, count(*) as cnt from kin join br on kin.sent_id = br.sent_id and kin.a = br.a and kin.b = br.b group by 1""",
     "projective": f"""{TOKS}, arc as (select sent_id, least(parent, tok) as a, greatest(parent, tok) as b from toks
 ), cross_ as (select distinct x.sent_id from arc x join arc y on x.sent_id = y.sent_id and x.a < y.a and y.a < x.b and x.b < y.b)
 select distinct sent_id, sent_id not in (select sent_id from cross_) as projective from toks""",
