@@ -105,7 +105,8 @@ def run_length_blocks(kept: DataFrame) -> DataFrame:
     A column is (source, ends, counts): run i covers the terms of the block from the end before to ``ends[i]``.
     """
     profiles = kept.groupBy("lang", "counts").agg(F.count("*").alias("n_terms"))
-    ordered = profiles.repartitionByRange("lang", "counts").sortWithinPartitions("lang", "counts")
+    # ranges are cut by a short key, as what cuts them reaches the driver: profiles that begin alike are dealt by a hash
+    ordered = profiles.repartitionByRange("lang", F.slice("counts", 1, 2), F.xxhash64("counts")).sortWithinPartitions("lang", "counts")
     kind = "lang string, block long, n_terms long, columns array<struct<source: string, ends: array<bigint>, counts: array<bigint>>>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
