@@ -39,7 +39,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form m
 #: Words of a class or id that name something else than the article.
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert "
-    "sidebar side nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus reply replies respond "
+    "sidebar side nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus reply replies respond responses discussion discussions talkback feedback guestbook "
     "related recommended share sharing social newsletter subscribe subscription signup login popup modal overlay search pagination pager widget widgets tagcloud".split()
 )
 #: With one of these in the name, a header is the article's own.
@@ -227,27 +227,27 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
 
 #: Links in a row that make a menu.
 MENU = 3
+#: The share of stop words under which a page's language has no list here.
+UNKNOWN = 0.02
 
 
 def extract(page: str | None, length_low: int = 70, length_high: int = 200, stop_low: float = 0.12, stop_high: float = 0.18, link_high: float = 0.35) -> str:
     """The main text of a page: its good blocks, joined by spaces; empty if there are none.
 
-    The densities of stop words are low for the sake of short lists, about fifty words a language.
+    The densities of stop words are low for the sake of short lists, about fifty words a language. A page in which hardly any word is on
+    a list is in another language: its blocks are told apart by length and links.
     """
     found, named = blocks(page or "")
-    steps = [0] * (len(found) + 1)
-    for begin, end in named:
-        steps[begin] += 1
-        steps[end] -= 1
-    in_named = list(accumulate(steps))[: len(found)]
+    in_named = _covered(named, len(found))
+    if not _knows(found, length_low, link_high):
+        stop_low = stop_high = 0.0
     kinds = [_kind(b, length_low, length_high, stop_low, stop_high, link_high) for b in found]
     usable = [i for i, b in enumerate(found) if not b.bad]
     usable = [i for i in usable if found[i].inside] or usable
     if not any(kinds[i] != "bad" and not in_named[i] for i in usable):
         longest = max((i for i in usable if kinds[i] != "bad"), key=lambda i: len(found[i].text), default=None)
         if longest is not None:  # names round the longest block don't count
-            around = {(a, z) for a, z in named if a <= longest < z}
-            in_named = [n - sum(a <= i < z for a, z in around) if n else 0 for i, n in enumerate(in_named)] if len(around) < 50 else [0 if kinds[i] != "bad" else n for i, n in enumerate(in_named)]
+            in_named = _covered(((a, z) for a, z in named if not a <= longest < z), len(found))
     marked = any(found[i].inside and not in_named[i] for i in usable)
     runs = [list(g) for _, g in groupby(range(len(found)), key=lambda i: found[i].linked >= 0.9 * len(found[i].text))]
     menu = {i for g in runs if len(g) >= MENU and found[g[0]].linked for i in g if found[i].linked >= 0.9 * len(found[i].text)}
@@ -269,6 +269,21 @@ def extract(page: str | None, length_low: int = 70, length_high: int = 200, stop
     return " ".join(b.text for b in found if b.label == "good")
 
 
+def _covered(ranges: Iterable[tuple[int, int]], n: int) -> list[int]:
+    """In how many of the ranges each of n blocks lies."""
+    steps = [0] * (n + 1)
+    for begin, end in ranges:
+        steps[begin] += 1
+        steps[end] -= 1
+    return list(accumulate(steps))[:n]
+
+
+def _knows(found: list[Block], length_low: int, link_high: float) -> bool:
+    """Whether the lists know the language of a page's longer blocks without links: else stop words tell nothing, and length and links decide."""
+    words = [w for b in found if not b.bad and len(b.text) >= length_low and b.linked <= link_high * len(b.text) for w in WORD.findall(b.text)]
+    return sum(w.lower() in STOP_WORDS for w in words) >= UNKNOWN * len(words)
+
+
 def _kind(b: Block, length_low: int, length_high: int, stop_low: float, stop_high: float, link_high: float) -> str:
     """The first pass: a block's label by its densities alone."""
     n = len(b.text)

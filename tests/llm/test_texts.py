@@ -73,6 +73,27 @@ def test_marks_are_features_only(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize("depth", [1, 2, 49, 50, 60, 300])
+def test_nested_wrappers_with_bad_names_keep_the_text(depth):
+    page = "<div class='menu'><p>Not this menu of the site.</p></div>" + "<div class='sidebar-wrap'>" * depth + f"<p>{SENTENCE}</p><p>{SENTENCE}</p>" + "</div>" * depth
+    assert extract(page) == f"{SENTENCE} {SENTENCE}"
+    assert extract("<div class='sidebar-wrap'>" * depth + SENTENCE + "</div>" * depth) == SENTENCE
+
+
+def test_reader_comments_under_other_names():
+    for name in ("discussion", "responses", "user-feedback", "guestbook", "comments-area"):
+        page = f"<article><p>{SENTENCE}</p><div class='{name}'><p>I think that this is not what the author had in mind, and the rest of it is as bad as it was.</p></div></article>"
+        assert extract(page) == SENTENCE
+
+
+def test_languages_without_a_list_of_stop_words():
+    chinese = "网页抽取的任务是把一页里的正文与菜单、广告和页脚分开。" * 12
+    page = f"<div><a href='/'>首页</a> <a href='/n'>新闻</a></div><div>{chinese}</div><div><a href='/c'>联系我们</a> <a href='/p'>隐私</a></div>"
+    assert extract(page) == chinese
+    russian = "Задача состоит в том, чтобы отделить основной текст страницы от меню, рекламы и нижней части. " * 4
+    assert extract(f"<div><p>{russian}</p><p><a href='/a'>{russian}</a></p></div>") == russian.strip()
+
+
 def test_densities_find_the_article_of_unmarked_pages(spark):
     lost = extra = total = 0
     for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
