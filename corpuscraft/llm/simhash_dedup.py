@@ -15,6 +15,7 @@ a spanning forest of its links, not the links.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +33,47 @@ BLOCK = 1024
 SMALL = 24
 #: Fingerprints of a block that are compared with those of the other at once.
 STRIP = 128
+#: Bytes of a text whose shingles are hashed at once.
+SLICE = 1 << 20
+WHITE = re.compile(rb"[ \t-\r]")
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A text in pieces of about SLICE bytes, cut where there is white space."""
+    at = 0
+    while at < len(data):
+        cut = WHITE.search(data, at + SLICE)
+        stop = cut.start() if cut else len(data)
+        yield data[at:stop]
+        at = stop
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a text; no words: 0."""
-    parts = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space only
-    if not parts:
-        return 0
-    whole, n = b" ".join(parts), max(1, len(parts) - words + 1)
+    """The 64-bit fingerprint of a text; no words: 0. Counts of bits are added up piece by piece, so memory grows with the text's bytes alone."""
+    ones, n, held = np.zeros(64, np.int64), 0, []
+    for piece in _pieces((text or "").encode()):
+        parts = held + piece.lower().split()  # of bytes: A-Z and ASCII white space only
+        new = len(parts) - words + 1
+        held = parts[max(0, new) :]
+        if new > 0:
+            ones += _ones(parts, words, new, seed)
+            n += new
+    if not n:
+        if not held:
+            return 0
+        ones, n = _ones(held, len(held), 1, seed), 1
+    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+
+
+def _ones(parts: list[bytes], words: int, n: int, seed: int) -> np.ndarray:
+    """Of n shingles, how many hashes have each bit set."""
+    whole = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends[: n - 1].tolist()]
-    stops = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
+    stops = (ends[words - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(whole[a:b], seed) for a, b in zip(starts, stops)], "<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
