@@ -117,15 +117,17 @@ def line_dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     ``least_words`` go only if equal, as one word of fewer than five is too large a part. Documents are never
     dropped: one whose lines all go keeps an empty text. A null text stays null, with no lines; lines of a
     null doc_id are neither removed nor compared. Rows that repeat a doc_id are one document: they lose
-    a line number together. No rows give no rows.
+    a line number together. No rows give no rows. A document's text and lines lie in one row, which a task holds.
     """
     gone = removable_lines(docs, least_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # the columns go into one, so that none of them can clash with those put beside them
     kept = docs.select(F.struct(*docs.columns).alias("row")).join(gone, F.col("row.doc_id") == F.col("_id"), "left")
     lines = F.split("row.text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    # the numbers that stay by hash, so that a document of many lines takes time in proportion
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone")
+    left = F.get(F.transform(F.array(lines), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n")), F.lit(0))
+    text = F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(left)
     columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in own]
     counts = [F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))]
     return kept.select(*columns, *(c.cast("long").alias(n) for c, n in zip(counts, ("n_lines", "n_removed"))))

@@ -147,3 +147,36 @@ def test_stages_with_nothing_and_with_more_columns(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns and out.count() <= docs.count(), name
         assert (corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0) == (docs is full)
+
+
+def test_a_document_of_very_many_lines(spark):
+    """In proportion to the lines: this took minutes when each line was looked up among all that go."""
+    n = 120_000
+    text = "the same line of some words\n" * n + "another line of its own here"
+    docs = spark.createDataFrame([(1, text), (2, "the same line of some words\n\nlast")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup(docs).collect()}
+    assert got == {1: ("the same line of some words\nanother line of its own here", n + 1, n - 1), 2: ("\nlast", 3, 1)}
+
+
+def test_fingerprints_of_long_texts_piece_by_piece(monkeypatch):
+    from corpuscraft.llm import simhash_dedup as sd
+
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(500)}" + "x" * rng.randrange(40) for _ in range(3000)]
+    texts = [rng.choice([" ", "\n", "\t  "]).join(words[:k]) + tail for k in (0, 1, 2, 3, 4, 100, 3000) for tail in ("", " ", "\nend")]
+    whole = [fingerprint(t) for t in texts]
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(sd, "SLICE", size)
+        assert [fingerprint(t) for t in texts] == whole
+    assert [fingerprint(t, 5) for t in texts[:9]] and fingerprint("x" * 5000) == fingerprint(" " + "x" * 5000)
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    text = "some words of a text that is long " * 300_000  # 10 MB, 2.4 million words
+    tracemalloc.start()
+    fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
