@@ -187,6 +187,95 @@ def supports(parents: Column | str, flags: Column) -> Column:
     return find(col(parents), flags)
 
 
+def positions(ids: Column | str, wanted: Column | str) -> Column:
+    """For each wanted value its place in ``ids``, an array in ascending order; -1 if it isn't there or is null."""
+
+    @F.arrow_udf("array<int>")
+    def find(ids: pa.Array, wanted: pa.Array) -> pa.Array:
+        begins, known = _rows(ids)
+        to, asked = _rows(wanted)
+        known = known.to_numpy(zero_copy_only=False).astype(np.int64)
+        null = asked.is_null().to_numpy(zero_copy_only=False)
+        asked = asked.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row, own = np.repeat(np.arange(len(to) - 1), np.diff(to)), np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        # both as (row, rank of the value), so that one search serves all rows
+        values = np.unique(known)
+        rank = np.searchsorted(values, asked)
+        there = (rank < len(values)) & (np.append(values, 0)[np.minimum(rank, max(0, len(values) - 1))] == asked) & ~null if len(values) else np.zeros(len(asked), bool)
+        keys = own * (len(values) + 1) + np.searchsorted(values, known)
+        key = row * (len(values) + 1) + rank
+        at = np.searchsorted(keys, key)
+        there &= np.append(keys, -1)[np.minimum(at, len(keys))] == key
+        return _lists(to, np.where(there, at - begins[row], -1))
+
+    return find(col(ids), col(wanted))
+
+
+def intervals(parents: Column | str) -> Column:
+    """The nested-set numbers of all tokens: struct of arrays begin and end. A token lies below another, or is it, if its begin is in the other's [begin, end).
+
+    The wall's children follow one another. Tokens whose way up is a cycle have -1.
+    """
+
+    @F.arrow_udf("struct<begin: array<int>, end: array<int>>")
+    def find(parents: pa.Array) -> pa.Array:
+        forest = Forest(parents)
+        n, up = forest.n, forest.up
+        size = np.append(np.ones(n, np.int64), 0)
+        order = np.argsort(np.where(forest.cyclic[:-1], -1, forest.depth[:-1]), kind="stable")
+        depth = np.where(forest.cyclic[:-1], -1, forest.depth[:-1])[order]
+        cuts = np.searchsorted(depth, np.arange(-1, int(depth[-1] if n else -1) + 2))
+        levels = [order[a:b] for a, b in zip(cuts[1:-1], cuts[2:])]
+        for level in reversed(levels[1:]):
+            np.add.at(size, up[level], size[level])
+        begin = np.full(n + 1, -1, np.int64)
+        for k, level in enumerate(levels):
+            # siblings lie together by parent (the roots by sentence), each after what the ones before it take
+            group = up[level] if k else forest.base[level]
+            level = level[np.argsort(group, kind="stable")]
+            group = np.sort(group, kind="stable")
+            before = np.cumsum(size[level]) - size[level]
+            first = np.concatenate([[True], group[1:] != group[:-1]])
+            own = before - np.repeat(before[first], np.diff(np.append(np.flatnonzero(first), len(level))))
+            begin[level] = own + (begin[up[level]] + 1 if k else 0)
+        begin, size = begin[:-1], size[:-1]
+        return pa.StructArray.from_arrays([_lists(forest.begins, begin), _lists(forest.begins, np.where(begin < 0, -1, begin + size))], ["begin", "end"])
+
+    return find(col(parents))
+
+
+def chunks(tags: Column | str, parents: Column | str) -> Column:
+    """The chunks of BIO tags, every O a chunk of its own: struct(of: each token's chunk, labels, heads: of each the token reached from its first without leaving it)."""
+
+    @F.arrow_udf("struct<of: array<int>, labels: array<string>, heads: array<int>>")
+    def find(tags: pa.Array, parents: pa.Array) -> pa.Array:
+        begins, flat = _rows(tags)
+        tag = np.array(flat.fill_null("O").to_pylist(), object)
+        forest = Forest(parents)
+        n = len(tag)
+        row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+        label = np.array([t[2:] if t[:2] in ("B-", "I-") else t for t in tag], object)
+        new = np.ones(n, bool)
+        if n:
+            inside = np.array([t[:2] == "I-" for t in tag])
+            new[1:] = ~(inside[1:] & (label[1:] == label[:-1]) & (row[1:] == row[:-1]) & np.array([t[:2] in ("B-", "I-") for t in tag[:-1]]))
+        chunk = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        head, of_row = at.copy(), row[at]
+        for _ in range(int(np.diff(np.append(at, n)).max()) if n else 0):
+            above = forest.up[head] if len(forest.up) > 1 else np.full(len(head), forest.n)
+            stay = above < n
+            stay[stay] = chunk[above[stay]] == chunk[head[stay]]
+            if not stay.any():
+                break
+            head = np.where(stay, above, head)
+        per = np.concatenate([[0], np.cumsum(np.bincount(of_row, minlength=len(begins) - 1))]) if n else np.zeros(len(begins), np.int64)
+        first = per[row]
+        return pa.StructArray.from_arrays([_lists(begins, chunk - first), _lists(per, pa.array(label[at].tolist(), pa.string())), _lists(per, head - begins[of_row])], ["of", "labels", "heads"])
+
+    return find(col(tags), col(parents))
+
+
 def crossing(parents: Column | str, least: int = -1) -> Column:
     """The tokens whose arc to their parent crosses another, in order; the wall (-1) stands left of the first token. Parents under ``least`` are no arcs.
 

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tree_index, trees
@@ -541,34 +541,100 @@ def triple_features(triples: DataFrame, sents: DataFrame, names: tuple[str, str,
     return x.select(*KEYS, *names, F.inline(feats))
 
 
-def relation_features(sents: DataFrame, pairs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Features of mention pairs: heads, words and their bags, what lies between and around, types, overlap, mentions between, chunks and the path."""
+def relation_features(sents: DataFrame, pairs: DataFrame, mentions: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(keys, k, m1, m2, template, feature) of mention pairs: words and heads of both, what lies between and around, types and levels, containment, chunks, the dependency path, and phrases.
+
+    sents: words, and where they are there pos, parents, deprels and chunks (BIO); what needs a missing layer is left out. mentions: start, end, head, type and maybe level.
+    nodes: the sentence's constituents; then also the path of symbols between the lowest ones over the heads, and whether these are in one NP, PP or VP. A pair's features are made in its
+    sentence's row, for which pairs come together in blocks.
+    """
+    from .constituents import constituent_path, same_phrase
     from .joins import n_mentions_between
 
-    m = lambda side: mentions.select(*KEYS, F.col("m_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("start", "end", "head", "type")))
-    x = n_mentions_between(pairs, mentions).join(m("m1"), [*KEYS, "m1"]).join(m("m2"), [*KEYS, "m2"]).join(sents, KEYS)
-    p, c = F.col("m1_head"), F.col("m2_head")
-    x = x.withColumns({"p": p, "c": c})
-    word = lambda i: _value("word", i)
-    inside = lambda s: F.slice("words", F.col(f"{s}_start") + 1, F.col(f"{s}_end") - F.col(f"{s}_start"))
-    low, high = F.least("m1_end", "m2_end"), F.greatest("m1_start", "m2_start")
-    gap = F.slice("words", low + 1, F.greatest(high - low, F.lit(0)))
-    one = lambda k, v: F.when(v.isNotNull(), F.array(F.struct(F.lit(k).alias("template"), v.cast("string").alias("feature"))))
-    many = lambda k, v: F.transform(v, lambda y: F.struct(F.lit(k).alias("template"), y.alias("feature")))
-    overlap = F.when((F.col("m1_start") <= F.col("m2_start")) & (F.col("m2_end") <= F.col("m1_end")), "M2_IN_M1").when((F.col("m2_start") <= F.col("m1_start")) & (F.col("m1_end") <= F.col("m2_end")), "M1_IN_M2").when(low > high, "PARTIAL").otherwise("NONE")
-    parts = [
-        one("head1", word(p)), one("head2", word(c)), one("heads", F.concat_ws("_", word(p), word(c))), many("words1", bag(inside("m1"))), many("words2", bag(inside("m2"))),
-        many("between", bag(gap)), one("between_first", F.get(gap, F.lit(0))), one("between_last", F.element_at(F.when(F.size(gap) > 0, gap), -1)), one("n_words_between", bin_int(F.size(gap))),
-        one("before1", word(F.col("m1_start") - 1)), one("before1_2", word(F.col("m1_start") - 2)), one("after2", word(F.col("m2_end"))), one("after2_2", word(F.col("m2_end") + 1)),
-        one("types", F.concat_ws("_", F.coalesce("m1_type", F.lit("NOTYPE")), F.coalesce("m2_type", F.lit("NOTYPE")))), one("overlap", overlap), one("n_mentions_between", bin_int(F.col("n_between"))),
+    names = [c for c in ("start", "end", "head", "type", "level") if c in mentions.columns]
+    side = lambda m: mentions.select(*KEYS, F.col("m_id").alias(m), *(F.col(c).alias(f"{m}_{c}") for c in names))
+    x = n_mentions_between(pairs, mentions).join(side("m1"), [*KEYS, "m1"]).join(side("m2"), [*KEYS, "m2"])
+    extra = []
+    if nodes is not None:
+        order = Window.partitionBy(*KEYS, "start").orderBy(F.col("end") - F.col("start"), F.desc("node"))
+        leaves = nodes.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*KEYS, F.col("start").alias("_tok"), F.col("node").alias("_leaf"))
+        leaf = lambda m, name: leaves.select(*KEYS, F.col("_tok").alias(f"{m}_head"), F.col("_leaf").alias(name))
+        over = x.join(leaf("m1", "a"), [*KEYS, "m1_head"]).join(leaf("m2", "b"), [*KEYS, "m2_head"]).select(*KEYS, "k", "a", "b")
+        phrases = constituent_path(nodes, over).join(same_phrase(nodes, over, "NP", "PP", "VP").drop("a", "b"), [*KEYS, "k"]).drop("a", "b")
+        x, extra = x.join(phrases, [*KEYS, "k"], "left"), ["path", "same_NP", "same_PP", "same_VP"]
+    fields = ["k", "m1", "m2", "n_between", *(f"{m}_{c}" for m in ("m1", "m2") for c in names), *extra]
+    listed = x.groupBy(*KEYS, F.floor(F.col("k") / BLOCK).alias("_block")).agg(F.collect_list(F.struct(*fields)).alias("pairs")).drop("_block")
+    have = [c for c in ("words", "pos", "parents", "deprels", "chunks") if c in sents.columns]
+    rows = tree_index.batched(sents.select(*KEYS, *have).join(listed, KEYS))
+    if "parents" in have:
+        rows = rows.withColumn("_ways", tree_index.paths("parents", F.transform("pairs", lambda e: F.struct(e["m1_head"].cast("int").alias("a"), e["m2_head"].cast("int").alias("b")))))
+        if "chunks" in have:
+            rows = rows.withColumn("_chunk", tree_index.chunks("chunks", "parents"))
+    made = F.flatten(F.transform("pairs", lambda e, i: _of_pair(e, i, set(rows.columns), set(fields))))
+    return rows.select(*KEYS, F.inline(made))
+
+
+def _of_pair(e: Column, i: Column, layers: set[str], fields: set[str]) -> Column:
+    """All features of a pair e, the i-th of its row, as an array of (k, m1, m2, template, feature)."""
+    row = lambda template, feature: F.struct(e["k"].alias("k"), e["m1"].alias("m1"), e["m2"].alias("m2"), F.lit(template).alias("template"), feature.cast("string").alias("feature"))
+    one = lambda template, feature: F.array(row(template, feature))
+    many = lambda template, features: F.transform(features, lambda f: row(template, f))
+    also = lambda *parts: F.concat_ws("|", *parts)
+    none = F.filter(one("", F.lit("")), lambda _: F.lit(False))
+    word = lambda t: _value("word", t)
+    inside = lambda m: bag(F.slice("words", e[f"{m}_start"] + 1, e[f"{m}_end"] - e[f"{m}_start"]))
+    head1, head2 = word(e["m1_head"]), word(e["m2_head"])
+    begin, end = e["m1_head"] + 1, e["m2_head"]
+    size = F.greatest(end - begin, F.lit(0))
+    gap = F.slice("words", begin + 1, size)
+    kind = lambda m: F.coalesce(e[f"{m}_type"], F.lit("NOTYPE"))
+    kinds = F.concat_ws("_", kind("m1"), kind("m2"))
+    holds = lambda a, b: ((e[f"{a}_start"] <= e[f"{b}_start"]) & (e[f"{b}_end"] <= e[f"{a}_end"])).cast("string")
+    heads = F.concat_ws("_", head1, head2)
+    low, high = F.least(e["m1_end"], e["m2_end"]), F.greatest(e["m1_start"], e["m2_start"])
+    overlap = F.when(holds("m1", "m2") == "true", "M2_IN_M1").when(holds("m2", "m1") == "true", "M1_IN_M2").when(low > high, "PARTIAL").otherwise("NONE")
+    out = [
+        many("between", bag(F.slice("words", low + 1, F.greatest(high - low, F.lit(0))))), one("overlap", overlap),
+        many("word1", inside("m1")), one("words1", F.array_join(inside("m1"), "_")), one("head1", head1), many("word2", inside("m2")), one("words2", F.array_join(inside("m2"), "_")), one("head2", head2), one("heads", heads),
+        F.when(size == 0, one("between_none", F.lit("T"))).when(size == 1, one("between_only", F.get(gap, F.lit(0)))).otherwise(F.concat(one("between_first", F.get(gap, F.lit(0))), one("between_last", F.get(gap, size - 1)), many("between_other", F.slice(gap, 2, F.greatest(size - 2, F.lit(0)))))),
+        one("before1", word(e["m1_start"] - 1)), one("before1_2", word(e["m1_start"] - 2)), one("after2", word(e["m2_end"])), one("after2_2", word(e["m2_end"] + 1)),
+        one("types", kinds), one("n_mentions_between", e["n_between"]), one("n_words_between", size), one("m1_holds", holds("m1", "m2")), one("m2_holds", holds("m2", "m1")),
+        one("types+m1_holds", also(kinds, holds("m1", "m2"))), one("types+m2_holds", also(kinds, holds("m2", "m1"))), one("heads+m1_holds", also(heads, holds("m1", "m2"))), one("heads+m2_holds", also(heads, holds("m2", "m1"))),
+        many("between_pair", F.transform(F.sequence(F.lit(0), size), lambda j: F.concat_ws("_", word(begin + j - 1), word(begin + j)))), one("between_all", F.array_join(gap, "_")), one("types+between_all", also(kinds, F.array_join(gap, "_"))),
     ]
-    if "parents" in sents.columns:
-        path = trees.dep_path("parents", p, c)
-        parts += [one("path_len", bin_int(F.size(path))), one("path_words", F.array_join(trees.path_props(path, "words"), "_")), one("dependent", word(F.when(p >= 0, F.get("parents", p)))), one("genealogy", trees.genealogy("parents", p, c))]
-    if "chunks" in sents.columns:
-        parts.append(one("chunks_between", F.array_join(F.filter(F.slice("chunks", low + 1, F.greatest(high - low, F.lit(0))), lambda t: t.startswith("B-")), "_")))
-    empty = F.array().cast("array<struct<template:string,feature:string>>")
-    return x.select(*KEYS, "k", "m1", "m2", F.inline(F.concat(*(F.coalesce(q, empty) for q in parts))))
+    if "m1_level" in fields:
+        out.append(one("levels", F.concat_ws("_", e["m1_level"], e["m2_level"])))
+    if "_ways" in layers:
+        way = F.get("_ways", i)
+        for m, head in (("m1", head1), ("m2", head2)):
+            above = word(F.get("parents", e[f"{m}_head"]))
+            out += [one(f"type_{m}+dependent", also(kind(m), above)), one(f"head_{m}+dependent", also(head, above))]
+        paths = {"word_path": ("word", "dir")} | ({"pos_path": ("pos", "dir")} if "pos" in layers else {}) | ({"rel_path": (None, "rel")} if "deprels" in layers else {})
+        for name, (prop, edge) in paths.items():
+            items = _along(way["toks"], way["top"], prop, edge)
+            core = F.slice(items, 2, F.greatest(F.size(items) - 2, F.lit(0)))
+            out.append(F.when(way["toks"].isNotNull(), F.concat(one(name, F.array_join(items, "_")), F.when(F.size(way["toks"]) >= 3, one(f"types+{name}", also(kinds, F.array_join(core, "_")))).otherwise(none))))
+        out.append(one("path_words", F.array_join(F.transform(way["toks"], word), "_")))
+        out.append(one("genealogy", trees.kin("parents", e["m1_head"], e["m2_head"], way)))
+        if "path" in fields:
+            lowest = word(F.coalesce(F.get(way["toks"], way["top"]), F.lit(-1)))
+            out.append(one("phrase_path+lowest", also(e["path"], lowest)))
+    if "path" in fields:
+        out.append(F.when(e["path"].isNotNull(), one("phrase_path", e["path"])))
+        out += [one(f"types+same_{p}", also(kinds, e[f"same_{p}"].cast("string"))) for p in ("NP", "PP", "VP")]
+    if "_chunk" in layers:
+        c1, c2 = (F.get("_chunk.of", e[f"{m}_head"]) for m in ("m1", "m2"))
+        n = F.size("_chunk.heads")
+        head = lambda c: F.when(c < 0, "BOS").when(c >= n, "EOS").otherwise(F.get("words", F.get("_chunk.heads", c)))
+        apart = F.greatest(c2 - c1 - 1, F.lit(0))
+        inner = F.filter(F.sequence(c1 + 1, c1 + F.greatest(apart, F.lit(1))), lambda c: c <= c1 + apart)
+        labels, named = F.transform(inner, lambda c: F.get("_chunk.labels", c)), F.transform(inner, head)
+        out += [
+            F.when(apart == 0, one("chunk_none", F.lit("T"))).when(apart == 1, one("chunk_only", head(c1 + 1))).otherwise(F.concat(one("chunk_first", head(c1 + 1)), one("chunk_last", head(c2 - 1)), many("chunk_other", F.slice(named, 2, F.greatest(apart - 2, F.lit(0)))))),
+            one("chunk_before1", head(c1 - 1)), one("chunk_before1_2", head(c1 - 2)), one("chunk_after2", head(c2 + 1)), one("chunk_after2_2", head(c2 + 2)), one("chunk_path", F.array_join(labels, "_")),
+            F.when(apart <= 2, one("chunk_path_heads", F.array_join(F.zip_with(labels, named, lambda a, b: F.concat_ws(":", a, b)), "_"))), one("chunk_heads", F.array_join(named, "_")), one("types+chunk_heads", also(kinds, F.array_join(named, "_"))),
+        ]
+    return F.filter(F.concat(*(F.coalesce(x, none) for x in out)), lambda r: r["feature"].isNotNull())
 
 
 #: Levels of word features, each with what those before it have.

@@ -23,7 +23,7 @@ from .derive import SPANS, gold, predicted, sentence_rows, token_rows
 from .derive import SQL as TOKS
 from .formats import ARCS
 from .queries import _docs, _gold_examples, _mentions, _relations, _sents, _srl, _toks, query, table
-from .sql import RELS, SCORED, SQL, _climb
+from .sql import _PATHS, PATHS, RELS, SCORED, SQL, _climb
 from .sql import _srl as _srl_sql
 
 # evaluation
@@ -359,19 +359,120 @@ union all select 'seq(pos(path_c_lca))', count(*), count(distinct ct || '_' || p
 union all select '1gram(pos(path_lca_root))', (select sum(n) from ex join above on above.sent_id = ex.sent_id and above.tok = p)::bigint, (select count(*) + 1 from up)"""
 
 
+def _phrases(x):
+    """The tree of a sentence as constituents: a phrase over each token and its dependents, named by the token's tag."""
+    order = Window.partitionBy("corpus", "sent_id", "parent").orderBy("tok")
+    return x.select("corpus", "sent_id", F.col("tok").alias("node"), F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"), F.col("pos").alias("symbol"), F.col("tok").alias("start"), (F.col("tok") + 1).alias("end"), (F.row_number().over(order) - 1).alias("child_no"))
+
+
 @query
 def constituents(spark, d):
-    """The tree of a sentence as constituents (a phrase over each token and its dependents): rules, and paths between a token's phrase and the next one's."""
-    x = _toks(spark, d)
-    order = Window.partitionBy("corpus", "sent_id", "parent").orderBy("tok")
-    nodes = x.select("corpus", "sent_id", F.col("tok").alias("node"), F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"), F.col("pos").alias("symbol"), F.col("tok").alias("start"), (F.col("tok") + 1).alias("end"), (F.row_number().over(order) - 1).alias("child_no"))
-    return cn.rule_features(nodes).groupBy("parent_symbol", "left", "right", "unary").agg(F.count("*").alias("cnt"))
+    """The rules of constituents."""
+    return cn.rule_features(_phrases(_toks(spark, d))).groupBy("parent_symbol", "left", "right", "unary").agg(F.count("*").alias("cnt"))
 
 
 SQL["constituents"] = f"""{TOKS}, k as (select sent_id, parent, pos as left, lead(pos) over w as right, row_number() over w as i, count(*) over (partition by sent_id, parent) = 1 as unary from toks where parent >= 0 window w as (partition by sent_id, parent order by tok))
 select t.pos as parent_symbol, k.left, k.right, unary, count(*) as cnt from k join toks t on t.sent_id = k.sent_id and t.tok = k.parent where i = 1 group by 1, 2, 3, 4"""
 
 
+@query
+def constituent_path(spark, d):
+    """The paths of symbols between the phrase of each token and those two and seven places on, and whether both lie in one phrase of a kind."""
+    x = _toks(spark, d)
+    pairs = x.select("corpus", "sent_id", "n", F.col("tok").alias("a"), F.explode(F.array(F.lit(2), F.lit(7))).alias("k")).select("corpus", "sent_id", "a", (F.col("a") + F.col("k")).alias("b"), "n").where("b < n").drop("n")
+    nodes = _phrases(x)
+    both = cn.constituent_path(nodes, pairs).join(cn.same_phrase(nodes, pairs, "NN", "VBZ"), ["corpus", "sent_id", "a", "b"])
+    return both.groupBy("path", "same_NN", "same_VBZ").agg(F.count("*").alias("cnt"))
+
+
+_LOWEST = """, low as (select u.sent_id, u.tok, arg_min(k.tok, u.depth) filter (where k.pos = 'NN') as nn, arg_min(k.tok, u.depth) filter (where k.pos = 'VBZ') as vbz from climb u join toks k on k.sent_id = u.sent_id and k.tok = u.node group by 1, 2)"""
+SQL["constituent_path"] = f"""{TOKS}{PATHS}{_climb()}{_LOWEST}, one as (
+  select sent_id, a, b, string_agg(case when place = 0 then '' when place <= n_up then '^' else '!' end || pos, '' order by place) as path from marked where b in (a + 2, a + 7) group by 1, 2, 3)
+select path, coalesce(x.nn = y.nn, false) as same_NN, coalesce(x.vbz = y.vbz, false) as same_VBZ, count(*) as cnt
+from one join low x on x.sent_id = one.sent_id and x.tok = a join low y on y.sent_id = one.sent_id and y.tok = b group by 1, 2, 3"""
+
+
+@query
+def nested_sets(spark, d):
+    """How many phrases lie below each phrase, by its symbol: the widths of their nested-set intervals; and begins that lie in that of the sentence's first root."""
+    nodes = _phrases(_toks(spark, d))
+    n = cn.nested_sets(nodes).join(nodes.select("corpus", "sent_id", "node", "symbol"), ["corpus", "sent_id", "node"])
+    return n.groupBy("symbol").agg(F.count("*").alias("cnt"), F.sum(F.col("end") - F.col("begin")).cast("long").alias("below"), F.count_if(F.col("begin") == 0).alias("n_roots"))
+
+
+SQL["nested_sets"] = f"""{TOKS}{_climb()} select t.pos as symbol, count(distinct (t.sent_id, t.tok)) as cnt, count(*) as below, count(distinct t.sent_id) filter (where t.parent = -1) as n_roots
+from climb u join toks t on t.sent_id = u.sent_id and t.tok = u.node group by 1"""
+
+
+@query
+def relation_features(spark, d):
+    """Features of all pairs of mentions of a sentence, with its tree, chunks and phrases: counts and kinds by template."""
+    x = _toks(spark, d, names=True)
+    m = _mentions(x).withColumn("level", F.when(F.col("end") - F.col("start") > 1, "LONG").otherwise("SHORT"))
+    chunks = F.transform("pos", lambda p, i: F.when(p == ".", "O").when((i > 0) & (F.get("pos", i - 1) == p), F.concat(F.lit("I-"), p)).otherwise(F.concat(F.lit("B-"), p)))
+    sents = _sents(spark, d).withColumn("chunks", chunks)
+    f = ft.relation_features(sents, jn.ne_pairs(m), m, _phrases(x).withColumn("symbol", F.when(F.col("symbol").isin("NN", "NNP"), "NP").when(F.col("symbol").startswith("V"), "VP").when(F.col("symbol") == "IN", "PP").otherwise(F.col("symbol"))))
+    return f.groupBy("template").agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"))
+
+
+#: The pairs of mentions with all that their features ask, a row a pair; phrases are named as in the query.
+_SYMBOL = "case when {0} in ('NN', 'NNP') then 'NP' when {0} like 'V%' then 'VP' when {0} = 'IN' then 'PP' else {0} end"
+_OF_PAIRS = rf"""{_PATHS.format(ab="select distinct x.sent_id, t.doc_id, x.head as a, y.head as b from mentions x join mentions y on x.sent_id = y.sent_id and x.rank < y.rank join toks t on t.sent_id = x.sent_id and t.tok = x.head")}{_climb()}
+, nearest as (select u.sent_id, u.tok, {", ".join(f"arg_min(k.tok, u.depth) filter (where {_SYMBOL.format('k.pos')} = '{p}') as {p.lower()}" for p in ("NP", "PP", "VP"))} from climb u join toks k on k.sent_id = u.sent_id and k.tok = u.node group by 1, 2
+), worded as (select m.*, t.word from marked m join toks t on t.sent_id = m.sent_id and t.tok = m.node
+), ways as (
+  select sent_id, a, b, max(last) as last, flatten(list(case when place = last then [word] else [word, dir] end order by place)) as wp, flatten(list(case when place = last then [pos] else [pos, dir] end order by place)) as pp,
+    coalesce(list(rel order by place) filter (where place < last), []) as rp, string_agg(word, '_' order by place) as pw, string_agg(case when place = 0 then '' when place <= n_up then '^' else '!' end || {_SYMBOL.format("pos")}, '' order by place) as sp,
+    max(word) filter (where place = n_up) as lw, max(n_up) as n_up
+  from worded group by 1, 2, 3
+), begun as (select *, pos = '.' or lag(pos) over (partition by sent_id order by tok) is distinct from pos as new from toks
+), c0 as (select *, (sum(new::int) over (partition by sent_id order by tok))::int - 1 as chunk from begun
+), c1 as (select sent_id, chunk, min(tok) as lo, max(tok) as hi, case when min(pos) = '.' then 'O' else min(pos) end as label from c0 group by 1, 2
+), inch as (select sent_id, chunk, lo, hi, label, lo as node, 0 as depth from c1 union all select i.sent_id, i.chunk, lo, hi, label, t.parent, depth + 1 from inch i join toks t on t.sent_id = i.sent_id and t.tok = i.node where t.parent between lo and hi
+), heads as (select sent_id, chunk, max(label) as label, arg_max(node, depth) as node from inch group by 1, 2
+), chunked as (select h.sent_id, list(t.word order by chunk) as hw, list(label order by chunk) as labels from heads h join toks t on t.sent_id = h.sent_id and t.tok = h.node group by 1
+), lists as (select sent_id, list(word order by tok) as ws, list(chunk order by tok) as cs from c0 group by 1
+), x as materialized (
+  select m.sent_id, l.ws, len(l.ws) as n, m."start" as s1, m."end" as e1, m.head as h1, m.type as t1, o."start" as s2, o."end" as e2, o.head as h2, o.type as t2, o.head - m.head - 1 as size, m.type || '_' || o.type as kinds,
+    case when m."end" - m."start" > 1 then 'LONG' else 'SHORT' end || '_' || case when o."end" - o."start" > 1 then 'LONG' else 'SHORT' end as levels,
+    (select count(*) from mentions z where z.sent_id = m.sent_id and z."start" >= m.head and z."start" < o.head and z.m_id not in (m.m_id, o.m_id)) as nb,
+    w.*exclude(sent_id), p1.parent as d1, p2.parent as d2, ch.hw, ch.labels, l.cs[m.head + 1] as c1, l.cs[o.head + 1] as c2, n1.np = n2.np as same_np, n1.pp = n2.pp as same_pp, n1.vp = n2.vp as same_vp
+  from mentions m join mentions o on m.sent_id = o.sent_id and m.rank < o.rank join lists l on l.sent_id = m.sent_id left join ways w on w.sent_id = m.sent_id and w.a = m.head and w.b = o.head
+  join toks p1 on p1.sent_id = m.sent_id and p1.tok = m.head join toks p2 on p2.sent_id = o.sent_id and p2.tok = o.head join chunked ch on ch.sent_id = m.sent_id
+  join nearest n1 on n1.sent_id = m.sent_id and n1.tok = m.head join nearest n2 on n2.sent_id = o.sent_id and n2.tok = o.head
+), y as (select *, ws[h1 + 2:h2] as gap, greatest(c2 - c1 - 1, 0) as apart, ws[h1 + 1] as w1, ws[h2 + 1] as w2, hw[c1 + 2:c2] as named, labels[c1 + 2:c2] as between_labels from x)"""
+_AT = "case when {0} < 0 then 'BOS' when {0} >= {1} then 'EOS' else {2}[{0} + 1] end"
+_word_at = lambda i: _AT.format(i, "n", "ws")
+_chunk_at = lambda i: _AT.format(i, "len(hw)", "hw")
+_sorted = lambda part: f"list_sort(list_distinct({part}))"
+_joined = lambda part: f"array_to_string({part}, '_')"
+_core = lambda part: _joined(f"{part}[2:len({part}) - 1]")
+_m1, _m2, _heads = "ws[s1 + 1:e1]", "ws[s2 + 1:e2]", "w1 || '_' || w2"
+#: The feature of each template on a pair, and where it has one; or all that it has, as a list.
+_PAIR_ONE = {
+    "words1": _joined(_sorted(_m1)), "words2": _joined(_sorted(_m2)), "head1": "w1", "head2": "w2", "heads": _heads, "before1": _word_at("(s1 - 1)"), "before1_2": _word_at("(s1 - 2)"), "after2": _word_at("e2"), "after2_2": _word_at("(e2 + 1)"),
+    "overlap": "'NONE'", "types": "kinds", "levels": "levels", "n_mentions_between": "nb::varchar", "n_words_between": "size::varchar", "m1_holds": "'false'", "m2_holds": "'false'", "types+m1_holds": "kinds || '|false'", "types+m2_holds": "kinds || '|false'",
+    "heads+m1_holds": f"{_heads} || '|false'", "heads+m2_holds": f"{_heads} || '|false'", "between_all": _joined("gap"), "types+between_all": f"kinds || '|' || {_joined('gap')}", "type_m1+dependent": f"t1 || '|' || {_word_at('d1')}", "head_m1+dependent": f"w1 || '|' || {_word_at('d1')}",
+    "type_m2+dependent": f"t2 || '|' || {_word_at('d2')}", "head_m2+dependent": f"w2 || '|' || {_word_at('d2')}", "path_words": "pw", "phrase_path": "sp", "phrase_path+lowest": "sp || '|' || lw", "types+same_NP": "kinds || '|' || coalesce(same_np, false)::varchar",
+    "types+same_PP": "kinds || '|' || coalesce(same_pp, false)::varchar", "types+same_VP": "kinds || '|' || coalesce(same_vp, false)::varchar", "chunk_before1": _chunk_at("(c1 - 1)"), "chunk_before1_2": _chunk_at("(c1 - 2)"), "chunk_after2": _chunk_at("(c2 + 1)"),
+    "chunk_after2_2": _chunk_at("(c2 + 2)"), "chunk_path": _joined("between_labels"), "chunk_heads": _joined("named"), "types+chunk_heads": f"kinds || '|' || {_joined('named')}",
+    "genealogy": "case when d2 = h1 then 'PARENT' when d1 = h2 then 'CHILD' when d1 = d2 then 'SIBLING' when n_up = 0 then 'ANCESTOR' when n_up = last then 'DESCENDENT' else 'COUSIN' end",
+    "word_path": _joined("wp"), "pos_path": _joined("pp"), "rel_path": _joined("rp"),
+}
+_PAIR_SOME = {
+    "between_none": ("size = 0", "'T'"), "between_only": ("size = 1", "gap[1]"), "between_first": ("size > 1", "gap[1]"), "between_last": ("size > 1", "gap[len(gap)]"), "chunk_none": ("apart = 0", "'T'"), "chunk_only": ("apart = 1", "named[1]"), "chunk_first": ("apart > 1", "named[1]"), "chunk_last": ("apart > 1", "named[len(named)]"),
+    "types+word_path": ("last >= 2", f"kinds || '|' || {_core('wp')}"), "types+pos_path": ("last >= 2", f"kinds || '|' || {_core('pp')}"), "types+rel_path": ("last >= 2", f"kinds || '|' || {_core('rp')}"),
+    "chunk_path_heads": ("apart <= 2", "array_to_string(list_transform(range(1, len(named) + 1), lambda i: between_labels[i] || ':' || named[i]), '_')"),
+}
+_PAIR_MANY = {
+    "word1": _sorted(_m1), "word2": _sorted(_m2), "between": _sorted("ws[e1 + 1:s2]"), "between_other": "case when size > 1 then gap[2:len(gap) - 1] else [] end", "chunk_other": "case when apart > 1 then named[2:len(named) - 1] else [] end",
+    "between_pair": "list_transform(range(0, size + 1), lambda j: ws[h1 + 1 + j] || '_' || ws[h1 + 2 + j])",
+}
+SQL["relation_features"] = f"""{TOKS}{SPANS}{_OF_PAIRS}, f as (
+  {" union all ".join([f"select '{t}' as template, {v} as feature from y" for t, v in _PAIR_ONE.items()] + [f"select '{t}', {v} from y where {c}" for t, (c, v) in _PAIR_SOME.items()] + [f"select '{t}', unnest({v}) from y" for t, v in _PAIR_MANY.items()])})
+select template, count(*) as cnt, count(distinct feature) as types from f where feature is not null group by 1"""
+
+
 @query
 def arc_set_features(spark, d):
     """How many features each template of the arc set finds on the gold arcs, those that occur less than three times pruned."""

@@ -73,9 +73,9 @@ def _climb() -> str:
 
 
 #: Pairs of tokens with their lowest common token, and the steps between. Heads lie on one side in a document, so the outer of two tokens is never above the other.
-PATHS = """
+_PATHS = """
 , ab as (
-  select sent_id, doc_id, tok as a, tok + k as b from toks, (values (1), (2), (7)) v(k) where tok + k < n union select sent_id, doc_id, tok, parent from toks where parent >= 0 union select sent_id, doc_id, parent, tok from toks where parent >= 0
+  {ab}
 ), walk as (
   select sent_id, a, b, a as x, b as y, 0 as nu, 0 as nd, (doc_id % 2 = 0) = (a > b) as up, doc_id % 2 = 0 as fwd from ab
   union all select z.sent_id, a, b, x, y, nu, nd, fwd = (x > y), fwd from (
@@ -88,8 +88,9 @@ PATHS = """
   union all select sent_id, a, b, n_up, lca, 'DOWN', n_up + n_down, n_up from top
 ), tagged as (select s.*, t.pos, t.deprel from steps s join toks t on t.sent_id = s.sent_id and t.tok = s.node
 ), links as (  -- the relation of a step is that of its lower token
-  select sent_id, a, b, place, last, n_up, pos, dir, case when dir = 'UP' then deprel else lead(deprel) over w end as rel from tagged window w as (partition by sent_id, a, b order by place)
+  select sent_id, a, b, node, place, last, n_up, pos, dir, case when dir = 'UP' then deprel else lead(deprel) over w end as rel from tagged window w as (partition by sent_id, a, b order by place)
 ), marked as (select *, coalesce(lag(rel) over w <> rel, true) as other, lag(pos) over (partition by sent_id, a, b order by place desc) as behind from links window w as (partition by sent_id, a, b order by place))"""
+PATHS = _PATHS.format(ab="select sent_id, doc_id, tok as a, tok + k as b from toks, (values (1), (2), (7)) v(k) where tok + k < n union select sent_id, doc_id, tok, parent from toks where parent >= 0 union select sent_id, doc_id, parent, tok from toks where parent >= 0")
 
 SQL: dict[str, str] = {
     "top_words": f"{TOKS} select * from ({COUNTS}) where cnt > 3 order by cnt desc, word desc limit 100",

@@ -161,3 +161,43 @@ def test_examples_of_a_long_sentence_are_dealt_out(spark):
     assert ft.extract(ft.tree_examples(sents, wall=True), ft.parse_spec(["RELATIVE"])).count() == n
     pairs = ft.extract(ft.examples(sents, spark.range(n - 1).selectExpr("'x' as corpus", "0L as sent_id", "cast(id as int) as p", "cast(id + 1 as int) as c")), ft.parse_spec(["index(p) + index(c)"]))
     assert pairs.distinct().count() == n - 1
+
+
+def test_places_and_nested_sets(spark, sample):
+    rows = [([1, 4, 9], [9, 1, 5, None, 4]), ([], [1]), ([7], []), ([2, 3], [3, 3, 1])]
+    df = spark.createDataFrame(rows, "ids array<int>, wanted array<int>").coalesce(1)
+    assert [r.at for r in df.select(tree_index.positions("ids", "wanted").alias("at")).collect()] == [[2, 0, -1, -1, 1], [-1], [], [1, 1, -1]]
+    rows, df = sample
+    for r in df.select("parents", tree_index.intervals("parents").alias("s")).collect():
+        n = len(r.parents)
+        ways = [up(r.parents, t) for t in range(n)]
+        assert sorted(b for b in r.s.begin if b >= 0) == list(range(sum(w is not None for w in ways)))
+        for a in range(n):
+            for b in range(n):
+                if ways[a] and ways[b]:
+                    assert (r.s.begin[b] <= r.s.begin[a] < r.s.end[b]) == (b in ways[a])
+
+
+def test_chunks_and_their_heads(spark):
+    rows = [(["B-NP", "I-NP", "O", "B-VP", "I-NP", None], [1, 3, 3, -1, 3, 4]), ([], []), (["I-X", "I-X", "B-X", "O"], [-1, 0, 1, 2])]
+    df = spark.createDataFrame(rows, "tags array<string>, parents array<int>").coalesce(1)
+    got = [(r.c.of, r.c.labels, r.c.heads) for r in df.select(tree_index.chunks("tags", "parents").alias("c")).collect()]
+    assert got == [([0, 0, 1, 2, 3, 4], ["NP", "O", "VP", "NP", "O"], [1, 2, 3, 4, 5]), ([], [], []), ([0, 0, 1, 2], ["X", "X", "O"], [0, 2, 3])]
+
+
+def test_relation_features_with_phrases_and_chunks(spark):
+    sents = spark.createDataFrame([("x", 0, "the dog ate the fish".split(), [1, 2, -1, 4, 2], ["B-NP", "I-NP", "B-VP", "B-NP", "I-NP"])], "corpus string, sent_id long, words array<string>, parents array<int>, chunks array<string>")
+    mentions = spark.createDataFrame([("x", 0, "a", 0, 2, 1, "ANI", "NOM"), ("x", 0, "b", 3, 5, 4, None, "NAM")], "corpus string, sent_id long, m_id string, start int, end int, head int, type string, level string")
+    nodes = [(0, None, "S", 0, 5), (1, 0, "NP", 0, 2), (2, 0, "VP", 2, 5), (3, 2, "NP", 3, 5), (10, 1, "DT", 0, 1), (11, 1, "NN", 1, 2), (12, 2, "VBD", 2, 3), (13, 3, "DT", 3, 4), (14, 3, "NN", 4, 5)]
+    tree = spark.createDataFrame([("x", 0, *n) for n in nodes], "corpus string, sent_id long, node int, parent int, symbol string, start int, end int")
+    from corpuscraft.operators import joins as jn
+
+    got = {}
+    for r in ft.relation_features(sents, jn.ne_pairs(mentions), mentions, tree).collect():
+        got.setdefault(r.template, []).append(r.feature)
+    want = {
+        "phrase_path": ["NN^NP^S!VP!NP!NN"], "phrase_path+lowest": ["NN^NP^S!VP!NP!NN|ate"], "types+same_VP": ["ANI_NOTYPE|false"], "levels": ["NOM_NAM"], "word_path": ["dog_UP_ate_DOWN_fish"], "types+word_path": ["ANI_NOTYPE|UP_ate_DOWN"], "words1": ["dog_the"],
+        "chunk_only": ["ate"], "chunk_path_heads": ["VP:ate"], "chunk_before1": ["BOS"], "chunk_after2": ["EOS"], "between_first": ["ate"], "between_last": ["the"], "between_pair": ["dog_ate", "ate_the", "the_fish"], "head_m1+dependent": ["dog|ate"], "genealogy": ["SIBLING"], "m1_holds": ["false"],
+    }
+    assert {k: got.get(k) for k in want} == want and "between_none" not in got
+    assert ft.relation_features(sents, jn.ne_pairs(mentions.where("m_id = 'a'")), mentions, tree).count() == 0
