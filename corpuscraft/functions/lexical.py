@@ -239,12 +239,6 @@ def bin_int(x: Column | str, *bins: int) -> Column:
     return reduce(lambda out, b: F.when(col(x) >= b, b).otherwise(out), sorted(bins), F.lit(-(2**31)))
 
 
-def hash_feature(feature: Column | str, mod: int) -> Column:
-    """(index, sign) of a feature: its hash modulo ``mod``, and a sign by the hash of its reverse."""
-    f = col(feature)
-    return F.struct(F.pmod(F.xxhash64(f), F.lit(mod)).alias("index"), F.when(F.pmod(F.xxhash64(F.reverse(f)), F.lit(2)) == 0, 1).otherwise(-1).alias("sign"))
-
-
 def scale_vec(vec: Column | str, mode: str = "l2", alpha: float = 1.0) -> Column:
     """A vector scaled to L1 or L2 length one, to mean 0 and deviation 1 ("std"), or not at all ("none"), times alpha."""
     v = F.transform(col(vec), lambda x: x.cast("double"))

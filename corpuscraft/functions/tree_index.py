@@ -170,6 +170,26 @@ def children_of_all(parents: Column | str) -> Column:
     return find(col(parents))
 
 
+def turned(heads: Column | str) -> Column:
+    """From the heads of every token (-1: the wall) the tokens of every head, the wall's first: array of arrays, each in order."""
+
+    @F.arrow_udf("array<array<int>>")
+    def find(heads: pa.Array) -> pa.Array:
+        begins, lists = _rows(heads)
+        to, flat = _rows(lists)
+        size = np.diff(begins)
+        base = begins[:-1] + np.arange(len(size))  # a row of n tokens has n + 1 heads
+        node = np.repeat(np.arange(len(to) - 1), np.diff(to))
+        row = np.repeat(np.arange(len(size)), size)
+        at = base[row[node]] + flat.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        counts = np.bincount(at, minlength=int(size.sum()) + len(size))
+        order = np.argsort(at, kind="stable")
+        tokens = (node - begins[row[node]])[order]
+        return _lists(np.append(base, int(size.sum()) + len(size)), _lists(np.concatenate([[0], np.cumsum(counts)]), tokens))
+
+    return find(col(heads))
+
+
 def supports(parents: Column | str, flags: Column) -> Column:
     """For every token the first and the last on its way up, itself included, that is flagged (-1: none): struct of arrays low and high."""
 

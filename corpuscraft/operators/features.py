@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tree_index, trees
+from ..functions.hashing import hash_feature
 from ..functions.lexical import affix, bag, bin_int, is_capitalized, is_noun, is_verb, morpho6, morpho_str, ngrams, no_dup, strict_pos
+from . import masks
 from .tables import KEYS
 
 
@@ -541,6 +543,65 @@ def triple_features(triples: DataFrame, sents: DataFrame, names: tuple[str, str,
     return x.select(*KEYS, *names, F.inline(feats))
 
 
+def mask_examples(sents: DataFrame, mask: DataFrame) -> DataFrame:
+    """Sentences with the arcs that a mask of bitmaps (see masks) keeps as examples, in blocks of tokens."""
+    heads = mask.select(*KEYS, "c", masks.heads_of("bits").alias("ps"))
+    arcs = F.flatten(F.transform(F.collect_list(F.struct("c", "ps")), lambda t: F.transform(t["ps"], lambda p: F.struct(p.alias("p"), t["c"].alias("c")))))
+    listed = heads.groupBy(*KEYS, F.floor(F.col("c") / BLOCK).alias("_block")).agg(arcs.alias("examples")).drop("_block")
+    return sents.drop("examples").join(listed, KEYS)
+
+
+#: Of a triple h, m, s (head or grandparent, middle, last), which words (capital) and tags a template has.
+TRIPLE_SETS = {"bias": "", "tags": "hms", "h_s": "hs", "m_s": "ms", "S_h": "Sh", "S_m": "Sm", "H_s": "Hs", "M_s": "Ms", "H_S": "HS", "M_S": "MS"}
+TRIPLES = ("grandparent", "sibling", "consecutive", "bigram")
+
+
+def second_order_features(sents: DataFrame, mask: DataFrame, kinds: Iterable[str] = TRIPLES, mod: int | None = None) -> DataFrame:
+    """(keys, kind, h, m, s, template, feature) of the triples of arcs that a mask of bitmaps keeps.
+
+    Kinds: grandparent (h heads m, m heads s), sibling (h heads m and s, m < s), consecutive (siblings without another candidate between), bigram (h heads s, m heads
+    the token before s). sents: words and pos. A feature begins with the directions of its arcs; a token that is the wall is WALL. mod: as buckets below it (hash_feature).
+
+    The candidates of a sentence lie in its row as sparse rows, heads by token and tokens by head; triples are made from
+    them in blocks of tokens, without a join of arcs.
+    """
+    heads = mask.select(*KEYS, "c", masks.heads_of("bits").alias("ps"))
+    rows = heads.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("c", "ps"))).alias("_t")).select(*KEYS, F.transform("_t", lambda x: x["ps"]).alias("_heads"))
+    rows = tree_index.batched(sents.select(*KEYS, "words", "pos").join(rows, KEYS)).withColumn("_kids", tree_index.turned("_heads"))
+    n = F.size("_heads")
+    rows = rows.withColumn("_begin", F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK))))
+    last = F.least(n - 1, F.col("_begin") + BLOCK - 1)
+    block = F.sequence(F.col("_begin"), last)
+    by_head = F.when(F.col("_begin") == 0, F.concat(F.array(F.lit(-1)), block)).otherwise(block)  # the wall goes with the first block
+    triple = lambda h, m, s: F.struct(h.cast("int").alias("h"), m.cast("int").alias("m"), s.cast("int").alias("s"))
+    kids = lambda h: F.get("_kids", h + 1)
+    made = {
+        "grandparent": lambda: F.flatten(F.transform(block, lambda s: F.flatten(F.transform(F.filter(F.get("_heads", s), lambda m: m >= 0), lambda m: F.transform(F.filter(F.get("_heads", m), lambda h: h != s), lambda h: triple(h, m, s)))))),
+        "sibling": lambda: F.flatten(F.transform(by_head, lambda h: F.flatten(F.transform(kids(h), lambda m: F.transform(F.filter(kids(h), lambda s: s > m), lambda s: triple(h, m, s)))))),
+        "consecutive": lambda: F.flatten(F.transform(by_head, lambda h: F.transform(F.slice(kids(h), 2, F.greatest(F.size(kids(h)) - 1, F.lit(0))), lambda s, i: triple(h, F.get(kids(h), i), s)))),
+        "bigram": lambda: F.flatten(F.transform(F.filter(block, lambda s: s > 0), lambda s: F.flatten(F.transform(F.get("_heads", s), lambda h: F.transform(F.get("_heads", s - 1), lambda m: triple(h, m, s)))))),
+    }
+    each = [rows.select(*KEYS, "words", "pos", F.lit(kind).alias("kind"), made[kind]().alias("ts")) for kind in kinds]
+    out = None
+    for kind, part in zip(kinds, each):
+        features = part.select(*KEYS, "kind", F.inline(F.flatten(F.transform("ts", _triple_maker(kind)))))
+        out = features if out is None else out.unionByName(features)
+    return out.withColumn("feature", hash_feature(F.concat_ws("|", "template", "feature"), mod)["index"]) if mod else out
+
+
+def _triple_maker(kind: str) -> Callable[[Column], Column]:
+    side = lambda x: F.when(x, "R").otherwise("L")
+
+    def make(t: Column) -> Column:
+        h, m, s = t["h"], t["m"], t["s"]
+        token = {x: {"lower": F.when(i < 0, "WALL").otherwise(F.get("pos", i)), "upper": F.when(i < 0, "WALL").otherwise(F.get("words", i))} for x, i in (("h", h), ("m", m), ("s", s))}
+        flags = {"grandparent": F.concat(side(h < m), side(m < s), side(h < s)), "bigram": F.concat(side(h < s), side(m < s - 1))}.get(kind, F.concat(side(h < m), side(h < s)))
+        row = lambda name, what: F.struct(h.alias("h"), m.alias("m"), s.alias("s"), F.lit(name).alias("template"), F.concat_ws("_", flags, *(token[x.lower()]["upper" if x.isupper() else "lower"] for x in what)).alias("feature"))
+        return F.array(*(row(name, what) for name, what in TRIPLE_SETS.items()))
+
+    return make
+
+
 def relation_features(sents: DataFrame, pairs: DataFrame, mentions: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(keys, k, m1, m2, template, feature) of mention pairs: words and heads of both, what lies between and around, types and levels, containment, chunks, the dependency path, and phrases.
 

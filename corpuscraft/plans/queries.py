@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical as lx
 from ..functions import trees
+from ..functions.hashing import hash_feature
 from ..operators import aggregates as ag
 from ..operators import evaluate as ev
 from ..operators import features as ft
@@ -571,9 +572,40 @@ def info_gain(spark, d):
 
 @query
 def collisions(spark, d):
+    """Words hashed with a sign into vectors of three sizes: the shares of types and tokens in buckets that more than one type falls in, types with a negative sign, and the sum of the vector's absolute values."""
     f = _toks(spark, d).select(F.col("word").alias("feature"))
-    bucket = F.conv(F.substring(F.md5("feature"), 1, 4), 16, 10).cast("long")
-    return ag.collision_rates(f, bucket).select(F.round("type_rate", 9).alias("type_rate"), F.round("token_rate", 9).alias("token_rate"))
+    types = f.groupBy("feature").agg(F.count("*").alias("cnt"))
+    out = []
+    for size in (1 << 12, 1 << 16, 1 << 20):
+        rates = ag.collision_rates(f, hash_feature("feature", size)["index"])
+        signed = types.withColumn("h", hash_feature("feature", size)).groupBy("h.index").agg(F.sum(F.col("h.sign") * F.col("cnt")).alias("v"), F.count_if(F.col("h.sign") < 0).alias("m"))
+        both = rates.crossJoin(signed.agg(F.sum("m").alias("n_minus"), F.sum(F.abs("v")).alias("weight")))  # a row each
+        out.append(both.select(F.lit(size).alias("size"), F.round("type_rate", 9).alias("type_rate"), F.round("token_rate", 9).alias("token_rate"), "n_minus", "weight"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def crossing(spark, d):
+    """The tokens whose arc crosses another, by sentence, in trees of which every third head is moved two places back."""
+    s = _sents(spark, d)
+    moved = F.transform("parents", lambda p, i: F.when((i % 3 == 0) & (p >= 1), p - 2).otherwise(p))
+    return s.select("sent_id", F.array_join(trees.crossing_arcs(moved), " ").alias("crossing"))
+
+
+@query
+def second_order(spark, d):
+    """Features of pairs of arcs, among the two best heads of each token: counts and kinds by kind of pair and template."""
+    mask = wn.topk_heads(_scored(spark, d), 2)
+    f = ft.second_order_features(_sents(spark, d), mask)
+    return f.groupBy("kind", "template").agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"), F.sum("s").alias("places"))
+
+
+@query
+def candidate_features(spark, d):
+    """Templates on candidate arcs, among the two best heads of each token."""
+    ex = ft.mask_examples(_sents(spark, d), wn.topk_heads(_scored(spark, d), 2))
+    specs = ["pos(p) + pos(c) + relative(p,c) + distance(p,c)", "word(p) + pos(c)", "undiredge(p,c) + diredge(p,c)"]
+    return ft.extract(ex, ft.parse_spec(specs)).groupBy("template").agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"))
 
 
 @query

@@ -92,6 +92,12 @@ _PATHS = """
 ), marked as (select *, coalesce(lag(rel) over w <> rel, true) as other, lag(pos) over (partition by sent_id, a, b order by place desc) as behind from links window w as (partition by sent_id, a, b order by place))"""
 PATHS = _PATHS.format(ab="select sent_id, doc_id, tok as a, tok + k as b from toks, (values (1), (2), (7)) v(k) where tok + k < n union select sent_id, doc_id, tok, parent from toks where parent >= 0 union select sent_id, doc_id, parent, tok from toks where parent >= 0")
 
+M32 = "4294967295::ubigint"
+_TRIPLE_SQL = {
+    "bias": "", "tags": " || '_' || ht || '_' || mt || '_' || st", "h_s": " || '_' || ht || '_' || st", "m_s": " || '_' || mt || '_' || st", "S_h": " || '_' || sw || '_' || ht", "S_m": " || '_' || sw || '_' || mt", "H_s": " || '_' || hw || '_' || st",
+    "M_s": " || '_' || mw || '_' || st", "H_S": " || '_' || hw || '_' || sw", "M_S": " || '_' || mw || '_' || sw",
+}
+
 SQL: dict[str, str] = {
     "top_words": f"{TOKS} select * from ({COUNTS}) where cnt > 3 order by cnt desc, word desc limit 100",
     "word_counts": f"{TOKS} {COUNTS}",
@@ -242,8 +248,40 @@ select 'w-2' as template, count(distinct a2) as n_features from w union all sele
 ), m as (select template, n, sum(n) over (partition by template, feature) as nf, sum(n) over (partition by template, v) as nv, sum(n) over (partition by template) as nt from j
 ), g as (select template, round(sum(n / nt * log2(n * nt / (nf * nv))), 6) as ig from m group by 1)
 select template, ig, row_number() over (order by ig desc, template)::int as rank, case when row_number() over (order by ig desc, template) <= 2 then 'Y' else 'N' end as selected from g""",
-    "collisions": f"""{TOKS}, b as (select substr(md5(word), 1, 4) as b, count(*) as types, sum(cnt) as toks from ({COUNTS}) group by 1)
-select round(sum(case when types > 1 then types else 0 end) / sum(types), 9) as type_rate, round(sum(case when types > 1 then toks else 0 end) / sum(toks), 9) as token_rate from b""",
+    "collisions": f"""{TOKS}, types as (select word, count(*)::bigint as cnt, hex(encode(word)) as hx from toks group by 1
+), bytes as (select word, cnt, list_transform(range(0, len(hx) // 2), lambda i: ((instr('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 1)::ubigint) as b from types
+), blocks as (
+  select word, cnt, len(b)::ubigint as n, list_transform(range(0, len(b) // 4), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) as ks,
+    coalesce(b[len(b) // 4 * 4 + 1], 0) * (len(b) % 4 > 0)::int + coalesce(b[len(b) // 4 * 4 + 2], 0) * 256 * (len(b) % 4 > 1)::int + coalesce(b[len(b) // 4 * 4 + 3], 0) * 65536 * (len(b) % 4 > 2)::int as tail from bytes
+), turned as (
+  select word, cnt, n, list_transform(list_transform(ks, lambda k: (k * 3432918353) & {M32}), lambda k: (((k * 32768) & {M32} | (k >> 17)) * 461845907) & {M32}) as ks, (tail * 3432918353) & {M32} as t from blocks
+), body as (
+  select word, cnt, n, list_reduce(list_prepend(123456789::ubigint, ks), lambda h, k: (((xor(h, k) * 8192) & {M32} | (xor(h, k) >> 19)) * 5 + 3864292196) & {M32}) as h, (((t * 32768) & {M32} | (t >> 17)) * 461845907) & {M32} as t from turned
+), f1 as (select word, cnt, xor(xor(h, t), n) as h from body
+), f2 as (select word, cnt, (xor(h, h >> 16) * 2246822507) & {M32} as h from f1
+), f3 as (select word, cnt, (xor(h, h >> 13) * 3266489909) & {M32} as h from f2
+), hashed as (
+  select word, cnt, xor(h, h >> 16)::bigint as h, (list_sum(list_transform(range(0, least(length(word), 7)), lambda i: unicode(substr(word, i + 1, 1))::bigint * (32 ** i)::bigint)) % 4294967296) >= 2147483648 as minus from f3
+), each as (select size, cnt, minus, (((case when h >= 2147483648 then h - 4294967296 else h end) % size) + size) % size as i from hashed, (values (4096), (65536), (1048576)) s(size)
+), per as (select size, i, count(*) as types, sum(cnt) as toks, count(*) filter (where minus) as m, abs(sum(case when minus then -cnt else cnt end)) as v from each group by 1, 2)
+select size::int as size, round(sum(case when types > 1 then types else 0 end) / sum(types), 9) as type_rate, round(sum(case when types > 1 then toks else 0 end) / sum(toks), 9) as token_rate, sum(m)::bigint as n_minus, sum(v)::bigint as weight from per group by 1""",
+    "crossing": f"""{TOKS}, moved as (select sent_id, tok, case when tok % 3 = 0 and parent >= 1 then parent - 2 else parent end as p from toks), arc as (select sent_id, tok, least(p, tok) as a, greatest(p, tok) as b from moved
+), cross_ as (select distinct x.sent_id, x.tok from arc x join arc y on x.sent_id = y.sent_id and (x.a < y.a and y.a < x.b and x.b < y.b or y.a < x.a and x.a < y.b and y.b < x.b))
+select s.sent_id, coalesce(string_agg(tok::varchar, ' ' order by tok), '') as crossing from sents s left join cross_ c on c.sent_id = s.sent_id group by 1""",
+    "second_order": f"""{TOKS}{_scores(2, 0.0)}, arc as (select sent_id, p, c from top where best
+), triples as (
+  select 'grandparent' as kind, u.sent_id, u.p as h, u.c as m, t.c as s, case when u.p < u.c then 'R' else 'L' end || case when u.c < t.c then 'R' else 'L' end || case when u.p < t.c then 'R' else 'L' end as flags from arc u join arc t on t.sent_id = u.sent_id and t.p = u.c where u.p <> t.c
+  union all select 'sibling', u.sent_id, u.p, u.c, t.c, case when u.p < u.c then 'R' else 'L' end || case when t.p < t.c then 'R' else 'L' end from arc u join arc t on t.sent_id = u.sent_id and t.p = u.p and u.c < t.c
+  union all select 'consecutive', sent_id, p, c, nx, case when p < c then 'R' else 'L' end || case when p < nx then 'R' else 'L' end from (select *, lead(c) over (partition by sent_id, p order by c) as nx from arc) where nx is not null
+  union all select 'bigram', u.sent_id, t.p, u.p, t.c, case when t.p < t.c then 'R' else 'L' end || case when u.p < u.c then 'R' else 'L' end from arc u join arc t on t.sent_id = u.sent_id and t.c = u.c + 1
+), f as (
+  select x.*, coalesce(a.pos, 'WALL') as ht, coalesce(a.word, 'WALL') as hw, coalesce(b.pos, 'WALL') as mt, coalesce(b.word, 'WALL') as mw, c.pos as st, c.word as sw
+  from triples x left join toks a on a.sent_id = x.sent_id and a.tok = h left join toks b on b.sent_id = x.sent_id and b.tok = m join toks c on c.sent_id = x.sent_id and c.tok = s)
+{" union all ".join(f"select kind, '{name}' as template, count(*) as cnt, count(distinct flags{parts}) as types, sum(s)::bigint as places from f group by 1" for name, parts in _TRIPLE_SQL.items())}""",
+    "candidate_features": f"""{TOKS}{_scores(2, 0.0)}, f as (
+  select a.p, a.c, coalesce(x.pos, 'BOS') as pt, coalesce(x.word, 'BOS') as pw, y.pos as ct, y.parent as cp, x.parent as pp from top a left join toks x on x.sent_id = a.sent_id and x.tok = a.p join toks y on y.sent_id = a.sent_id and y.tok = a.c where best)
+select 'pos(p)+pos(c)+RELATIVE+DISTANCE' as template, count(*) as cnt, count(distinct (pt, ct, p < c, abs(p - c))) as types from f union all select 'word(p)+pos(c)', count(*), count(distinct pw || '_' || ct) from f
+union all select 'EDGE+DIRECTION_EDGE', count(*), count(distinct (cp = p or coalesce(pp = c, false), cp = p)) from f""",
     "jackknife_majority": f"""{TOKS}, x as (select (doc_id % 5)::int as fold, lower(word) as word, pos, ppos from toks
 ), c as (select fold, word, ppos, count(*) as n from x group by 1, 2, 3
 ), t as (select word, ppos, sum(n) as n from c group by 1, 2
