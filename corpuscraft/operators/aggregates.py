@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tree_index
 from .tables import KEYS
 
 #: Vocabulary ids that no word has.
@@ -146,6 +151,68 @@ def information_gain(features: DataFrame, values: DataFrame, keys: list[str], bu
     return x.groupBy("template").agg(F.sum(p * F.log2(F.col("n") * F.col("nt") / (F.col("nf") * F.col("nv")))).alias("ig"))
 
 
+#: Examples whose joint features a task counts before it sends the counts on.
+COUNTED = 100_000
+
+
+def joint_counts(examples: DataFrame, names: list[str], buckets: int, order: int = 2) -> DataFrame:
+    """(template, feature, value, n): how often the joint features of every ``order`` templates meet each value.
+
+    examples: value, and fs, an array with the feature of each template of ``names`` as a number from 0 (null: none). A joint feature is a bucket: a *
+    1000003 + b, modulo ``buckets``. Tasks build the tables of all combinations for many examples at once, so a row is a cell of a
+    table, never a joint feature of an example.
+    """
+    from itertools import combinations
+
+    chosen = list(combinations(range(len(names)), order))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            values = rows.column("value").chunk(0).dictionary_encode()
+            known, kind = values.dictionary, values.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            fs = rows.column("fs").chunk(0).flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, len(names))
+            for combination in chosen:
+                some = (kind >= 0) & (fs[:, combination] >= 0).all(axis=1)
+                bucket = fs[some, combination[0]] % buckets
+                for k in combination[1:]:
+                    bucket = (bucket * 1_000_003 + fs[some, k]) % buckets
+                cells, n = np.unique(bucket * len(known) + kind[some], return_counts=True)
+                name = "+".join(names[k] for k in combination)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), len(cells)), pa.array(cells // max(1, len(known))), known.take(pa.array(cells % max(1, len(known)))), pa.array(n.astype(np.int64))], ["template", "feature", "value", "n"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= COUNTED:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    found = tree_index.batched(examples.select("value", F.col("fs").cast("array<bigint>").alias("fs"))).mapInArrow(count, "template string, feature long, value string, n long")
+    return found.groupBy("template", "feature", "value").agg(F.sum("n").alias("n"))
+
+
+def gains(counts: DataFrame) -> DataFrame:
+    """(template, ig): the mutual information, in bits, of features and values, from counts (template, feature, value, n)."""
+    total = lambda *by: F.sum("n").over(Window.partitionBy("template", *by))
+    x = counts.select("template", "n", total("feature").alias("nf"), total("value").alias("nv"), total().alias("nt"))
+    return x.groupBy("template").agg(F.sum(F.col("n") / F.col("nt") * F.log2(F.col("n") * F.col("nt") / (F.col("nf") * F.col("nv")))).alias("ig"))
+
+
+def select_bigrams(examples: DataFrame, names: list[str], n: int, first: int = 45, buckets: int = 1 << 16) -> DataFrame:
+    """(template, ig, rank, selected): the pairs of the ``first`` most informative templates by their gain; the n best are selected. See joint_counts."""
+    ranked = select_templates(gains(joint_counts(examples, names, buckets, 1)), first)
+    best = {r.template for r in ranked.where("selected = 'Y'").collect()}  # names of templates
+    kept = [i for i, name in enumerate(names) if name in best]
+    fs = F.array(*(F.get("fs", F.lit(i)) for i in kept))
+    return select_templates(gains(joint_counts(examples.select("value", fs.alias("fs")), [names[i] for i in kept], buckets)), n)
+
+
 def select_templates(ig: DataFrame, n: int) -> DataFrame:
     """Templates with rank (1 the most informative) and selected Y or N."""
     ranked = ig.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ig"), "template")))  # a row a template

@@ -210,3 +210,35 @@ def jackknife_majority(toks: DataFrame, k: int, word: str = "word", tag: str = "
     best = rest.groupBy("fold", word).agg(F.max(F.struct("n", tag)).alias("b")).select("fold", word, F.col(f"b.{tag}").alias("pred"))
     return toks.join(best, ["fold", word], "left")
 
+
+def jackknife_backoff(rows: DataFrame, levels: list[list[str]], label: str, fold: str = "fold") -> DataFrame:
+    """rows with pred: the commonest label in the other folds of rows that agree in the first level's columns, or where none do in the next level's, and so on; ties to the last label.
+
+    The annotator is its counts, so leaving a fold out is a subtraction: one pass over the rows and one look-up for each level, however many
+    folds there are. A level without columns is all rows. Null if no other fold has a row. rows may not have columns that begin with ``_``.
+    """
+    out, preds = rows, []
+    for i, level in enumerate(levels):
+        keys = [F.col(c) for c in level] or [F.lit(0)]
+        keyed = rows.select(F.struct(*(k.alias(f"c{j}") for j, k in enumerate(keys))).alias("_key"), F.col(fold).alias("_fold"), F.col(label).alias("_label"))
+        by_fold = keyed.groupBy("_key", "_fold", "_label").agg(F.count("*").alias("_n"))
+        whole = by_fold.groupBy("_key").agg(F.collect_list(F.struct("_fold", "_label", "_n")).alias("_cells"))  # labels times folds a key
+        total = lambda cells, f, name: F.aggregate(F.filter(cells, lambda x: (x["_fold"] != f) & (x["_label"] == name)), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
+        folds_of = F.array_distinct(F.transform("_cells", lambda x: x["_fold"]))
+
+        def best(f: Column) -> Column:
+            names = F.array_distinct(F.transform(F.filter("_cells", lambda x: (x["_fold"] != f) & x["_label"].isNotNull()), lambda x: x["_label"]))
+            return F.array_max(F.transform(names, lambda name: F.struct(total(F.col("_cells"), f, name).alias("n"), name.alias("label"))))["label"]
+
+        found = whole.select("_key", F.explode(folds_of).alias("_fold"), "_cells").select("_key", "_fold", best(F.col("_fold")).alias(f"_pred{i}"))
+        out = _looked_up(out, found, F.struct(*(k.alias(f"c{j}") for j, k in enumerate(keys))), fold)
+        preds.append(f"_pred{i}")
+    return out.withColumn("pred", F.coalesce(*preds)).drop(*preds)
+
+
+def _looked_up(rows: DataFrame, found: DataFrame, key: Column, fold: str) -> DataFrame:
+    """rows with the column of found (_key, _fold, value) for their key and fold; null keys meet too."""
+    right = found.withColumn("_h", F.xxhash64("_key")).withColumnsRenamed({"_key": "_their", "_fold": "_their_fold"})
+    left = rows.withColumn("_key", key).withColumn("_h", F.xxhash64("_key"))
+    met = left.alias("l").join(right.alias("r"), (F.col("l._h") == F.col("r._h")) & (F.col(f"l.{fold}") == F.col("r._their_fold")) & F.col("l._key").eqNullSafe(F.col("r._their")), "left")
+    return met.select(*(F.col(f"l.{c}") for c in rows.columns), F.col(f"r.{found.columns[-1]}"))

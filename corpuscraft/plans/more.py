@@ -14,16 +14,17 @@ from ..operators import features as ft
 from ..operators import joins as jn
 from ..operators import learning as ln
 from ..operators import pairs as pr
+from ..operators import significance as sg
 from ..operators import tables as tb
 from ..operators import windows as wn
 from ..sources.readers import limit_corpus
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from ..streaming import annotate as st
 from .derive import SPANS, gold, predicted, sentence_rows, token_rows
 from .derive import SQL as TOKS
 from .formats import ARCS
-from .queries import _docs, _gold_examples, _mentions, _relations, _sents, _srl, _toks, query, table
-from .sql import _PATHS, PATHS, RELS, SCORED, SQL, _climb
+from .queries import _docs, _gold_examples, _mentions, _quality, _relations, _sents, _srl, _toks, query, table
+from .sql import _PATHS, PATHS, QUALITY, RELS, SCORED, SQL, _climb
 from .sql import _srl as _srl_sql
 
 # evaluation
@@ -651,3 +652,92 @@ def learned_tags(spark, d):
     return tagged.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("tag") == F.col("pos")).alias("n_correct"))
 
 
+@query
+def stream_totals(spark, d):
+    """Running counts over events that arrive in two parts: the stream takes the first and stops, is started again from its checkpoint and takes the second; the totals at the end."""
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id", "value")
+    arrivals, out, mark = (new_path(spark, name) for name in ("arrivals", "totals", "totals-mark"))
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 > 0):
+        events.where(part).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(events.schema).parquet(arrivals).withColumn("hit", F.col("value") > 50)
+        st.write_updates(st.running_counts(stream, ["event_type"]), out, mark).awaitTermination()
+    return st.latest_counts(spark, out, ["event_type"])
+
+
+SQL["stream_totals"] = "select event_type, count(*) as n, count(*) filter (where value > 50) as n_hit from events group by 1"
+
+
+@query
+def jackknife(spark, d):
+    """A tagger by counts that backs off from the word to its last three letters to all words, each of 5 and of 10 folds tagged by the others: right tags by fold."""
+    x = _toks(spark, d).select("doc_id", F.lower("word").alias("word"), lx.affix(F.lower("word"), 3, "suffix").alias("suffix"), "ppos", "pos")
+    out = []
+    for k in (5, 10):
+        y = pr.jackknife_backoff(x.withColumn("fold", (F.col("doc_id") % k).cast("int")), [["word"], ["suffix"], []], "ppos")
+        out.append(y.groupBy(F.lit(k).alias("k"), "fold").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("pos")).alias("n_correct")))
+    return out[0].unionByName(out[1])
+
+
+def _backoff(i: int, key: str) -> str:
+    return f""", cc{i} as (select k, fold, {key} as key, ppos, count(*) as n from folded group by 1, 2, 3, 4
+), tt{i} as (select k, key, ppos, sum(n) as n from cc{i} group by 1, 2, 3
+), b{i} as (select f.k, f.fold, f.key, max({{'n': t.n - coalesce(c.n, 0), 'p': t.ppos}}) filter (where t.n > coalesce(c.n, 0)) as b
+  from (select distinct k, fold, {key} as key from folded) f join tt{i} t on t.k = f.k and t.key = f.key left join cc{i} c on c.k = f.k and c.fold = f.fold and c.key = f.key and c.ppos = t.ppos group by 1, 2, 3)"""
+
+
+SQL["jackknife"] = f"""{TOKS}, low as (select doc_id, lower(word) as word, case when length(word) >= 3 then right(lower(word), 3) else lower(word) end as suffix, ppos, pos from toks
+), folded as (select s.k, (doc_id % s.k)::int as fold, low.* from low, (values (5), (10)) s(k)){_backoff(0, "word")}{_backoff(1, "suffix")}{_backoff(2, "'all'")}
+select x.k, x.fold, count(*) as n, count(*) filter (where coalesce(b0.b.p, b1.b.p, b2.b.p) = pos) as n_correct from folded x
+left join b0 on b0.k = x.k and b0.fold = x.fold and b0.key = word left join b1 on b1.k = x.k and b1.fold = x.fold and b1.key = suffix left join b2 on b2.k = x.k and b2.fold = x.fold group by 1, 2"""
+
+
+@query
+def bigram_gains(spark, d):
+    """Which pairs of the five most informative of seven templates tell most of a token's tag: gains of all of them."""
+    s = _sents(spark, d)
+    size, first, last = (lambda i: F.length(F.get("words", i))), (lambda i: F.ascii(F.get("words", i))), (lambda i: F.ascii(F.substring(F.get("words", i), -1, 1)))
+    made = {"size": lambda i: size(i), "first": lambda i: first(i), "last": lambda i: last(i), "before": lambda i: size(i - 1), "after": lambda i: size(i + 1), "place": lambda i: i, "after_first": lambda i: first(i + 1)}
+    rows = F.transform("pos", lambda t, i: F.struct(t.alias("value"), F.array(*(f(i).cast("long") for f in made.values())).alias("fs")))
+    report = ag.select_bigrams(s.select(F.inline(rows)), list(made), 3, 5, 4096)
+    return report.select("template", F.round("ig", 6).alias("ig"), "rank", "selected")
+
+
+_BIGRAM_FEATURES = {"size": "length(word)", "first": "unicode(word)", "last": "unicode(right(word, 1))", "before": "lag(length(word)) over w", "after": "lead(length(word)) over w", "place": "tok", "after_first": "lead(unicode(word)) over w"}
+SQL["bigram_gains"] = f"""{TOKS}, f as (select pos as value, {", ".join(f"({v})::bigint as f{i}" for i, v in enumerate(_BIGRAM_FEATURES.values()))} from toks window w as (partition by sent_id order by tok)
+), one as ({" union all ".join(f"select {i} as t, value, f{i} % 4096 as b from f where f{i} is not null" for i in range(7))}
+), c1 as (select t, value, b, count(*) as n from one group by 1, 2, 3
+), g1 as (select t, sum(n / nt * log2(n * nt / (nf * nv))) as ig from (select *, sum(n) over (partition by t, b)::double as nf, sum(n) over (partition by t, value)::double as nv, sum(n) over (partition by t)::double as nt from c1) group by 1
+), names(t, name) as (values {", ".join(f"({i}, '{name}')" for i, name in enumerate(_BIGRAM_FEATURES))}
+), best as (select g1.t from g1 join names on names.t = g1.t order by ig desc, name limit 5
+), two as ({" union all ".join(f"select '{a}+{b}' as template, value, ((f{i} % 4096) * 1000003 + f{j}) % 4096 as b from f where f{i} is not null and f{j} is not null and {i} in (select t from best) and {j} in (select t from best)" for i, a in enumerate(_BIGRAM_FEATURES) for j, b in enumerate(_BIGRAM_FEATURES) if i < j)}
+), c2 as (select template, value, b, count(*) as n from two group by 1, 2, 3
+), g2 as (select template, sum(n / nt * log2(n * nt / (nf * nv))) as ig from (select *, sum(n) over (partition by template, b)::double as nf, sum(n) over (partition by template, value)::double as nv, sum(n) over (partition by template)::double as nt from c2) group by 1
+), r as (select *, (row_number() over (order by ig desc, template))::int as rank from g2)
+select template, round(ig, 6) as ig, rank, case when rank <= 3 then 'Y' else 'N' end as selected from r"""
+
+
+@query
+def resampling(spark, d):
+    """The permutation tests by accuracy and by how many are right, and the bootstrap, over 500 samples that SQL can draw as well: two classifiers of quality that differ in a seventh of the documents."""
+    q = _quality(spark, d)
+    other = F.when(F.col("doc_id") % 7 == 0, "1").otherwise(F.col("pred"))
+    right = lambda pred: F.array((F.col("gold") == pred).cast("double"), F.lit(1.0))
+    paired = written(q.select(F.col("doc_id").alias("key"), right(F.col("pred")).alias("a"), right(other).alias("b")), "paired")
+    share, count = (lambda s: F.get(s, F.lit(0)) / F.greatest(F.get(s, F.lit(1)), F.lit(1e-300))), (lambda s: F.get(s, F.lit(0)))
+    swapped, drawn = (sg.resampled(paired, 500, how) for how in ("permutation", "bootstrap"))
+    tests = {"permutation": (swapped, "permutation", share), "permutation_mean": (swapped, "permutation", count), "bootstrap": (drawn, "bootstrap", share)}
+    out = [sg.resampled_p(sums, paired, how, metric).select(F.lit(name).alias("test"), "n_extreme", F.round("p", 9).alias("p")) for name, (sums, how, metric) in tests.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+SQL["resampling"] = f"""{QUALITY}, two as (select doc_id, (gold = pred)::int::double as a, (gold = case when doc_id % 7 = 0 then '1' else pred end)::int::double as b from q
+), whole as (select sum(a) as a, sum(b) as b, count(*)::double as n from two
+), drawn as (select s, a, b, md5('0:' || doc_id || ':' || s) as h from two, (select unnest(range(500)) as s)
+), perm as (select s, sum(case when h < '8' then b else a end) as a, sum(case when h < '8' then a else b end) as b from drawn group by 1
+), weighed as (select *, ({" + ".join(f"(u >= {c!r})::int" for c in map(float, sg.POISSON))})::double as w from (select *, ('0x' || substr(h, 1, 13))::bigint::double / 4503599627370496.0 as u from drawn)
+), boot as (select s, sum(w * a) as a, sum(w * b) as b, sum(w) as n from weighed group by 1
+), hits as (
+  select 'permutation' as test, count(*) filter (where abs(p.a / whole.n - p.b / whole.n) >= abs(whole.a / whole.n - whole.b / whole.n) - 1e-12) as n_extreme from perm p, whole
+  union all select 'permutation_mean', count(*) filter (where abs(p.a - p.b) >= abs(whole.a - whole.b) - 1e-12) from perm p, whole
+  union all select 'bootstrap', count(*) filter (where (o.a / o.n - o.b / o.n) * sign(whole.a - whole.b) > 2 * abs(whole.a / whole.n - whole.b / whole.n)) from boot o, whole)
+select test, n_extreme, round(case when test = 'bootstrap' then n_extreme / 500.0 else (n_extreme + 1) / 501.0 end, 9) as p from hits"""

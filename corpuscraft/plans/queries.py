@@ -327,12 +327,13 @@ def permutation_test(spark, d):
     """p-values at 2**20 samples: predicted heads against the token before each, by both permutation tests and the bootstrap; and two classifiers that differ in a seventh of the documents by F1."""
     x = _toks(spark, d)
     before = predicted(x).withColumn("parent", F.col("tok") - 1)
-    one, two = sg.suff_stats_accuracy(gold(x), predicted(x), "parent"), sg.suff_stats_accuracy(gold(x), before, "parent")
+    one, two = (written(sg.suff_stats_accuracy(gold(x), guess, "parent"), "stats") for guess in (predicted(x), before))
     q = _quality(spark, d)
     other = q.withColumn("pred", F.when(F.col("doc_id") % 7 == 0, "1").otherwise(F.col("pred")))
     f1 = lambda df: sg.suff_stats_f1(df, F.col("gold") == "0", F.col("pred") == "0", ["doc_id"])
+    swapped = sg.paired_permutations(one, two, {"permutation": sg.accuracy_metric, "permutation_mean": sg.mean_metric})
     rows = [
-        ("heads", "permutation", sg.paired_permutation(one, two)), ("heads", "permutation_mean", sg.paired_permutation_mean(one, two)), ("heads", "bootstrap", sg.paired_bootstrap(one, two)),
+        *(("heads", name, p) for name, p in swapped.items()), ("heads", "bootstrap", sg.paired_bootstrap(one, two)),
         ("quality", "permutation", sg.paired_permutation(f1(q), f1(other), metric=sg.f1_metric, keys=["doc_id"])),
     ]
     return spark.createDataFrame(rows, "systems string, test string, p double")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,6 +32,27 @@ def stream_hit_rate(stream: DataFrame, hit: str = "hit", time: str = "ts", windo
     )
 
 
+def running_counts(stream: DataFrame, by: Sequence[str], hit: str = "hit") -> DataFrame:
+    """How many lookups there were so far, and how many hit, by key, whenever documents arrive: for update mode. State is a row a key and outlives a restart from the checkpoint."""
+    return stream.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col(hit), F.lit(False))).alias("n_hit"))
+
+
+def write_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Starts a query that writes what each batch changed as ``path``/batch=N; a batch that runs again writes the same place. It takes what is there and stops."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """The counts that write_updates wrote last for each key."""
+    rows = spark.read.parquet(path)
+    value = [c for c in rows.columns if c not in (*by, "batch")]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*value), "batch").alias("x")).select(*by, "x.*")
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Starts a query that appends Parquet files; it takes what is there and stops."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
