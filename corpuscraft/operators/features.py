@@ -497,11 +497,6 @@ def tree_examples(sents: DataFrame, wall: bool = False) -> DataFrame:
     return cut.withColumn("examples", F.filter(arcs, lambda e: e["p"] >= (-1 if wall else 0))).drop("_begin")
 
 
-def example_rows(sents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sentences with each of their example keys, a row an example."""
-    return sents.join(pairs.select(*KEYS, *(k for k in (*PLACES, *RULE) if k in pairs.columns)), KEYS)
-
-
 def srl_features(sents: DataFrame, preds: DataFrame, pairs: DataFrame, sense: Iterable[Template], role: Iterable[Template]) -> DataFrame:
     """Sense templates on predicates (p = c), role templates on pairs, and a bias on every example."""
     on_preds = examples(sents, preds.select(*KEYS, F.col("pred").alias("p"), F.col("pred").alias("c")))
@@ -703,32 +698,42 @@ LEVELS = ("head_only", "head_type", "head_type_on_path", "head_type_between", "f
 
 
 def relation_word_features(sents: DataFrame, pairs: DataFrame, mentions: DataFrame, level: str = "full") -> DataFrame:
-    """(k, tok, feature): for each word of the sentence, what it is to the pair of mentions."""
-    m = lambda side: mentions.select(*KEYS, F.col("m_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("start", "end", "head", "type")))
-    x = pairs.select(*KEYS, "k", "m1", "m2").join(m("m1"), [*KEYS, "m1"]).join(m("m2"), [*KEYS, "m2"]).join(sents, KEYS)
-    return _word_features(x.withColumns({"p": F.col("m1_head"), "c": F.col("m2_head")}), ["k"], level, F.concat_ws("_", F.coalesce("m1_type", F.lit("NOTYPE")), F.coalesce("m2_type", F.lit("NOTYPE"))))
+    """(k, tok, feature): for each word of the sentence that is something to the pair of mentions, what it is."""
+    m = lambda side, place: mentions.select(*KEYS, F.col("m_id").alias(side), F.col("head").alias(place), F.coalesce("type", F.lit("NOTYPE")).alias(f"_{place}"))
+    x = pairs.select(*KEYS, "k", "m1", "m2").join(m("m1", "p"), [*KEYS, "m1"]).join(m("m2", "c"), [*KEYS, "m2"])
+    x = x.select(*KEYS, "k", "p", "c", F.concat_ws("_", "_p", "_c").alias("kinds"))
+    listed = x.groupBy(*KEYS, F.floor(F.col("k") / BLOCK).alias("_block")).agg(F.collect_list(F.struct("k", "p", "c", "kinds")).alias("examples")).drop("_block")
+    return _word_features(sents.drop("examples").join(listed, KEYS), ["k"], level, lambda e: e["kinds"])
 
 
 def role_word_features(sents: DataFrame, pairs: DataFrame, level: str = "full", bits: int = 6) -> DataFrame:
-    """(p, c, tok, feature): for each word, what it is to predicate and argument; clusters cut at ``bits`` (4 or 6) stand for types."""
-    cut = lambda i: F.substring(F.get("clusters", F.col(i)), 1, bits)
-    return _word_features(example_rows(sents, pairs), ["p", "c"], level, F.concat_ws("_", cut("p"), cut("c")))
+    """(p, c, tok, feature): for each word that is something to the pair, what it is; clusters cut at ``bits`` (4 or 6) stand for types."""
+    cut = lambda i: F.substring(F.get("clusters", i), 1, bits)
+    return _word_features(examples(sents, pairs), ["p", "c"], level, lambda e: F.concat_ws("_", cut(e["p"]), cut(e["c"])))
 
 
-def _word_features(x: DataFrame, keys: list[str], level: str, kinds: Column) -> DataFrame:
+def _word_features(rows: DataFrame, keys: list[str], level: str, kinds: Callable[[Column], Column]) -> DataFrame:
+    """Made in the sentence's row from the tokens a pair points at, so a pair costs what it has, not the sentence."""
     depth = LEVELS.index(level)
-    i, p, c = F.col("tok"), F.col("p"), F.col("c")
-    found = [F.when(i == p, "head1"), F.when(i == c, "head2")]
-    if depth >= 1:
-        found += [F.when(i == p, F.concat(F.lit("head1-"), kinds)), F.when(i == c, F.concat(F.lit("head2-"), kinds))]
     if depth >= 2:
-        on_path = F.array_contains(F.transform(trees.dep_path("parents", p, c), lambda s: s["tok"]), i)
-        found += [F.when(on_path, "on_path"), F.when(on_path, F.concat(F.lit("on_path-"), kinds))]
-    if depth >= 3:
-        inside = (i > F.least(p, c)) & (i < F.greatest(p, c))
-        found += [F.when(inside, "between"), F.when(inside, F.concat(F.lit("between-"), kinds))]
-    if depth >= 4:
-        found += [F.when(i == p + d, f"head1{d:+d}") for d in (-2, -1, 1, 2)] + [F.when(i == c + d, f"head2{d:+d}") for d in (-2, -1, 1, 2)]
-    rows = x.withColumn("tok", F.explode(F.sequence(F.lit(0), F.size("words") - 1)))
-    return rows.select(*KEYS, *keys, "tok", F.explode(F.array_compact(F.array(*found))).alias("feature"))
-
+        pairs = F.transform("examples", lambda e: F.struct(e["p"].cast("int").alias("a"), e["c"].cast("int").alias("b")))
+        rows = tree_index.batched(rows).withColumn("_ways", tree_index.paths("parents", pairs))
+
+    def of(e: Column, i: Column) -> Column:
+        p, c, kind = e["p"].cast("int"), e["c"].cast("int"), kinds(e)
+        row = lambda tok, feature: F.struct(*(e[k].alias(k) for k in keys), tok.cast("int").alias("tok"), feature.alias("feature"))
+        typed = lambda name: F.concat(F.lit(f"{name}-"), kind)
+        both = lambda toks, name: F.flatten(F.transform(toks, lambda t: F.array(row(t, F.lit(name)), row(t, typed(name)))))
+        out = [F.array(row(p, F.lit("head1")), row(c, F.lit("head2")))]
+        if depth >= 1:
+            out.append(F.array(row(p, typed("head1")), row(c, typed("head2"))))
+        if depth >= 2:
+            out.append(both(F.coalesce(F.get("_ways", i)["toks"], F.array().cast("array<int>")), "on_path"))
+        if depth >= 3:
+            low, high = F.least(p, c), F.greatest(p, c)
+            out.append(both(F.filter(F.sequence(low, high), lambda t: (t > low) & (t < high)), "between"))
+        if depth >= 4:
+            out.append(F.array(*(row(at + d, F.lit(f"{name}{d:+d}")) for name, at in (("head1", p), ("head2", c)) for d in (-2, -1, 1, 2))))
+        return F.filter(F.concat(*out), lambda r: (r["tok"] >= 0) & (r["tok"] < F.size("words")) & r["feature"].isNotNull())
+
+    return rows.select(*KEYS, F.inline(F.flatten(F.transform("examples", of))))

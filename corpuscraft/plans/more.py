@@ -741,3 +741,54 @@ SQL["resampling"] = f"""{QUALITY}, two as (select doc_id, (gold = pred)::int::do
   union all select 'permutation_mean', count(*) filter (where abs(p.a - p.b) >= abs(whole.a - whole.b) - 1e-12) from perm p, whole
   union all select 'bootstrap', count(*) filter (where (o.a / o.n - o.b / o.n) * sign(whole.a - whole.b) > 2 * abs(whole.a / whole.n - whole.b / whole.n)) from boot o, whole)
 select test, n_extreme, round(case when test = 'bootstrap' then n_extreme / 500.0 else (n_extreme + 1) / 501.0 end, 9) as p from hits"""
+
+
+@query
+def srl_features(spark, d):
+    """Templates on predicates and on their roles, the latter also with the directed edge, and a bias on each example."""
+    x = _toks(spark, d)
+    arcs = _srl(x, "pos", "parent")
+    sense, role = ft.parse_spec(["word(p)", "pos(-1(p)) + pos(p)"]), ft.with_dir_edge(ft.parse_spec(["pos(p) + pos(c)", "deprel(c)"]))
+    f = ft.srl_features(_sents(spark, d), tb.known_preds(arcs), tb.known_pairs(arcs), sense, role)
+    return f.groupBy("kind", "template").agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"))
+
+
+SQL["srl_features"] = f"""{TOKS}, near as (select *, lag(pos, 1, 'BOS') over (partition by sent_id order by tok) as before from toks
+), preds as (select * from near where pos like 'V%'
+), roles as (select h.pos as hp, t.pos, t.deprel from toks t join preds h on h.sent_id = t.sent_id and h.tok = t.parent
+), f as (
+  select 'sense' as kind, 'word(p)' as template, word as feature from preds union all select 'sense', 'pos(before1(p))+pos(p)', before || '_' || pos from preds union all select 'sense', 'BIAS', 'BIAS' from preds
+  union all select 'role', 'pos(p)+pos(c)', hp || '_' || pos from roles union all select 'role', 'pos(p)+pos(c)+DIRECTION_EDGE', hp || '_' || pos || '_T' from roles
+  union all select 'role', 'deprel(c)', deprel from roles union all select 'role', 'deprel(c)+DIRECTION_EDGE', deprel || '_T' from roles union all select 'role', 'BIAS', 'BIAS' from roles)
+select kind, template, count(*) as cnt, count(distinct feature) as types from f group by 1, 2"""
+
+
+@query
+def word_features(spark, d):
+    """What the words of a sentence are to its pairs of following mentions, and to its predicates and their roles, at all levels: counts by level and feature, types aside."""
+    x = _toks(spark, d, names=True)
+    m = _mentions(x)
+    pairs = jn.ne_pairs(m, None, 0)
+    arcs = tb.known_pairs(_srl(x, "pos", "parent"))
+    sents = _sents(spark, d).withColumn("clusters", F.transform("words", lambda w: F.lpad(F.bin(F.length(w)), 8, "0")))
+    out = []
+    for level in ("head_type", "full"):
+        for name, f in (("mentions", ft.relation_word_features(sents, pairs, m, level)), ("roles", ft.role_word_features(sents, arcs, level))):
+            kind = F.regexp_replace("feature", "-[^0-9].*|-[0-9]{6}_.*", "-type")
+            out.append(f.groupBy(F.lit(name).alias("of"), F.lit(level).alias("level"), kind.alias("kind")).agg(F.count("*").alias("cnt"), F.count_distinct("feature").alias("types"), F.sum("tok").alias("places")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+SQL["word_features"] = f"""{TOKS}{SPANS}{_PATHS.format(ab="select distinct x.sent_id, t.doc_id, x.head as a, y.head as b from mentions x join mentions y on x.sent_id = y.sent_id and y.rank = x.rank + 1 join toks t on t.sent_id = x.sent_id and t.tok = x.head")}
+, pairs as (
+  select 'mentions' as of, x.sent_id, x.head as p, y.head as c, x.type || '_' || y.type as kinds from mentions x join mentions y on x.sent_id = y.sent_id and y.rank = x.rank + 1
+  union all select 'roles', t.sent_id, h.tok, t.tok, right(lpad(bin(length(h.word)), 8, '0')[:6], 6) || '_' || lpad(bin(length(t.word)), 8, '0')[:6] from toks t join toks h on h.sent_id = t.sent_id and h.tok = t.parent where h.pos like 'V%'
+), found as (
+  select of, 'head_type full' as levels, sent_id, p as tok, 'head1' as feature, 'head1' as kind from pairs union all select of, 'head_type full', sent_id, c, 'head2', 'head2' from pairs
+  union all select of, 'head_type full', sent_id, p, 'head1-' || kinds, 'head1-type' from pairs union all select of, 'head_type full', sent_id, c, 'head2-' || kinds, 'head2-type' from pairs
+  union all select of, 'full', x.sent_id, k.tok, unnest(['between', 'between-' || kinds]), unnest(['between', 'between-type']) from pairs x join toks k on k.sent_id = x.sent_id and k.tok > least(p, c) and k.tok < greatest(p, c)
+  union all select of, 'full', x.sent_id, s.node, unnest(['on_path', 'on_path-' || kinds]), unnest(['on_path', 'on_path-type']) from pairs x join steps s on s.sent_id = x.sent_id and s.a = p and s.b = c where of = 'mentions'
+  union all select of, 'full', sent_id, unnest([p, c]), 'on_path', 'on_path' from pairs where of = 'roles' union all select of, 'full', sent_id, unnest([p, c]), 'on_path-' || kinds, 'on_path-type' from pairs where of = 'roles'
+  union all select of, 'full', x.sent_id, k.tok, h || case when e > 0 then '+' else '' end || e, h || case when e > 0 then '+' else '' end || e from pairs x, (values ('head1'), ('head2')) hs(h), (values (-2), (-1), (1), (2)) es(e), toks k
+    where k.sent_id = x.sent_id and k.tok = case when h = 'head1' then p else c end + e)
+select of, level, kind, count(*) as cnt, count(distinct feature) as types, sum(tok)::bigint as places from found, (values ('head_type'), ('full')) l(level) where contains(levels, level) group by 1, 2, 3"""
