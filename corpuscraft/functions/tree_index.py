@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +126,100 @@ def paths(parents: Column | str, pairs: Column, above: bool = False) -> Column:
     return find(col(parents), pairs)
 
 
+def _ends(forest: Forest, pairs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of a batch: where each row's begin, their rows, both nodes, the lowest common one, and whether there is none."""
+    begins, items = _rows(pairs)
+    row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    a, b = (forest.nodes(row, items.field(i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)) for i in (0, 1))
+    top = forest.lca(a, b)
+    return begins, row, a, b, top, top == forest.n
+
+
+def _nodes_along(forest: Forest, source: str, a: np.ndarray, b: np.ndarray, top: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of the paths of a source, where each path begins among them (and the last ends), and how many steps of each go up."""
+    up, down, root = (np.where(none, 0, x) for x in (forest.depth[a] - forest.depth[top], forest.depth[b] - forest.depth[top], forest.depth[top] + 1))
+    there = (~none).astype(np.int64)
+    size = {"path": up + down + 1, "path_p_lca": up + 1, "path_c_lca": down + 1, "path_lca_root": root + 1}[source] * there
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(int(at[-1]), forest.n, np.int64)  # what stays is the wall at a root's end
+    if source == "path":
+        forest.climb(a, (up + 1) * there, out, at[:-1], 1)
+        forest.climb(b, down, out, at[1:] - 1, -1)
+    else:
+        first, steps = {"path_p_lca": (a, up + 1), "path_c_lca": (b, down + 1), "path_lca_root": (top, root)}[source]
+        forest.climb(first, steps * there, out, at[:-1], 1)
+    return out, at, up if source == "path" else size
+
+
+def _nested(begins: np.ndarray, at: np.ndarray, none: np.ndarray, values: pa.Array) -> pa.Array:
+    """Rows of lists of texts; null where there is no path."""
+    return _lists(begins, pa.ListArray.from_arrays(pa.array(at, pa.int32(), mask=np.append(none, False)), values))
+
+
+def path_texts(parents: Column | str, pairs: Column, layer: Column, source: str, edge: str = "", rels: Column | str | None = None) -> Column:
+    """For each of a row's pairs the texts along a path (see paths): array of arrays, null where there is no path.
+
+    source: path, path_p_lca, path_c_lca (from either end up to the lowest common token) or path_lca_root (from there to the wall, BOS). layer: a text for each token, or null
+    for one that has none. edge: between two tokens also UP or DOWN (dir) or the relation of the lower one (rel); then layer may be null for edges alone.
+    """
+
+    @F.arrow_udf("array<array<string>>")
+    def find(parents: pa.Array, pairs: pa.Array, layer: pa.Array, rels: pa.Array) -> pa.Array:
+        forest = Forest(parents)
+        begins, _, a, b, top, none = _ends(forest, pairs)
+        node, at, ups = _nodes_along(forest, source, a, b, top, none)
+        texts = pa.concat_arrays([_rows(layer)[1].cast(pa.string()), pa.array(["BOS"])]) if len(layer.flatten()) == forest.n else None
+        path = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        place = np.arange(len(node)) - at[path]
+        pieces, keys = [], []
+        if texts is not None:
+            pieces.append(texts.take(pa.array(node)))
+            keys.append(2 * np.arange(len(node)))
+        if edge:
+            inner = np.flatnonzero(place < (at[1:] - at[:-1])[path] - 1)
+            upward = place[inner] < ups[path[inner]]
+            if edge == "dir":
+                pieces.append(pa.array(["DOWN", "UP"]).take(pa.array(upward.astype(np.int32))))
+            else:
+                low = np.where(upward, node[inner], node[np.minimum(inner + 1, len(node) - 1)])
+                pieces.append(pa.concat_arrays([_rows(rels)[1].cast(pa.string()), pa.nulls(1, pa.string())]).take(pa.array(low)))
+            keys.append(2 * inner + 1)
+        values = pa.concat_arrays(pieces) if pieces else pa.array([], pa.string())
+        key = np.concatenate([*keys, np.empty(0, np.int64)])
+        order = np.argsort(key, kind="stable") if len(keys) > 1 else np.arange(len(key))
+        order = order[values.is_valid().to_numpy(zero_copy_only=False)[order]]
+        of = path[key[order] // 2]
+        return _nested(begins, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(at) - 1))]), none, values.take(pa.array(order)))
+
+    empty = F.lit(None).cast("array<string>")
+    return find(col(parents), pairs, layer, col(rels) if rels is not None else empty)
+
+
+def path_grams(parents: Column | str, pairs: Column, words: Column | str, pos: Column | str) -> Column:
+    """For each of a row's pairs all 1-, 2- and 3-grams along its path with every choice of word or tag at each place; null where there is no path."""
+
+    @F.arrow_udf("array<array<string>>")
+    def find(parents: pa.Array, pairs: pa.Array, words: pa.Array, pos: pa.Array) -> pa.Array:
+        forest = Forest(parents)
+        begins, _, a, b, top, none = _ends(forest, pairs)
+        node, at, _ = _nodes_along(forest, "path", a, b, top, none)
+        path = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        left = at[1:][path] - np.arange(len(node))  # tokens from here to the path's end
+        layers = [_rows(x)[1].cast(pa.string()).fill_null("").take(pa.array(node)) for x in (words, pos)]
+        pieces, of = [pa.array([], pa.string())], [np.empty(0, np.int64)]
+        for n in (1, 2, 3):
+            first = np.flatnonzero(left >= n)
+            for pattern in range(2**n):
+                parts = [layers[pattern >> k & 1].take(pa.array(first + k)) for k in range(n)]
+                pieces.append(pc.binary_join_element_wise(*parts, "_") if n > 1 else parts[0])
+                of.append(path[first])
+        of, values = np.concatenate(of), pa.concat_arrays(pieces)
+        order = np.argsort(of, kind="stable")
+        return _nested(begins, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(at) - 1))]), none, values.take(pa.array(order)))
+
+    return find(col(parents), pairs, col(words), col(pos))
+
+
 def near(parents: Column | str) -> Column:
     """For all tokens, their leftmost and nearest left child, nearest right and rightmost child (-2: none) and nearest siblings (left -1, right the length): a struct of arrays by NEAR."""
 

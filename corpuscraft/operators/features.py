@@ -333,16 +333,6 @@ def _text(x: Column) -> Column:
     return F.when(x.isNotNull(), F.array(x.cast("string"))).otherwise(F.array().cast("array<string>"))
 
 
-def _path(way: Column, source: str) -> tuple[Column, Column]:
-    """A path's tokens (-1: the wall) and how many of its steps, from the first, go up."""
-    toks, top = way["toks"], way["top"]
-    if source == "path":
-        return toks, top
-    n = F.size(toks)
-    own = {"path_p_lca": lambda: F.slice(toks, 1, top + 1), "path_c_lca": lambda: F.reverse(F.slice(toks, top + 1, n - top)), "path_lca_root": lambda: F.concat(way["above"], F.array(F.lit(-1)))}[source]()
-    return F.when(toks.isNotNull(), own), n + F.size("parents")  # all of them go up
-
-
 def _along(path: Column, ups: Column, prop: str | None, edge: str) -> Column:
     """The property of each token of a path, and what its edge to the next has."""
 
@@ -377,7 +367,7 @@ def _evaluate(t: Template, ex: Callable[[str], Column]) -> Column:
     if isinstance(t, List):
         p, c, at = ex("p"), ex("c"), ex(t.position)
         if t.source in PATHS:
-            items = _along(*_path(ex("_way"), t.source), t.prop, t._edge())
+            items = ex(_along_name(t))
         else:
             toks = {"rule": lambda: trees.line_path(ex("ri"), ex("rk")), "line": lambda: trees.line_path(p, c), "between": lambda: trees.between(p, c), "children": lambda: _kids(at), "no_far_children": lambda: trees.let(_kids(at), lambda kids: trees.inner(kids, at))}[t.source]()
             items = F.array_compact(F.transform(toks, lambda i: _value(t.prop, i)))
@@ -398,20 +388,34 @@ def _evaluate(t: Template, ex: Callable[[str], Column]) -> Column:
         "continuity": lambda: trees.continuity(ex("_way")["toks"]),
         "path_len": lambda: bin_int(F.coalesce(F.size(ex("_way")["toks"]), F.lit(0))),
         "sent_len": lambda: bin_int(F.size("words")),
-        "path_grams": lambda: F.coalesce(trees.token_grams(ex("_way")["toks"], "words", "pos"), F.array(F.lit("NO_PATH"))),
+        "path_grams": lambda: F.coalesce(ex("_grams"), F.array(F.lit("NO_PATH"))),
     }
     found = kinds[t.kind]()
     return found if t.kind == "path_grams" else found.cast("string")
 
 
+def _along_name(t: List) -> str:
+    return f"_along_{t.source}_{t.prop or ''}_{t._edge()}"
+
+
+def _valued(prop: str) -> Callable[..., Column]:
+    return lambda _, i: _value(prop, i).cast("string")
+
+
 def _indexed(examples: DataFrame, units: list[Template], lang: str) -> DataFrame:
     """examples with what the templates ask of the trees: paths by example, neighbours, children and supports by token."""
-    ways = [t for t in units if isinstance(t, List) and t.source in PATHS or isinstance(t, Pair) and t.kind in ON_PATHS]
+    along = {_along_name(t): t for t in units if isinstance(t, List) and t.source in PATHS}
+    kinds = {t.kind for t in units if isinstance(t, Pair)}
     steps = {m for t in units if isinstance(t, Token) for m in t.modifier.split("/")}
+    pairs = F.transform("examples", lambda e: F.struct(e["p"].cast("int").alias("a"), e["c"].cast("int").alias("b")))
     out = {}
-    if ways:
-        pairs = F.transform("examples", lambda e: F.struct(e["p"].cast("int").alias("a"), e["c"].cast("int").alias("b")))
-        out["_ways"] = tree_index.paths("parents", pairs, any(isinstance(t, List) and t.source == "path_lca_root" for t in ways))
+    if kinds & {"genealogy", "continuity", "path_len"}:
+        out["_way"] = tree_index.paths("parents", pairs)
+    if "path_grams" in kinds:
+        out["_grams"] = tree_index.path_grams("parents", pairs, "words", "pos")
+    for name, t in along.items():  # the property of each token once, then along all paths
+        layer = F.transform("words", _valued(t.prop)) if t.prop else F.lit(None).cast("array<string>")
+        out[name] = tree_index.path_texts("parents", pairs, layer, t.source, t._edge(), "deprels" if t._edge() == "rel" else None)
     if steps & set(tree_index.NEAR):
         out["_near"] = tree_index.near("parents")
     if any(isinstance(t, List) and "children" in t.source for t in units):
@@ -453,7 +457,7 @@ def extract(examples: DataFrame, templates: Iterable[Template], hashed: bool = F
     rows = _indexed(examples.select(*KEYS, "examples", *(c for c in examples.columns if c in layers)), units, lang)
 
     def gathered(e: Column, k: Column) -> Column:
-        ex = lambda name: F.get("_ways", k) if name == "_way" else e[name] if name in fields else F.lit(None).cast("int" if name in PLACES else "string")
+        ex = lambda name: F.get(F.col(name), k) if name.startswith("_") else e[name] if name in fields else F.lit(None).cast("int" if name in PLACES else "string")
         return F.struct(*(e[c].alias(c) for c in key), *(_evaluate(u, ex).alias(f"u{i}") for i, u in enumerate(units)))
 
     wide = rows.select(*KEYS, F.inline(F.transform("examples", gathered)))
@@ -490,11 +494,15 @@ def examples(sents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def tree_examples(sents: DataFrame, wall: bool = False) -> DataFrame:
-    """Sentences with the arcs of their trees as examples, made in the row: p the head, c the token. wall: also those of the wall."""
+    """Sentences with the arcs of their trees as examples, made in the row: p the head, c the token. wall: also those of the wall.
+
+    The rows are dealt out by sentence and block, so what grows with a long sentence is spread.
+    """
     n = F.size("parents")
     cut = sents.withColumn("_begin", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK))))
     arcs = F.transform(F.slice("parents", F.col("_begin") + 1, BLOCK), lambda p, i: F.struct(p.cast("int").alias("p"), (i + F.col("_begin")).cast("int").alias("c")))
-    return cut.withColumn("examples", F.filter(arcs, lambda e: e["p"] >= (-1 if wall else 0))).drop("_begin")
+    dealt = cut.repartition(*KEYS, "_begin")
+    return dealt.withColumn("examples", F.filter(arcs, lambda e: e["p"] >= (-1 if wall else 0))).drop("_begin")
 
 
 def srl_features(sents: DataFrame, preds: DataFrame, pairs: DataFrame, sense: Iterable[Template], role: Iterable[Template]) -> DataFrame:

@@ -445,7 +445,7 @@ def _path_pairs(spark, d):
     head = lambda a, h: F.array(F.struct(a.cast("int").alias("p"), h.cast("int").alias("c")), F.struct(h.cast("int").alias("p"), a.cast("int").alias("c")))
     pairs = F.flatten(F.transform("parents", lambda h, a: F.concat(F.array(near(a, 1), near(a, 2), near(a, 7)), head(a, h))))
     inside = F.filter(pairs, lambda e: (e["p"] >= 0) & (e["c"] >= 0) & (e["c"] < F.col("n")))
-    return _sents(spark, d).withColumn("examples", F.array_distinct(inside))
+    return _sents(spark, d).repartition("corpus", "sent_id").withColumn("examples", F.array_distinct(inside))
 
 
 @query
