@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,7 +110,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str =
     pages: page_id, url; other columns are ignored. Of the rules that fit, the longest (host and path
     together) wins, of equally long ones the first; rule is null and the verdict ``default`` if
     none fits. A null or empty URL and one without ``://`` have an empty host and path. Repeated rows each
-    return; no rows give no rows.
+    return; no rows give no rows. URLs go to a task's worker by bytes, so very long ones come few at a time.
     """
     by_length = tuple(sorted(rules, key=lambda r: -len(r.text)))
     host, path = host_and_path(F.col("url"))
@@ -124,4 +126,4 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str =
                 first = np.where(fits.any(axis=1), fits.argmax(axis=1), len(by_length))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(texts[first], pa.string()), pa.array(verdicts[first], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return batched(pages.select("page_id", host.alias("host"), path.alias("path"))).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
