@@ -640,7 +640,7 @@ def _is_folder(spark, path: str) -> bool:
 
 @query
 def learned_tags(spark, d):
-    """A log-linear tagger of hashed features, fitted on some documents, saved, loaded and applied to the others: right tags by document."""
+    """A log-linear tagger of hashed features, fitted on the documents with an id under 12 (the bound on labelled rows), saved, loaded and applied to the others: right tags by document."""
     x = _toks(spark, d).withColumn("ex", F.concat_ws("-", "sent_id", "tok"))
     f = ft.tag_features(x).join(x.select("corpus", "sent_id", "tok", "ex", "doc_id"), ["corpus", "sent_id", "tok"])
     vecs = ln.vectors(f.where(F.col("template").isin("w+0", "suf2", "pre1")), ["ex", "doc_id"], 1 << 10)
