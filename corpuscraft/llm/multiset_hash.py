@@ -100,7 +100,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
     The rows are dealt once, by ranges of (doc_id, text hash) of about equal bytes, a partition each. A range begins at a row
     of a sample (which sets bounds only), and the rows that equal its begin go to the range before as well, so every task
-    finds the document after its last. Only the ranges' bounds, one row each, reach the driver.
+    finds the document after its last. What reaches the driver is bounded whatever the rows: about PER_RANGE sampled places
+    for each of at most RANGES ranges, of which the bounds are kept and sent to the tasks. Beyond RANGES times RANGE bytes the
+    ranges grow; tasks stream them.
     """
     spark = docs.sparkSession
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash"))
@@ -141,24 +143,27 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 SHAPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Bounds of the lower level of each of the upper, and bytes of text that a range has about.
-LEVEL, RANGE = 128, 64 << 20
-#: Rows that the bounds are taken from, about.
-SAMPLE = 20_000
+#: Bounds of the lower level of each of the upper, bytes of text that a range has about, and the most ranges.
+LEVEL, RANGE, RANGES = 128, 64 << 20, 50_000
+#: Rows that the bounds are taken from at least, and for each range.
+SAMPLE, PER_RANGE = 20_000, 20
 
 
 def _bounds(rows: DataFrame, least: int) -> list[tuple[int, int]]:
-    """The least place, and places that cut the rows into ``least`` ranges or more, of at most RANGE bytes about."""
+    """The least place, and places that cut the rows into ``least`` ranges or more, of at most RANGE bytes about up to RANGES of them."""
     size = F.octet_length("text").cast("long")
     first, n, total = rows.agg(F.min("place"), F.count("*"), F.sum(size)).first()
     if not n:
         return []
-    ranges = max(least, -(-total // RANGE))
-    wanted = max(SAMPLE, 50 * ranges)
+    ranges = max(least, min(RANGES, -(-total // RANGE)))
+    wanted = max(SAMPLE, PER_RANGE * ranges)
     # by the hash of the text, which is there anyway
     sample = rows.where(F.pmod(F.xxhash64("place"), F.lit(n)) < wanted) if n > 2 * wanted else rows
-    weighed = sorted((tuple(r.place), r.size) for r in sample.select("place", size.alias("size")).collect())
-    out, run, share = [tuple(first)], 0, sum(s for _, s in weighed) / ranges
+    places = sample.groupBy("place").agg(F.sum(size).alias("size")).select("place.id", "place.hash", "size").toArrow()  # rows that repeat are one
+    ids, hashes, sizes = (places.column(c).to_numpy() for c in ("id", "hash", "size"))
+    order = np.lexsort((hashes, ids))
+    weighed = list(zip(zip(ids[order].tolist(), hashes[order].tolist()), sizes[order].tolist()))
+    out, run, share = [tuple(first)], 0, int(sizes.sum()) / ranges
     for at, s in weighed:
         if run >= share and at > out[-1]:
             out.append(at)

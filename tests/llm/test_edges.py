@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corpuscraft.llm import multiset_hash
 from corpuscraft.llm.bestfit_packing import pack_documents
 from corpuscraft.llm.embedding_dedup import embedding_dedup
 from corpuscraft.llm.line_dedup import line_dedup
@@ -180,3 +182,16 @@ def test_a_long_text_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 << 20
+
+
+def test_bounds_of_fingerprints_stay_few(spark, monkeypatch):
+    """However many bytes and however hot a row, the driver holds a bounded sample, and results stay whole."""
+    rows = [(i, f"text {i % 50} " * (i % 9)) for i in range(900)] + [(5, "hot " * 40)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = Counter(map(tuple, document_fingerprints(df).collect()))
+    monkeypatch.setattr(multiset_hash, "RANGE", 50)
+    monkeypatch.setattr(multiset_hash, "RANGES", 40)
+    monkeypatch.setattr(multiset_hash, "SAMPLE", 10)
+    sampled = df.withColumn("place", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    assert 10 < len(multiset_hash._bounds(sampled, 3)) <= 41
+    assert Counter(map(tuple, document_fingerprints(df).collect())) == wanted
