@@ -8,8 +8,10 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+from pyarrow import fs
 from tokenizers import Tokenizer
 
+from corpuscraft.llm import token_files
 from corpuscraft.llm.bestfit_packing import BestFit, pack_documents
 from corpuscraft.llm.piece_codec import PieceCodec, codec_digest, decode_documents, default_model, encode_documents, product, states
 from corpuscraft.llm.token_files import read_token_files, write_token_files
@@ -120,6 +122,35 @@ def test_token_files_round_trip(spark, tokenizer, tmp_path):
     assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith(".")]
 
 
+def test_token_files_in_pieces(spark, tokenizer, tmp_path, monkeypatch):
+    """Blocks of few documents, pieces smaller than a document, and files that aren't mapped."""
+    rng = random.Random(3)
+    texts = [" ".join(["word"] * rng.choice([0, 1, 3, 40])) for _ in range(60)]
+    root = str(tmp_path / "p")
+    write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), root, shards=1)
+    (name,) = (n for _, n, _ in json.loads((tmp_path / "p" / "index.json").read_text())["bases"])
+    files = fs.LocalFileSystem()
+    mapped = token_files.Numbers(files, f"{root}/{name}.ids", "<u2")
+    read = token_files.Numbers(fs.SubTreeFileSystem("/", files), f"{root}/{name}.ids"[1:], "<u2")
+    wanted = [crc32(array("I", library_ids(tokenizer, t) + [1]).tobytes()) for t in texts]
+    bounds = token_files.Numbers(files, f"{root}/{name}.offsets", "<u8").range(0, 61).tolist()
+    assert not hasattr(read, "map") and hasattr(mapped, "map") and len(read) == len(mapped) == bounds[-1]
+    for piece in (1, 2, 7, 1 << 20):
+        monkeypatch.setattr(token_files, "PIECE", piece)
+        assert token_files.checksums(mapped, bounds) == token_files.checksums(read, bounds) == wanted
+        assert token_files.checksums(read, bounds[5:20]) == wanted[5:19]
+    got = sorted(read_token_files(spark, root).collect(), key=lambda r: r.doc_id)
+    assert [r.ids_crc32 for r in got] == wanted and [r.start for r in got] == bounds[:-1]
+
+
+def test_token_files_have_shards_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD", 1000)
+    df = spark.createDataFrame([(i, "word " * 20) for i in range(300)], "doc_id long, text string")
+    write_token_files(df, str(tmp_path / "b"))
+    assert len(json.loads((tmp_path / "b" / "index.json").read_text())["bases"]) >= 25
+    assert read_token_files(spark, str(tmp_path / "b")).count() == 300
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     write_token_files(docs(spark).limit(0), str(tmp_path / "e"))
     assert read_token_files(spark, str(tmp_path / "e")).count() == 0
