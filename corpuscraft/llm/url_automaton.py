@@ -9,6 +9,7 @@ those that still have characters.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,20 @@ from .common import batched
 
 @dataclass(frozen=True)
 class Rule:
-    """A host (itself and its subdomains) and the beginning of a path, and what to do with what fits."""
+    """A host (itself and its subdomains) and the beginning of a path, and what to do with what fits.
+
+    In both ``*`` stands for any characters, none included, and ``?`` for one; in the host they don't leave it. A
+    backslash before a character takes it as it is. A path begins with a slash, or is empty and fits any.
+    """
 
     host: str
     path: str
     verdict: str
 
+    def __post_init__(self) -> None:
+        if self.path and self.path[0] != "/":
+            raise ValueError(f"the path of a rule begins with a slash: {self.path}")
+
     @property
     def text(self) -> str:
         return self.host + self.path
@@ -42,16 +51,38 @@ RULES = (
 )
 
 
+#: The byte after a URL, which UTF-8 never has; the bytes that a host may have; those that begin a character, and that go on with it.
+END = b"\xff"
+HOST = bytes(x for x in range(255) if x != ord("/"))
+FIRST = bytes(x for x in range(255) if not 0x80 <= x < 0xC0)
+REST = bytes(range(0x80, 0xC0))
+
+
+def _steps(rule: Rule) -> list[tuple[bytes, bytes]]:
+    """The steps of a rule: the bytes that each takes, and those that it survives."""
+    steps = [(b"", HOST), (b".", b"")]
+    for glob, wild in ((rule.host, HOST), (rule.path, HOST + b"/")):
+        for token in re.findall(r"(?s)\\.|.", glob):
+            if token == "*":
+                steps[-1] = (steps[-1][0], steps[-1][1] + wild)
+            elif token == "?":
+                steps.append((FIRST if wild != HOST else FIRST.replace(b"/", b""), REST))
+            else:
+                steps += [(bytes([b]), b"") for b in token[-1].encode()]
+    return steps if rule.path else [*steps, (b"/" + END, b"")]
+
+
 class Automaton:
-    """Rules as Shift-And words over the bytes of ``"." + host + path``.
+    """Rules as Shift-And words over the bytes of ``"." + host + path``, and END.
 
-    A rule is the glob ``{any but /}.host path{any}``: since a host has no slash, the first wildcard
-    cannot leave the host, and as the subject begins with a dot the host itself fits like a subdomain.
+    A rule is the glob ``*.host path*``: since a host has no slash, the first wildcard cannot leave the host, and as
+    the subject begins with a dot the host itself fits like a subdomain. A literal byte or ``?`` is a bit; ``*`` lets
+    the bit before it survive. ``?`` takes the first byte of a character and survives the others.
     """
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        globs = [[None, *f".{r.host}{r.path}".encode()] for r in rules]
+        globs = [_steps(r) for r in rules]
         n = sum(map(len, globs))
         self.words = max(1, -(-n // 64))
         self.mask = np.zeros((256, self.words), np.uint64)
@@ -60,14 +91,12 @@ class Automaton:
         self.ends: list[tuple[int, np.uint64]] = []
         at = 0
         for glob in globs:
-            for i, c in enumerate(glob):
+            for i, (takes, keeps) in enumerate(glob):
                 word, bit = at // 64, np.uint64(1 << at % 64)
-                if i == 0:  # alive from the start; survives all but a slash
+                if i == 0:  # alive from the start
                     self.begins[word] |= bit
-                    others = [x for x in range(256) if x != ord("/")]
-                    self.stays[others, word] |= bit
-                else:
-                    self.mask[c, word] |= bit
+                self.mask[list(takes), word] |= bit
+                self.stays[list(keeps), word] |= bit
                 if i == len(glob) - 1:  # once reached, the rest of the URL may be anything
                     self.stays[:, word] |= bit
                     self.ends.append((word, bit))
@@ -75,7 +104,7 @@ class Automaton:
 
     def match(self, subjects: list[bytes]) -> np.ndarray:
         """For each subject and rule, whether it fits."""
-        n = len(subjects)
+        n, subjects = len(subjects), [s + END for s in subjects]
         sizes = np.array([len(s) for s in subjects], np.int64)
         order = np.argsort(-sizes, kind="stable")
         flat = np.frombuffer(b"".join(subjects), np.uint8)
@@ -108,7 +137,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str =
     """Judges every URL: page_id, host, path, rule, verdict.
 
     pages: page_id, url; other columns are ignored. Of the rules that fit, the longest (host and path
-    together) wins, of equally long ones the first; rule is null and the verdict ``default`` if
+    together, as written) wins, of equally long ones the first; rule is null and the verdict ``default`` if
     none fits. A null or empty URL and one without ``://`` have an empty host and path. Repeated rows each
     return; no rows give no rows. URLs go to a task's worker by bytes, so very long ones come few at a time.
     """

@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
 import time
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from corpuscraft.llm.html_extract import extract, extract_pages
 from corpuscraft.llm.mil_quality import FEATURES, Model, _gradients, encode, fit, reject_low_quality, score, train
@@ -256,3 +259,34 @@ def test_automaton_of_many_words():
     assert a.words > 8
     fits = a.match([f".x.host{i}.net/path{i}/y".encode() for i in range(40)] + [b".host1.net/path2/"])
     assert (fits[:40] == np.eye(40, dtype=bool)).all() and not fits[40].any()
+
+
+def plain_glob(glob):
+    return "".join(".*" if t == "*" else "." if t == "?" else re.escape(t[-1]) for t in re.findall(r"(?s)\\.|.", glob))
+
+
+HOSTS = st.text("ab.é", max_size=5)
+
+
+@given(st.lists(st.tuples(st.text("ab.é*?\\", min_size=1, max_size=5), st.one_of(st.just(""), st.text("a/é*?", max_size=5).map(lambda t: "/" + t))), min_size=1, max_size=9), st.lists(st.tuples(HOSTS, st.one_of(st.just(""), st.text("a/éb", max_size=6).map(lambda t: "/" + t))), min_size=1, max_size=9))
+def test_wildcards_against_patterns(globs, urls):
+    """Hosts and paths apart, by the engine of patterns, over all rules at once."""
+    from corpuscraft.llm.url_automaton import Rule
+
+    fits = Automaton(tuple(Rule(h, p, "block") for h, p in globs)).match([f".{h}{p}".encode() for h, p in urls])
+    for i, (host, path) in enumerate(urls):
+        for k, (h, p) in enumerate(globs):
+            wanted = re.fullmatch(rf"(?s)(.*\.)?{plain_glob(h)}", host) and re.match(rf"(?s){plain_glob(p)}", path)
+            assert fits[i, k] == bool(wanted), (globs[k], urls[i])
+
+
+def test_wildcards_of_rules(spark):
+    from corpuscraft.llm.url_automaton import Rule
+
+    rules = (Rule("ads?.*", "", "block"), Rule("shop.example.net", "/*/cart", "block"), Rule("net", "/", "allow"), Rule("a\\*b", "/", "block"))
+    urls = ["http://ads1.com", "http://x.ads9.org/p", "http://ads.com/", "http://shop.example.net/en/cart?x", "http://shop.example.net/cart", "http://a*b/", "http://axb/", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(df, rules, "none").collect()}
+    assert got == {0: ("ads?.*", "block"), 1: ("ads?.*", "block"), 2: (None, "none"), 3: ("shop.example.net/*/cart", "block"), 4: ("net/", "allow"), 5: ("a\\*b/", "block"), 6: (None, "none"), 7: (None, "none")}
+    with pytest.raises(ValueError):
+        Rule("net", "x", "block")
