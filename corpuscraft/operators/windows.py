@@ -125,13 +125,13 @@ def folds(df: DataFrame, k: int, *order: str) -> DataFrame:
     return ranked.withColumn("fold", F.least(F.floor(F.col("rn") / (n // k)), F.lit(k - 1)).cast("int"))
 
 
-def sample_split(df: DataFrame, prop: float, seed: int = 0, *keys: str) -> DataFrame:
-    """Adds sampled: true for exactly ceil(prop N) rows, those of the smallest hash of their key."""
+def sample_split(df: DataFrame, prop: float, seed: int = 0, *keys: str, by: Column | None = None) -> DataFrame:
+    """Adds sampled: true for exactly ceil(prop N) rows, those of the smallest hash of their key; ``by`` is a hash of one's own."""
     import math
 
     names = keys or tuple(KEYS)
     n = df.count()
-    ranked = global_rank(df.withColumn("_h", F.xxhash64(F.lit(seed), *names)), "_h", *names)
+    ranked = global_rank(df.withColumn("_h", by if by is not None else F.xxhash64(F.lit(seed), *names)), "_h", *names)
     return ranked.withColumn("sampled", F.col("rn") < math.ceil(prop * n)).drop("_h", "rn")
 
 

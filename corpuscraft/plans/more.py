@@ -587,11 +587,10 @@ select ex, l.label, round(sum(v * (length(pos) + s * (d + 1)) * embedding[d + 1]
 
 @query
 def split_rows(spark, d):
-    """Which documents a sample of a tenth takes: every row, by the order of its hash; and the place of each in a fixed shuffle."""
+    """Which documents a sample of a tenth takes: every row, by the order of its hash; and the place of each in that order."""
     docs = _docs(spark, d).select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))
-    ranked = wn.global_rank(docs, "h", "doc_id")
-    n = docs.count()
-    return ranked.select("doc_id", "rn", (F.col("rn") < -(-n // 10)).alias("sampled"))
+    sampled = wn.sample_split(docs, 0.1, 0, "doc_id", by=F.col("h"))
+    return wn.global_rank(sampled, "h", "doc_id").select("doc_id", "rn", "sampled")
 
 
 SQL["split_rows"] = "with r as (select doc_id, row_number() over (order by md5(doc_id::varchar), doc_id) - 1 as rn, ceil(count(*) over () / 10.0) as k from documents) select doc_id, rn, rn < k as sampled from r"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import join_feats, underscore_if_null
 from ..functions.trees import let
+from ..operators.masks import is_packed
+from ..operators.tables import KEYS
 from .readers import JSON_LAYERS, READERS
 
 
@@ -139,8 +141,17 @@ def convert(spark, path: str, source: str, out: str, target: str) -> None:
     write_corpus(READERS[source](spark, path), out, target)
 
 
-def write_edge_mask(mask: DataFrame, path: str) -> None:
-    mask.select("corpus", "sent_id", "p", "c", "kept").write.parquet(path)
+def write_edge_mask(mask: DataFrame, path: str, words: DataFrame | None = None) -> None:
+    """A mask as Parquet: bitmaps as a row a token, else a row an arc. words (keys, tok, word) put each child's word beside it; a child without one has null."""
+    rows = mask.select(*KEYS, "c", "n", "bits") if is_packed(mask) else mask.select(*KEYS, "p", "c", "kept")
+    if words is not None:
+        rows = rows.join(words.select(*KEYS, F.col("tok").alias("c"), "word"), [*KEYS, "c"], "left")
+    rows.write.parquet(path)
+
+
+def read_edge_mask(spark, path: str) -> DataFrame:
+    """A mask that write_edge_mask wrote, of either kind."""
+    return spark.read.parquet(path)
 
 
 def metric_rows(metrics: DataFrame, name: str) -> DataFrame:
