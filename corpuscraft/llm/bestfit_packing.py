@@ -86,10 +86,11 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     least = capacity - int(capacity * spare)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        encode, tail = coder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        encode, tail = coder(vocabulary).encode_all, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py()) + tail
+            found, ends = encode(batch.column("text"))
+            for doc_id, begin, end in zip(batch.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                ids = found[begin:end].tobytes() + tail
                 for piece in range(-(-len(ids) // (4 * capacity))):
                     part = ids[piece * capacity * 4 : (piece + 1) * capacity * 4]
                     yield doc_id, piece, piece * capacity, len(part) // 4, crc32(part), part

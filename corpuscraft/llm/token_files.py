@@ -104,19 +104,15 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str | None = None,
         k = task.partitionId()
         name = f"{k:06d}-{task.taskAttemptId()}"
         own = f"{base}/{name}"
-        encode, tail = coder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
-        at = 0
+        encode, at = coder(vocabulary).encode_all, 0
         with files.open_output_stream(f"{own}.ids") as ids, files.open_output_stream(f"{own}.offsets") as offsets, files.open_output_stream(f"{own}.docs") as names:
             offsets.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 names.write(np.array([NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()], "<i8").tobytes())
-                ends = []
-                for text in batch.column("text"):
-                    found = encode(text.as_py()) + tail
-                    at += len(found) // 4
-                    ends.append(at)
-                    ids.write(np.frombuffer(found, "<u4").astype(f"<u{width}").tobytes())
-                offsets.write(np.array(ends, "<u8").tobytes())
+                found, ends = encode(batch.column("text"))
+                ids.write(np.insert(found.astype(f"<u{width}"), ends, end_id).tobytes())
+                offsets.write((at + ends + np.arange(1, 1 + len(ends))).astype("<u8").tobytes())
+                at += len(found) + len(ends)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "name": [name], "n_ids": pa.array([at], pa.int64())})
 
     rows = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")

@@ -7,11 +7,12 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from corpuscraft.llm import token_files
+from corpuscraft.llm import token_files, wordbpe
 from corpuscraft.llm.bestfit_packing import BestFit, pack_documents
 from corpuscraft.llm.piece_codec import PieceCodec, codec_digest, decode_documents, default_model, encode_documents, product, states
 from corpuscraft.llm.token_files import read_token_files, write_token_files
@@ -38,6 +39,23 @@ def test_word_coder_is_the_library(tokenizer):
         assert c.encode(t) == array("I", library_ids(tokenizer, t)).tobytes(), repr(t)
 
 
+def test_words_are_learned_once_a_batch(tokenizer, monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choice(ODD) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [None, "", " \n", "a<|endoftext|>b ABC!! abc Straße"] + [" ".join(rng.choices(words, k=40)) for _ in range(200)]
+    for remembered in (0, 20_000, 10**8):  # the ids don't depend on what is remembered
+        monkeypatch.setattr(wordbpe, "REMEMBERED", remembered)
+        c, asked = wordbpe.WordCoder(default_vocabulary()), []
+        learn = c._learn
+        monkeypatch.setattr(c, "_learn", lambda new: asked.append(new) or learn(new))
+        for a, b in ((0, 100), (100, 150), (150, 204), (3, 3)):
+            ids, ends = c.encode_all(pa.array(texts[a:b], pa.string()))
+            want = [library_ids(tokenizer, t) for t in texts[a:b]]
+            assert ids.tolist() == [i for t in want for i in t] and ends.tolist() == [sum(map(len, want[: k + 1])) for k in range(len(want))]
+        assert all(len(new) == len(set(new)) for new in asked) and len(asked) <= 3 and c.used <= remembered
+        assert remembered < 10**8 or sum(map(len, asked)) == len(set().union(*asked))
+
+
 ROWS = [(3, "Hello, world! It's here.", "x"), (1, None, "x"), (2, "", None), (None, "no id", "x"), (7, "long words here " * 3000, "x"), (3, "Hello, world! It's here.", "y"), (9, "ümlaut naïve 東京", "x")]
 
 
