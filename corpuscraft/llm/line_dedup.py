@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _words(line: Column) -> Column:
-    plain = F.when(line.rlike("[\t\r\f\x0b]"), F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+def _tidy(line: Column) -> Column:
+    """The words of a line with a space between each two. Most lines are that already and are only searched, not parted."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\r\f\x0b":
+        odd |= line.contains(c)
+    words = F.array_remove(F.split(F.translate(line, "\t\r\f\x0b", "    "), " "), "")
+    return F.when(odd, F.array_join(words, " ")).otherwise(line)
 
 
 def _one_edit(x: Column, y: Column) -> Column:
@@ -39,36 +43,40 @@ def _one_edit(x: Column, y: Column) -> Column:
 
 #: Bytes of candidate lines' places up to which they are sent to all tasks; more are joined by a shuffle.
 BROADCAST = 32 << 20
-#: The columns that tell lines apart: two hashes of the words whose seeds differ, 128 bits.
+#: The columns that tell lines apart: two hashes of the tidy line whose seeds differ, 128 bits.
 KEY = ["h1", "h2"]
 
 
-def _hash(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit("again"), words).alias("h2")]
+def _hash(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("again"), line).alias("h2")]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words) of the lines that have a word. The split is in the generator, so that it runs once."""
-    split = F.transform(F.split("text", "\n"), _words)
-    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(split).alias("line_no", "words")).where(F.size("words") > 0)
+    """(doc_id, line_no, line) of the lines that have a word, tidied. That is in the generator, so that it runs once."""
+    split = F.transform(F.split("text", "\n"), _tidy)
+    return docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(split).alias("line_no", "line")).where("line <> ''")
 
 
 def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """(doc_id, line_no) of the lines that have an earlier near copy; see line_dedup."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs).select("*", *_hash(F.col("words")))
-    place, n = F.struct("doc_id", "line_no"), F.size("words")
+    line = F.col("line")
+    lines = _lines(docs).select("*", *_hash(line))
+    place, n = F.struct("doc_id", "line_no"), F.col("n")
+    # a column of its own, so that it is counted once a line
+    counted = lines.withColumn("n", F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
     # the first and last m words, for an even m of about half the length; lengths that differ by one agree on one m
     def ends(m: Column) -> Column:
-        return F.array(F.xxhash64(F.lit("first"), m, F.slice("words", F.lit(1), m)), F.xxhash64(F.lit("last"), m, F.slice("words", n - m + 1, m)))
+        first, last = (F.call_function("substring_index", line, F.lit(" "), k) for k in (m, -m))
+        return F.array(F.xxhash64(F.lit("first"), m, first), F.xxhash64(F.lit("last"), m, last))
 
     m = F.floor(n / 4).cast("int") * 2
     both = F.when((n % 4 == 0) & (n > least_words), F.concat(ends(m), ends(m - 2))).otherwise(ends(m))
     halves = F.when(n >= least_words, both)
 
     # 1. equal lines: the earliest, and how many there are
-    firsts = lines.select(*KEY, halves.alias("halves"), place.alias("place")).groupBy(*KEY).agg(F.min("place").alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
+    firsts = counted.select(*KEY, halves.alias("halves"), place.alias("place")).groupBy(*KEY).agg(F.min("place").alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
     firsts = scratch.write(firsts.select(*KEY, "first.doc_id", "first.line_no", "copies", "halves"))
     rows = firsts.count()
 
@@ -80,13 +88,13 @@ def removable_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
     # 3. those lines in order, with a rank that follows it, and the hashes of what is left without each word
     size = near.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 32)).first()[0] or 0
     raw = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    picked = raw.join(F.broadcast(near) if size <= BROADCAST else near, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    picked = picked.select("*", *_hash(F.col("words"))).dropDuplicates(KEY).repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
+    picked = raw.join(F.broadcast(near) if size <= BROADCAST else near, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _tidy(line).alias("line"))
+    picked = picked.select("doc_id", "line_no", F.split("line", " ").alias("words"), *_hash(line)).dropDuplicates(KEY).repartitionByRange("doc_id", "line_no").sortWithinPartitions("doc_id", "line_no")
     kept = scratch.write(picked.select(F.monotonically_increasing_id().alias("rank"), *KEY, "words"))
     # a line's hash is the exclusive or of its words' hashes with their places, so those before and behind a word add up
     placed = kept.select("rank", F.posexplode("words").alias("i", "word")).select("rank", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("ahead"))
-    line, before, upto = Window.partitionBy("rank"), Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    head, tail = F.coalesce(F.bit_xor("here").over(before), F.lit(0)), F.bit_xor("ahead").over(line).bitwiseXOR(F.bit_xor("ahead").over(upto))
+    whole_line, before, upto = Window.partitionBy("rank"), Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    head, tail = F.coalesce(F.bit_xor("here").over(before), F.lit(0)), F.bit_xor("ahead").over(whole_line).bitwiseXOR(F.bit_xor("ahead").over(upto))
     variants = placed.select("rank", "i", head.bitwiseXOR(tail).alias("variant"))
     whole = placed.groupBy("rank").agg(F.bit_xor("here").alias("variant"))
 

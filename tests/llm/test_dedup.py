@@ -9,7 +9,7 @@ import xxhash
 
 from corpuscraft.llm.common import Scratch, components
 from corpuscraft.llm.embedding_dedup import calibrate, embedding_dedup
-from corpuscraft.llm.line_dedup import line_dedup
+from corpuscraft.llm.line_dedup import _lines, line_dedup
 from corpuscraft.llm.simhash_dedup import _forest, fingerprint, fingerprint_links, simhash_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -200,6 +200,15 @@ def test_line_dedup_matches_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_lines_are_tidied_by_searches(spark):
+    rng = random.Random(8)
+    odd = ["", " ", "\t", "a", " a", "a ", "a  b", "a\tb", "a\r", "\x0ba\fb", "é\u00a0b c", "a\u2003b"] + ["".join(rng.choice("aé \t\r\f\x0b\u00a0") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    found = _lines(spark.createDataFrame([(0, None), (None, "x"), (1, "\n".join(odd))], "doc_id long, text string"))
+    tidy = [b" ".join(x.encode().split()).decode() for x in odd]
+    assert [(r.line_no, r.line) for r in sorted(found.collect())] == [(k, x) for k, x in enumerate(tidy) if x]
+    assert "rlike" not in found._jdf.queryExecution().toString().lower()  # no regular expression over every line
+
+
 def test_line_dedup_edges(spark):
     long = " ".join(f"x{i}" for i in range(50_000))
     rows = [(1, "a b c d e\n\n a  b\tc d e \nq"), (2, None), (3, ""), (None, "a b c d e"), (4, "a b c d f\nq\n"), (5, long), (6, long + " y"), (7, "a b c d"), (8, "q"), (8, "q")]
