@@ -69,3 +69,25 @@ def test_scored_bits_are_those_of_the_scores(spark):
     old = {r.sent_id: r.bits for r in masks.combined(masks.top_mask(scored, 3), masks.marginal_mask(scored, 0.9), "and").collect()}
     new = {r.sent_id: r.bits for r in x.withColumn("bits", masks.scored_bits(F.col("n"), F.col("c"), score, [F.col("c"), F.col("sent_id")], 3, 0.9)).collect()}
     assert old == new
+
+
+def test_parts_that_lie_by_sentence_are_dealt_out_together(spark):
+    from pyspark.sql import functions as F
+
+    from corpuscraft.operators.joins import n_mentions_between, ne_pairs
+
+    keys = spark.range(400).select(F.lit("s").alias("corpus"), F.col("id").alias("sent_id"))
+    m = keys.repartition("sent_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("start"))
+    m = m.select("corpus", "sent_id", F.concat(F.lit("m"), "start").alias("m_id"), "start", (F.col("start") + 1).alias("end"), F.col("start").alias("head"), F.lit("PER").alias("type"), F.lit(None).cast("string").alias("subtype"))
+    args = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(i).alias("m_id")) for r, i in (("Arg-1", "m0"), ("Arg-2", "m1"))))
+    rels = m.where("start = 0").select("corpus", "sent_id", F.lit(0).alias("rel_id"), F.lit("ART").alias("type"), F.lit(None).cast("string").alias("subtype"), args.alias("args"))
+    rows = n_mentions_between(ne_pairs(m, rels), m).collect()
+    assert {(r.k, r.m1, r.m2, r.n_between) for r in rows} == {(0, "m0", "m1", 0), (1, "m0", "m2", 1), (2, "m0", "m3", 2), (3, "m1", "m2", 0), (4, "m1", "m3", 1), (5, "m2", "m3", 0)}
+    assert len(rows) == 2400
+
+
+def test_mentions_found_in_the_row(spark):
+    from corpuscraft.plans.queries import _mention_rows, _mentions, _toks
+
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(_mention_rows(spark, SF)) == rows(_mentions(_toks(spark, SF, names=True)))
